@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, near_dedup, substring_dedup
 
 QUERIES = {
     "op4_bpe": bpe.op4_bpe,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
 }
 ORACLES: dict[str, str] = {}
