@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, near_dedup, substring_dedup
+from . import bpe, fingerprints, near_dedup, quality, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op2_fingerprints": fingerprints.op2_fingerprints,
     "op4_bpe": bpe.op4_bpe,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op9_near_dedup": near_dedup.op9_near_dedup,
+    "op10_quality": quality.op10_quality,
 }
 ORACLES: dict[str, str] = {}

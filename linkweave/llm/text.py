@@ -14,6 +14,8 @@ import xxhash
 
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+#: All of ASCII but letters and digits: for words without their punctuation.
+NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Keeps the first n bytes of a little-endian 64-bit load.
@@ -64,12 +66,12 @@ def slices(batch: pa.RecordBatch, text: str = "text", most_bytes: int = 4 << 20)
 class Words:
     """Words of the documents of a batch: ``start`` and ``length`` in bytes, ``first`` word of each document."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, separator: np.ndarray = SEPARATOR):
         self.data, self.offsets = text_bytes(column)
         if lower:
             self.data = LOWER[self.data]
         n = len(self.data)
-        inside = ~SEPARATOR[self.data]
+        inside = ~separator[self.data]
         begins, ends = inside.copy(), inside.copy()
         if n:
             begins[1:] &= ~inside[:-1]
