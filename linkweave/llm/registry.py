@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, near_dedup, quality, substring_dedup, toxicity
+from . import bpe, chat_format, fingerprints, mixing, near_dedup, quality, substring_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op4_bpe": bpe.op4_bpe,
+    "op5_chat_format": chat_format.op5_chat_format,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+    "op7_mixing": mixing.op7_mixing,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_quality": quality.op10_quality,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op5_chat_format": chat_format.ORACLE,
+}
