@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, fingerprints, mixing, near_dedup, quality, substring_dedup, toxicity
+import corpus_pipeline
+
+from . import bpe, chat_format, fingerprints, licenses, mixing, near_dedup, neighbours, quality, substring_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_fingerprints": fingerprints.op2_fingerprints,
+    "op3_licenses": licenses.op3_licenses,
     "op4_bpe": bpe.op4_bpe,
     "op5_chat_format": chat_format.op5_chat_format,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_mixing": mixing.op7_mixing,
+    "op8_neighbours": neighbours.op8_neighbours,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_quality": quality.op10_quality,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op5_chat_format": chat_format.ORACLE,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

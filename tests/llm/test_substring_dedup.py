@@ -2,7 +2,9 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
+from linkweave.llm import sketch as sk
 from linkweave.llm import substring_dedup as sd
 
 
@@ -66,22 +68,12 @@ def test_empty_tables_repeated_rows_null_ids_and_clashing_names(spark):
 def test_sketch_never_underestimates():
     keys = np.random.default_rng(0).integers(0, 2**63, 5000, dtype=np.uint64)
     width = 1 << 18
-    partial = sd._partial_sketches(width)
-
-    def windows(_):
-        return type("W", (), {"anchor": keys, "runs": lambda self: np.arange(len(keys))})()
-
-    import pyarrow as pa
-
-    real, sd.Windows = sd.Windows, windows
-    try:
-        rows = [b for _ in range(2) for b in partial(iter([pa.record_batch({"text": ["a"]})]))]
-    finally:
-        sd.Windows = real
+    partial = sk.partial_sketches(width, lambda batch: [keys])
+    rows = [b for _ in range(2) for b in partial(iter([pa.record_batch({"text": ["a"]})]))]
     table = pa.Table.from_batches(rows).sort_by("slice").combine_chunks()
     bitmap = np.zeros(2 * width // 8, np.uint8)
-    for b in sd._merge_sketches(iter(table.to_batches())):
+    for b in sk.merge_sketches(iter(table.to_batches())):
         for at, bits in zip(b.column("slice").to_pylist(), b.column("bits").to_pylist(), strict=True):
-            bitmap[at * sd.SLICE // 8 :][: sd.SLICE // 8] = np.frombuffer(bits, np.uint8)
-    assert sd.estimated_repeated(keys, bitmap, width).all()
-    assert sd.estimated_repeated(keys ^ np.uint64(0xABCDEF), bitmap, width).mean() < 0.05
+            bitmap[at * sk.SLICE // 8 :][: sk.SLICE // 8] = np.frombuffer(bits, np.uint8)
+    assert sk.estimated_repeated(keys, bitmap, width).all()
+    assert sk.estimated_repeated(keys ^ np.uint64(0xABCDEF), bitmap, width).mean() < 0.05
