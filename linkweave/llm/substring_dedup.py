@@ -4,9 +4,8 @@ Every window has an anchor: the least hash among its 35 grams of 16 words. Equal
 neighbouring windows mostly share one, so counting runs of anchors instead of windows overestimates a window's count
 with about a twentieth of the keys.
 
-1. Each task adds its anchors to a count-min sketch of two rows; the tasks' sketches, sparse and cut into slices, are
-   merged by slice. Only whether a cell reached two is kept: a bitmap. Its width follows the bytes of text, up to
-   ``MOST_CELLS`` a row (64 MiB in all), which bounds what is broadcast. A fuller sketch lets more windows pass, never fewer.
+1. Each task adds its anchors to count-min sketches, which are merged (sketch.py). They overestimate: no repeated anchor
+   is missed, and a fuller sketch lets more windows pass, never fewer.
 2. Windows whose anchor is estimated repeated are grouped exactly by (anchor, window hash), 128 bits together. Each task
    first settles what it can see itself, so a passage arrives once per task and not once per copy. The others stream in
    order of anchor and doc_id; a window that was seen with a smaller doc_id is a repeat.
@@ -22,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import ship
+from .sketch import estimated_repeated, repeated_bitmap
 from .text import Words, mix, slices
 
 WINDOW, GRAM = 50, 16
-SEEDS = (np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179))
-SLICE = 1 << 18
-LEAST_CELLS, MOST_CELLS = 1 << 18, 1 << 28
-#: Keys or windows that a task holds before it hands them on.
-HELD_KEYS, HELD_WINDOWS = 1 << 20, 1 << 19
+#: Windows that a task holds before it hands them on.
+HELD_WINDOWS = 1 << 19
+#: Bytes of text for each anchor, about; this only sizes the sketch.
+BYTES_PER_ANCHOR = 100
 
 
 class Windows:
@@ -68,82 +67,10 @@ def run_starts(doc: np.ndarray, anchor: np.ndarray, start: np.ndarray) -> np.nda
     return np.flatnonzero(new)
 
 
-def cells(keys: np.ndarray, row: int, width: int) -> np.ndarray:
-    return (mix(keys ^ SEEDS[row]) & np.uint64(width - 1)).astype(np.int64)
-
-
-def _partial_sketches(width: int):
-    """Rows (slice, cells): cells of a slice as 32-bit integers, twice where the count is two or more."""
-
-    def flush(keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key = np.concatenate(keys)
-        for row in range(len(SEEDS)):
-            cell, count = np.unique(cells(key, row, width), return_counts=True)
-            cell = np.repeat(cell, np.minimum(count, 2)) + row * width
-            cut = np.flatnonzero(np.diff(cell // SLICE, prepend=-1))
-            parts = np.split((cell % SLICE).astype("<u4"), cut[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(cell[cut] // SLICE, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "cells"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for part in slices(batch):
-                windows = Windows(part.column("text"))
-                held.append(windows.anchor[windows.runs()])
-                size += len(held[-1])
-                if size >= HELD_KEYS:
-                    yield from flush(held)
-                    held, size = [], 0
-        if size:
-            yield from flush(held)
-
-    return run
-
-
-def _merge_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial sketches, ordered by slice -> (slice, bits) with a bit for each cell that reached two."""
-
-    def bits(at: int, count: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.packbits(count >= 2, bitorder="little").tobytes()], pa.binary())], ["slice", "bits"])
-
-    current, count = None, np.zeros(SLICE, np.uint8)
-    for batch in batches:
-        for at, content in zip(batch.column("slice").to_pylist(), batch.column("cells"), strict=True):
-            if at != current:
-                if current is not None:
-                    yield bits(current, count)
-                current = at
-                count[:] = 0
-            cell, twice = np.unique(np.frombuffer(content.as_buffer(), "<u4"), return_counts=True)
-            count[cell] = np.minimum(count[cell] + np.minimum(twice, 2).astype(np.uint8), 2)
-    if current is not None:
-        yield bits(current, count)
-
-
-def repeated_bitmap(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """The merged sketch: packed bits of ``width`` cells for each row, and ``width``."""
-    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    width = min(MOST_CELLS, max(LEAST_CELLS, 1 << (int(chars) // 25).bit_length()))
-    merged = (
-        docs.select("text")
-        .mapInArrow(_partial_sketches(width), "slice long, cells binary")
-        .repartition("slice")
-        .sortWithinPartitions("slice")
-        .mapInArrow(_merge_sketches, "slice long, bits binary")
-    )
-    bitmap = np.zeros(len(SEEDS) * width // 8, np.uint8)
-    for row in merged.toLocalIterator():
-        at = row.slice * SLICE // 8
-        bitmap[at : at + SLICE // 8] = np.frombuffer(row.bits, np.uint8)
-    return bitmap, width
-
-
-def estimated_repeated(keys: np.ndarray, bitmap: np.ndarray, width: int) -> np.ndarray:
-    out = np.ones(len(keys), bool)
-    for row in range(len(SEEDS)):
-        cell = cells(keys, row, width) + row * width
-        out &= (bitmap[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
-    return out
+def _anchors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for part in slices(batch):
+        windows = Windows(part.column("text"))
+        yield windows.anchor[windows.runs()]
 
 
 OPEN = "key long, doc_id long, start int, windows int, hashes binary"
@@ -250,7 +177,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     ship(docs.sparkSession)
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bitmap, width = repeated_bitmap(docs)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bitmap, width = repeated_bitmap(docs.select("text"), size // BYTES_PER_ANCHOR, _anchors)
     sketch = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
     return (
         docs.mapInArrow(_candidates(sketch, width), OPEN)
