@@ -6,13 +6,13 @@ shingle; no words: empty, linked with nothing). Two sets are linked when 100 * |
 1. One hash per shingle; its top bits choose one of ``BINS`` bins, each bin keeps its least hash, and an empty bin
    borrows from a bin drawn at random for it (densification). ``ROWS`` bins make a band, a band's value a bucket.
 2. Documents of equal sets are one class, held by its smallest doc_id, so copies are never paired.
-3. The smallest class of a bucket is joined with the others: edges grow with the members, not with their square. An
-   edge counts only when the full sets confirm it.
-4. Buckets whose members are not in one component by then get their next 1, 2, 4, ... classes as further centres, until
-   every pair of a bucket is linked, tested, or of one component. So no pair that shares a bucket is lost.
+3. The class that meets most others in its buckets is the centre of each, joined with the others of the bucket: edges
+   grow with the members, not with their square. An edge counts only when the full sets confirm it.
+4. In buckets whose members are in several components by then, a link may be left between members of two. What two sets
+   share lies in the centre of the bucket, or in shingles outside of it that a second class has (a count-min sketch
+   overestimates them, never under). Pairs that this bound allows are confirmed like the stars; the rest can't be links.
 
-Sets of fewer than ``SHORT`` shingles have too few filled bins for bands of ``ROWS``; they also enter buckets of
-``SHORT_ROWS`` bins. A pair at similarity 0.75 shares no band with a probability below 1e-5.
+So no pair that shares a bucket is lost; a pair at similarity 0.75 shares none with a probability of about 1e-5.
 """
 
 from __future__ import annotations
@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .session import materialise, ship
+from .sketch import estimated_repeated, repeated_bitmap
 from .text import Words, join_hashes, mix, slices
 
 WIDTH = 5
 BINS, ROWS = 128, 4
-SHORT, SHORT_ROWS = 96, 2
 SIMILAR, OUT_OF = 75, 100
 _DRAWS = np.array([np.random.default_rng(1000 + b).permutation(BINS) for b in range(BINS)])
 
@@ -91,15 +91,10 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch):
             sets = shingle_sets(part.column("text"))
             signature = signatures(sets)
-            long_bands = band_values(signature, ROWS).astype("<u8")
-            short_bands = band_values(signature, SHORT_ROWS).astype("<u8")
+            values = band_values(signature, ROWS).astype("<u8").view("<i8")
             sizes = [len(s) for s in sets]
             key = [[int(mix(s ^ np.uint64(c)).sum(dtype=np.uint64).astype(np.int64)) for s in sets] for c in (0x51, 0xA7)]
-            # a pair of sizes at the border meets in the bands that both have
-            bands = [
-                (np.concatenate([long_bands[i], short_bands[i]]) if n < SHORT else long_bands[i]).view("<i8") if n else np.zeros(0, "<i8")
-                for i, n in enumerate(sizes)
-            ]
+            bands = [values[i] if n else values[i, :0] for i, n in enumerate(sizes)]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(key[0], pa.int64()), pa.array(key[1], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
                 ["doc_id", "n_shingles", "k1", "k2", "bands"],
@@ -113,23 +108,23 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = np.zeros(batch.num_rows, bool)
+        common, linked = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
         left, right = batch.column("left_set"), batch.column("right_set")
         for i in range(batch.num_rows):
-            a, b = np.frombuffer(left[i].as_py(), "<u8"), np.frombuffer(right[i].as_py(), "<u8")
+            a, b = np.frombuffer(left[i].as_buffer(), "<u8"), np.frombuffer(right[i].as_buffer(), "<u8")
             at = np.searchsorted(b, a)
-            common = int(np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a))
-            keep[i] = OUT_OF * common >= SIMILAR * (len(a) + len(b) - common)
-        yield batch.select(["u", "v"]).filter(pa.array(keep))
+            common[i] = np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a)
+            linked[i] = OUT_OF * common[i] >= SIMILAR * (len(a) + len(b) - common[i])
+        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(common), pa.array(linked)], ["u", "v", "common", "linked"])
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(u, v)`` whose full sets are similar enough."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``u, v, common, linked`` of pairs: the size of the intersection of the full sets, and whether it suffices."""
     left = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("left_set"))
     right = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("right_set"))
-    return pairs.join(right, "v").join(left, "u").select("u", "v", "left_set", "right_set").mapInArrow(_confirmed, "u long, v long")
+    return pairs.join(right, "v").join(left, "u").select("u", "v", "left_set", "right_set").mapInArrow(_common, "u long, v long, common long, linked boolean")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -143,37 +138,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketch = materialise(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"))
     classes = sketch.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     held = sketch.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    members = held.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
-    centres = members.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre < last").select("bucket", "centre")
-    members = materialise(members.join(centres, "bucket"))
-    wanted = members.select("doc_id").distinct()
-    sets = materialise(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, shingles binary"))
-    fits = f"{OUT_OF} * least(m, n) >= {SIMILAR} * greatest(m, n)"
-
-    sizes = members.select(F.col("doc_id").alias("centre"), F.col("n_shingles").alias("m")).distinct()
-    pairs = members.where("centre < doc_id").select("centre", F.col("doc_id").alias("v"), F.col("n_shingles").alias("n")).distinct()
-    pairs = pairs.join(sizes, "centre").where(fits).select(F.col("centre").alias("u"), "v")
-    edges = materialise(_confirm(pairs, sets))
-    found = components(edges)
-
-    def open_buckets(of: DataFrame) -> DataFrame:
-        """Buckets of three classes or more whose members are not all in one component."""
-        named = of.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        apart = named.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("a"), F.max("component").alias("b")).where("a < b and size > 2").select("bucket", "size")
-        return named.join(apart, "bucket")
-
-    left = materialise(open_buckets(members.select("bucket", "doc_id", "n_shingles")).withColumn("place", F.expr("row_number() over (partition by bucket order by doc_id)")))
-    done = 1
-    while not left.isEmpty():
-        to = 2 * done + 1
-        centre = left.where(f"place > {done} and place <= {to} and place < size").select("bucket", F.col("doc_id").alias("u"), F.col("n_shingles").alias("m"), F.col("component").alias("cu"), F.col("place").alias("pu"))
-        pairs = left.join(centre, "bucket").where("place > pu and component <> cu").where(fits.replace(", n)", ", n_shingles)")).select("u", F.col("doc_id").alias("v")).distinct()
-        new = materialise(_confirm(pairs, sets))
-        if not new.isEmpty():
-            edges = edges.union(new)
-            found = components(edges)
-        done = to
-        left = materialise(open_buckets(left.where(f"size > {done + 1}").select("bucket", "doc_id", "n_shingles", "place")))
+    members = held.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = materialise(members.join(sizes, "bucket"))
+    weight = members.groupBy("doc_id").agg(F.sum("size").alias("weight"))
+    centres = members.join(weight, "doc_id").groupBy("bucket").agg(F.max(F.struct("weight", -F.col("doc_id"), "n")).alias("c")).select("bucket", (-F.col("c.col2")).alias("centre"), F.col("c.n").alias("m"))
+    sets = materialise(docs.join(weight, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, shingles binary"))
+
+    stars = members.join(centres, "bucket").where(f"doc_id <> centre and {OUT_OF} * least(m, n) >= {SIMILAR} * greatest(m, n)")
+    stars = stars.select(F.least("doc_id", "centre").alias("u"), F.greatest("doc_id", "centre").alias("v")).distinct()
+    stars = materialise(compared(stars, sets))
+    found = components(stars.where("linked"))
+
+    named = members.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    left = _several(named.join(centres, "bucket").where("doc_id <> centre").select("bucket", "doc_id", "n", "component", "centre"))
+    left = left.withColumns({"u": F.least("doc_id", "centre"), "v": F.greatest("doc_id", "centre")}).join(stars.drop("linked"), ["u", "v"], "left").drop("u", "v")
+    links = components(_renamed(compared(_possible_pairs(materialise(left), sets), sets).where("linked"), found))
+    found = found.join(links.select(F.col("node").alias("component"), F.col("component").alias("joined")), "component", "left").select("node", F.coalesce("joined", "component").alias("component")).unionByName(
+        links.join(found, links.node == found.node, "left_anti").select("node", "component")
+    )
 
     label = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     return sketch.join(label, ["k1", "k2", "n_shingles"], "left").select(
@@ -184,5 +167,50 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def _several(members: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one component."""
+    apart = members.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
+    return members.join(apart, "bucket", "left_semi")
+
+
+def _renamed(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """Edges between the components of their ends."""
+    for end in ("u", "v"):
+        edges = edges.join(found.select(F.col("node").alias(end), F.col("component").alias("c")), end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+    return edges
+
+
+def _possible_pairs(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of a bucket and two components whose shared shingles may suffice.
+
+    ``left``: ``bucket, doc_id, n, component, centre, common`` (with the centre, null if not compared).
+    """
+    wanted = sets.join(left.select("doc_id").union(left.select("centre")).distinct(), "doc_id", "left_semi")
+    shingles = wanted.agg(F.sum(F.octet_length("shingles")) / 8).first()[0] or 0
+    bitmap, width = repeated_bitmap(wanted.select("shingles"), int(shingles), _shingles)
+    repeated = sets.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local = np.frombuffer(repeated.value, np.uint8)
+        for batch in batches:
+            most = [int(np.count_nonzero(estimated_repeated(np.frombuffer(s.as_buffer(), "<u8").astype(np.uint64), local, width))) for s in batch.column("shingles")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(most, pa.int64())], ["doc_id", "shared"])
+
+    counts = wanted.mapInArrow(count, "doc_id long, shared long")
+    able = left.join(counts, "doc_id").where(f"{OUT_OF} * shared >= {SIMILAR} * n")
+    # what two sets share lies in the centre, or in what each shares with others outside of it
+    able = materialise(_several(able).select("bucket", "doc_id", "n", "component", F.coalesce("common", "shared").alias("inside"), F.when(F.col("common").isNull(), F.col("shared")).otherwise(F.col("shared") - F.col("common")).alias("outside"), "shared"))
+    able = able.join(able.groupBy("doc_id").agg(F.collect_set("bucket").alias("buckets")), "doc_id")  # a pair comes once, in the least bucket it shares
+    other = able.select("bucket", *(F.col(c).alias(f"{c}_") for c in able.columns if c != "bucket"))
+    most = "least(least(shared, shared_), least(inside, inside_) + least(outside, outside_))"
+    fits = f"{OUT_OF} * least(n, n_) >= {SIMILAR} * greatest(n, n_) and {SIMILAR + OUT_OF} * {most} >= {SIMILAR} * (n + n_)"
+    return able.join(other, "bucket").where(f"doc_id < doc_id_ and component <> component_ and {fits} and bucket = array_min(array_intersect(buckets, buckets_))").select(F.col("doc_id").alias("u"), F.col("doc_id_").alias("v"))
+
+
+def _shingles(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for s in batch.column("shingles"):
+        yield np.frombuffer(s.as_buffer(), "<u8").astype(np.uint64)
+
+
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
