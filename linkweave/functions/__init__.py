@@ -1 +1 @@
-"""See the module docstrings."""
+"""Scalar functions as column expressions."""

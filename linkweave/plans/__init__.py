@@ -1 +1 @@
-"""See the module docstrings."""
+"""Composed reports and the registered queries over the given tables."""

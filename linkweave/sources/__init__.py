@@ -1 +1 @@
-"""See the module docstrings."""
+"""Sources: batches of records, lists, provider payloads and stored state."""

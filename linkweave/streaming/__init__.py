@@ -1 +1 @@
-"""See the module docstrings."""
+"""Incremental publishing with Structured Streaming."""
