@@ -221,7 +221,7 @@ def edited_likeness(docs: DataFrame, known: np.ndarray | None = None) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    ranged = docs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(in_ranges, RESULT + ", range int, tail int, text string")
+    ranged = docs.repartitionByRange(order[0]).sortWithinPartitions(*order).mapInArrow(in_ranges, RESULT + ", range int, tail int, text string")
     ranged = materialise(ranged)
     everything = Window.orderBy("range", "tail").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = ranged.where("tail is not null").select("doc_id", "range", "tail", "text")  # two rows for each range
