@@ -126,9 +126,9 @@ def draws(rows: DataFrame, shards: int) -> DataFrame:
     dealt = shards_of_blocks(p, shards)
     bits = block_bits(shards)
     extra = (F.col("place") < F.col("cut")) | F.coalesce(F.array_contains("fillers", F.col("doc_id")), F.lit(False))
-    joined = rows.join(p.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("copies", F.col("copies") + F.when(extra, 1).otherwise(0)).drop("cut", "fillers")
-    dealt = dealt.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "shards")
-    joined = joined.join(dealt, F.col("source").eqNullSafe(F.col("_s")) & (F.shiftright("place", HASH_BITS - bits) == F.col("_b"))).drop("_s", "_b")
+    joined = rows.join(p.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("copies", F.col("copies") + F.when(extra, 1).otherwise(0)).drop("cut", "fillers")
+    dealt = dealt.select(F.col("source").alias("__s"), F.col("block").alias("__b"), "shards")
+    joined = joined.join(dealt, F.col("source").eqNullSafe(F.col("__s")) & (F.shiftright("place", HASH_BITS - bits) == F.col("__b"))).drop("__s", "__b")
     return joined.withColumn("shards", F.slice("shards", F.lit(1), F.col("copies")))
 
 
@@ -148,7 +148,7 @@ def mix(docs: DataFrame, shards: int | None = None) -> DataFrame:
     drawn = draws(sized(docs.select(*(F.col(f"`{c}`") for c in kept))), shards)
     rows = drawn.select(*(F.col(f"`{c}`") for c in kept), F.posexplode("shards").alias("copy", "shard"))
     order = F.xxhash64("doc_id", "copy", F.lit(SEED + 99))
-    return rows.withColumn("_o", order).repartition(shards, "shard").sortWithinPartitions("shard", "_o").drop("_o", "copy")
+    return rows.withColumn("__o", order).repartition(shards, "shard").sortWithinPartitions("shard", "__o").drop("__o", "copy")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

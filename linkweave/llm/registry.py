@@ -21,6 +21,8 @@ QUERIES = {
 }
 ORACLES = {
     "op5_chat_format": chat_format.ORACLE,
+    "op6_substring_dedup": substring_dedup.ORACLE,
+    "op9_near_dedup": near_dedup.ORACLE,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

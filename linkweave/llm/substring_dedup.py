@@ -193,7 +193,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_words, n_removed, kept = [], [], []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
             words = (text or "").encode().split()  # splits bytes at exactly the six separators
             n_words.append(len(words))
             if spans:
@@ -204,7 +204,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words = [w for w, g in zip(words, np.cumsum(gone[:-1]).tolist(), strict=True) if not g]
             n_removed.append(n_words[-1] - len(words))
             kept.append(b" ".join(words).decode())
-        names = [n for n in batch.schema.names if n != "_spans"]
+        names = [n for n in batch.schema.names if n != "__spans"]
         columns = [batch.column(n) for n in names]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], [*names, "n_words", "n_removed", "kept_text"])
 
@@ -216,8 +216,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     repeated rows are treated alike, columns of those three names are replaced, the others pass through.
     """
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")))
-    spans = repeated_spans(docs).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    joined = docs.join(spans, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    spans = repeated_spans(docs).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
+    joined = docs.join(spans, F.col("doc_id") == F.col("__id"), "left").drop("__id")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return joined.mapInArrow(_kept, f"{kept}, n_words long, n_removed long, kept_text string")
 
@@ -225,3 +225,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i, len(words) AS n FROM t),
+v AS (SELECT *, CASE WHEN i <= n - 49 THEN sha256(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) END AS passage FROM w),
+f AS (SELECT passage, min(doc_id) AS first FROM v WHERE passage IS NOT NULL GROUP BY passage),
+r AS (SELECT v.*, coalesce(first < doc_id, false) AS again FROM v LEFT JOIN f USING (passage)),
+c AS (SELECT *, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM r),
+k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN k USING (doc_id)
+"""
