@@ -71,3 +71,28 @@ def catalog_revision(feeds: DataFrame, subreddits: DataFrame, version: int = 1)
     lines = lambda df, key, name: df.agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.col(key), F.lit("\t"), F.col(name), F.lit("\n")))), "").alias(key))
     both = lines(feeds, "normalized_url", "feed_url").crossJoin(lines(subreddits, "normalized_name", "name"))
     return both.select(F.sha2(F.concat(F.lit(f"catalog.v{version}\nrss_feeds\n"), F.col("normalized_url"), F.lit("subreddits\n"), F.col("normalized_name")), 256).alias("revision"))
+
+
+def skip_counters(posts: DataFrame, kept: DataFrame, key: str, required: list[str]) -> DataFrame:
+    """AGG-12: ``read, without_links, missing_fields, filtered, kept`` of one cycle.
+
+    A row that misses a field isn't counted for its links; what is complete but not in ``kept`` was filtered.
+    """
+    missing = F.lit(False)
+    for column in required:
+        missing = missing | labels.to_null(column).isNull()
+    marked = posts.join(kept.select(key, F.lit(True).alias("_kept")), key, "left")
+    no_links = F.size("urls") == 0
+    return marked.agg(
+        F.count("*").alias("read"),
+        F.count_if(~missing & no_links).alias("without_links"),
+        F.count_if(missing).alias("missing_fields"),
+        F.count_if(~missing & ~no_links & F.col("_kept").isNull()).alias("filtered"),
+        F.count_if(F.col("_kept")).alias("kept"),
+    )
+
+
+def removed_urls(before: DataFrame, after: DataFrame) -> DataFrame:
+    """AGG-12: how many URLs a filter took away; null counts as none."""
+    total = lambda df, name: df.agg(F.coalesce(F.sum(F.size("urls")), F.lit(0)).alias(name))
+    return total(before, "before").crossJoin(total(after, "after")).select((F.col("before") - F.col("after")).alias("removed"))

@@ -168,3 +168,26 @@ def emitted_checkpoints(listing: DataFrame, key: str, cursor: str, order: str, k
         return newest
     old = known.select(key, F.col("cursor").alias("_known"))
     return newest.join(old, key, "left").where(~F.col("cursor").eqNullSafe(F.col("_known"))).drop("_known")
+
+
+def ledger_entries(batches: DataFrame, records: DataFrame, new_posts: DataFrame, new_urls: DataFrame, now: Column) -> DataFrame:
+    """UPS-10: ``batch_id, published_at, record_count, posts_inserted, urls_inserted`` of the batches of one commit.
+
+    ``new_posts``: inserted posts with the ``batch_id`` that brought them; ``new_urls``: their URLs by ``unique_id``.
+    """
+    counts = lambda df, name: df.groupBy("batch_id").agg(F.count("*").alias(name))
+    urls_of_batch = new_urls.join(new_posts.select("unique_id", "batch_id"), "unique_id")
+    out = batches.select("batch_id")
+    for frame, name in ((records, "record_count"), (new_posts, "posts_inserted"), (urls_of_batch, "urls_inserted")):
+        out = out.join(counts(frame, name), "batch_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out.withColumn("published_at", now)
+
+
+def advance_state(cache: DataFrame, cursors: DataFrame, observations: DataFrame, checkpoints: DataFrame, feeds: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """UPS-21: (validators, cursors) after a cycle, for what is still in the catalog.
+
+    ``feeds``: ``normalized_url``; ``keys``: ``source_type, source_key``.
+    """
+    next_cache = validator_cache(cache, observations).join(feeds.select("normalized_url"), "normalized_url", "left_semi")
+    next_cursors = last_applied(cursors, checkpoints, ["source_type", "source_key"], ["cursor"])
+    return next_cache, next_cursors.join(keys.select("source_type", "source_key"), ["source_type", "source_key"], "left_semi")
