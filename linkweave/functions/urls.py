@@ -53,29 +53,46 @@ def remove_dots(path: Column) -> Column:
     return F.when(last.isin(".", "..") & (F.size(kept) > 0), F.concat(joined, F.lit("/"))).otherwise(joined)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once for a row, also inside of a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _base(base: Column | str | None) -> Column:
+    b = F.coalesce(_c(base), F.lit("")) if base is not None else F.lit("")
+    return F.struct(part(b, 1).alias("scheme"), part(b, 2).alias("authority"), part(b, 3).alias("path"))
+
+
+def _resolve(url: Column, base: Column) -> Column:
+    """FN-2 on a base that is split already."""
+    site = F.concat(base["scheme"], F.lit("://"), base["authority"])
+    folder = F.when(base["path"] == "", "/").otherwise(F.regexp_replace(base["path"], "[^/]*$", ""))
+
+    def of(u: Column) -> Column:
+        path, rest = F.regexp_extract(u, r"^([^?#]*)(.*)$", 1), F.regexp_extract(u, r"^([^?#]*)(.*)$", 2)
+        dots = lambda p: F.when(F.contains(p, F.lit("/.")), remove_dots(p)).otherwise(p)
+        return (
+            F.when(u == "", "")
+            .when(u.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), u)
+            .when(base["scheme"] == "", "")
+            .when(u.startswith("//"), F.concat(base["scheme"], F.lit(":"), u))
+            .when(u.startswith("/"), F.concat(site, dots(path), rest))
+            .when(path == "", F.concat(site, base["path"], rest))
+            .otherwise(F.concat(site, dots(F.concat(folder, path)), rest))
+        )
+
+    trimmed = F.regexp_replace(F.coalesce(url, F.lit("")), r"(?U)^\s+|\s+$", "")
+    return let(let(trimmed, of), lambda r: F.when(is_web(r), r).otherwise(""))
+
+
 def normalize_url(url: Column | str, base: Column | str | None = None) -> Column:
     """FN-2: a usable absolute http(s) URL, resolved on ``base``; '' where there is none."""
-    u = F.regexp_replace(F.coalesce(_c(url), F.lit("")), r"(?U)^\s+|\s+$", "")
-    b = F.coalesce(_c(base), F.lit("")) if base is not None else F.lit("")
-    scheme, authority, base_path = part(b, 1), part(b, 2), part(b, 3)
-    path, rest = F.regexp_extract(u, r"^([^?#]*)(.*)$", 1), F.regexp_extract(u, r"^([^?#]*)(.*)$", 2)
-    folder = F.when(base_path == "", "/").otherwise(F.regexp_replace(base_path, "[^/]*$", ""))
-    site = F.concat(scheme, F.lit("://"), authority)
-    resolved = (
-        F.when(u == "", "")
-        .when(u.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), u)
-        .when(scheme == "", "")
-        .when(u.startswith("//"), F.concat(scheme, F.lit(":"), u))
-        .when(u.startswith("/"), F.concat(site, remove_dots(path), rest))
-        .when(path == "", F.concat(site, base_path, rest))
-        .otherwise(F.concat(site, remove_dots(F.concat(folder, path)), rest))
-    )
-    return F.when(is_web(resolved), resolved).otherwise("")
+    return let(_base(base), lambda b: _resolve(_c(url), b))
 
 
 def add_urls(urls: Column | str, base: Column | str | None = None) -> Column:
     """FN-3: normalised, without the invalid and the repeated, in order."""
-    return F.array_distinct(F.filter(F.transform(_c(urls), lambda u: normalize_url(u, base)), lambda u: u != ""))
+    return let(_base(base), lambda b: F.array_distinct(F.filter(F.transform(_c(urls), lambda u: _resolve(u, b)), lambda u: u != "")))
 
 
 def build_hash(text: Column | str) -> Column:
