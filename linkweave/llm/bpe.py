@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .session import ship
-from .text import slices
 
 #: Fixed value: the byte-level split pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NO_RANK = 1 << 62
-CACHED_PIECES = 300_000
+CACHED_PIECES = 200_000
 LONGEST_CACHED = 64
+PART_ROWS = 256
 
 
 def vocabulary_path() -> str:
@@ -166,40 +166,45 @@ def codec(path: str, content: str | None = None) -> Codec:
     return Codec(content)
 
 
-def _mapped(df: DataFrame, source: str, name: str, kind: T.DataType, each) -> DataFrame:
-    """``df`` with a column computed from another in batches of bounded size."""
-    if name == source:
-        raise ValueError("the new column needs a name of its own")
-    kept = [c for c in df.columns if c != name]
-    df = df.select(*(F.col(f"`{c}`") for c in kept))
-    schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
-    arrow = pa.binary() if isinstance(kind, T.BinaryType) else pa.string()
+def _mapped(df: DataFrame, source: str, new: list[tuple[str, T.DataType]], each) -> DataFrame:
+    """``df`` with columns computed from another in batches of bounded size; ``each()`` gives value -> values."""
+    names = [n for n, _ in new]
+    if source in names:
+        raise ValueError("the new columns need names of their own")
+    df = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in names))
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, k) for n, k in new)])
+    kinds = [pa.binary() if isinstance(k, T.BinaryType) else pa.string() for _, k in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = each()
         for batch in batches:
-            for part in slices(batch, source) if arrow == pa.binary() else _parts(batch):
-                new = pa.array([apply(x) for x in part.column(source).to_pylist()], arrow)
-                yield pa.RecordBatch.from_arrays([*part.columns, new], [*part.schema.names, name])
+            for at in range(0, batch.num_rows, PART_ROWS):
+                part = batch.slice(at, PART_ROWS)
+                values = [apply(x) for x in part.column(source).to_pylist()]
+                columns = [pa.array([v[i] for v in values], k) for i, k in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *names])
 
     return df.mapInArrow(run, schema)
 
 
-def _parts(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with ``ids``: binary, little-endian unsigned 32-bit integers. Null text: no ids.
 
-
-def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with ``ids``: binary, little-endian unsigned 32-bit integers. Null text: no ids."""
+    With ``decoded``, also a column of that name with what the ids decode to, by the same worker.
+    """
     ship(docs.sparkSession)
     path = path or vocabulary_path()
 
     def each():
-        encode_text = codec(path).encode
-        return lambda x: encode_text(x or "")
+        c = codec(path)
+
+        def both(x: str | None) -> tuple:
+            out = c.encode(x or "")
+            return (out, c.decode(out)) if decoded else (out,)
+
+        return both
 
-    return _mapped(docs, text, ids, T.BinaryType(), each)
+    return _mapped(docs, text, [(ids, T.BinaryType()), *([(decoded, T.StringType())] if decoded else [])], each)
 
 
 def decode(tokens: DataFrame, path: str | None = None, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -208,16 +213,15 @@ def decode(tokens: DataFrame, path: str | None = None, ids: str = "ids", decoded
     path = path or vocabulary_path()
 
     def each():
-        decode_ids = codec(path).decode
-        return lambda x: decode_ids(x or b"")
+        c = codec(path)
+        return lambda x: (c.decode(x or b""),)
 
-    return _mapped(tokens, ids, decoded, T.StringType(), each)
+    return _mapped(tokens, ids, [(decoded, T.StringType())], each)
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    tokens = encode(docs).select("doc_id", "ids")
-    return decode(tokens).select(
+    return encode(docs, decoded="decoded").select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -13,9 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 PACKAGE = Path(__file__).resolve().parents[1]
 
 
+#: Rows of an Arrow batch: texts may be long, and a batch is held on both sides of a Python worker.
+ARROW_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once per application (what ``--py-files`` does)."""
+    """Send the package to the executors once per application (what ``--py-files`` does), and bound Arrow batches."""
     context = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     if getattr(context, "_linkweave_shipped", False):
         return
     archive = os.path.join(tempfile.mkdtemp(prefix="linkweave-"), f"{PACKAGE.name}.zip")
@@ -38,8 +44,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors."""
+    """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors.
+
+    All tables of an application lie in one folder there, to be removed when it has ended.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/linkweave-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/linkweave-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

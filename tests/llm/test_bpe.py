@@ -31,6 +31,12 @@ def test_every_code_point_splits_like_the_library():
         assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_encode_can_decode_too(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    for row in bpe.encode(docs, decoded="back").collect():
+        assert row.back == (row.text or "")
+
+
 def test_clashing_names_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b", "mine")], SCHEMA)
     row = bpe.encode(docs).collect()[0]
