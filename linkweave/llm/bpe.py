@@ -159,11 +159,13 @@ class Codec:
 
 @lru_cache(maxsize=2)
 def codec(path: str, content: str | None = None) -> Codec:
-    """One codec per Python worker; executors read the file from the installed package, or get its ``content``."""
-    if content is None:
-        with open(path, encoding="utf-8") as f:
-            content = f.read()
-    return Codec(content)
+    """One codec per Python worker, from the file or from its ``content``."""
+    return Codec(content if content is not None else read(path))
+
+
+def read(path: str) -> str:
+    with open(path, encoding="utf-8") as f:
+        return f.read()
 
 
 def _mapped(df: DataFrame, source: str, new: list[tuple[str, T.DataType]], each) -> DataFrame:
@@ -194,9 +196,10 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
     """
     ship(docs.sparkSession)
     path = path or vocabulary_path()
+    content = docs.sparkSession.sparkContext.broadcast(read(path))  # the driver's file; executors need none
 
     def each():
-        c = codec(path)
+        c = codec(path, content.value)
 
         def both(x: str | None) -> tuple:
             out = c.encode(x or "")
@@ -211,9 +214,10 @@ def decode(tokens: DataFrame, path: str | None = None, ids: str = "ids", decoded
     """``tokens`` with the text that their ids stand for, special tokens included. Null ids: empty text."""
     ship(tokens.sparkSession)
     path = path or vocabulary_path()
+    content = tokens.sparkSession.sparkContext.broadcast(read(path))
 
     def each():
-        c = codec(path)
+        c = codec(path, content.value)
         return lambda x: (c.decode(x or b""),)
 
     return _mapped(tokens, ids, [(decoded, T.StringType())], each)
