@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as html_
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,33 +15,34 @@ from pyspark.sql import types as T
 from .urls import normalize_url
 
 
-class _Status(HTMLParser):
-    def __init__(self):
+class _Events(HTMLParser):
+    """The start and end of anchors and the texts of a fragment, in order."""
+
+    def __init__(self, fragment: str):
         super().__init__(convert_charrefs=True)
-        self.depth, self.links, self.all, self.outside = 0, [], [], []
+        self.found: list[tuple[str, str | None]] = []
+        self.feed(fragment)
+        self.close()
 
     def handle_starttag(self, tag, attrs):
         if tag == "a":
-            self.depth += 1
-            self.links += [v for k, v in attrs if k == "href" and v][-1:]
+            self.found.append(("open", dict(attrs).get("href")))
 
     def handle_endtag(self, tag):
         if tag == "a":
-            self.depth = max(0, self.depth - 1)
+            self.found.append(("shut", None))
 
     def handle_data(self, data):
-        if data.strip():
-            self.all.append(data.strip())
-            if not self.depth:
-                self.outside.append(data.strip())
+        self.found.append(("text", data.strip()))
 
 
 def parse_status(content: str | None) -> tuple[str, list[str], str]:
     """(text, links of anchors, text outside of anchors)."""
-    parser = _Status()
-    parser.feed(content or "")
-    parser.close()
-    return html_.unescape(" ".join(parser.all)), parser.links, html_.unescape(" ".join(parser.outside))
+    events = _Events(content or "").found
+    inside = list(accumulate((1 if kind == "open" else -1 if kind == "shut" else 0 for kind, _ in events), lambda n, step: max(0, n + step), initial=0))
+    texts = [(value, n) for (kind, value), n in zip(events, inside[1:], strict=True) if kind == "text" and value]
+    joined = lambda parts: html_.unescape(" ".join(parts))
+    return joined(t for t, _ in texts), [v for kind, v in events if kind == "open" and v], joined(t for t, n in texts if not n)
 
 
 def status_parts(df: DataFrame, content: str, name: str = "parts") -> DataFrame:

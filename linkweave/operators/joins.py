@@ -57,26 +57,29 @@ def content_duplicates(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """JN-10: ``id, duplicate_of, reason`` of active candidates that repeat a feed of their site.
 
     Both: ``id, site, status, feed_key, feed_link, title, links, titles``; ``existing`` also ``seq``. The first matching
-    feed in order of ``seq`` counts, and the first rule that it meets.
+    feed in order of ``seq`` counts, and the first rule that it meets. Every rule is an equi-join within the site, so a
+    site with very many feeds isn't paired with itself.
     """
     c = candidates.where("status = 'active' and site <> ''")
-    e = existing.where(F.col("status").isin("active", "abandoned", "unknown_date"))
-    e = e.select("site", *(F.col(n).alias(f"e_{n}") for n in e.columns if n not in ("site", "status")))
-    reason = F.expr(
-        """case when feed_key = e_feed_key then 'same feed'
-             when feed_link <> '' and feed_link = e_feed_link then 'same channel link'
-             when links[0] = e_links[0] then 'same newest link'
-             when size(array_intersect(links, e_links)) >= 3 then 'shared links'
-             when title <> '' and title = e_title and size(array_intersect(titles, e_titles)) >= 2 then 'shared titles' end"""
+    e = existing.where(F.col("status").isin("active", "abandoned", "unknown_date")).withColumnsRenamed({"id": "e_id", "seq": "e_seq", "titles": "e_titles"})
+    first = lambda df: df.withColumn("newest", F.try_element_at("links", F.lit(1)))
+    each = lambda df, *keep: df.select("site", *keep, F.explode(F.array_distinct("links")).alias("link"))
+
+    def on(rank: int, reason: str, left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+        hits = left.select("id", "site", key).where(f"{key} <> ''").join(right.select("e_id", "e_seq", "site", key), ["site", key])
+        return hits.select("id", "e_id", "e_seq", F.lit(rank).alias("rank"), F.lit(reason).alias("reason"))
+
+    shared = each(c, "id").join(each(e, "e_id", "e_seq"), ["site", "link"]).where("id <> e_id").groupBy("id", "e_id", "e_seq").agg(F.count("*").alias("n")).where("n >= 3")
+    titled = c.where("title <> ''").select("id", "site", "title", "titles").join(e.select("e_id", "e_seq", "site", "title", "e_titles"), ["site", "title"]).where(F.size(F.array_intersect("titles", "e_titles")) >= 2)
+    hits = (
+        on(1, "same feed", c, e, "feed_key")
+        .unionByName(on(2, "same channel link", c, e, "feed_link"))
+        .unionByName(on(3, "same newest link", first(c), first(e), "newest"))
+        .unionByName(shared.select("id", "e_id", "e_seq", F.lit(4).alias("rank"), F.lit("shared links").alias("reason")))
+        .unionByName(titled.select("id", "e_id", "e_seq", F.lit(5).alias("rank"), F.lit("shared titles").alias("reason")))
     )
-    c = c.withColumns({n: F.col(n) for n in ("links", "titles")})
-    hits = c.join(e, "site").withColumn("reason", F.when((F.size("links") == 0) | (F.size("e_links") == 0), F.expr(_NO_LINKS)).otherwise(reason)).where("reason is not null and id <> e_id")
-    return hits.groupBy("id").agg(F.min_by("e_id", "e_seq").alias("duplicate_of"), F.min_by("reason", "e_seq").alias("reason"))
-
-
-_NO_LINKS = """case when feed_key = e_feed_key then 'same feed'
-  when feed_link <> '' and feed_link = e_feed_link then 'same channel link'
-  when title <> '' and title = e_title and size(array_intersect(titles, e_titles)) >= 2 then 'shared titles' end"""
+    best = hits.where("id <> e_id").groupBy("id").agg(F.min(F.struct("e_seq", "rank", "e_id", "reason")).alias("b"))
+    return best.select("id", F.col("b.e_id").alias("duplicate_of"), F.col("b.reason").alias("reason"))
 
 
 def feeds_with_validators(feeds: DataFrame, cache: DataFrame) -> DataFrame:

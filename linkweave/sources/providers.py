@@ -82,7 +82,8 @@ def facet_links(facets: Column) -> Column:
 
 def embed_links(embed: Column) -> Column:
     """FN-26: every http ``uri`` of an embed, at any depth, in order."""
-    return F.coalesce(F.regexp_extract_all(embed, F.lit(r'"uri"\s*:\s*"(http(?:[^"\\]|\\.)*)"'), F.lit(1)), F.array().cast("array<string>"))
+    found = F.regexp_extract_all(embed, F.lit(r'"uri"\s*:\s*"(http(?:[^"\\]|\\.)*)"'), F.lit(1))
+    return F.coalesce(F.transform(found, lambda u: F.replace(u, F.lit("\\/"), F.lit("/"))), F.array().cast("array<string>"))
 
 
 def bluesky_posts(timelines: DataFrame, excluded: tuple[str, ...] = ("bsky.app", "bsky.social")) -> DataFrame:
