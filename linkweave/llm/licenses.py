@@ -216,7 +216,8 @@ def fit(docs: DataFrame, sample_rows: int = 300) -> Model:
 
     Paragraphs close to a notice aren't taken as unknown.
     """
-    rows = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "text").limit(sample_rows).collect()
+    chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample_rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(2 * sample_rows).collect()
     templates = [pairs_of(words_of(n)) for notices in NOTICES.values() for n in notices]
     unknown = []
     for row in rows:
