@@ -32,6 +32,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 SEED = 20240
 
 
+def bounded(small: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``small`` to be broadcast if it has at most so many rows, else as it is: Spark then shuffles and splits hot keys."""
+    return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """``docs`` with ``size`` (words) and ``place`` (63 bits of a hash of doc_id)."""
     return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("place", place())
@@ -70,28 +75,29 @@ def plan(rows: DataFrame) -> DataFrame:
     ``fillers`` (doc_ids at or above the cut) once more.
     """
     goal = targets(rows).withColumn("copies", F.when(F.col("source_size") > 0, F.least(F.lit(MOST_COPIES), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int"))
-    goal = goal.withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size"))
+    goal = materialise(goal.withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size")))
     at = F.shiftright("place", HASH_BITS - PLACE_BITS)
     ordered = Window.partitionBy("source").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # the permutation in 2 ** PLACE_BITS steps, then the documents of the one step that the rest ends in
     steps = rows.groupBy("source", at.alias("at")).agg(F.sum("size").alias("size"))
     steps = steps.withColumn("end", F.sum("size").over(ordered))
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    last = steps.join(goal, same(steps, goal)).where("end > rest").groupBy(steps.source).agg(F.min("at").alias("step"), F.min_by(F.col("rest") - F.col("end") + F.col("size"), "at").alias("room"))
+    last = steps.join(bounded(goal), same(steps, goal)).where("end > rest").groupBy(steps.source).agg(F.min("at").alias("step"), F.min_by(F.col("rest") - F.col("end") + F.col("size"), "at").alias("room"))
+    last = materialise(last)
     inner = Window.partitionBy("source").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = rows.join(last.withColumnRenamed("source", "s"), rows.source.eqNullSafe(F.col("s")) & (at == F.col("step"))).select("source", "place", "doc_id", "size", "room")
+    inside = rows.join(bounded(last.withColumnRenamed("source", "s")), rows.source.eqNullSafe(F.col("s")) & (at == F.col("step"))).select("source", "place", "doc_id", "size", "room")
     inside = inside.withColumn("end", F.sum("size").over(inner))
     cut = inside.where("end > room").groupBy("source").agg(F.min("place").alias("cut"))
     with_cut = goal.join(cut.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    with_cut = with_cut.withColumn("cut", F.coalesce("cut", F.when(F.col("rest") > 0, F.lit((1 << 63) - 1)).otherwise(F.lit(0))))
-    some = rows.join(with_cut.select(F.col("source").alias("s"), "cut", "rest", F.col("copies").alias("c")), F.col("source").eqNullSafe(F.col("s")))
+    with_cut = materialise(with_cut.withColumn("cut", F.coalesce("cut", F.when(F.col("rest") > 0, F.lit((1 << 63) - 1)).otherwise(F.lit(0)))))
+    some = rows.join(bounded(with_cut.select(F.col("source").alias("s"), "cut")), F.col("source").eqNullSafe(F.col("s")))
     drawn = some.groupBy("source").agg(F.sum(F.when(F.col("place") < F.col("cut"), F.col("size")).otherwise(0)).alias("drawn"))
     with_gap = with_cut.join(drawn.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("gap", F.col("rest") - F.col("drawn"))
-    found = with_gap.withColumn("fillers", F.array().cast("array<long>"))
+    found = materialise(with_gap.withColumn("fillers", F.array().cast("array<long>")))
     for i in range(FILLERS):
         fits = "size > 0 and size <= gap" if i + 1 < FILLERS else "abs(size - gap) < abs(gap)"
         now = found.select(F.col("source").alias("s"), "cut", "gap", F.col("copies").alias("c"), "fillers")
-        free = rows.join(now, F.col("source").eqNullSafe(F.col("s"))).where(f"place >= cut and c < {MOST_COPIES} and {fits} and not array_contains(fillers, doc_id)")
+        free = rows.join(bounded(now), F.col("source").eqNullSafe(F.col("s"))).where(f"place >= cut and c < {MOST_COPIES} and {fits} and not array_contains(fillers, doc_id)")
         best = free.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "place", "doc_id", "size")).alias("f"))
         found = materialise(
             found.join(best.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
@@ -123,12 +129,12 @@ def draws(rows: DataFrame, shards: int) -> DataFrame:
     """``rows (doc_id, source, size, place, ...)`` with ``source_size, target, copies, shards`` (one for each copy)."""
     small = materialise(rows.select("doc_id", "source", "size", "place"))
     p = materialise(plan(small))
-    dealt = shards_of_blocks(p, shards)
+    dealt = materialise(shards_of_blocks(p, shards))
     bits = block_bits(shards)
     extra = (F.col("place") < F.col("cut")) | F.coalesce(F.array_contains("fillers", F.col("doc_id")), F.lit(False))
-    joined = rows.join(p.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("copies", F.col("copies") + F.when(extra, 1).otherwise(0)).drop("cut", "fillers")
+    joined = rows.join(bounded(p.withColumnRenamed("source", "__s")), F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("copies", F.col("copies") + F.when(extra, 1).otherwise(0)).drop("cut", "fillers")
     dealt = dealt.select(F.col("source").alias("__s"), F.col("block").alias("__b"), "shards")
-    joined = joined.join(dealt, F.col("source").eqNullSafe(F.col("__s")) & (F.shiftright("place", HASH_BITS - bits) == F.col("__b"))).drop("__s", "__b")
+    joined = joined.join(bounded(dealt), F.col("source").eqNullSafe(F.col("__s")) & (F.shiftright("place", HASH_BITS - bits) == F.col("__b"))).drop("__s", "__b")
     return joined.withColumn("shards", F.slice("shards", F.lit(1), F.col("copies")))
 
 
