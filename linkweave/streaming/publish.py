@@ -1,8 +1,9 @@
 """Publishing landed batches: a file stream whose micro-batches are merged into versioned tables, exactly once.
 
 A micro-batch holds the lines of some batches. It is validated, batches that the ledger knows are left out, and the rest
-is merged in order of arrival (batch_id, then line). The next version of every table is written beside the old one and
-the ledger, written last, names it: a replay after a failure finds either the old versions or the batch in the ledger.
+is merged in order of arrival (batch_id, then line). A version adds rows to the insert-only tables and holds the next
+state of the keyed ones (as large as the catalog); its ledger, written last, makes it count: a replay after a failure
+finds either the old version or the batch in the ledger. Posts are compared by their keys alone and never rewritten.
 A query that fails stops and goes on from its checkpoint (STR-7); a bad batch is quarantined and doesn't stop the others.
 """
 
@@ -29,6 +30,10 @@ TABLES = {
 }
 
 
+#: Tables whose versions add rows; of the others a version is the whole table.
+APPENDED = ("posts", "post_urls", "ledger", "rejected")
+
+
 @dataclass
 class Store:
     """Versioned tables under a root folder. The newest version that has a ledger is the current one."""
@@ -47,13 +52,17 @@ class Store:
         version = self.version() if version is None else version
         if not version:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/v{version:08d}")
+        versions = range(1, version + 1) if name in APPENDED else (version,)
+        return self.spark.read.schema(TABLES[name]).parquet(*(self.path(name, v) for v in versions))
+
+    def path(self, name: str, version: int) -> str:
+        return f"{self.root}/{name}/v{version:08d}"
 
     def write(self, tables: dict[str, DataFrame], version: int) -> None:
-        """All tables as a version; the ledger comes last."""
+        """New rows and next states as a version; the ledger comes last."""
         for name in [*(n for n in tables if n != "ledger"), "ledger"]:
             columns = [f.strip().split(" ")[0] for f in TABLES[name].split(",")]
-            tables[name].select(*columns).write.mode("overwrite").parquet(f"{self.root}/{name}/v{version:08d}")
+            tables[name].select(*columns).write.mode("overwrite").parquet(self.path(name, version))
 
 
 def lines_stream(spark: SparkSession, root: str) -> DataFrame:
@@ -99,7 +108,7 @@ def apply_batches(store: Store, rows: DataFrame, now) -> None:
         bad = validation.quarantine(problems(rows), now)
         good = validation.reject(rows, bad)
         posts = ordered(good, "posts").withColumn("posted_at", contract_timestamp("posted_at"))
-        next_posts, new = merges.insert_posts(store.read("posts", version), posts, now)
+        new = merges.insert_ignore(store.read("posts", version), posts, "unique_id").withColumn("first_seen_at", now)
         links = merges.urls_of(new).withColumn("unshortened_url", F.lit(None).cast("string"))
         o = ordered(good, "rss_observations")
         o = o.withColumns({c: contract_timestamp(c) for c in ("observed_at", "latest_entry_at")})
@@ -108,12 +117,12 @@ def apply_batches(store: Store, rows: DataFrame, now) -> None:
         counts = good.groupBy("batch_id").agg(F.count("*").alias("record_count")).withColumn("published_at", now)
         store.write(
             {
-                "posts": next_posts,
-                "post_urls": store.read("post_urls", version).unionByName(links),
+                "posts": new,
+                "post_urls": links,
                 "health": merges.fold_health(store.read("health", version), o),
                 "checkpoints": merges.strictly_newer(store.read("checkpoints", version), c, ["source_type", "source_key"], ["cursor", "source_url"]),
-                "rejected": store.read("rejected", version).unionByName(bad),
-                "ledger": store.read("ledger", version).unionByName(counts),
+                "rejected": bad,
+                "ledger": counts,
             },
             version + 1,
         )
