@@ -27,7 +27,7 @@ from .session import ship
 #: Fixed value: the byte-level split pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NO_RANK = 1 << 62
-CACHED_PIECES = 200_000
+CACHED_PIECES = 400_000
 LONGEST_CACHED = 64
 PART_ROWS = 256
 
