@@ -54,7 +54,7 @@ def classify_candidates(candidates: DataFrame, existing: DataFrame) -> DataFrame
 
 
 def content_duplicates(candidates: DataFrame, existing: DataFrame) -> DataFrame:
-    """JN-10: ``id, duplicate_of, reason`` of active candidates that repeat a feed of their site.
+    """JN-10, SET-2: ``id, duplicate_of, reason`` of active candidates that repeat a feed of their site.
 
     Both: ``id, site, status, feed_key, feed_link, title, links, titles``; ``existing`` also ``seq``. The first matching
     feed in order of ``seq`` counts, and the first rule that it meets. Every rule is an equi-join within the site, so a

@@ -1,4 +1,4 @@
-"""Windows, sorts, pages and set operations."""
+"""Windows, sorts, pages and set operations. Strings sort by bytes (SRT-5), which is Spark's default collation."""
 
 from __future__ import annotations
 
