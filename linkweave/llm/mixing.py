@@ -4,17 +4,19 @@ Sizes are words. The sources, in code point order with null last, weigh 5, 2, 1
 documents by weight, but none gets more than ``MOST_COPIES`` times its own, and what is over goes to the others.
 
 A source's documents are permuted by a hash of doc_id, whose first bits are the block. Each document is drawn
-floor(target / source size) times, and once more where its hash is below the source's cut: the cut lets as many whole
-documents in as fit the rest of the target. Up to ``FILLERS`` more documents, each the largest that fits what is still
-missing (the last: the closest to it), bring the source nearer. So a source's plan is one row, whatever its size, and documents find
-their copies by it.
+floor(target / source size) times, and some once more, in rounds: a round goes on through the permutation from where the
+one before ended, over the documents that are no larger than what is still missing, and ends at the first that doesn't fit
+any more. There are rounds until no document fits (each leaves less missing than the size of the document it ended at); the
+document closest to what is missing then goes in if that brings the source nearer. A round is a range of hashes and a size
+bound, so documents find their copies by their source's row of the plan.
 
 The drawn copies of the blocks are dealt to the output shards by a binary tree: a node puts its block copies into random
 order and gives the first half to its left child, so the sources' quotas of the children are multivariate
 hypergeometric and exact. A shard's rows are then shuffled by a hash. Blocks are a fixed number for each source and shard
 count, so the tree doesn't grow with the documents.
 
-Null text: size 0. Null doc_ids share one place in the permutation, repeated doc_ids theirs. Reruns agree.
+Null text: size 0. Null doc_ids share one block, in an order of their texts. Rows equal in doc_id and text share one place
+in the permutation: they are drawn together or not at all. Reruns agree.
 """
 
 from __future__ import annotations
@@ -26,24 +28,29 @@ from .session import materialise
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
-FILLERS = 4
-HASH_BITS, PLACE_BITS, LEAST_BLOCK_BITS = 63, 14, 7
+HASH_BITS, PLACE_BITS, LEAST_BLOCK_BITS, TEXT_BITS = 63, 14, 7, 24
+END = (1 << 63) - 1
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = 20240
 
 
+def is_small(df: DataFrame, rows: int = 100_000) -> bool:
+    return df.limit(rows + 1).count() <= rows
+
+
 def bounded(small: DataFrame, rows: int = 100_000) -> DataFrame:
     """``small`` to be broadcast if it has at most so many rows, else as it is: Spark then shuffles and splits hot keys."""
-    return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
+    return F.broadcast(small) if is_small(small, rows) else small
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``size`` (words) and ``place`` (63 bits of a hash of doc_id)."""
+    """``docs`` with ``size`` (words) and ``place`` (63 bits: a hash of doc_id, the last ``TEXT_BITS`` of the text with it)."""
     return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("place", place())
 
 
 def place() -> Column:
-    return F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(SEED)), 1)
+    of_id = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(SEED)), 1 + TEXT_BITS)
+    return F.shiftleft(of_id, TEXT_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(SEED)), 64 - TEXT_BITS))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -69,43 +76,69 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def plan(rows: DataFrame) -> DataFrame:
-    """``source, source_size, target, copies, cut, fillers``: a row for each source.
+    """``source, source_size, target, copies, rounds, last``: a row for each source.
 
-    ``rows``: ``doc_id, source, size, place``. Documents are drawn ``copies`` times, once more below ``cut``, and
-    ``fillers`` (doc_ids at or above the cut) once more.
+    ``rows``: ``doc_id, source, size, place``. Documents are drawn ``copies`` times, and once more (``extra``) if a round
+    has them or they are at the place ``last``.
     """
     goal = targets(rows).withColumn("copies", F.when(F.col("source_size") > 0, F.least(F.lit(MOST_COPIES), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int"))
-    goal = materialise(goal.withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size")))
+    goal = goal.withColumn("gap", F.when(F.col("copies") < MOST_COPIES, F.col("target") - F.col("copies") * F.col("source_size")).otherwise(0.0))
+    found = materialise(goal.withColumn("low", F.lit(0).cast("long")).withColumn("rounds", F.array().cast("array<struct<low: bigint, cut: bigint, bound: double>>")).withColumn("open", F.col("gap") > 0))
+    few = is_small(found)
+    while not found.where("open").isEmpty():
+        found = materialise(next_round(rows, found, few))
+    # every document that is left is larger than what is missing: the closest, with those at its place
+    left = of_sources(rows, found.where("gap > 0"), few, "gap", "rounds").where((F.col("size") > F.col("gap")) & (F.col("size") < 2 * F.col("gap")) & ~in_rounds())
+    places = left.groupBy("source", "place", "gap").agg(F.sum("size").alias("size")).where("size < 2 * gap")
+    last = places.groupBy("source").agg(F.min(F.struct("size", "place"))["place"].alias("last"))
+    return found.join(last.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "copies", "rounds", "last")
+
+
+def next_round(rows: DataFrame, found: DataFrame, few: bool) -> DataFrame:
+    """``found`` after one more round of each source that is ``open``; those without a document that fits aren't any more."""
     at = F.shiftright("place", HASH_BITS - PLACE_BITS)
-    ordered = Window.partitionBy("source").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # the permutation in 2 ** PLACE_BITS steps, then the documents of the one step that the rest ends in
-    steps = rows.groupBy("source", at.alias("at")).agg(F.sum("size").alias("size"))
-    steps = steps.withColumn("end", F.sum("size").over(ordered))
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    last = steps.join(bounded(goal), same(steps, goal)).where("end > rest").groupBy(steps.source).agg(F.min("at").alias("step"), F.min_by(F.col("rest") - F.col("end") + F.col("size"), "at").alias("room"))
-    last = materialise(last)
-    inner = Window.partitionBy("source").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = rows.join(bounded(last.withColumnRenamed("source", "s")), rows.source.eqNullSafe(F.col("s")) & (at == F.col("step"))).select("source", "place", "doc_id", "size", "room")
-    inside = inside.withColumn("end", F.sum("size").over(inner))
-    cut = inside.where("end > room").groupBy("source").agg(F.min("place").alias("cut"))
-    with_cut = goal.join(cut.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    with_cut = materialise(with_cut.withColumn("cut", F.coalesce("cut", F.when(F.col("rest") > 0, F.lit((1 << 63) - 1)).otherwise(F.lit(0)))))
-    some = rows.join(bounded(with_cut.select(F.col("source").alias("s"), "cut")), F.col("source").eqNullSafe(F.col("s")))
-    drawn = some.groupBy("source").agg(F.sum(F.when(F.col("place") < F.col("cut"), F.col("size")).otherwise(0)).alias("drawn"))
-    with_gap = with_cut.join(drawn.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("gap", F.col("rest") - F.col("drawn"))
-    found = materialise(with_gap.withColumn("fillers", F.array().cast("array<long>")))
-    for i in range(FILLERS):
-        fits = "size > 0 and size <= gap" if i + 1 < FILLERS else "abs(size - gap) < abs(gap)"
-        now = found.select(F.col("source").alias("s"), "cut", "gap", F.col("copies").alias("c"), "fillers")
-        free = rows.join(bounded(now), F.col("source").eqNullSafe(F.col("s"))).where(f"place >= cut and c < {MOST_COPIES} and {fits} and not array_contains(fillers, doc_id)")
-        best = free.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "place", "doc_id", "size")).alias("f"))
-        found = materialise(
-            found.join(best.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
-            .withColumn("fillers", F.when(F.col("f").isNull(), F.col("fillers")).otherwise(F.concat("fillers", F.array("f.doc_id"))))
-            .withColumn("gap", F.col("gap") - F.coalesce("f.size", F.lit(0)))
-            .drop("s", "f")
-        )
-    return found.select("source", "source_size", "target", "copies", "cut", "fillers")
+    fits = (F.col("size") > 0) & (F.col("size") <= F.col("gap")) & (F.col("place") >= F.col("low"))
+    going = found.where("open")
+    # the permutation in 2 ** PLACE_BITS steps, then the places of the one step that the gap ends in
+    steps = of_sources(rows, going, few, "gap", "low").where(fits).groupBy("source", "gap", at.alias("at")).agg(F.sum("size").alias("size"))
+    steps = steps.withColumn("end", F.sum("size").over(Window.partitionBy("source").orderBy("at")))
+    first = F.min(F.when(F.col("end") > F.col("gap"), F.struct("at", (F.col("gap") - F.col("end") + F.col("size")).alias("room"))))
+    reached = materialise(steps.groupBy("source").agg(first.alias("step"), F.max("end").alias("all")).select("source", "step.at", "step.room", "all"))
+    inside = of_sources(rows, going, few, "gap", "low").where(fits).select("source", "place", "size", at.alias("here"))
+    inside = of_sources(inside, reached.where("at is not null"), few, "at", "room").where("here = at").groupBy("source", "place", "room").agg(F.sum("size").alias("size"))
+    inside = inside.withColumn("end", F.sum("size").over(Window.partitionBy("source").orderBy("place"))).where("end > room")
+    cut = inside.groupBy("source").agg(F.min(F.struct("place", (F.col("room") - F.col("end") + F.col("size")).alias("gap"))).alias("cut"))
+    key = lambda df: F.col("source").eqNullSafe(df["s"])
+    reached, cut = reached.select(F.col("source").alias("s"), "all"), cut.select(F.col("source").alias("s"), "cut")
+    after = found.join(reached, key(reached), "left").drop("s").join(cut, key(cut), "left").drop("s")
+    # the place that the round ended at fits no more, whatever its row sizes: go on behind it
+    end, gap = F.coalesce("cut.place", F.lit(END)), F.coalesce("cut.gap", F.col("gap") - F.col("all"))
+    drew = F.col("all").isNotNull()
+    return after.select(
+        "source",
+        "source_size",
+        "target",
+        "copies",
+        F.when(drew, gap).otherwise(F.col("gap")).alias("gap"),
+        F.when(drew & (end < END), end + 1).otherwise(F.col("low")).alias("low"),
+        F.when(drew, F.concat("rounds", F.array(F.struct("low", end.alias("cut"), F.col("gap").alias("bound"))))).otherwise(F.col("rounds")).alias("rounds"),
+        (drew & F.col("cut").isNotNull() & (gap > 0)).alias("open"),
+    )
+
+
+def of_sources(rows: DataFrame, by_source: DataFrame, few: bool, *columns: str) -> DataFrame:
+    """``rows`` of the sources in ``by_source``, with its ``columns``; ``few`` sources are broadcast."""
+    small = by_source.select(F.col("source").alias("__s"), *columns)
+    return rows.join(F.broadcast(small) if few else small, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+
+
+def in_rounds() -> Column:
+    return F.exists("rounds", lambda r: (F.col("place") >= r["low"]) & (F.col("place") < r["cut"]) & (F.col("size") <= r["bound"]))
+
+
+def extra() -> Column:
+    """Whether a document is drawn once more than ``copies`` says."""
+    return in_rounds() | F.coalesce(F.col("place") == F.col("last"), F.lit(False))
 
 
 def shards_of_blocks(plan_: DataFrame, shards: int) -> DataFrame:
@@ -131,8 +164,7 @@ def draws(rows: DataFrame, shards: int) -> DataFrame:
     p = materialise(plan(small))
     dealt = materialise(shards_of_blocks(p, shards))
     bits = block_bits(shards)
-    extra = (F.col("place") < F.col("cut")) | F.coalesce(F.array_contains("fillers", F.col("doc_id")), F.lit(False))
-    joined = rows.join(bounded(p.withColumnRenamed("source", "__s")), F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("copies", F.col("copies") + F.when(extra, 1).otherwise(0)).drop("cut", "fillers")
+    joined = rows.join(bounded(p.withColumnRenamed("source", "__s")), F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("copies", F.col("copies") + F.when(extra(), 1).otherwise(0)).drop("rounds", "last")
     dealt = dealt.select(F.col("source").alias("__s"), F.col("block").alias("__b"), "shards")
     joined = joined.join(bounded(dealt), F.col("source").eqNullSafe(F.col("__s")) & (F.shiftright("place", HASH_BITS - bits) == F.col("__b"))).drop("__s", "__b")
     return joined.withColumn("shards", F.slice("shards", F.lit(1), F.col("copies")))
@@ -149,7 +181,7 @@ def mix(docs: DataFrame, shards: int | None = None) -> DataFrame:
     Columns named size, place, source_size, target, copies, shards or shard are dropped on the way in.
     """
     shards = shards or shard_count(docs)
-    own = {"size", "place", "source_size", "target", "copies", "shards", "shard", "cut", "fillers"}
+    own = {"size", "place", "source_size", "target", "copies", "shards", "shard", "rounds", "last"}
     kept = [c for c in docs.columns if c not in own]
     drawn = draws(sized(docs.select(*(F.col(f"`{c}`") for c in kept))), shards)
     rows = drawn.select(*(F.col(f"`{c}`") for c in kept), F.posexplode("shards").alias("copy", "shard"))

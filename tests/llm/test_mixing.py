@@ -66,5 +66,16 @@ def test_mix_repeats_rows_by_shard(spark):
     assert got == +want
 
 
+def test_a_long_document_early_in_the_permutation_costs_nothing(spark):
+    """No document that is left out fits what is missing, wherever a document larger than the rest stands."""
+    text = "w " * 500
+    ids = mx.sized(spark.createDataFrame([(i, text) for i in range(201)], "doc_id long, text string"))
+    first = ids.orderBy("place").first().doc_id
+    docs = [(i, "b", "w " * 100_000 if i == first else text) for i in range(201)] + [(1000 + i, "a", text) for i in range(120)]
+    rows = [r for r in mx.draws(mx.sized(spark.createDataFrame(docs, "doc_id long, source string, text string")), 4).collect() if r.source == "b"]
+    gap = rows[0].target - sum(r["size"] * len(r.shards) for r in rows)
+    assert rows[0].target == 80_000 and gap == 0
+
+
 def test_empty_table(spark):
     assert mx.mix(spark.createDataFrame([], SCHEMA), 4).count() == 0
