@@ -4,9 +4,10 @@ A turn becomes ``<|role|>``, a line feed, its text, ``</s>`` and a line feed. In
 every control string gets one after its first character, so no control string is left and unescaping is exact. Every
 assistant turn is an example of its own: all turns before it are the context, only its text is trainable.
 
-A conversation is formatted in blocks of ``BLOCK`` turn numbers. An example holds the context within its block and refers
-to the earlier blocks by number and characters, so a conversation with very many turns isn't copied once per reply, and
-no group has more rows than a block (or the rows of its repeated turn numbers).
+A conversation is formatted in blocks of ``BLOCK`` turn numbers; ``examples`` holds the context within a block,
+``whole_examples`` all of it, and op5 reads its figures back from the whole examples. Their text grows with the square of a
+conversation's turns; it is made row by row after the last shuffle of texts and not kept, so no task holds more than a few
+copies of one conversation.
 
 Turns are ordered by turn, then role and text; null turns come first, in a block of their own. Null texts and roles are
 empty. Null conv_ids are one conversation. Extra columns are ignored. An empty table gives no rows.
@@ -93,29 +94,83 @@ def full_texts(examples_: DataFrame, blocks: DataFrame) -> DataFrame:
     return joined.groupBy("conv_id", "block", "turn", "context", "reply", "end").agg(F.concat(F.array_join(before, ""), F.first("context"), F.first("reply"), F.first("end")).alias("text"))
 
 
+def in_order(blocks: DataFrame) -> DataFrame:
+    """``conv_id, b``: each conversation's blocks in order."""
+    return blocks.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("block", F.lit(-1 << 62)).alias("block"), "formatted", "formatted_chars", "replies"))).alias("b"))
+
+
+def whole_examples(conversations: DataFrame) -> DataFrame:
+    """``conv_id, loss_start, loss_chars, last, text`` from ``conv_id, b``: every example, with all turns before the reply.
+
+    ``loss_start`` counts from the start of the conversation, from 1 on; ``last``: no later example has this one's turns.
+    """
+    with_last = conversations.withColumn("final", F.aggregate("b", F.lit(0), lambda n, x: n + F.size(x["replies"])))
+    each = with_last.select("conv_id", "final", "b", F.posexplode("b").alias("at", "own")).where("size(own.replies) > 0")
+    before = F.slice("b", F.lit(1), F.col("at"))
+    each = each.select(
+        "conv_id",
+        "final",
+        "own",
+        F.array_join(F.transform(before, lambda x: x["formatted"]), "").alias("earlier"),
+        F.aggregate(before, F.lit(0).cast("long"), lambda n, x: n + x["formatted_chars"]).alias("chars"),
+        F.aggregate(before, F.lit(0), lambda n, x: n + F.size(x["replies"])).alias("done"),
+    )
+    each = each.select("conv_id", "final", "own.formatted", "earlier", "chars", "done", F.posexplode("own.replies").alias("i", "r"))
+    return each.select(
+        "conv_id",
+        (F.col("chars") + F.col("r.loss_start")).alias("loss_start"),
+        F.col("r.loss_chars").alias("loss_chars"),
+        (F.col("done") + F.col("i") + 1 == F.col("final")).alias("last"),
+        F.concat("earlier", F.substring("formatted", F.lit(1), F.col("r.loss_start") - 1 + F.col("r.loss_chars")), F.lit(END)).alias("text"),
+    )
+
+
+def rests(conversations: DataFrame) -> DataFrame:
+    """``conv_id, text`` from ``conv_id, b``: what follows a conversation's last reply, all of it if there is none."""
+    chars = F.aggregate(
+        "b",
+        F.struct(F.lit(0).cast("long").alias("chars"), F.lit(0).cast("long").alias("end")),
+        lambda s, x: F.struct(
+            (s["chars"] + x["formatted_chars"]).alias("chars"),
+            F.when(F.size(x["replies"]) > 0, s["chars"] + F.element_at(x["replies"], -1)["loss_start"] - 1 + F.element_at(x["replies"], -1)["loss_chars"] + len(END)).otherwise(s["end"]).alias("end"),
+        ),
+    )
+    return conversations.select("conv_id", F.array_join(F.transform("b", lambda x: x["formatted"]), "").alias("all"), chars["end"].alias("end")).select("conv_id", F.substring("all", F.col("end").cast("int") + 1, F.char_length("all")).alias("text"))
+
+
 def read_back(blocks: DataFrame) -> DataFrame:
     """``conv_id, n_turns, turns, loss, formatted_chars`` parsed from the output: ``turns`` is role, line feed, text, line feed
-    for each turn, ``loss`` the text under the loss masks of all examples."""
-    pieces = F.slice(F.split("formatted", "</s>\n", -1), 1, F.size(F.split("formatted", "</s>\n", -1)) - 1)
+    for each turn of the last whole example and of what follows it, ``loss`` the text under the loss masks of all whole examples."""
+    conversations = in_order(blocks)
     part = lambda p, i: unescape(F.regexp_extract(p, r"(?s)^<\|(.*?)\|>\n(.*)$", i))
-    turns = blocks.select(
+    pieces = F.slice(F.split("text", END, -1), 1, F.size(F.split("text", END, -1)) - 1)
+    turns = F.array_join(F.transform(pieces, lambda p: F.concat(part(p, 1), F.lit("\n"), part(p, 2), F.lit("\n"))), "")
+    read = whole_examples(conversations).select(
         "conv_id",
-        "block",
-        F.size(pieces).alias("n_turns"),
-        F.array_join(F.transform(pieces, lambda p: F.concat(part(p, 1), F.lit("\n"), part(p, 2), F.lit("\n"))), "").alias("turns"),
-        "formatted_chars",
+        F.struct(F.lit(0).alias("at"), F.when(F.col("last"), turns).alias("turns")).alias("t"),
+        F.when(F.col("last"), F.size(pieces)).alias("n"),
+        F.when(F.col("last"), F.char_length("text")).alias("chars"),
+        F.struct("loss_start", F.substring("text", F.col("loss_start").cast("int"), F.col("loss_chars")).alias("reply")).alias("loss"),
     )
-    replies = examples(blocks).groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(F.struct("turn", F.char_length("context").alias("at"), "reply"))).alias("r"))
-    replies = replies.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), unescape(F.array_join(F.transform("r", lambda r: r["reply"]), "")).alias("loss"))
-    both = turns.join(replies, turns.conv_id.eqNullSafe(replies.c) & turns.block.eqNullSafe(replies.b), "left")
-    whole = both.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("block", F.lit(-1 << 62)).alias("block"), "n_turns", "turns", F.coalesce("loss", F.lit("")).alias("loss"), "formatted_chars"))).alias("b"))
-    total = lambda name: F.aggregate("b", F.lit(0).cast("long"), lambda s, b: s + b[name])
-    return whole.select(
+    after = rests(conversations).select(
         "conv_id",
-        total("n_turns").alias("n_turns"),
-        F.array_join(F.transform("b", lambda b: b["turns"]), "").alias("turns"),
-        F.array_join(F.transform("b", lambda b: b["loss"]), "").alias("loss"),
-        total("formatted_chars").alias("formatted_chars"),
+        F.struct(F.lit(1).alias("at"), turns.alias("turns")).alias("t"),
+        F.size(pieces).alias("n"),
+        F.char_length("text").alias("chars"),
+        F.struct(F.lit(1 << 62).alias("loss_start"), F.lit("").alias("reply")).alias("loss"),
+    )
+    both = read.unionByName(after).groupBy("conv_id").agg(
+        F.sum("n").cast("long").alias("n_turns"),
+        F.array_sort(F.collect_list(F.when(F.col("t.turns").isNotNull(), F.col("t")))).alias("t"),
+        F.array_sort(F.collect_list("loss")).alias("loss"),
+        F.sum("chars").cast("long").alias("formatted_chars"),
+    )
+    return both.select(
+        "conv_id",
+        "n_turns",
+        F.array_join(F.transform("t", lambda t: t["turns"]), "").alias("turns"),
+        unescape(F.array_join(F.transform("loss", lambda x: x["reply"]), "")).alias("loss"),
+        "formatted_chars",
     )
 
 

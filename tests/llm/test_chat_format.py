@@ -44,6 +44,14 @@ def test_examples_have_all_turns_before_and_one_reply(spark):
         assert r.text.endswith(f"t{r.turn}<\\/s></s>\n") and r.text.startswith("<|user|>\nt0")
 
 
+def test_op5_reads_examples_with_the_context_of_earlier_blocks(spark):
+    blocks = cf.format_blocks(spark.createDataFrame(ROWS, SCHEMA))
+    rows = sorted((r for r in cf.whole_examples(cf.in_order(blocks)).collect() if r.conv_id == 3), key=lambda r: r.loss_start)
+    assert [r.text.count(cf.END) for r in rows] == list(range(2, 101, 2)) and [r.last for r in rows] == [False] * 49 + [True]
+    for i, r in enumerate(rows):
+        assert r.text[r.loss_start - 1 :] == f"t{2 * i + 1}<\\/s></s>\n" and r.text.startswith("<|user|>\nt0")
+
+
 def test_empty_table(spark):
     assert cf.read_back(cf.format_blocks(spark.createDataFrame([], SCHEMA))).count() == 0
 
