@@ -270,8 +270,9 @@ def agg10_fetch_outcomes(spark, sf):
 
 @query("WITH " + OBS_SQL + f"SELECT normalized_url, {TS.format('max(latest_entry_at)')} AS newest FROM obs GROUP BY 1")
 def agg13_newest_entry(spark, sf):
-    g = observations(spark, sf).groupBy("normalized_url").agg(F.collect_list(F.struct(F.col("latest_entry_at").alias("published"))).alias("entries"))
-    return g.select("normalized_url", aggregates.newest_entry("entries").alias("n")).select("normalized_url", iso("n").alias("newest"))
+    own = observations(spark, sf).select("normalized_url", F.array(F.struct(F.col("latest_entry_at").alias("published"))).alias("entries"))
+    g = own.groupBy("normalized_url").agg(F.max(aggregates.newest_entry("entries")).alias("n"))
+    return g.select("normalized_url", iso("n").alias("newest"))
 
 
 @query(

@@ -44,6 +44,11 @@ def test_query_matches_its_sql(spark, con, name):
         assert rows(frame.columns, got) == rows(columns, result.fetchall())
 
 
+def test_newest_entry_is_aggregated_before_the_shuffle(spark):
+    plan = catalog.QUERIES["agg13_newest_entry"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max" in plan and "collect_list" not in plan
+
+
 def test_entry_contract(spark):
     assert entry.entry(spark).columns == ["unique_id", "source", "description", "posted_at", "links"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
