@@ -1,6 +1,9 @@
 """Licence scans: a trained paragraph classifier with an unknown class, confirmed by comparison with templates.
 
-Every line of a text is a paragraph. Its features are the word 1- to 3-grams that the licence notices have; a softmax
+Every line of a text is classified alone, and so is every group of consecutive lines, without a blank one, that is no
+longer than ``MOST_WORDS`` and one more line: notices are often wrapped. A line or group may name several families: the
+words of the notice that was found are taken out and the rest is classified again. Groups that share more than one line, or that
+touch one of the same family, count once, the most similar first. A match is placed by its first line. The features are the word 1- to 3-grams that the licence notices have; a softmax
 regression over them tells the families and "unknown" apart. Training makes variants of the notices (words left out,
 words around them) and takes unknown paragraphs from near misses and from a bounded sample of the documents
 (``sample_rows``). The temperature that fits held-back paragraphs best calibrates the probabilities. A family counts when
@@ -98,6 +101,8 @@ NEAR_MISSES = [
     "Terms of use and conditions of the project.",
 ]
 WORD = re.compile(r"[a-z0-9]+(?:[.\-/][a-z0-9]+)*")
+#: Words of the longest notice, and half as many more.
+MOST_WORDS = max(len(WORD.findall(n)) for notices in NOTICES.values() for n in notices) * 3 // 2
 GRAMS, LEAST_SIMILAR, LEAST_LIKELY = 3, 0.6, 0.5
 MATCH = "array<struct<paragraph:int,family:string,probability:double,similarity:double>>"
 
@@ -114,6 +119,12 @@ def pairs_of(words: list[str]) -> set[tuple[str, str]]:
     return set(zip(["^", *words], [*words, "$"], strict=True))
 
 
+def without(words: list[str], template: set) -> list[str]:
+    """``words`` less those in word pairs of ``template``."""
+    hit = {k for i in range(len(words) - 1) if (words[i], words[i + 1]) in template for k in (i, i + 1)}
+    return [w for i, w in enumerate(words) if i not in hit]
+
+
 @dataclass
 class Model:
     families: list[str]
@@ -141,7 +152,10 @@ class Model:
 
     def classify(self, paragraph: str) -> tuple[str, float, float] | None:
         """(family, probability, similarity) of a confirmed paragraph."""
-        words = words_of(paragraph)
+        return (found := self.confirmed(words_of(paragraph))) and found[:3]
+
+    def confirmed(self, words: list[str]) -> tuple[str, float, float, set] | None:
+        """``classify`` of words, with the word pairs of the closest template."""
         features = self.features(words)
         if not features:
             return None
@@ -150,9 +164,54 @@ class Model:
         if best == len(self.families) or p[best] < LEAST_LIKELY:
             return None
         pairs = pairs_of(words)
-        inner = pairs_of(words) - {("^", words[0]), (words[-1], "$")}
-        similar = max(max(2 * len(pairs & t) / (len(pairs) + len(t)), len(inner & t) / max(1, len(t) - 2)) for t in self.templates[self.families[best]])
-        return (self.families[best], float(p[best]), float(min(similar, 1.0))) if similar >= LEAST_SIMILAR else None
+        inner = pairs - {("^", words[0]), (words[-1], "$")}
+        similar, template = max(((max(2 * len(pairs & t) / (len(pairs) + len(t)), len(inner & t) / max(1, len(t) - 2)), t) for t in self.templates[self.families[best]]), key=lambda x: x[0])
+        return (self.families[best], float(p[best]), float(min(similar, 1.0)), template) if similar >= LEAST_SIMILAR else None
+
+    def all_confirmed(self, words: list[str]) -> list[tuple[str, float, float, set]]:
+        """Every family confirmed by a notice, each found in what the ones before leave over."""
+        out: dict[str, tuple[str, float, float, set]] = {}
+        while words and (found := self.confirmed(words)):
+            out.setdefault(found[0], found)
+            rest = without(words, found[3])
+            if len(rest) == len(words):
+                break
+            words = rest
+        return list(out.values())
+
+    def matches(self, lines: list[str]) -> list[tuple[int, str, float, float]]:
+        """``line, family, probability, similarity`` of the notices in lines and in groups of lines, in order."""
+        words = [words_of(line) for line in lines]
+        taken = [(i, i, m) for i, w in enumerate(words) for m in self.all_confirmed(w)]
+        known = set().union(*(t for templates in self.templates.values() for t in templates))
+        # lines where a pair of a notice is, or ends or starts by the pair over their line end
+        joint = [bool(a and b) and (a[-1], b[0]) in known for a, b in zip(words, words[1:], strict=False)]
+        hit = [any(x in known for x in zip(w, w[1:], strict=False)) for w in words]
+        hit = [h or (i > 0 and joint[i - 1]) or (i < len(joint) and joint[i]) for i, h in enumerate(hit)]
+        groups = []
+        for i in range(len(lines)):
+            if not hit[i]:
+                continue
+            group = list(words[i])
+            for j in range(i + 1, len(lines)):
+                if not lines[j].strip() or len(group) > MOST_WORDS:
+                    break
+                group += words[j]
+                if hit[j] and (found := self.all_confirmed(group)):
+                    groups.extend((i, j, m) for m in found)
+                    # a line that begins a notice may look like another family's
+                    names, best = {m[0] for m in found}, max(m[2] for m in found)
+                    taken = [t for t in taken if not i <= t[0] <= j or t[2][0] in names or t[2][2] >= best]
+        for i, j, m in sorted(groups, key=lambda g: (-g[2][2], g[1] - g[0], -g[2][1], g[0])):
+            shared = [(min(j, y) - max(i, x) + 1, n) for x, y, n in taken]
+            if all(k <= (-1 if n[0] == m[0] else 1) for k, n in shared):
+                rest = [w for line in words[i : j + 1] for w in line]
+                for k, n in shared:
+                    rest = without(rest, n[3]) if k == 1 else rest
+                # what another notice on the same line has can't confirm this one
+                if m[0] in {n[0] for n in self.all_confirmed(rest)}:
+                    taken.append((i, j, m))
+        return sorted((i, *m[:3]) for i, _, m in taken)
 
 
 def train(unknown: list[str], seed: int = 11, variants: int = 40, steps: int = 150) -> Model:
@@ -229,7 +288,7 @@ def fit(docs: DataFrame, sample_rows: int = 300) -> Model:
 
 
 def scan(docs: DataFrame, model: Model, name: str = "matches") -> DataFrame:
-    """``docs`` with ``n_paragraphs`` and the confirmed licence paragraphs of each whole text, by line number from 0.
+    """``docs`` with ``n_paragraphs`` and the confirmed licence notices of each whole text, by the number of their first line from 0.
 
     Columns of those names are replaced, the others pass through.
     """
@@ -246,8 +305,7 @@ def scan(docs: DataFrame, model: Model, name: str = "matches") -> DataFrame:
                 for text in part.column("text").to_pylist():
                     paragraphs = text.split("\n") if text else []
                     counts.append(sum(1 for p in paragraphs if p.strip()))
-                    found = ((i, local.classify(p)) for i, p in enumerate(paragraphs))
-                    matches.append([{"paragraph": i, "family": m[0], "probability": m[1], "similarity": m[2]} for i, m in found if m])
+                    matches.append([dict(zip(("paragraph", "family", "probability", "similarity"), m, strict=True)) for m in local.matches(paragraphs)])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int32()), pa.array(matches, kind)], [*part.schema.names, "n_paragraphs", name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

@@ -15,6 +15,19 @@ def test_variants_and_near_misses():
         assert model.classify(paragraph) is None
 
 
+def test_wrapped_notices_and_two_families_in_a_line():
+    model = lic.train(PLAIN * 20)
+    gpl = ["# This program is free software: you can redistribute it and/or modify", "# it under the terms of the GNU General Public License as published by", "# the Free Software Foundation, either version 3 of the License, or", "# (at your option) any later version."]
+    assert [m[:2] for m in model.matches(["import os", "", *gpl, "", "nothing here"])] == [(2, "gpl-3.0")]
+    for family, notices in lic.NOTICES.items():
+        for notice in notices:
+            words = notice.split()
+            lines = [" ".join(words[i : i + 9]) for i in range(0, len(words), 9)]
+            assert [m[1] for m in model.matches(lines)] == [family], (lines, model.matches(lines))
+    both = model.matches(["Released under the MIT License. Licensed under the Apache License, Version 2.0."])
+    assert sorted(m[1] for m in both) == ["apache-2.0", "mit"]
+
+
 def test_scan_of_odd_tables(spark):
     model = lic.train(PLAIN * 20)
     docs = [(1, None, "x"), (2, "", "x"), (None, "Released under the MIT License.", "x"), (3, "a\n\nLicensed under CC BY-NC 4.0.\nb\nLicensed under CC BY-SA 4.0.", "x"), (3, "a", "x"), (3, "a", "x")]
