@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import materialise
+from .session import discard, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -34,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.select("u", "v").where("u <> v").distinct())
     before = _state(edges)
     while before[0]:
-        edges = materialise(_small_star(_large_star(edges)))
+        last, edges = edges, materialise(_small_star(_large_star(edges)))
+        discard(last)
         after = _state(edges)
         if after == before:
             break

@@ -1,18 +1,21 @@
 """Document fingerprints by I-Match: terms within a document-frequency band, hashed over randomised lexicon subsets.
 
-The lexicon holds the terms (A-Z lower-cased words) that at least ``LEAST_SHARE`` and at most ``MOST_SHARE`` of the
-documents contain. A document counts once for each of its terms, so the lexicon can't have more terms than the mean
+Terms are words with A-Z lower-cased and without ASCII punctuation. The lexicon holds those that at least
+``LEAST_SHARE`` and at most ``MOST_SHARE`` of the documents contain. A document counts once for each of its terms, so the lexicon can't have more terms than the mean
 number of distinct terms divided by ``LEAST_SHARE``, however many documents there are; that bounds what is broadcast.
 A term that is frequent in all is frequent in at least one part, so a first pass marks every part's frequent terms in
 a bitmap of fixed size, and a second one counts exactly the terms that hit it.
 
 A random subset holds a share of 2 ** -level of the lexicon; ``SUBSETS`` subsets are nested over the levels. A
-document uses three levels, chosen by its number of terms so that subsets hold about one, a half and a quarter of them. Its
-fingerprint is the number of its lowest level and, level after level, four hex digits for each subset: the hash of its
-sorted terms, or 0000 where it has none. A document with fewer than ``LEAST_TERMS`` terms of the lexicon uses all its
-terms. Likeness is the share of equal hashes among the subsets of common levels that either document has terms in.
-
-Null text: empty, with the fingerprint ``-``; it is like another empty text (1.0) and nothing else (0.0).
+document uses three levels, chosen by its number of band terms so that subsets hold about one, a half and a quarter of
+them. Its fingerprint is the number of its lowest level, the 64-bit hash of all its sorted band terms (which finds equal
+sets), and, level after level, eight hex digits for each subset: the hash of its sorted terms, or zeros where it has
+none. Likeness is the share of equal hashes among the subsets of common levels that either document has terms in.
+
+Defined cases. Null, empty or without terms: the fingerprint ``-``, like another such text (1.0) and nothing else (0.0). A text
+without a term of the band, which I-Match can't tell from others: ``--`` and the hash of all its terms; like one with the same
+terms (1.0) and nothing else. Repeated rows have a row and a fingerprint each. Texts of any length are taken whole; a
+term counts once a text, so ties within a text don't matter. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,23 +25,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import materialise, ship
-from .text import Words, mix, slices
+from .session import ship, with_fields
+from .text import NOT_WORD, Words, mix, slices
 
 LEAST_SHARE, MOST_SHARE = 0.001, 0.2
-SUBSETS, LEVELS, LEAST_TERMS = 24, 3, 8
+SUBSETS, LEVELS = 24, 3
 SEEDS = mix(np.arange(1, SUBSETS + 1, dtype=np.uint64))
-EMPTY = "-"
+EMPTY, OUTSIDE = "-", "--"
+#: Hashes of terms by subsets that are held at once.
+HELD_HASHES = 1 << 20
 MARKS = 1 << 24
 
 
 def _terms(column: pa.Array) -> list[np.ndarray]:
     """Sorted distinct term hashes of each text."""
-    words = Words(column, lower=True)
+    words = Words(column, lower=True, separator=NOT_WORD)
     hashes = words.hashes()
     return [np.unique(hashes[a:b]) for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)]
 
@@ -107,38 +112,47 @@ def lexicon(docs: DataFrame) -> np.ndarray:
     return np.sort(kept.select("term").toArrow().column("term").to_numpy().view(np.uint64))
 
 
+def _hash_of_set(terms: np.ndarray) -> str:
+    rank = np.arange(len(terms), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return f"{int(mix(mix(terms + rank).sum(dtype=np.uint64)[None])[0]):016x}"
+
+
 def fingerprint(terms: np.ndarray, known: np.ndarray) -> str:
     """``terms``: sorted distinct term hashes of a text; ``known``: the lexicon, sorted."""
     if not len(terms):
         return EMPTY
-    if len(known):
-        at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
-        inside = terms[known[at] == terms]
-        if len(inside) >= LEAST_TERMS:
-            terms = inside
-    lowest = len(terms).bit_length() - 1
-    drawn = mix(terms[None, :] ^ SEEDS[:, None])
+    at = np.minimum(np.searchsorted(known, terms), max(0, len(known) - 1))
+    inside = terms[known[at] == terms] if len(known) else terms[:0]
+    if not len(inside):
+        return OUTSIDE + _hash_of_set(terms)
+    lowest = len(inside).bit_length() - 1
+    found = []
+    step = max(1, HELD_HASHES // len(inside))
+    for at in range(0, SUBSETS, step):
+        drawn = mix(inside[None, :] ^ SEEDS[at : at + step, None])
+        subset, term = np.nonzero((drawn & np.uint64((1 << lowest) - 1)) == 0)
+        found.append((subset + at, inside[term], drawn[subset, term]))
+    subset, term, drawn = (np.concatenate(x) for x in zip(*found, strict=True))
     out = np.zeros((LEVELS, SUBSETS), np.uint64)
-    subset, term = np.nonzero((drawn & np.uint64((1 << lowest) - 1)) == 0)
     for level in range(LEVELS):
-        inside = (drawn[subset, term] & np.uint64((1 << (lowest + level)) - 1)) == 0
-        subset, term = subset[inside], term[inside]
+        kept = (drawn & np.uint64((1 << (lowest + level)) - 1)) == 0
+        subset, term, drawn = subset[kept], term[kept], drawn[kept]
         first = np.searchsorted(subset, np.arange(SUBSETS + 1))
         rank = np.arange(len(subset)) - first[subset]
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(terms[term] + rank.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))])
-        value = mix(total[first[1:]] - total[first[:-1]]) % np.uint64(65535) + np.uint64(1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(term + rank.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))])
+        value = mix(total[first[1:]] - total[first[:-1]]) % np.uint64(0xFFFFFFFF) + np.uint64(1)
         out[level] = np.where(first[1:] > first[:-1], value, 0)
-    return f"{lowest:02d}" + out.astype(">u2").tobytes().hex()
+    return f"{lowest:02d}{_hash_of_set(inside)}" + out.astype(">u4").tobytes().hex()
 
 
 def likeness(a: str, b: str) -> float:
-    if EMPTY in (a, b):
+    if a == b or a.startswith("-") or b.startswith("-"):
         return float(a == b)
     low_a, low_b = int(a[:2]), int(b[:2])
     low, high = max(low_a, low_b), min(low_a, low_b) + LEVELS
     if low >= high:
         return 0.0
-    x, y = (np.frombuffer(bytes.fromhex(s[2:]), ">u2").reshape(LEVELS, SUBSETS)[low - l : high - l] for s, l in ((a, low_a), (b, low_b)))
+    x, y = (np.frombuffer(bytes.fromhex(s[18:]), ">u4").reshape(LEVELS, SUBSETS)[low - l : high - l] for s, l in ((a, low_a), (b, low_b)))
     seen = (x > 0) | (y > 0)
     return float(((x == y) & seen).sum() / seen.sum()) if seen.any() else 0.0
 
@@ -157,8 +171,7 @@ def fingerprints(docs: DataFrame, known: np.ndarray | None = None, name: str = "
                 prints = [fingerprint(t, local) for t in _terms(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(prints, pa.string())], [*part.schema.names, name])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, `{name}` string")
+    return docs.mapInArrow(run, with_fields(docs, f"`{name}` string"))
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -175,58 +188,64 @@ def _compare(ids: list, texts: list[str], followers: list[str], known: np.ndarra
     return [ids, [len(t) for t in texts], shas, own, new, [likeness(a, b) for a, b in zip(own, new, strict=True)], [likeness(a, b) for a, b in zip(own, after, strict=True)]]
 
 
-def edited_likeness(docs: DataFrame, known: np.ndarray | None = None) -> DataFrame:
+#: Ranges of rows with a null doc_id, by a hash of the text.
+NULL_RANGES = 16
+
+
+def in_overlapping_ranges(docs: DataFrame, ranges: int) -> DataFrame:
+    """``range, copy, doc_id, h, text``: rows by descending doc_id in ranges, each closed by a copy of the next range's first row.
+
+    So a row's follower is in its own range, and texts move once. The cuts between ranges are approximate quantiles of the ids;
+    only they and the first key of each range pass through the driver. Rows without an id come last, in the order of ``h``, a
+    hash of the text. Each range is a partition, sorted.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("h", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0))
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or 0.5, max(10_000, 10 * ranges)).alias("c")).first().c or []
+    inner = sorted({float(c) for c in (cuts if isinstance(cuts, list) else [cuts])}) or [0.0]
+    bucket = Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol="place", outputCol="bucket")
+    docs = bucket.transform(docs.withColumn("place", F.coalesce("doc_id", F.lit(0)).cast("double")))
+    of_id, of_null = len(inner) - F.col("bucket"), len(inner) + 1 + F.shiftright("h", 60) + NULL_RANGES // 2
+    docs = docs.select(F.when(F.col("doc_id").isNull(), of_null).otherwise(of_id).cast("int").alias("range"), "doc_id", "h", "text")
+    firsts = docs.groupBy("range").agg(F.max("doc_id").alias("first_id"), F.min("h").alias("first_h")).orderBy("range").collect()
+    if not firsts:
+        return docs.withColumn("copy", F.lit(False))
+    dense = [(f["range"], at, (at - 1) % len(firsts), f.first_id, f.first_h) for at, f in enumerate(firsts)]
+    dense = docs.sparkSession.createDataFrame(dense, "range int, own int, before int, first_id long, first_h long")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))
+    own, copy = F.struct(F.col("own").alias("range"), F.lit(False).alias("copy")), F.struct(F.col("before").alias("range"), F.lit(True).alias("copy"))
+    placed = docs.join(F.broadcast(dense), "range").select(F.explode(F.when(is_first, F.array(own, copy)).otherwise(F.array(own))).alias("to"), "doc_id", "h", "text")
+    placed = placed.select("to.range", "to.copy", "doc_id", "h", "text").repartitionById(len(firsts), F.col("range"))
+    return placed.sortWithinPartitions("copy", F.col("doc_id").desc_nulls_last(), "h", "text")
+
+
+def edited_likeness(docs: DataFrame, known: np.ndarray | None = None, ranges: int | None = None) -> DataFrame:
     """RESULT for each row: its fingerprint against that of its edited text and of the next document.
 
-    The next document has the next smaller doc_id (rows of one doc_id: by text; null doc_ids: last), the last row's is
-    the first row. The edited text has the last floor(n_chars / 2) code points replaced by as many first ones of the next
-    document. The texts move once, into sorted ranges; only each range's first and last row are looked at again.
+    The next document has the next smaller doc_id (rows of one doc_id: by text; null doc_ids: last, by a hash of the text), the
+    last row's is the first row. The edited text has the last floor(n_chars / 2) code points replaced by as many first ones of
+    the next document. Other columns are ignored. ``ranges``: how many partitions the rows are dealt to, by default the
+    session's number for shuffles.
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     shared = spark.sparkContext.broadcast((lexicon(docs) if known is None else known).tobytes())
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     names = [x.split()[0] for x in RESULT.split(", ")]
 
-    def in_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local = np.frombuffer(shared.value, np.uint64)
-
-        def end(is_tail: int, doc_id, text: str) -> pa.RecordBatch:
-            columns = [pa.array([doc_id], pa.int64()), *(pa.nulls(1, k) for k in kinds[1:])]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([part], pa.int32()), pa.array([is_tail], pa.int32()), pa.array([text], pa.string())], [*names, "range", "tail", "text"])
-
-        last = None
+        ids, texts, copies = [], [], []
         for batch in batches:
             for piece in slices(batch):
-                ids, texts = piece.column("doc_id").to_pylist(), piece.column("text").to_pylist()
-                if last is None:
-                    yield end(0, ids[0], texts[0])
-                else:
-                    ids.insert(0, last[0])
-                    texts.insert(0, last[1])
-                last = (ids[-1], texts[-1])
-                if len(ids) > 1:
-                    columns = [pa.array(c, k) for c, k in zip(_compare(ids[:-1], texts[:-1], texts[1:], local), kinds, strict=True)]
-                    n = len(ids) - 1
-                    yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], [*names, "range", "tail", "text"])
-        if last is not None:
-            yield end(1, *last)
-
-    def at_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        local = np.frombuffer(shared.value, np.uint64)
-        for batch in batches:
-            columns = _compare(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "follower")), local)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    ranged = docs.repartitionByRange(order[0]).sortWithinPartitions(*order).mapInArrow(in_ranges, RESULT + ", range int, tail int, text string")
-    ranged = materialise(ranged)
-    everything = Window.orderBy("range", "tail").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = ranged.where("tail is not null").select("doc_id", "range", "tail", "text")  # two rows for each range
-    ends = ends.withColumn("follower", F.coalesce(F.lead("text").over(Window.orderBy("range", "tail")), F.first("text").over(everything)))
-    return ranged.where("tail is null").select(*names).union(ends.where("tail = 1").select("doc_id", "text", "follower").mapInArrow(at_ends, RESULT))
+                # the row before this piece waits for its follower
+                ids, texts, copies = ([*old[-1:], *piece.column(c).to_pylist()] for old, c in ((ids, "doc_id"), (texts, "text"), (copies, "copy")))
+                own = copies[:-1].count(False)
+                if own:
+                    columns = _compare(ids[:own], texts[:own], texts[1 : own + 1], local)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return in_overlapping_ranges(docs, ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))).select("doc_id", "text", "copy").mapInArrow(compare, RESULT)
 
 
 def op2_fingerprints(spark, sf_dir: str) -> DataFrame:

@@ -6,22 +6,19 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 PACKAGE = Path(__file__).resolve().parents[1]
 
 
-#: Rows of an Arrow batch: texts may be long, and a batch is held on both sides of a Python worker.
-ARROW_ROWS = 1000
-
-
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once per application (what ``--py-files`` does), and bound Arrow batches."""
+    """Send the package to the executors once per application (what ``--py-files`` does)."""
     context = spark.sparkContext
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     if getattr(context, "_linkweave_shipped", False):
         return
     archive = os.path.join(tempfile.mkdtemp(prefix="linkweave-"), f"{PACKAGE.name}.zip")
@@ -33,9 +30,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), one of the driver's own."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a local master gets one of its own; a cluster is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = getattr(spark.sparkContext, "_linkweave_folder", None)
         if folder is None:
             folder = tempfile.mkdtemp(prefix="spark-")
@@ -43,12 +42,62 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors.
+def _folders(spark: SparkSession) -> list[str]:
+    """Where tables go: the application's folder, and those of the ``scratch`` blocks that are open."""
+    context = spark.sparkContext
+    if not hasattr(context, "_linkweave_folders"):
+        context._linkweave_folders = [f"{shared_folder(spark)}/linkweave-{context.applicationId}"]
+    return context._linkweave_folders
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialised inside are deleted at the end: what is read of them has to be written elsewhere by then."""
+    folders = _folders(spark)
+    folders.append(f"{folders[0]}/{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        _delete(spark, folders.pop())
+
 
-    All tables of an application lie in one folder there, to be removed when it has ended.
-    """
+def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/linkweave-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = path or new_path(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._linkweave_path = path
+    return out
+
+
+def new_path(spark: SparkSession) -> str:
+    """A path for a table; taken before a ``scratch`` block, the table outlives the block."""
+    return f"{_folders(spark)[-1]}/{uuid.uuid4().hex}"
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that ``materialise`` gave, when nothing will read it again."""
+    _delete(df.sparkSession, df._linkweave_path)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until no column has it, without regard to case: for columns that exist only in between."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def with_fields(df: DataFrame, ddl: str) -> T.StructType:
+    """The schema of ``df`` and fields after it."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])

@@ -121,9 +121,3 @@ class Words:
                 power = join_hashes(power[:-size], power[size:])
                 size *= 2
         return out[: len(hashes) - width + 1]
-
-
-def hexdigests(values: list[bytes]) -> list[str]:
-    import hashlib
-
-    return [hashlib.sha256(v).hexdigest() for v in values]
