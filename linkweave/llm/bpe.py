@@ -20,16 +20,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .session import ship
+from .session import map_batches, ship
+from .text import slices
 
 #: Fixed value: the byte-level split pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NO_RANK = 1 << 62
 CACHED_PIECES = 300_000
 LONGEST_CACHED = 64
-PART_ROWS = 256
+PART_BYTES = 1 << 20
 
 
 def vocabulary_path() -> str:
@@ -168,25 +168,23 @@ def read(path: str) -> str:
         return f.read()
 
 
-def _mapped(df: DataFrame, source: str, new: list[tuple[str, T.DataType]], each) -> DataFrame:
+def _mapped(df: DataFrame, source: str, new: list[tuple[str, str]], each) -> DataFrame:
     """``df`` with columns computed from another in batches of bounded size; ``each()`` gives value -> values."""
     names = [n for n, _ in new]
     if source in names:
         raise ValueError("the new columns need names of their own")
     df = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in names))
-    schema = T.StructType([*df.schema.fields, *(T.StructField(n, k) for n, k in new)])
-    kinds = [pa.binary() if isinstance(k, T.BinaryType) else pa.string() for _, k in new]
+    kinds = [pa.binary() if k == "binary" else pa.string() for _, k in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = each()
         for batch in batches:
-            for at in range(0, batch.num_rows, PART_ROWS):
-                part = batch.slice(at, PART_ROWS)
+            for part in slices(batch, source, PART_BYTES):
                 values = [apply(x) for x in part.column(source).to_pylist()]
                 columns = [pa.array([v[i] for v in values], k) for i, k in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *names])
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, ", ".join(f"`{n}` {k}" for n, k in new))
 
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
@@ -207,7 +205,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
 
         return both
 
-    return _mapped(docs, text, [(ids, T.BinaryType()), *([(decoded, T.StringType())] if decoded else [])], each)
+    return _mapped(docs, text, [(ids, "binary"), *([(decoded, "string")] if decoded else [])], each)
 
 
 def decode(tokens: DataFrame, path: str | None = None, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -220,7 +218,7 @@ def decode(tokens: DataFrame, path: str | None = None, ids: str = "ids", decoded
         c = codec(path, content.value)
         return lambda x: (c.decode(x or b""),)
 
-    return _mapped(tokens, ids, [(decoded, T.StringType())], each)
+    return _mapped(tokens, ids, [(decoded, "string")], each)
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import ship, with_fields
+from .session import map_batches, ship
 from .text import NOT_WORD, Words, mix, slices
 
 LEAST_SHARE, MOST_SHARE = 0.001, 0.2
@@ -171,7 +171,7 @@ def fingerprints(docs: DataFrame, known: np.ndarray | None = None, name: str = "
                 prints = [fingerprint(t, local) for t in _terms(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(prints, pa.string())], [*part.schema.names, name])
 
-    return docs.mapInArrow(run, with_fields(docs, f"`{name}` string"))
+    return map_batches(docs, run, f"`{name}` string")
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

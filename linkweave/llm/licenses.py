@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import ship, with_fields
+from .session import map_batches, ship
 from .text import slices
 
 #: Short public notices by which works name their licence.
@@ -308,7 +308,7 @@ def scan(docs: DataFrame, model: Model, name: str = "matches") -> DataFrame:
                     matches.append([dict(zip(("paragraph", "family", "probability", "similarity"), m, strict=True)) for m in local.matches(paragraphs)])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int32()), pa.array(matches, kind)], [*part.schema.names, "n_paragraphs", name])
 
-    return docs.mapInArrow(run, with_fields(docs, f"n_paragraphs int, `{name}` {MATCH}"))
+    return map_batches(docs, run, f"n_paragraphs int, `{name}` {MATCH}")
 
 
 def op3_licenses(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .session import materialise, ship
-from .sketch import estimated_repeated, repeated_bitmap
+from .sketch import sketch as count_min
 from .text import Words, join_hashes, mix, slices
 
 WIDTH = 5
@@ -187,13 +187,11 @@ def _possible_pairs(left: DataFrame, sets: DataFrame) -> DataFrame:
     """
     wanted = sets.join(left.select("doc_id").union(left.select("centre")).distinct(), "doc_id", "left_semi")
     shingles = wanted.agg(F.sum(F.octet_length("shingles")) / 8).first()[0] or 0
-    bitmap, width = repeated_bitmap(wanted.select("shingles"), int(shingles), _shingles)
-    repeated = sets.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+    repeated = sets.sparkSession.sparkContext.broadcast(count_min(wanted.select("shingles"), int(shingles), _shingles))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        local = np.frombuffer(repeated.value, np.uint8)
         for batch in batches:
-            most = [int(np.count_nonzero(estimated_repeated(np.frombuffer(s.as_buffer(), "<u8").astype(np.uint64), local, width))) for s in batch.column("shingles")]
+            most = [int(np.count_nonzero(repeated.value.repeated(np.frombuffer(s.as_buffer(), "<u8").astype(np.uint64)))) for s in batch.column("shingles")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(most, pa.int64())], ["doc_id", "shared"])
 
     counts = wanted.mapInArrow(count, "doc_id long, shared long")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import ship, with_fields
+from .session import map_batches, ship
 from .text import Words, join_hashes, slices
 from .training import held_out, labelled_sample
 
@@ -180,7 +180,7 @@ def score(docs: DataFrame, model: Trees, name: str = "score") -> DataFrame:
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.scores(statistics(part.column("text"))))], [*part.schema.names, name])
 
-    return docs.mapInArrow(run, with_fields(docs, f"`{name}` double"))
+    return map_batches(docs, run, f"`{name}` double")
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

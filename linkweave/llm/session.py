@@ -98,6 +98,12 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def with_fields(df: DataFrame, ddl: str) -> T.StructType:
-    """The schema of ``df`` and fields after it."""
-    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
+def map_batches(df: DataFrame, run, ddl: str) -> DataFrame:
+    """``df.mapInArrow``: ``run`` gives the columns it got and those of ``ddl`` after them. Any column names and types will do."""
+    # mapInArrow looks its columns up by name, where a point means a field
+    pointed = [c for c in df.columns if "." in c]
+    other = dict(zip(pointed, unused(df, *(f"column_{c.replace('.', '_')}" for c in pointed)), strict=True))
+    inner = [other.get(c, c) for c in df.columns]
+    new = T.StructType.fromDDL(ddl)
+    fields = [T.StructField(n, f.dataType, f.nullable) for n, f in zip(inner, df.schema.fields, strict=True)]
+    return df.toDF(*inner).mapInArrow(run, T.StructType([*fields, *new.fields])).toDF(*df.columns, *new.names)

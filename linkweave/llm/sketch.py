@@ -1,13 +1,15 @@
-"""A count-min sketch that tells which 64-bit keys may occur twice.
+"""A count-min sketch that tells which 64-bit keys may occur twice, and which may be hot.
 
-Each task adds its keys to sparse partial sketches of two rows; those are merged by slices of cells, and only whether a
-cell reached two is kept: a bitmap. Its width follows the expected number of keys up to ``MOST_CELLS`` a row (64 MiB in
-all), which bounds what is broadcast. A fuller sketch calls more keys repeated, never fewer.
+Each task adds its keys to sparse partial sketches of two rows, cells with their counts; those are merged by slices of
+cells. Two bitmaps are kept of the merged counts: which cells reached two, and which groups of eight cells have one that
+reached ``HOT``. Their width follows the expected number of keys up to ``MOST_CELLS`` a row (68 MiB in all), which bounds
+what is broadcast. Counts are overestimated, never under: a fuller sketch calls more keys repeated or hot, never fewer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,25 +20,53 @@ from .text import mix
 SEEDS = (np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179))
 SLICE = 1 << 18
 LEAST_CELLS, MOST_CELLS = 1 << 18, 1 << 28
+#: A key that may occur so often is hot: what is grouped by key needs a finer key for it.
+HOT = 1024
 #: Keys that a task holds before it hands a partial sketch on.
 HELD_KEYS = 1 << 20
+PARTIAL, MERGED = "slice long, cells binary, counts binary", "slice long, bits binary, hot binary"
 
 
 def cells(keys: np.ndarray, row: int, width: int) -> np.ndarray:
     return (mix(keys ^ SEEDS[row]) & np.uint64(width - 1)).astype(np.int64)
 
 
+def _bit(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+@dataclass
+class Sketch:
+    width: int
+    bits: np.ndarray  # a bit for each cell of both rows
+    tops: np.ndarray  # a bit for each eight cells of both rows
+
+    def repeated(self, keys: np.ndarray) -> np.ndarray:
+        """False only for keys that occur once."""
+        out = np.ones(len(keys), bool)
+        for row in range(len(SEEDS)):
+            out &= _bit(self.bits, cells(keys, row, self.width) + row * self.width)
+        return out
+
+    def hot(self, keys: np.ndarray) -> np.ndarray:
+        """False only for keys that occur less than HOT times."""
+        out = np.ones(len(keys), bool)
+        for row in range(len(SEEDS)):
+            out &= _bit(self.tops, (cells(keys, row, self.width) + row * self.width) >> 3)
+        return out
+
+
 def partial_sketches(width: int, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]):
-    """Rows (slice, cells): cells of a slice as 32-bit integers, twice where the count is two or more."""
+    """Rows of PARTIAL: cells of a slice as 32-bit integers, and their counts as 16-bit ones, up to the largest of those."""
 
     def flush(keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key = np.concatenate(keys)
         for row in range(len(SEEDS)):
             cell, count = np.unique(cells(key, row, width), return_counts=True)
-            cell = np.repeat(cell, np.minimum(count, 2)) + row * width
+            cell += row * width
             cut = np.flatnonzero(np.diff(cell // SLICE, prepend=-1))
-            parts = np.split((cell % SLICE).astype("<u4"), cut[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(cell[cut] // SLICE, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "cells"])
+            parts = np.split((cell % SLICE).astype("<u4"), cut[1:]), np.split(np.minimum(count, 65535).astype("<u2"), cut[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(cell[cut] // SLICE, pa.int64()), *(pa.array([x.tobytes() for x in p], pa.binary()) for p in parts)], ["slice", "cells", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -53,45 +83,37 @@ def partial_sketches(width: int, keys_of: Callable[[pa.RecordBatch], Iterator[np
     return run
 
 
-def merge_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial sketches, ordered by slice -> (slice, bits) with a bit for each cell that reached two."""
+def merge_sketches(hot: int):
+    """Partial sketches, ordered by slice -> MERGED."""
+
+    def merged(at: int, count: np.ndarray) -> pa.RecordBatch:
+        packed = (np.packbits(x, bitorder="little").tobytes() for x in (count >= 2, count.reshape(-1, 8).max(axis=1) >= hot))
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), *(pa.array([x], pa.binary()) for x in packed)], ["slice", "bits", "hot"])
 
-    def bits(at: int, count: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.packbits(count >= 2, bitorder="little").tobytes()], pa.binary())], ["slice", "bits"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, count = None, np.zeros(SLICE, np.uint32)
+        for batch in batches:
+            for at, cell, more in zip(batch.column("slice").to_pylist(), batch.column("cells"), batch.column("counts"), strict=True):
+                if at != current:
+                    if current is not None:
+                        yield merged(current, count)
+                    current = at
+                    count[:] = 0
+                cell = np.frombuffer(cell.as_buffer(), "<u4")  # a partial sketch has a cell once
+                count[cell] = np.minimum(count[cell] + np.frombuffer(more.as_buffer(), "<u2"), max(2, hot))
+        if current is not None:
+            yield merged(current, count)
 
-    current, count = None, np.zeros(SLICE, np.uint8)
-    for batch in batches:
-        for at, content in zip(batch.column("slice").to_pylist(), batch.column("cells"), strict=True):
-            if at != current:
-                if current is not None:
-                    yield bits(current, count)
-                current = at
-                count[:] = 0
-            cell, twice = np.unique(np.frombuffer(content.as_buffer(), "<u4"), return_counts=True)
-            count[cell] = np.minimum(count[cell] + np.minimum(twice, 2).astype(np.uint8), 2)
-    if current is not None:
-        yield bits(current, count)
+    return run
 
 
-def repeated_bitmap(rows: DataFrame, expected_keys: int, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> tuple[np.ndarray, int]:
-    """The merged sketch of the keys of all rows: packed bits of ``width`` cells for each row, and ``width``."""
+def sketch(rows: DataFrame, expected_keys: int, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> Sketch:
+    """The merged sketch of the keys of all rows."""
     width = min(MOST_CELLS, max(LEAST_CELLS, 1 << (4 * int(expected_keys)).bit_length()))
-    merged = (
-        rows.mapInArrow(partial_sketches(width, keys_of), "slice long, cells binary")
-        .repartition("slice")
-        .sortWithinPartitions("slice")
-        .mapInArrow(merge_sketches, "slice long, bits binary")
-    )
-    bitmap = np.zeros(len(SEEDS) * width // 8, np.uint8)
-    for row in merged.toLocalIterator():
-        at = row.slice * SLICE // 8
-        bitmap[at : at + SLICE // 8] = np.frombuffer(row.bits, np.uint8)
-    return bitmap, width
-
-
-def estimated_repeated(keys: np.ndarray, bitmap: np.ndarray, width: int) -> np.ndarray:
-    out = np.ones(len(keys), bool)
-    for row in range(len(SEEDS)):
-        cell = cells(keys, row, width) + row * width
-        out &= (bitmap[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+    slices = rows.mapInArrow(partial_sketches(width, keys_of), PARTIAL).repartition("slice").sortWithinPartitions("slice").mapInArrow(merge_sketches(HOT), MERGED)
+    out = Sketch(width, np.zeros(len(SEEDS) * width // 8, np.uint8), np.zeros(len(SEEDS) * width // 64, np.uint8))
+    for row in slices.toLocalIterator():
+        for part, target, cells_a_byte in ((row.bits, out.bits, 8), (row.hot, out.tops, 64)):
+            at = row.slice * SLICE // cells_a_byte
+            target[at : at + SLICE // cells_a_byte] = np.frombuffer(part, np.uint8)
     return out

@@ -5,10 +5,13 @@ neighbouring windows mostly share one, so counting runs of anchors instead of wi
 with about a twentieth of the keys.
 
 1. Each task adds its anchors to count-min sketches, which are merged (sketch.py). They overestimate: no repeated anchor
-   is missed, and a fuller sketch lets more windows pass, never fewer.
-2. Windows whose anchor is estimated repeated are grouped exactly by (anchor, window hash), 128 bits together. Each task
-   first settles what it can see itself, so a passage arrives once per task and not once per copy. The others stream in
-   order of anchor and doc_id; a window that was seen with a smaller doc_id is a repeat.
+   is missed, and a fuller sketch lets more windows pass, never fewer. Its size is bounded; from about 10^8 anchors (10 GB of
+   text) on it lets more and more windows through, up to all of them, eight bytes each: linear, and still whole.
+2. Windows whose anchor is estimated repeated are grouped exactly, by (anchor, window hash), 128 bits together. Each task
+   first settles what it can see itself, so a passage arrives once per task and not once per copy. Windows of an anchor
+   that is estimated hot (a phrase of 16 words that very many documents have) are dealt by window instead of by anchor; all
+   tasks share the sketch, so equal windows meet. The others stream in order of anchor and doc_id, and hold less than
+   HOT runs of an anchor; a window that was seen with a smaller doc_id is a repeat.
 """
 
 from __future__ import annotations
@@ -20,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import ship
-from .sketch import estimated_repeated, repeated_bitmap
-from .text import Words, mix, slices
+from .session import map_batches, ship, unused
+from .sketch import Sketch, sketch
+from .text import Words, join_hashes, mix, slices
 
 WINDOW, GRAM = 50, 16
 #: Windows that a task holds before it hands them on.
@@ -58,12 +61,15 @@ class Windows:
 
     def runs(self) -> np.ndarray:
         """Where a new document or anchor begins, or windows are skipped."""
-        return run_starts(self.doc, self.anchor, self.start)
+        return run_starts(self.start, self.doc, self.anchor)
 
 
-def run_starts(doc: np.ndarray, anchor: np.ndarray, start: np.ndarray) -> np.ndarray:
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)
+def run_starts(start: np.ndarray, *same: np.ndarray) -> np.ndarray:
+    """Where ``start`` doesn't go on by one, or one of the other arrays changes."""
+    new = np.ones(len(start), bool)
+    new[1:] = start[1:] != start[:-1] + 1
+    for x in same:
+        new[1:] |= x[1:] != x[:-1]
     return np.flatnonzero(new)
 
 
@@ -73,20 +79,25 @@ def _anchors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield windows.anchor[windows.runs()]
 
 
-OPEN = "key long, doc_id long, start int, windows int, hashes binary"
+#: ``digest`` tells rows of one doc_id and different texts apart.
+OPEN = "key long, doc_id long, digest long, start int, windows int, hashes binary"
 
 
-def _rows(key: np.ndarray, doc: np.ndarray, start: np.ndarray, windows: np.ndarray, hashes: list) -> pa.RecordBatch:
-    columns = [pa.array(key.view(np.int64)), pa.array(doc, pa.int64()), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(hashes, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "start", "windows", "hashes"])
+def _rows(key: np.ndarray, doc: np.ndarray, digest: np.ndarray, start: np.ndarray, windows: np.ndarray, hashes: list) -> pa.RecordBatch:
+    columns = [pa.array(key.view(np.int64)), pa.array(doc, pa.int64()), pa.array(digest, pa.int64()), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(hashes, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "digest", "start", "windows", "hashes"])
 
 
-def _spans(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of window starts within a document: (doc, first start, number of windows)."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    at = run_starts(doc, np.zeros(len(doc), np.uint64), start)
-    return doc[at], start[at], np.diff(np.append(at, len(doc)))
+def _spans(doc: np.ndarray, digest: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of window starts within a row: (doc, digest, first start, number of windows)."""
+    order = np.lexsort((start, digest, doc))
+    doc, digest, start = doc[order], digest[order], start[order]
+    if len(doc):  # rows equal in both have the same windows
+        one = np.ones(len(doc), bool)
+        one[1:] = (doc[1:] != doc[:-1]) | (digest[1:] != digest[:-1]) | (start[1:] != start[:-1])
+        doc, digest, start = doc[one], digest[one], start[one]
+    at = run_starts(start, doc, digest)
+    return doc[at], digest[at], start[at], np.diff(np.append(at, len(doc)))
 
 
 def first_holders(anchor: np.ndarray, value: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,121 +116,126 @@ def first_holders(anchor: np.ndarray, value: np.ndarray, doc: np.ndarray) -> tup
     return least, one
 
 
-def _candidates(sketch, width: int):
-    """Windows estimated repeated, by runs of one anchor; runs without hashes are repeats already."""
+def _candidates(shared):
+    """Windows estimated repeated, by runs of one anchor (hot ones: one by one); runs without hashes are repeats already."""
 
-    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        anchor, value, doc, start = (np.concatenate(x) for x in zip(*held, strict=True))
+    def flush(held: list[tuple], known: Sketch) -> Iterator[pa.RecordBatch]:
+        anchor, value, doc, digest, start = (np.concatenate(x) for x in zip(*held, strict=True))
         least, _ = first_holders(anchor, value, doc)
         settled = doc > least
         if settled.any():
-            d, s, n = _spans(doc[settled], start[settled])
-            yield _rows(mix(d.astype(np.uint64)), d, s, n, [None] * len(d))
-        anchor, value, doc, start = anchor[~settled], value[~settled], doc[~settled], start[~settled]
-        at = run_starts(doc, anchor, start)
+            d, h, s, n = _spans(doc[settled], digest[settled], start[settled])
+            yield _rows(mix(d.astype(np.uint64)), d, h, s, n, [None] * len(d))
+        anchor, value, doc, digest, start = (x[~settled] for x in (anchor, value, doc, digest, start))
+        at = run_starts(start, doc, digest, anchor)
         if len(at):
+            hot = np.repeat(known.hot(anchor[at]), np.diff(np.append(at, len(doc))))
+            key = np.where(hot, join_hashes(anchor, value), anchor)
+            at = run_starts(start, doc, digest, key)
             ends = np.append(at[1:], len(doc))
             hashes = [value[a:b].astype("<u8").tobytes() for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
-            yield _rows(anchor[at], doc[at], start[at], ends - at, hashes)
+            yield _rows(key[at], doc[at], digest[at], start[at], ends - at, hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(sketch.value, np.uint8)
+        known = shared.value
         held, size = [], 0
         for batch in batches:
             for part in slices(batch):
                 windows = Windows(part.column("text"))
                 at = windows.runs()
-                keep = np.repeat(estimated_repeated(windows.anchor[at], bitmap, width), np.diff(np.append(at, len(windows.doc))))
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                held.append((windows.anchor[keep], windows.value[keep], ids[windows.doc[keep]], windows.start[keep]))
+                keep = np.repeat(known.repeated(windows.anchor[at]), np.diff(np.append(at, len(windows.doc))))
+                ids, digests = (part.column(c).to_numpy(zero_copy_only=False)[windows.doc[keep]] for c in ("doc_id", "digest"))
+                held.append((windows.anchor[keep], windows.value[keep], ids, digests, windows.start[keep]))
                 size += len(held[-1][0])
                 if size >= HELD_WINDOWS:
-                    yield from flush(held)
+                    yield from flush(held, known)
                     held, size = [], 0
         if size:
-            yield from flush(held)
+            yield from flush(held, known)
 
     return run
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs ordered by key and doc_id -> spans of windows that a smaller doc_id has. Carries one anchor's windows on."""
+    """Runs ordered by key and doc_id -> spans of windows that a smaller doc_id has. Carries one key's windows on."""
     carry = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
     for batch in batches:
-        doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        doc, digest = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("doc_id", "digest"))
         start, count = (batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("start", "windows"))
         key = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
         settled = batch.column("hashes").is_null().to_numpy(zero_copy_only=False)
-        out = [(doc[settled], start[settled], count[settled])]
-        doc, start, count, key = doc[~settled], start[~settled], count[~settled], key[~settled]
+        out = [(doc[settled], digest[settled], start[settled], count[settled])]
+        doc, digest, start, count, key = (x[~settled] for x in (doc, digest, start, count, key))
         if len(doc):
             value = np.frombuffer(b"".join(x for x in batch.column("hashes").to_pylist() if x is not None), "<u8").astype(np.uint64)
             inner = np.arange(len(value)) - np.repeat(np.cumsum(count) - count, count)
             old = len(carry[2])
-            anchor = np.concatenate([carry[0], np.repeat(key, count)])
+            keys = np.concatenate([carry[0], np.repeat(key, count)])
             value = np.concatenate([carry[1], value])
             owner = np.concatenate([carry[2], np.repeat(doc, count)])
-            least, one = first_holders(anchor, value, owner)
+            least, one = first_holders(keys, value, owner)
             repeat = np.flatnonzero(owner[old:] > least[old:])
-            out.append(_spans(owner[old:][repeat], (np.repeat(start, count) + inner)[repeat]))
-            last = one & (anchor == key[-1])
-            carry = [anchor[last], value[last], least[last]]
-        doc, start, count = (np.concatenate(x) for x in zip(*out, strict=True))
+            out.append(_spans(owner[old:][repeat], np.repeat(digest, count)[repeat], (np.repeat(start, count) + inner)[repeat]))
+            last = one & (keys == key[-1])
+            carry = [keys[last], value[last], least[last]]
+        doc, digest, start, count = (np.concatenate(x) for x in zip(*out, strict=True))
         if len(doc):
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start.astype(np.int32)), pa.array((start + count + WINDOW - 1).astype(np.int32))], ["doc_id", "from", "to"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(digest, pa.int64()), pa.array(start.astype(np.int32)), pa.array((start + count + WINDOW - 1).astype(np.int32))], ["doc_id", "digest", "from", "to"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id, spans``: word ranges [from, to) that repeat a document with a smaller doc_id, for documents that have any.
+    """``doc_id, digest, spans``: word ranges [from, to) that repeat a document with a smaller doc_id, for rows that have any.
 
-    A document's windows never repeat its own, nor those of rows with the same doc_id. Null texts have no words; rows
-    with a null doc_id take no part.
+    A document's windows never repeat its own, nor those of other rows with the same doc_id, whose texts ``digest`` (xxhash64)
+    tells apart. Null texts have no words; rows with a null doc_id take no part.
     """
     ship(docs.sparkSession)
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bitmap, width = repeated_bitmap(docs.select("text"), size // BYTES_PER_ANCHOR, _anchors)
-    sketch = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+    shared = docs.sparkSession.sparkContext.broadcast(sketch(docs.select("text"), size // BYTES_PER_ANCHOR, _anchors))
     return (
-        docs.mapInArrow(_candidates(sketch, width), OPEN)
+        docs.withColumn("digest", F.xxhash64("text"))
+        .mapInArrow(_candidates(shared), OPEN)
         .repartition("key")
         .sortWithinPartitions("key", "doc_id")
-        .mapInArrow(_repeats, "doc_id long, from int, to int")
-        .groupBy("doc_id")
+        .mapInArrow(_repeats, "doc_id long, digest long, from int, to int")
+        .groupBy("doc_id", "digest")
         .agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     )
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n_words, n_removed, kept = [], [], []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
-            words = (text or "").encode().split()  # splits bytes at exactly the six separators
-            n_words.append(len(words))
-            if spans:
-                gone = np.zeros(len(words) + 1, np.int64)
-                for span in spans:
-                    gone[span["from"]] += 1
-                    gone[span["to"]] -= 1
-                words = [w for w, g in zip(words, np.cumsum(gone[:-1]).tolist(), strict=True) if not g]
-            n_removed.append(n_words[-1] - len(words))
-            kept.append(b" ".join(words).decode())
-        names = [n for n in batch.schema.names if n != "__spans"]
-        columns = [batch.column(n) for n in names]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], [*names, "n_words", "n_removed", "kept_text"])
+def _kept(spans_name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_words, n_removed, kept = [], [], []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column(spans_name).to_pylist(), strict=True):
+                words = (text or "").encode().split()  # splits bytes at exactly the six separators
+                n_words.append(len(words))
+                if spans:
+                    gone = np.zeros(len(words) + 1, np.int64)
+                    for span in spans:
+                        gone[span["from"]] += 1
+                        gone[span["to"]] -= 1
+                    words = [w for w, g in zip(words, np.cumsum(gone[:-1]).tolist(), strict=True) if not g]
+                n_removed.append(n_words[-1] - len(words))
+                kept.append(b" ".join(words).decode())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], [*batch.schema.names, "n_words", "n_removed", "kept_text"])
+
+    return run
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with ``n_words, n_removed, kept_text``: the words that no repeated window covers, joined by one space.
 
-    Windows are judged on the input. Null text: no words, kept_text is empty. Rows with a null doc_id keep all words,
-    repeated rows are treated alike, columns of those three names are replaced, the others pass through.
+    Windows are judged on the input. Null or empty text: no words, kept_text is empty. Rows with a null doc_id keep all words.
+    Rows of one doc_id never repeat each other, whether their texts are equal or not (ties). An empty table gives no rows.
+    Columns of those three names are replaced, the others pass through, whatever their names.
     """
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")))
-    spans = repeated_spans(docs).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
-    joined = docs.join(spans, F.col("doc_id") == F.col("__id"), "left").drop("__id")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(_kept, f"{kept}, n_words long, n_removed long, kept_text string")
+    name, digest, own = unused(docs, "spans", "digest", "row_id")
+    spans = repeated_spans(docs).select(F.col("doc_id").alias(own), F.col("digest").alias(digest), F.col("spans").alias(name))
+    joined = docs.join(spans, (F.col("doc_id") == F.col(own)) & (F.xxhash64("text") == F.col(digest)), "left").drop(own, digest)
+    return map_batches(joined, _kept(name), "n_words long, n_removed long, kept_text string").drop(name)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -39,12 +39,12 @@ def join_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column with n + 1 offsets; null counts as empty."""
+    """(bytes, offsets) of a string or binary column with n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null("")
-    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
     _, places, content = column.buffers()
     if places is None or len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import ship, with_fields
+from .session import map_batches, ship
 from .text import NOT_WORD, Words, mix, slices
 from .training import labelled_sample
 
@@ -159,7 +159,7 @@ def score(docs: DataFrame, model: Ordinal) -> DataFrame:
                 columns = [pa.array(above.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(above[:, 0]), pa.array(above[:, 0] >= 0.5)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *new])
 
-    return docs.mapInArrow(run, with_fields(docs, "severity double, grade int, p_toxic double, toxic boolean"))
+    return map_batches(docs, run, "severity double, grade int, p_toxic double, toxic boolean")
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -65,15 +65,57 @@ def test_empty_tables_repeated_rows_null_ids_and_clashing_names(spark):
     assert sd.remove_repeats(docs.limit(0)).count() == 0
 
 
-def test_sketch_never_underestimates():
-    keys = np.random.default_rng(0).integers(0, 2**63, 5000, dtype=np.uint64)
+def test_rows_of_one_id_with_different_texts(spark):
+    long = " ".join(f"t{i}" for i in range(80))
+    docs = spark.createDataFrame([(5, long), (5, "hi"), (5, "x " + long), (7, long), (7, "hi"), (3, " ".join(f"t{i}" for i in range(55)))], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in sd.remove_repeats(docs).collect())
+    assert got == [(3, 55, 0), (5, 1, 0), (5, 80, 55), (5, 81, 55), (7, 1, 0), (7, 80, 80)]
+
+
+def test_reserved_names_and_structs(spark):
+    text = " ".join(f"t{i}" for i in range(60))
+    docs = spark.createDataFrame([(5, text), (9, text)], "doc_id long, text string").selectExpr("doc_id", "text", "1 AS spans", "2 AS digest", "3 AS row_id", "4 AS spans_", "named_struct('a-b', 1) AS s", "5 AS `x.y`")
+    got = sorted((r.doc_id, r.n_removed, r.spans, r.digest, r.row_id, r.spans_, r.s["a-b"], r["x.y"]) for r in sd.remove_repeats(docs).collect())
+    assert got == [(5, 0, 1, 2, 3, 4, 1, 5), (9, 60, 1, 2, 3, 4, 1, 5)]
+
+
+def test_a_hot_phrase_is_dealt_by_window(spark, monkeypatch):
+    """A phrase of 20 words in every document, and a passage around it that some share: the anchors are hot, nothing is lost."""
+    random.seed(8)
+    phrase = [f"p{i}" for i in range(20)]
+    around = [[f"a{k}_{i}" for i in range(40)] for k in range(3)]
+    docs = []
+    for i in range(300):
+        own = [f"o{i}_{k}" for k in range(40)] if i % 10 else around[i % 3]
+        docs.append((i, " ".join(own + phrase + own[::-1])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    for hot in (sk.HOT, 20, 1):
+        monkeypatch.setattr(sk, "HOT", hot)
+        assert rows_of(sd.remove_repeats(frame)) == brute_force(docs)
+    monkeypatch.setattr(sk, "HOT", 20)
+    shared = spark.sparkContext.broadcast(sd.sketch(frame.select("text"), 1000, sd._anchors))
+    runs = frame.withColumn("digest", sd.F.xxhash64("text")).mapInArrow(sd._candidates(shared), sd.OPEN).where("hashes is not null")
+    assert runs.groupBy("key").count().agg({"count": "max"}).first()[0] <= 20
+
+
+def merged(keys, copies):
     width = 1 << 18
     partial = sk.partial_sketches(width, lambda batch: [keys])
-    rows = [b for _ in range(2) for b in partial(iter([pa.record_batch({"text": ["a"]})]))]
+    rows = [b for _ in range(copies) for b in partial(iter([pa.record_batch({"text": ["a"]})]))]
     table = pa.Table.from_batches(rows).sort_by("slice").combine_chunks()
-    bitmap = np.zeros(2 * width // 8, np.uint8)
-    for b in sk.merge_sketches(iter(table.to_batches())):
-        for at, bits in zip(b.column("slice").to_pylist(), b.column("bits").to_pylist(), strict=True):
-            bitmap[at * sk.SLICE // 8 :][: sk.SLICE // 8] = np.frombuffer(bits, np.uint8)
-    assert sk.estimated_repeated(keys, bitmap, width).all()
-    assert sk.estimated_repeated(keys ^ np.uint64(0xABCDEF), bitmap, width).mean() < 0.05
+    out = sk.Sketch(width, np.zeros(2 * width // 8, np.uint8), np.zeros(2 * width // 64, np.uint8))
+    for b in sk.merge_sketches(sk.HOT)(iter(table.to_batches())):
+        for at, bits, hot in zip(*(b.column(c).to_pylist() for c in ("slice", "bits", "hot")), strict=True):
+            out.bits[at * sk.SLICE // 8 :][: sk.SLICE // 8] = np.frombuffer(bits, np.uint8)
+            out.tops[at * sk.SLICE // 64 :][: sk.SLICE // 64] = np.frombuffer(hot, np.uint8)
+    return out
+
+
+def test_sketch_never_underestimates():
+    keys = np.random.default_rng(0).integers(0, 2**63, 5000, dtype=np.uint64)
+    found = merged(keys, 2)
+    assert found.repeated(keys).all() and not found.hot(keys).any()
+    assert found.repeated(keys ^ np.uint64(0xABCDEF)).mean() < 0.05
+    often = np.concatenate([np.repeat(keys[:5], sk.HOT // 2), keys])
+    found = merged(often, 2)
+    assert found.hot(keys[:5]).all() and found.hot(keys[5:]).mean() < 0.01
