@@ -4,13 +4,15 @@ A turn becomes ``<|role|>``, a line feed, its text, ``</s>`` and a line feed. In
 every control string gets one after its first character, so no control string is left and unescaping is exact. Every
 assistant turn is an example of its own: all turns before it are the context, only its text is trainable.
 
-A conversation is formatted in blocks of ``BLOCK`` turn numbers; ``examples`` holds the context within a block,
-``whole_examples`` all of it, and op5 reads its figures back from the whole examples. Their text grows with the square of a
-conversation's turns; it is made row by row after the last shuffle of texts and not kept, so no task holds more than a few
-copies of one conversation.
-
-Turns are ordered by turn, then role and text; null turns come first, in a block of their own. Null texts and roles are
-empty. Null conv_ids are one conversation. Extra columns are ignored. An empty table gives no rows.
+A conversation is stored in blocks of ``BLOCK`` turn numbers, so its text is held once and a block is a bounded row.
+``whole_examples`` puts every example together from all blocks before it, and op5 reads its figures back from those: the turns
+from the last example and from what follows the last reply (``rests``, no part of which is trainable), the loss from all
+examples, ``formatted_chars`` over all of this output. The examples' text grows with the square of a conversation's turns; it is
+made row by row after the last shuffle of texts and not kept, so no task holds more than a few copies of one conversation.
+
+Turns are ordered by turn, then role and text (ties and repeated rows stay); null turns come first, in a block of their own.
+Null texts and roles are empty. Null conv_ids are one conversation. Very long texts are taken whole. Extra columns are ignored,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -69,38 +71,13 @@ def format_blocks(conversations: DataFrame) -> DataFrame:
     )
 
 
-def examples(blocks: DataFrame) -> DataFrame:
-    """``conv_id, block, turn, context, reply, end``: an example for each assistant turn.
-
-    The example's text is the formatted text of the conversation's earlier blocks, then context, reply and end; only the
-    reply is under the loss mask. A conversation without earlier blocks has its whole context here.
-    """
-    one = blocks.select("conv_id", "block", "formatted", F.explode("replies").alias("r"))
-    return one.select(
-        "conv_id",
-        "block",
-        F.col("r.turn").alias("turn"),
-        F.substring("formatted", F.lit(1), F.col("r.loss_start") - 1).alias("context"),
-        F.substring("formatted", F.col("r.loss_start"), F.col("r.loss_chars")).alias("reply"),
-        F.lit(END).alias("end"),
-    )
-
-
-def full_texts(examples_: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``examples`` with ``text``: the whole of each, earlier blocks included. Long conversations grow by their square."""
-    earlier = blocks.select(F.col("conv_id").alias("_c"), F.coalesce("block", F.lit(-1 << 62)).alias("_before"), F.col("formatted").alias("_formatted"))
-    joined = examples_.join(earlier, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_before") < F.coalesce("block", F.lit(-1 << 62))), "left")
-    before = F.transform(F.array_sort(F.collect_list(F.when(F.col("_formatted").isNotNull(), F.struct("_before", "_formatted")))), lambda b: b["_formatted"])
-    return joined.groupBy("conv_id", "block", "turn", "context", "reply", "end").agg(F.concat(F.array_join(before, ""), F.first("context"), F.first("reply"), F.first("end")).alias("text"))
-
-
 def in_order(blocks: DataFrame) -> DataFrame:
     """``conv_id, b``: each conversation's blocks in order."""
     return blocks.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("block", F.lit(-1 << 62)).alias("block"), "formatted", "formatted_chars", "replies"))).alias("b"))
 
 
 def whole_examples(conversations: DataFrame) -> DataFrame:
-    """``conv_id, loss_start, loss_chars, last, text`` from ``conv_id, b``: every example, with all turns before the reply.
+    """``conv_id, turn, loss_start, loss_chars, last, text`` from ``conv_id, b``: every example, with all turns before the reply.
 
     ``loss_start`` counts from the start of the conversation, from 1 on; ``last``: no later example has this one's turns.
     """
@@ -118,6 +95,7 @@ def whole_examples(conversations: DataFrame) -> DataFrame:
     each = each.select("conv_id", "final", "own.formatted", "earlier", "chars", "done", F.posexplode("own.replies").alias("i", "r"))
     return each.select(
         "conv_id",
+        F.col("r.turn").alias("turn"),
         (F.col("chars") + F.col("r.loss_start")).alias("loss_start"),
         F.col("r.loss_chars").alias("loss_chars"),
         (F.col("done") + F.col("i") + 1 == F.col("final")).alias("last"),
@@ -140,7 +118,8 @@ def rests(conversations: DataFrame) -> DataFrame:
 
 def read_back(blocks: DataFrame) -> DataFrame:
     """``conv_id, n_turns, turns, loss, formatted_chars`` parsed from the output: ``turns`` is role, line feed, text, line feed
-    for each turn of the last whole example and of what follows it, ``loss`` the text under the loss masks of all whole examples."""
+    for each turn of the last whole example and of what follows it, ``loss`` the text under the loss masks of all whole examples,
+    ``formatted_chars`` the length of all examples and of what follows them."""
     conversations = in_order(blocks)
     part = lambda p, i: unescape(F.regexp_extract(p, r"(?s)^<\|(.*?)\|>\n(.*)$", i))
     pieces = F.slice(F.split("text", END, -1), 1, F.size(F.split("text", END, -1)) - 1)
@@ -149,7 +128,7 @@ def read_back(blocks: DataFrame) -> DataFrame:
         "conv_id",
         F.struct(F.lit(0).alias("at"), F.when(F.col("last"), turns).alias("turns")).alias("t"),
         F.when(F.col("last"), F.size(pieces)).alias("n"),
-        F.when(F.col("last"), F.char_length("text")).alias("chars"),
+        F.char_length("text").alias("chars"),
         F.struct("loss_start", F.substring("text", F.col("loss_start").cast("int"), F.col("loss_chars")).alias("reply")).alias("loss"),
     )
     after = rests(conversations).select(
@@ -199,12 +178,16 @@ ORACLE = f"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), n AS (
+  SELECT *, length('<|' || {_sql_escape("role")} || '|>' || chr(10) || {_sql_escape("text")} || '</s>' || chr(10)) AS chars FROM t
+), c AS (
+  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS upto FROM n
 ), g AS (
   SELECT conv_id, count(*) AS n_turns,
-    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
-    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
-    sum(length('<|' || {_sql_escape("role")} || '|>' || chr(10) || {_sql_escape("text")} || '</s>' || chr(10))) AS formatted_chars
-  FROM t GROUP BY conv_id
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+    coalesce(sum(upto) FILTER (WHERE role = 'assistant'), 0) + max(upto) - coalesce(max(upto) FILTER (WHERE role = 'assistant'), 0) AS formatted_chars
+  FROM c GROUP BY conv_id
 )
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
   CAST(formatted_chars AS BIGINT) AS formatted_chars

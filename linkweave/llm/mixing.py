@@ -10,13 +10,17 @@ any more. There are rounds until no document fits (each leaves less missing than
 document closest to what is missing then goes in if that brings the source nearer. A round is a range of hashes and a size
 bound, so documents find their copies by their source's row of the plan.
 
-The drawn copies of the blocks are dealt to the output shards by a binary tree: a node puts its block copies into random
-order and gives the first half to its left child, so the sources' quotas of the children are multivariate
-hypergeometric and exact. A shard's rows are then shuffled by a hash. Blocks are a fixed number for each source and shard
-count, so the tree doesn't grow with the documents.
-
-Null text: size 0. Null doc_ids share one block, in an order of their texts. Rows equal in doc_id and text share one place
-in the permutation: they are drawn together or not at all. Reruns agree.
+The hash of doc_id also cuts a source into blocks of about the same number of words, ``BLOCKS_PER_SHARD`` to an output shard.
+The drawn copies of the blocks that hold rows are dealt to the shards by a splitting tree: a node puts its block copies into
+random order and cuts where half of its words are reached, so the sources' block quotas of its children are a multivariate
+hypergeometric draw, sum up exactly, and every shard is within about a block of the mean. The root has up to 2 ** ROOT_BITS
+children: its order is by a random key, and its sums are taken by ranges of that key, so no task sees all blocks. A shard's
+rows are then shuffled by a hash.
+
+Null text: size 0, drawn like the rest; empty tables give no rows. Null sources are one source. Null doc_ids share one block,
+in an order of their texts. Rows equal in doc_id and text (ties) share one place in the permutation: they are drawn together or
+not at all. A very long document is drawn whole if it fits, and makes its block larger. Reruns agree. Extra columns pass through
+``mix`` whatever their names; one named shard is replaced.
 """
 
 from __future__ import annotations
@@ -24,11 +28,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import materialise
+from .session import discard, materialise
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
-HASH_BITS, PLACE_BITS, LEAST_BLOCK_BITS, TEXT_BITS = 63, 14, 7, 24
+HASH_BITS, PLACE_BITS, TEXT_BITS = 63, 14, 24
+WORDS_PER_SHARD, BLOCKS_PER_SHARD, ROOT_BITS = 1 << 22, 16, 10
 END = (1 << 63) - 1
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = 20240
@@ -43,9 +48,13 @@ def bounded(small: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(small) if is_small(small, rows) else small
 
 
+def size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """``docs`` with ``size`` (words) and ``place`` (63 bits: a hash of doc_id, the last ``TEXT_BITS`` of the text with it)."""
-    return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("place", place())
+    return docs.withColumn("size", size()).withColumn("place", place())
 
 
 def place() -> Column:
@@ -86,7 +95,8 @@ def plan(rows: DataFrame) -> DataFrame:
     found = materialise(goal.withColumn("low", F.lit(0).cast("long")).withColumn("rounds", F.array().cast("array<struct<low: bigint, cut: bigint, bound: double>>")).withColumn("open", F.col("gap") > 0))
     few = is_small(found)
     while not found.where("open").isEmpty():
-        found = materialise(next_round(rows, found, few))
+        last, found = found, materialise(next_round(rows, found, few))
+        discard(last)
     # every document that is left is larger than what is missing: the closest, with those at its place
     left = of_sources(rows, found.where("gap > 0"), few, "gap", "rounds").where((F.col("size") > F.col("gap")) & (F.col("size") < 2 * F.col("gap")) & ~in_rounds())
     places = left.groupBy("source", "place", "gap").agg(F.sum("size").alias("size")).where("size < 2 * gap")
@@ -141,56 +151,89 @@ def extra() -> Column:
     return in_rounds() | F.coalesce(F.col("place") == F.col("last"), F.lit(False))
 
 
-def shards_of_blocks(plan_: DataFrame, shards: int) -> DataFrame:
-    """``source, block, shards``: the output shard of each copy of a block, from the splitting tree."""
-    bits = block_bits(shards)
-    blocks = plan_.select("source", (F.col("copies") + 1).alias("most")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((1 << bits) - 1))))
-    nodes = blocks.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("most")))).withColumn("node", F.lit(0))
-    for level in range((shards - 1).bit_length()):
-        in_order = Window.partitionBy("node").orderBy(F.xxhash64(F.lit(SEED + 1 + level), "source", "block", "copy"), "source", "block", "copy")
-        right = F.row_number().over(in_order) * 2 > F.count("*").over(Window.partitionBy("node"))
-        nodes = nodes.withColumn("node", 2 * F.col("node") + right.cast("int"))
-    each = F.array_sort(F.collect_list(F.struct("copy", (F.col("node") % shards).alias("shard"))))
-    return nodes.groupBy("source", "block").agg(F.transform(each, lambda s: s["shard"]).alias("shards"))
+def with_blocks(plan_: DataFrame, shards: int) -> DataFrame:
+    """``plan_`` with ``blocks``: how many each source is cut into."""
+    total = plan_.agg(F.sum("target")).first()[0] or 1.0
+    return plan_.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") * (shards * BLOCKS_PER_SHARD / total))).cast("long"))
+
+
+def block() -> Column:
+    """The block of a place, from 0."""
+    return F.shiftright(F.shiftright("place", 32) * F.col("blocks"), HASH_BITS - 32)
+
+
+def with_plan(rows: DataFrame, plan_: DataFrame) -> DataFrame:
+    """``rows`` with their source's row of the plan, their ``block`` and whether they are drawn once more (``more``)."""
+    joined = rows.join(bounded(plan_.withColumnRenamed("source", "__s")), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    return joined.withColumn("block", block()).withColumn("more", extra()).drop("rounds", "last", "blocks")
+
 
+def block_copies(planned: DataFrame) -> DataFrame:
+    """``source, block, copy, words``: each drawn copy of a block that holds rows; the last may hold only the rows drawn once more."""
+    blocks = planned.groupBy("source", "block").agg(F.first("copies").alias("copies"), F.sum("size").alias("words"), F.count_if("more").alias("n"), F.sum(F.when(F.col("more"), F.col("size"))).alias("more"))
+    one = lambda copy, words: F.struct(copy.alias("copy"), words.alias("words"))
+    none = F.array().cast("array<struct<copy:int,words:bigint>>")
+    whole = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(1), F.col("copies")), lambda k: one(k, F.col("words")))).otherwise(none)
+    rest = F.when(F.col("n") > 0, F.array(one(F.col("copies") + 1, F.col("more")))).otherwise(none)
+    return blocks.select("source", "block", F.explode(F.concat(whole, rest)).alias("c")).select("source", "block", "c.*")
 
-def block_bits(shards: int) -> int:
-    return max(LEAST_BLOCK_BITS, (shards - 1).bit_length() + 2)
 
+def dealt(copies: DataFrame, shards: int) -> DataFrame:
+    """``copies`` with their output ``shard``, from the splitting tree. ``shards``: a power of two."""
+    levels = (shards - 1).bit_length()
+    top = min(levels, ROOT_BITS)
+    key = lambda level: F.xxhash64(F.lit(SEED + 1 + level), "source", "block", "copy")
+    ties = ["source", "block", "copy"]
+    middle = F.sum("words").over(Window.partitionBy("range").orderBy("key", *ties)) - F.col("words") / 2
+    ranged = materialise(copies.withColumn("key", key(0)).withColumn("range", F.shiftright("key", 64 - ROOT_BITS)))
+    sums = ranged.groupBy("range").agg(F.sum("words").alias("w"))  # 2 ** ROOT_BITS rows at most
+    sums = sums.select("range", (F.sum("w").over(Window.orderBy("range")) - F.col("w")).alias("before"), F.sum("w").over(Window.partitionBy()).alias("total"))
+    nodes = ranged.join(F.broadcast(sums), "range").withColumn("at", F.when(F.col("total") > 0, (F.col("before") + middle) / F.col("total")).otherwise(0.0))
+    nodes = nodes.select(*ties, "words", F.least(F.floor(F.col("at") * (1 << top)), F.lit((1 << top) - 1)).cast("int").alias("shard"))
+    for level in range(top, levels):
+        in_order = Window.partitionBy("shard").orderBy(key(level), *ties)
+        right = F.sum("words").over(in_order) - F.col("words") / 2 > F.sum("words").over(Window.partitionBy("shard")) / 2
+        nodes = nodes.withColumn("shard", 2 * F.col("shard") + right.cast("int"))
+    return nodes
 
-def draws(rows: DataFrame, shards: int) -> DataFrame:
+
+def shard_count(words: float) -> int:
+    """The least power of two with at most ``WORDS_PER_SHARD`` words a shard."""
+    return 1 << max(0, -(-int(words) // WORDS_PER_SHARD) - 1).bit_length()
+
+
+def draws(rows: DataFrame, shards: int | None = None) -> DataFrame:
     """``rows (doc_id, source, size, place, ...)`` with ``source_size, target, copies, shards`` (one for each copy)."""
-    small = materialise(rows.select("doc_id", "source", "size", "place"))
-    p = materialise(plan(small))
-    dealt = materialise(shards_of_blocks(p, shards))
-    bits = block_bits(shards)
-    joined = rows.join(bounded(p.withColumnRenamed("source", "__s")), F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("copies", F.col("copies") + F.when(extra(), 1).otherwise(0)).drop("rounds", "last")
-    dealt = dealt.select(F.col("source").alias("__s"), F.col("block").alias("__b"), "shards")
-    joined = joined.join(bounded(dealt), F.col("source").eqNullSafe(F.col("__s")) & (F.shiftright("place", HASH_BITS - bits) == F.col("__b"))).drop("__s", "__b")
-    return joined.withColumn("shards", F.slice("shards", F.lit(1), F.col("copies")))
+    return _draws(rows, shards)[0]
 
 
-def shard_count(docs: DataFrame) -> int:
-    """A power of two near the session's number of shuffle partitions."""
-    return 1 << (max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))) - 1).bit_length()
+def _draws(rows: DataFrame, shards: int | None) -> tuple[DataFrame, int]:
+    """``draws`` and the number of shards."""
+    small = materialise(rows.select("doc_id", "source", "size", "place"))
+    p = materialise(plan(small))
+    shards = shards or shard_count(p.agg(F.sum("target")).first()[0] or 0)
+    p = materialise(with_blocks(p, shards))
+    nodes = dealt(block_copies(with_plan(small, p)), shards)
+    of_blocks = nodes.groupBy("source", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("copy", "shard"))), lambda s: s["shard"]).alias("dealt"))
+    of_blocks = materialise(of_blocks.select(F.col("source").alias("__s"), F.col("block").alias("__b"), "dealt"))
+    joined = with_plan(rows, p).join(bounded(of_blocks), F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b")), "left")
+    copies = F.col("copies") + F.col("more").cast("int")
+    return joined.withColumn("shards", F.when(F.col("dealt").isNull(), F.array().cast("array<int>")).otherwise(F.slice("dealt", F.lit(1), copies))).withColumn("copies", copies).drop("__s", "__b", "block", "more", "dealt"), shards
 
 
 def mix(docs: DataFrame, shards: int | None = None) -> DataFrame:
-    """The mix: the rows of ``docs``, each as often as it is drawn, with ``shard``, dealt and shuffled by shard.
+    """The mix: the rows of ``docs``, each as often as it is drawn, with ``shard``; a shard is a partition, in random order.
 
-    Columns named size, place, source_size, target, copies, shards or shard are dropped on the way in.
+    ``shards``: a power of two, by default so many that a shard has ``WORDS_PER_SHARD`` words at most, about.
     """
-    shards = shards or shard_count(docs)
-    own = {"size", "place", "source_size", "target", "copies", "shards", "shard", "rounds", "last"}
-    kept = [c for c in docs.columns if c not in own]
-    drawn = draws(sized(docs.select(*(F.col(f"`{c}`") for c in kept))), shards)
-    rows = drawn.select(*(F.col(f"`{c}`") for c in kept), F.posexplode("shards").alias("copy", "shard"))
-    order = F.xxhash64("doc_id", "copy", F.lit(SEED + 99))
-    return rows.withColumn("__o", order).repartition(shards, "shard").sortWithinPartitions("shard", "__o").drop("__o", "copy")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "shard"))
+    drawn, shards = _draws(docs.select("doc_id", "source", size().alias("size"), place().alias("place"), row.alias("row")), shards)
+    rows = drawn.select("doc_id", "row", F.posexplode("shards").alias("copy", "shard"))
+    ordered = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.xxhash64("doc_id", "copy", F.lit(SEED + 99)))
+    return ordered.select("row.*", "shard")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    rows = materialise(sized(docs).select("doc_id", "source", "size", "place"))
-    drawn = draws(rows, shard_count(docs))
+    drawn = draws(materialise(sized(docs).select("doc_id", "source", "size", "place")))
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards")

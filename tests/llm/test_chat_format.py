@@ -37,13 +37,20 @@ def test_round_trip(spark):
 
 def test_examples_have_all_turns_before_and_one_reply(spark):
     blocks = cf.format_blocks(spark.createDataFrame(ROWS, SCHEMA))
-    rows = [r for r in cf.full_texts(cf.examples(blocks), blocks).collect() if r.conv_id == 3]
-    assert len(rows) == 50
+    rows = [r for r in cf.whole_examples(cf.in_order(blocks)).collect() if r.conv_id == 3]
+    assert sorted(r.turn for r in rows) == list(range(1, 100, 2))
     for r in rows:
         assert r.text.count(cf.END) == r.turn + 1
         assert r.text.endswith(f"t{r.turn}<\\/s></s>\n") and r.text.startswith("<|user|>\nt0")
 
 
+def test_formatted_chars_count_every_example(spark):
+    rows = [(1, i, "assistant" if i % 3 == 1 else "user", "x" * i) for i in range(51)] + [(2, i, "user", "y") for i in range(20)]
+    got = {r.conv_id: r.formatted_chars for r in cf.read_back(cf.format_blocks(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    chars = [len(f"<|{r}|>\n{t}{cf.END}") for c, _, r, t in rows if c == 1]
+    assert got == {1: sum(sum(chars[: i + 1]) for i in range(1, 51, 3)) + chars[50], 2: 20 * len(f"<|user|>\ny{cf.END}")}
+
+
 def test_op5_reads_examples_with_the_context_of_earlier_blocks(spark):
     blocks = cf.format_blocks(spark.createDataFrame(ROWS, SCHEMA))
     rows = sorted((r for r in cf.whole_examples(cf.in_order(blocks)).collect() if r.conv_id == 3), key=lambda r: r.loss_start)

@@ -46,19 +46,53 @@ def test_targets_and_draws(spark):
         assert abs(taken[s] - want[s]) <= most[s] / 2 + 1
 
 
-def test_reruns_agree_and_shards_share_blocks_exactly(spark):
-    docs = spark.createDataFrame(sample(), SCHEMA)
-    plan = mx.plan(mx.sized(docs.drop("size")).select("doc_id", "source", "size", "place"))
-    first, again = (sorted(map(str, mx.shards_of_blocks(plan, 8).collect())) for _ in range(2))
-    assert first == again
-    counts = Counter(s for r in mx.shards_of_blocks(plan, 8).collect() for s in r.shards)
-    assert max(counts.values()) - min(counts.values()) <= 3
+def words_of_shards(rows):
+    words, of_source = Counter(), Counter()
+    for r in rows:
+        for s in r.shards:
+            words[s] += r["size"]
+            of_source[s, r.source] += r["size"]
+    return words, of_source
+
+
+def test_reruns_agree_and_shards_have_about_the_same_words(spark):
+    names = ["a"] * 6 + ["b"] * 3 + ["c"]
+    docs = spark.createDataFrame([(i, names[i % 10], "w " * 10) for i in range(20_000)], "doc_id long, source string, text string")
+    rows = mx.draws(mx.sized(docs), 16).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, mx.draws(mx.sized(docs.repartition(3)), 16).collect()))
+    words, of_source = words_of_shards(rows)
+    mean = sum(words.values()) / 16
+    assert set(words) == set(range(16))
+    assert max(abs(w - mean) for w in words.values()) <= 1.3 * mean / mx.BLOCKS_PER_SHARD
+    # the largest source's quota of a shard varies as a hypergeometric draw of its blocks does
+    blocks = [of_source[s, "a"] / (mean / mx.BLOCKS_PER_SHARD) for s in range(16)]
+    share = sum(blocks) / 16 / mx.BLOCKS_PER_SHARD
+    assert max(abs(b - sum(blocks) / 16) for b in blocks) < 4 * math.sqrt(mx.BLOCKS_PER_SHARD * share * (1 - share)) + 1
+
+
+def test_a_tree_below_the_root(spark, monkeypatch):
+    monkeypatch.setattr(mx, "ROOT_BITS", 2)
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "w " * 10) for i in range(8_000)], "doc_id long, source string, text string")
+    words, _ = words_of_shards(mx.draws(mx.sized(docs), 32).collect())
+    mean = sum(words.values()) / 32
+    assert len(words) == 32 and max(abs(w - mean) for w in words.values()) <= 2 * mean / mx.BLOCKS_PER_SHARD
+
+
+def test_clashing_names_and_structs(spark):
+    docs = spark.createDataFrame(sample(50), SCHEMA).selectExpr("*", "1 AS copy", "2 AS __s", "3 AS shards", "4 AS row", "5 AS block", "named_struct('a-b', 1) AS s", "6 AS `x.y`", "7 AS shard", "8 AS place")
+    rows = mx.mix(docs, 4)
+    assert rows.columns == [c for c in docs.columns if c != "shard"] + ["shard"]
+    assert {(r.copy, r["__s"], r.shards, r.row, r.block, r.s["a-b"], r["x.y"], r.place, r["size"]) for r in rows.collect()} == {(1, 2, 3, 4, 5, 1, 6, 8, "x")}
+
+
+def test_shards_follow_the_words():
+    assert [mx.shard_count(n * mx.WORDS_PER_SHARD) for n in (0, 1, 1.5, 3, 4, 1000)] == [1, 1, 2, 4, 4, 1024]
 
 
 def test_mix_repeats_rows_by_shard(spark):
     docs = spark.createDataFrame(sample(), SCHEMA)
     mixed = mx.mix(docs, 4)
-    assert mixed.columns == ["doc_id", "source", "text", "gap", "shard"]
+    assert mixed.columns == ["doc_id", "source", "text", "size", "gap", "shard"]
     got = Counter((r.doc_id, r.source, r.text) for r in mixed.collect())
     want = Counter()
     for r in mx.draws(mx.sized(docs.drop("size")), 4).collect():
