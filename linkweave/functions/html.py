@@ -2,47 +2,47 @@
 
 from __future__ import annotations
 
-import html as html_
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
-from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .urls import normalize_url
+from .urls import normalize_url, strip
 
 
-class _Events(HTMLParser):
-    """The start and end of anchors and the texts of a fragment, in order."""
+class _Status(HTMLParser):
+    """One pass over a fragment: pieces of text, each with whether an anchor is open around it, and the anchors' links."""
 
     def __init__(self, fragment: str):
         super().__init__(convert_charrefs=True)
-        self.found: list[tuple[str, str | None]] = []
+        self.open, self.pieces, self.links = 0, [], []
         self.feed(fragment)
         self.close()
 
     def handle_starttag(self, tag, attrs):
         if tag == "a":
-            self.found.append(("open", dict(attrs).get("href")))
+            self.open += 1
+            self.links += [value for name, value in attrs if name == "href" and value]
 
     def handle_endtag(self, tag):
-        if tag == "a":
-            self.found.append(("shut", None))
+        if tag == "a" and self.open:
+            self.open -= 1
 
     def handle_data(self, data):
-        self.found.append(("text", data.strip()))
+        if piece := data.strip():
+            self.pieces.append((piece, self.open > 0))
 
 
 def parse_status(content: str | None) -> tuple[str, list[str], str]:
     """(text, links of anchors, text outside of anchors)."""
-    events = _Events(content or "").found
-    inside = list(accumulate((1 if kind == "open" else -1 if kind == "shut" else 0 for kind, _ in events), lambda n, step: max(0, n + step), initial=0))
-    texts = [(value, n) for (kind, value), n in zip(events, inside[1:], strict=True) if kind == "text" and value]
-    joined = lambda parts: html_.unescape(" ".join(parts))
-    return joined(t for t, _ in texts), [v for kind, v in events if kind == "open" and v], joined(t for t, n in texts if not n)
+    status = _Status(content or "")
+    text = " ".join(piece for piece, _ in status.pieces)
+    outside = " ".join(piece for piece, inside in status.pieces if not inside)
+    return unescape(text), status.links, unescape(outside)
 
 
 def status_parts(df: DataFrame, content: str, name: str = "parts") -> DataFrame:
@@ -66,13 +66,27 @@ def title(html: Column | str) -> Column:
     return F.regexp_extract(html, r"(?s)<title>(.*?)</title>", 1)
 
 
+#: The types by which a page names its feeds.
+FEED_TYPES = ("application/rss+xml", "application/atom+xml", "application/feed+json")
+#: Character references that occur in links.
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&#x2F;": "/", "&#38;": "&", "&amp;": "&"}
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, quoted or bare; '' if it has none."""
+    value = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    for reference, char in REFERENCES.items():
+        value = F.replace(value, F.lit(reference), F.lit(char))
+    return F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2")
+
+
 def discovered_feed(html: Column | str, base: Column | str) -> Column:
-    """FN-30: the feed that a page names, RSS before others, resolved on the page's URL; '' if none."""
-    links = F.regexp_extract_all(html, F.lit(r"(?i)(<link\s[^>]*>)"), F.lit(1))
-    alternate = F.filter(links, lambda x: x.rlike(r"""(?i)rel=["']?[^"'>]*alternate"""))
-    href = lambda x: F.regexp_extract(x, r"""(?i)href=["']?([^"'\s>]+)""", 1)
-    of = lambda kind: F.try_element_at(F.filter(alternate, lambda x: x.rlike(f"(?i)type=[\"']?application/{kind}") & (href(x) != "")), F.lit(1))
-    return normalize_url(href(F.coalesce(of("rss"), of("atom"), of("(feed\\+)?json"), F.lit(""))), base)
+    """FN-30: the first RSS feed that a page names, else its first feed of any type, resolved on the page's URL; '' if none."""
+    tags = F.regexp_extract_all(html, F.lit(r"""(?is)(<link\s(?:"[^"]*"|'[^']*'|[^"'>])*>)"""), F.lit(1))
+    links = F.transform(tags, lambda x: F.struct(attribute(x, "href").alias("href"), F.lower(attribute(x, "type")).alias("type"), F.split(F.lower(attribute(x, "rel")), r"\s+").alias("rel")))
+    feeds = F.filter(links, lambda x: (x["href"] != "") & F.array_contains(x["rel"], "alternate") & x["type"].isin(*FEED_TYPES))
+    first = F.coalesce(F.try_element_at(F.filter(feeds, lambda x: x["type"] == FEED_TYPES[0]), F.lit(1)), F.try_element_at(feeds, F.lit(1)))
+    return normalize_url(F.coalesce(first["href"], F.lit("")), base)
 
 
 def site_link(link: Column, links: Column) -> Column:
@@ -80,7 +94,7 @@ def site_link(link: Column, links: Column) -> Column:
 
     ``links``: array of structs with rel, type and href.
     """
-    web = lambda x: F.trim(x).rlike("^https?://")
+    web = lambda x: strip(x).rlike("^https?://")
     fits = lambda x: F.coalesce(x["rel"], F.lit("")).isin("", "alternate") & (F.coalesce(x["type"], F.lit("")).rlike("^(text/html.*)?$")) & F.coalesce(web(x["href"]), F.lit(False))
     other = F.try_element_at(F.filter(links, fits), F.lit(1))["href"]
-    return F.trim(F.coalesce(F.when(web(link), link), other))
+    return strip(F.coalesce(F.when(web(link), link), other))

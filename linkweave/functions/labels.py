@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .urls import strip
+
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -27,7 +29,7 @@ def first_of(*texts: Column | str) -> Column:
 
 def normalize_text(text: Column | str) -> Column:
     """FN-10: trimmed, lower-case, white space collapsed."""
-    return F.regexp_replace(F.lower(F.trim(_c(text))), r"(?U)\s+", " ")
+    return F.regexp_replace(F.lower(strip(text)), r"(?U)\s+", " ")
 
 
 def contains_literal(column: Column | str, term: str) -> Column:

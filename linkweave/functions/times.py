@@ -5,25 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .urls import let, strip
+
+#: Forms in which providers write dates, after ``tidy``.
 FORMATS = (
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX",
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]",
-    "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS][XXX]",
-    "d MMM yyyy HH:mm:ss XX",
-    "d MMM yyyy HH:mm:ss z",
-    "d MMM yyyy HH:mm:ss",
+    "yyyy-MM-dd['T'][ ]HH:mm[:ss][ ][XXX][XX][X]",
+    "yyyyMMdd'T'HHmmss[XX][X]",
+    "d MMM yyyy HH:mm[:ss][ ][XXX][XX][X][z]",
+    "MMM d yyyy HH:mm[:ss][ ][XXX][XX][X][z]",
+    "MMM d yyyy h:mm[:ss] a[ ][z]",
+    "MMM d HH:mm:ss yyyy",
     "yyyy-MM-dd",
+    "yyyy/M/d[ HH:mm[:ss]]",
+    "d MMM yyyy",
+    "MMM d yyyy",
 )
+MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
 
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def tidy(text: Column | str) -> Column:
+    """A date without weekday and fraction of a second, its month in three letters, its year in four digits, zones as offsets."""
+    steps = (
+        (r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+", ""),
+        (r"(\d{1,2}:\d{2}:\d{2})[.,]\d+", "$1"),
+        (rf"(?i)\b({MONTHS})[a-z]*\.?", "$1"),
+        (r"^(\d{1,2})[ -]([A-Za-z]{3})[ -](\d{2,4})\b", "$1 $2 $3"),
+        (r"^([A-Za-z]{3} \d{1,2})(?:st|nd|rd|th)?,\s*", "$1 "),
+        (r"^(\d{1,2} [A-Za-z]{3}) ([0-6]\d) ", "$1 20$2 "),
+        (r"^(\d{1,2} [A-Za-z]{3}) ([7-9]\d) ", "$1 19$2 "),
+        (r"(?i)\s*\b(utc|gmt|ut|z)$", "+00:00"),
+        (r"\s+", " "),
+    )
+    out = strip(text)
+    for pattern, new in steps:
+        out = F.regexp_replace(out, pattern, new)
+    return out
+
+
 def parse_date(text: Column | str) -> Column:
-    """A provider's date in UTC, null if none of the formats fits. The name of a weekday is dropped first."""
-    bare = F.regexp_replace(F.trim(_c(text)), r"^[A-Za-z]{3,9},\s*", "")
-    return F.coalesce(*(F.try_to_timestamp(bare, F.lit(f)) for f in FORMATS))
+    """A provider's date to the second, without a zone in UTC; null if none of the formats fits."""
+    return let(tidy(text), lambda t: F.coalesce(*(F.try_to_timestamp(t, F.lit(f)) for f in FORMATS)))
 
 
 def provider_date(text: Column | str, now: Column) -> Column:

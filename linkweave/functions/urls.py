@@ -22,6 +22,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def strip(text: Column | str) -> Column:
+    """Without white space of any kind around; null stays."""
+    return F.regexp_replace(_c(text), r"(?U)^\s+|\s+$", "")
+
+
 def extract_urls(text: Column | str) -> Column:
     """FN-1: every http(s) URL in a text, in order; null gives none."""
     return F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(r"""(?U)(https?://[^\s)\]>"']+)"""), F.lit(1))
@@ -81,7 +86,7 @@ def _resolve(url: Column, base: Column) -> Column:
             .otherwise(F.concat(site, dots(F.concat(folder, path)), rest))
         )
 
-    trimmed = F.regexp_replace(F.coalesce(url, F.lit("")), r"(?U)^\s+|\s+$", "")
+    trimmed = strip(F.coalesce(url, F.lit("")))
     return let(let(trimmed, of), lambda r: F.when(is_web(r), r).otherwise(""))
 
 
@@ -118,37 +123,45 @@ def is_shortened(url: Column | str) -> Column:
 
 def clean_candidate_url(url: Column | str) -> Column:
     """FN-7: without trailing prose punctuation; a closing bracket that the URL opened stays. '' if unusable."""
-    text = F.trim(F.coalesce(_c(url), F.lit("")))
+    text = strip(F.coalesce(_c(url), F.lit("")))
     # step by step from the end: one that isn't punctuation stops it, as does a bracket with a partner
-    strip = lambda u: F.when(
+    shorter = lambda u: F.when(
         u.rlike(r"\)$"), F.when(F.regexp_count(u, F.lit(r"\(")) >= F.regexp_count(u, F.lit(r"\)")), u).otherwise(F.regexp_replace(u, r"\)$", ""))
     ).otherwise(F.regexp_replace(u, r"[.,;:!?\]}']$", ""))
     most = F.char_length(F.regexp_extract(text, r"[.,;:!?)\]}']*$", 0))
-    cleaned = F.when(most == 0, text).otherwise(F.aggregate(F.sequence(F.lit(0), most), text, lambda u, _: strip(u)))
+    cleaned = F.when(most == 0, text).otherwise(F.aggregate(F.sequence(F.lit(0), most), text, lambda u, _: shorter(u)))
     return F.when(part(cleaned, 1).rlike("(?i)^https?$") & (part(cleaned, 2) != ""), cleaned).otherwise("")
 
 
 def normalize_feed_url(url: Column | str) -> Column:
-    """FN-8, FN-9: the key of a feed: lower-case scheme and host, no fragment, at least the path /.
+    """FN-8: the key of a feed: lower-case scheme and host, no fragment, at least the path /.
 
     Default ports and escapes stay as written.
     """
-    u = F.trim(F.coalesce(_c(url), F.lit("")))
+    u = strip(F.coalesce(_c(url), F.lit("")))
     scheme = F.lower(part(u, 1))
     path = F.when(part(u, 3) == "", "/").otherwise(part(u, 3))
     return F.when(u == "", "/").otherwise(F.concat(F.when(scheme != "", F.concat(scheme, F.lit("://"))).otherwise(""), F.lower(part(u, 2)), path, part(u, 4)))
 
 
+def absolute_feed_url(url: Column | str) -> Column:
+    """FN-9: the key of a feed that is added by hand: '' unless the URL is absolute http(s). Default ports are left out."""
+    key = F.regexp_replace(normalize_feed_url(url), r"^(http://[^/?#]*):80(?=[/?#]|$)|^(https://[^/?#]*):443(?=[/?#]|$)", "$1$2")
+    return F.when(F.coalesce(is_web(strip(url)), F.lit(False)), key).otherwise("")
+
+
 def canonical_hostname(url: Column | str) -> Column:
     """FN-10: host without www."""
     return F.regexp_replace(host(url), r"^www\.", "")
 
 
 def normalize_content_url(url: Column | str) -> Column:
-    """FN-10: without www., trailing slashes and fragment."""
-    u = F.trim(_c(url))
+    """FN-10: without www., trailing slashes and fragment; also of a relative link."""
+    u = strip(url)
     path = F.regexp_replace(part(u, 3), "/+$", "")
-    return F.concat(F.lower(part(u, 1)), F.lit("://"), F.regexp_replace(F.lower(part(u, 2)), r"^www\.", ""), F.when(path == "", "/").otherwise(path), part(u, 4))
+    whole = F.concat(F.lower(part(u, 1)), F.lit("://"), F.regexp_replace(F.lower(part(u, 2)), r"^www\.", ""), F.when(path == "", "/").otherwise(path), part(u, 4))
+    relative = F.regexp_replace(F.regexp_replace(u, "(?s)#.*$", ""), r"(?s)^([^?]*?)/+(\?.*)?$", "$1$2")
+    return F.when(part(u, 1) == "", F.when(relative == "", "/").otherwise(relative)).otherwise(whole)
 
 
 def is_tag_url(url: Column | str) -> Column:
@@ -187,7 +200,7 @@ def _any(tests: Iterable[Column]) -> Column:
 
 def primary_link(urls: Column, direct_link: Column) -> Column:
     """FN-36: the first safe link by position, else the direct link if that is safe."""
-    safe = lambda u: F.trim(u).rlike("(?i)^https?://") & (host(F.trim(u)) != "")
+    safe = lambda u: is_web(strip(u))
     return F.coalesce(F.try_element_at(F.filter(urls, safe), F.lit(1)), F.when(safe(direct_link), direct_link))
 
 
@@ -209,7 +222,7 @@ def subreddit_of(source: Column | str) -> Column:
 
 def clean_subreddit_name(name: Column | str) -> Column:
     """FN-11: without r/ and slashes around."""
-    bare = F.regexp_replace(F.trim(F.coalesce(_c(name), F.lit(""))), "^/+", "")
+    bare = F.regexp_replace(strip(F.coalesce(_c(name), F.lit(""))), "^/+", "")
     return F.regexp_replace(F.regexp_replace(bare, "^[rR]/", ""), "^/+|/+$", "")
 
 

@@ -53,13 +53,22 @@ def exported_links(posts: DataFrame, post_urls: DataFrame, limit: int | None = N
 
 
 def feed_snapshot(feeds: DataFrame) -> DataFrame:
-    """SNK-5, RPT-8: ``section, normalized_url, line``: active, disabled with what failed, removed with the time."""
+    """SNK-5, RPT-8: ``section, place, normalized_url, line`` of the three sections in order: active, disabled, removed.
+
+    Only active feeds stand without a leading #, so reading the list back (SRC-8) gives them alone. A section that has feeds begins
+    with a heading (place 0) that counts them; section 0 counts all three.
+    """
     status = labels.status("enabled", "deleted_at")
-    line = F.when(status == "active", F.col("feed_url")).when(
-        status == "disabled", F.concat_ws(" # ", "feed_url", labels.to_null(labels.health_detail("consecutive_failures", "last_status", "last_error")))
-    ).otherwise(F.concat(F.col("feed_url"), F.lit(" # removed "), F.date_format("deleted_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")))
     section = F.when(status == "active", 1).when(status == "disabled", 2).otherwise(3)
-    return feeds.select(section.alias("section"), "normalized_url", line.alias("line")).orderBy("section", "normalized_url")
+    failed = F.concat(F.lit("  (failures="), F.coalesce("consecutive_failures", F.lit(0)).cast("string"), F.coalesce(F.concat(F.lit(" last_error="), labels.to_null("last_error")), F.lit("")), F.lit(")"))
+    removed = F.concat(F.lit("  (removed "), F.coalesce(F.date_format("deleted_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("unknown")), F.lit(")"))
+    line = F.when(status == "active", F.col("feed_url")).otherwise(F.concat(F.lit("# "), F.col("feed_url"), F.when(status == "disabled", failed).otherwise(removed)))
+    rows = feeds.select(section.alias("section"), F.lit(1).alias("place"), "normalized_url", line.alias("line"))
+    heads = feeds.groupBy(section.alias("section"), status.alias("name")).agg(F.count("*").alias("n"))
+    heads = heads.select("section", F.lit(0).alias("place"), F.lit("").alias("normalized_url"), F.concat(F.lit("# --- "), "name", F.lit(" ("), F.col("n").cast("string"), F.lit(") ---")).alias("line"))
+    counts = [F.concat(F.lit(f"{name}="), F.count_if(status == name).cast("string")) for name in ("active", "disabled", "removed")]
+    top = feeds.agg(F.concat(F.lit("# "), F.concat_ws("  ", *counts)).alias("line")).select(F.lit(0).alias("section"), F.lit(0).alias("place"), F.lit("").alias("normalized_url"), "line")
+    return rows.unionByName(heads).unionByName(top).orderBy("section", "place", "normalized_url")
 
 
 def write_lines(lines: DataFrame, column: str, path: str) -> None:

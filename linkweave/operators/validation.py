@@ -24,18 +24,35 @@ def _null_or(c: str, test: Column) -> Column:
     return F.col(c).isNull() | test
 
 
+#: Fixed value: the form of a source type.
+SOURCE_TYPE = "^[a-z][a-z0-9_]*$"
+
+
+def _source_type(c: Column) -> Column:
+    return c.rlike(SOURCE_TYPE) & (F.char_length(c) <= 32)
+
+
+def fields_of(kind: str) -> dict[str, str]:
+    """Key -> type of a kind's records."""
+    return dict(f.strip().split(" ") for f in schemas.KINDS[kind][1].split(","))
+
+
+def typed(value: Column, name: str, kind: str, nullable: bool) -> Column:
+    """The key is there and its JSON value has the type of the schema; ``value``: the line as a variant."""
+    names = {"string": "STRING", "boolean": "BOOLEAN", "int": "BIGINT", "array<string>": "ARRAY<STRING>"}
+    found = F.schema_of_variant(F.try_variant_get(value, f"$.{name}", "variant"))
+    return found.isin(names[kind], "VOID") if nullable else found == names[kind]
+
+
 def record_rules(kind: str, p: str = "record.") -> dict[str, Column]:
-    """VAL-1: what a record of a kind must meet; ``p`` is the prefix of its fields."""
+    """VAL-1: what the values of a kind's record must meet beside their types; ``p`` is the prefix of its fields."""
     c = lambda n: F.col(p + n)
-    moment = lambda n: contract_timestamp(c(n)).isNotNull()
+    moment = lambda n: c(n).rlike(schemas.INSTANT) & contract_timestamp(c(n)).isNotNull()
     if kind == "posts":
         return {
             "unique_id": F.char_length(c("unique_id")).between(1, 256),
             "source": _filled(p + "source"),
-            "source_type": c("source_type").rlike("^[a-z][a-z0-9_]*$") & (F.char_length(c("source_type")) <= 32),
-            "author": c("author").isNotNull(),
-            "description": c("description").isNotNull(),
-            "direct_link": c("direct_link").isNotNull(),
+            "source_type": _source_type(c("source_type")),
             "posted_at": moment("posted_at"),
             "urls": (F.size(c("urls")) >= 1) & F.forall(c("urls"), lambda u: u.rlike(WEB)),
             "unique_urls": F.size(F.array_distinct(c("urls"))) == F.size(c("urls")),
@@ -45,21 +62,27 @@ def record_rules(kind: str, p: str = "record.") -> dict[str, Column]:
             "normalized_url": _filled(p + "normalized_url"),
             "feed_url": _filled(p + "feed_url"),
             "observed_at": moment("observed_at"),
-            "success": c("success").isNotNull(),
             "status": _null_or(p + "status", c("status").between(0, 599)),
             "latest_entry_at": _null_or(p + "latest_entry_at", moment("latest_entry_at")),
         }
     if kind == "checkpoints":
-        return {n: _filled(p + n) for n in ("source_type", "source_key", "cursor")} | {"observed_at": moment("observed_at")}
+        return {"source_type": _source_type(c("source_type")), "source_key": _filled(p + "source_key"), "cursor": _filled(p + "cursor"), "observed_at": moment("observed_at")}
     return {n: _filled(p + n) for n in (("did", "handle") if kind == "bluesky_follows" else ("account_id", "acct"))}
 
 
 def checked_records(rows: DataFrame, kind: str) -> DataFrame:
-    """VAL-1: ``rows (value, record)`` with ``errors``: not JSON, unknown keys, broken rules."""
-    known = [f.split(" ")[0] for f in schemas.KINDS[kind][1].split(", ")]
-    keys = F.json_object_keys("value")
-    rules = {"json": keys.isNotNull(), "unknown_keys": F.size(F.array_except(keys, F.array(*map(F.lit, known)))) == 0, **record_rules(kind)}
-    return rows.withColumn("errors", errors(rules))
+    """VAL-1: ``rows (value, record)`` with ``errors``: not JSON, unknown or missing keys, wrong types, broken rules.
+
+    A key's rule has the key's name; a wrong type and a missing key break it too.
+    """
+    fields, values = fields_of(kind), record_rules(kind)
+    keys, known = F.json_object_keys("value"), F.array(*map(F.lit, fields))
+    rules = {"json": keys.isNotNull(), "unknown_keys": F.size(F.array_except(keys, known)) == 0, "missing_keys": F.size(F.array_except(known, keys)) == 0}
+    for name, type_ in fields.items():
+        right = typed(F.col("_variant"), name, type_, name in schemas.NULLABLE[kind])
+        rules[name] = right & values.pop(name) if name in values else right
+    parsed = rows.withColumn("_variant", F.try_parse_json("value"))
+    return parsed.withColumn("errors", errors(rules | values)).drop("_variant")
 
 
 def manifest_problems(manifests: DataFrame) -> DataFrame:
@@ -71,6 +94,7 @@ def manifest_problems(manifests: DataFrame) -> DataFrame:
         "created_at": contract_timestamp("created_at").isNotNull(),
         "repeated_names": F.size(F.array_distinct(names)) == F.size(names),
         "counts": F.forall("files", lambda f: f["record_count"] >= 0),
+        "kinds": F.forall("files", lambda f: f["kind"].isin(*schemas.KINDS)),
         "names": F.forall(
             "files",
             lambda f: F.when(f["kind"] == "mastodon_follows", f["name"] == F.concat(F.lit("mastodon-follows-"), f["scope"], F.lit(".ndjson")))
@@ -81,10 +105,15 @@ def manifest_problems(manifests: DataFrame) -> DataFrame:
 
 
 def batch_problems(files: DataFrame, present: DataFrame) -> DataFrame:
-    """VAL-3, SET-3: ``batch_id, name, problem``: missing, undeclared, checksum, record count, blank lines."""
-    both = files.select("batch_id", "name", "record_count", F.col("sha256").alias("want")).join(present, ["batch_id", "name"], "full")
+    """VAL-3, SET-3: ``batch_id, name, problem``: missing, undeclared, too large, checksum, record count, blank lines.
+
+    ``present``: ``batch_id, name, sha256, lines, blank_line``; a file without a digest was too large to take one.
+    """
+    there = present.withColumn("there", F.lit(True))
+    both = files.select("batch_id", "name", "record_count", F.col("sha256").alias("want")).join(there, ["batch_id", "name"], "full")
     problem = (
-        F.when(F.col("sha256").isNull(), "missing")
+        F.when(F.col("there").isNull(), "missing")
+        .when(F.col("sha256").isNull(), "too_large")
         .when(F.col("want").isNull(), "undeclared")
         .when(F.col("want") != F.col("sha256"), "checksum")
         .when(F.col("record_count") != F.col("lines"), "record_count")

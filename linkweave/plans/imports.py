@@ -5,16 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import labels, urls
 from ..operators import filters, joins, merges
 from ..operators.windows import first_wins
 
 
+def content_link(link: Column) -> Column:
+    return F.when(urls.strip(link) == "", "").otherwise(urls.normalize_content_url(link))
+
+
+def of_ten(values: str, normalised) -> Column:
+    """FN-41: the first ten of an array, normalised, without blank ones."""
+    first = F.slice(F.coalesce(values, F.array().cast("array<string>")), 1, 10)
+    return F.filter(F.transform(first, lambda x: normalised(F.coalesce(x, F.lit("")))), lambda x: x != "")
+
+
 def check(candidates: DataFrame, responses: DataFrame, now: Column, days: int) -> DataFrame:
     """FIL-13, FN-41 on landed responses: ``seq, id, site, status, feed_key, feed_link, title, links, titles, final_url``.
 
     ``responses``: ``url, final_url, http_status, bad_xml, latest, feed_link, title, links, titles, entries``; a candidate
-    without one is dead. The first ten links and titles are compared.
+    without one is dead. The first ten links and titles are compared, normalised like the channel's own (FN-10); blank ones don't count.
     """
     r = candidates.join(responses, "url", "left")
     final = F.coalesce("final_url", "url")
@@ -24,10 +34,10 @@ def check(candidates: DataFrame, responses: DataFrame, now: Column, days: int) -
         urls.canonical_hostname(final).alias("site"),
         filters.candidate_status(F.col("http_status"), F.col("bad_xml"), F.col("entries"), F.col("latest"), now, days).alias("status"),
         urls.normalize_feed_url(final).alias("feed_key"),
-        F.coalesce("feed_link", F.lit("")).alias("feed_link"),
-        F.coalesce("title", F.lit("")).alias("title"),
-        F.slice(F.coalesce("links", F.array().cast("array<string>")), 1, 10).alias("links"),
-        F.slice(F.coalesce("titles", F.array().cast("array<string>")), 1, 10).alias("titles"),
+        content_link(F.coalesce("feed_link", F.lit(""))).alias("feed_link"),
+        labels.normalize_text(F.coalesce("title", F.lit(""))).alias("title"),
+        of_ten("links", content_link).alias("links"),
+        of_ten("titles", labels.normalize_text).alias("titles"),
         final.alias("final_url"),
     )
 

@@ -49,6 +49,8 @@ def rpt1_fil09_jn04_search_totals(spark, sf):
 def fil07_listing_filter(spark, sf):
     posts = web_posts(spark, sf)
     author = posts.where("source_type = 'reddit'").agg(F.min("author")).first()[0]
+    if author is None:  # no post has an author
+        return posts.limit(0).select("unique_id")
     return filters.listing_filter(posts, source_type="reddit", author=f" {author} ").select("unique_id")
 
 
@@ -73,6 +75,8 @@ def jn03_lim1_volume_page(spark, sf):
 def lim1_keyset_page(spark, sf):
     posts = volume_posts(spark, sf)
     last = posts.orderBy(F.desc("posted_at"), F.desc("unique_id")).offset(499).limit(1).first()
+    if last is None:  # fewer posts than ten pages
+        return posts.limit(0).select("unique_id")
     return windows.page_after(posts, 50, last.posted_at, last.unique_id).select("unique_id")
 
 
@@ -179,10 +183,11 @@ def rpt7_agg08_status_report(spark, sf):
 
 
 @query(
-    "WITH " + OBS_SQL + "," + FOLD_SQL + "," + FEEDS_SQL + """SELECT CASE WHEN deleted_at IS NOT NULL THEN 3 WHEN enabled THEN 1 ELSE 2 END AS section, normalized_url,
-    CASE WHEN deleted_at IS NOT NULL THEN feed_url || ' # removed 2026-01-01T00:00:00Z' WHEN enabled THEN feed_url
-      ELSE feed_url || ' # ' || concat_ws(' • ', 'HTTP ' || last_status, CASE WHEN consecutive_failures > 0 THEN consecutive_failures || ' consecutive failures' END, last_error) END AS line
-    FROM feeds LEFT JOIN health USING (normalized_url)"""
+    "WITH " + OBS_SQL + "," + FOLD_SQL + "," + FEEDS_SQL + """, s AS (SELECT *, CASE WHEN deleted_at IS NOT NULL THEN 3 WHEN enabled THEN 1 ELSE 2 END AS section FROM feeds LEFT JOIN health USING (normalized_url))
+    SELECT section, 1 AS place, normalized_url, CASE section WHEN 1 THEN feed_url WHEN 3 THEN '# ' || feed_url || '  (removed 2026-01-01T00:00:00Z)'
+      ELSE '# ' || feed_url || '  (failures=' || coalesce(consecutive_failures, 0) || coalesce(' last_error=' || last_error, '') || ')' END AS line FROM s
+    UNION ALL SELECT section, 0, '', '# --- ' || ['active', 'disabled', 'removed'][section] || ' (' || count(*) || ') ---' FROM s GROUP BY section
+    UNION ALL SELECT 0, 0, '', '# active=' || count(*) FILTER (WHERE section = 1) || '  disabled=' || count(*) FILTER (WHERE section = 2) || '  removed=' || count(*) FILTER (WHERE section = 3) FROM s"""
 )
 def rpt8_snk05_feed_snapshot(spark, sf):
     return sinks.feed_snapshot(joins.feeds_with_health(feeds(spark, sf), folded(spark, sf)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import html, labels, urls
 from ..operators import aggregates, validation
 from ..sources import lists, providers, state
@@ -142,26 +143,37 @@ def src08_src10_subreddit_lists(spark, sf):
 
 
 @query(
-    "WITH " + OBS_SQL + """SELECT event_id, concat_ws(',', CASE WHEN event_id % 10 = 0 THEN 'json' END, CASE WHEN event_id % 10 IN (0, 1) THEN 'unknown_keys' END, CASE WHEN event_id % 10 IN (0, 2) THEN 'normalized_url' END,
-      CASE WHEN event_id % 10 = 0 THEN 'feed_url' END, CASE WHEN event_id % 10 IN (0, 3) THEN 'observed_at' END, CASE WHEN event_id % 10 = 0 THEN 'success' END, CASE WHEN event_id % 10 = 4 THEN 'status' END) AS errors FROM obs"""
+    "WITH " + OBS_SQL + """, f AS (SELECT event_id, event_id % 12 AS m, unnest(['json', 'unknown_keys', 'missing_keys', 'normalized_url', 'feed_url', 'observed_at', 'success', 'status', 'error', 'etag', 'last_modified', 'latest_entry_at', 'site_link']) AS rule FROM obs)
+    SELECT event_id, coalesce(string_agg(rule, ',' ORDER BY rule) FILTER (WHERE m = 0 OR m = 1 AND rule = 'unknown_keys' OR m = 2 AND rule = 'normalized_url' OR m = 3 AND rule = 'observed_at' OR m = 4 AND rule = 'status'
+      OR m = 5 AND rule IN ('missing_keys', 'etag') OR m = 6 AND rule IN ('status', 'error') OR m = 7 AND rule = 'latest_entry_at' OR m = 8 AND rule = 'success'), '') AS errors FROM f GROUP BY event_id"""
 )
 def val1_checked_records(spark, sf):
-    m = F.col("event_id") % 10
+    """Lines that aren't JSON, have a surplus, a missing or an empty key, a value out of range or of a wrong type, and good ones."""
+    m = F.col("event_id") % 12
     o = observations(spark, sf)
-    record = F.struct(
-        F.when(m == 2, "").otherwise(F.col("normalized_url")).alias("normalized_url"),
-        F.col("normalized_url").alias("feed_url"),
-        F.when(m == 3, "yesterday").otherwise("2026-01-01T00:00:00Z").alias("observed_at"),
-        "success",
-        F.when(m == 4, 700).otherwise(F.col("status")).alias("status"),
-        F.when(m == 1, "x").alias("surplus"),
+    fields = {
+        "normalized_url": F.when(m == 2, "").otherwise(F.col("normalized_url")),
+        "feed_url": F.col("normalized_url"),
+        "observed_at": F.when(m == 3, "yesterday").otherwise("2026-01-01T00:00:00Z"),
+        "success": F.col("success"),
+        "status": F.when(m == 4, 700).otherwise(F.col("status")),
+        "error": F.col("error"),
+        "etag": F.col("etag"),
+        "last_modified": F.col("last_modified"),
+        "latest_entry_at": F.when(m == 7, "2026-01-01 00:00:00").otherwise(iso("latest_entry_at")),
+        "site_link": F.col("site_link"),
+    }
+    line = lambda **changed: F.to_json(F.struct(*(c.alias(n) for n, c in (fields | changed).items() if c is not None)), {"ignoreNullFields": "false"})
+    value = (
+        F.when(m == 0, '{"normalized_url": ')
+        .when(m == 1, line(surplus=F.lit("x")))
+        .when(m == 5, line(etag=None))
+        .when(m == 6, line(status=F.lit("abc"), error=F.lit(5)))
+        .when(m == 8, line(success=F.lit("true")))
+        .otherwise(line())
     )
-    value = F.when(m == 0, '{"normalized_url": ').otherwise(F.to_json(record))
-    rows = o.select("event_id", value.alias("value"))
-    from .. import schemas
-
-    rows = rows.withColumn("record", F.from_json("value", schemas.OBSERVATION))
-    return validation.checked_records(rows, "rss_observations").select("event_id", F.array_join("errors", ",").alias("errors"))
+    rows = o.select("event_id", value.alias("value")).withColumn("record", F.from_json("value", schemas.OBSERVATION))
+    return validation.checked_records(rows, "rss_observations").select("event_id", F.array_join(F.array_sort("errors"), ",").alias("errors"))
 
 
 @query(

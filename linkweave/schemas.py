@@ -25,6 +25,16 @@ KINDS = {
     "bluesky_follows": ("bluesky-follows.ndjson", BLUESKY_FOLLOW),
     "mastodon_follows": ("mastodon-follows-*.ndjson", MASTODON_FOLLOW),
 }
+#: Keys whose value may be null; all keys of a kind have to be there.
+NULLABLE = {
+    "posts": (),
+    "rss_observations": ("status", "error", "etag", "last_modified", "latest_entry_at", "site_link"),
+    "checkpoints": ("source_url",),
+    "bluesky_follows": ("display_name",),
+    "mastodon_follows": ("display_name", "url"),
+}
+#: Fixed value: how an instant is written in a record.
+INSTANT = "^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z$"
 HEALTH = (  # times without zone: UTC throughout
     "normalized_url string, last_fetched_at timestamp_ntz, last_success_at timestamp_ntz, last_status int, last_error string, consecutive_failures int, "
     "etag string, last_modified string, latest_entry_at timestamp_ntz, site_link string"

@@ -11,7 +11,7 @@ from ..operators.windows import first_wins
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:
     """SRC-8: ``seq, entry``: trimmed lines without blanks and comments."""
-    lines = spark.read.text(path).select(F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("r")).alias("seq"), F.trim("value").alias("entry"))
+    lines = spark.read.text(path).select(F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("r")).alias("seq"), urls.strip("value").alias("entry"))
     return entries(lines)
 
 

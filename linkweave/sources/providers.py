@@ -15,9 +15,9 @@ BLUESKY = (
 MASTODON = "array<struct<id:string,created_at:string,url:string,uri:string,content:string,card:struct<url:string>,account:struct<url:string,display_name:string,acct:string,username:string>>>"
 BLUESKY_FOLLOWS = "follows array<struct<did:string,handle:string,displayName:string>>"
 MASTODON_ACCOUNTS = "array<struct<id:string,acct:string,username:string,display_name:string,url:string>>"
-RSS = "channel struct<title:string,link:string,item:array<struct<title:string,link:string,pubDate:string>>>"
+RSS_ITEM = "array<struct<title:string,link:string,pubDate:string,`dc:date`:string>>"
+RSS = f"channel struct<title:string,link:string,item:{RSS_ITEM}>, item {RSS_ITEM}"  # RSS 1.0 has its items beside the channel
 ATOM = "title string, link array<struct<_rel:string,_type:string,_href:string>>, entry array<struct<title:string,link:array<struct<_rel:string,_href:string>>,published:string,updated:string>>"
-EMBED_DEPTH = 8
 
 
 def finished(posts: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def finished(posts: DataFrame) -> DataFrame:
 
 
 def rss_posts(bodies: DataFrame, now: Column) -> DataFrame:
-    """SRC-14: ``bodies (feed_url, body)`` of RSS or Atom; one post for each entry with a usable URL.
+    """SRC-14: ``bodies (feed_url, body)`` of RSS 0.9 to 2.0 or Atom; one post for each entry with a usable URL.
 
     A body that can't be parsed, or isn't there, gives no posts.
     """
@@ -34,8 +34,8 @@ def rss_posts(bodies: DataFrame, now: Column) -> DataFrame:
     rss = F.from_xml("body", RSS, {"attributePrefix": "_", "mode": "PERMISSIVE"})
     atom = F.from_xml("body", ATOM, {"attributePrefix": "_", "mode": "PERMISSIVE"})
     of_rss = bodies.where(F.col("body").isNotNull() & ~is_atom).select("feed_url", rss.alias("x")).select(
-        "feed_url", F.col("x.channel.title").alias("author"), html.site_link(F.col("x.channel.link"), F.array().cast("array<struct<rel:string,type:string,href:string>>")).alias("site"), F.explode("x.channel.item").alias("i")
-    ).select("feed_url", "author", "site", F.col("i.title").alias("title"), F.col("i.link").alias("link"), F.col("i.pubDate").alias("published"))
+        "feed_url", F.col("x.channel.title").alias("author"), html.site_link(F.col("x.channel.link"), F.array().cast("array<struct<rel:string,type:string,href:string>>")).alias("site"), F.explode(F.coalesce("x.channel.item", "x.item")).alias("i")
+    ).select("feed_url", "author", "site", F.col("i.title").alias("title"), F.col("i.link").alias("link"), F.coalesce("i.pubDate", "i.`dc:date`").alias("published"))
     links = F.col("x.link").cast("array<struct<rel:string,type:string,href:string>>")
     entry_link = lambda e: F.try_element_at(F.filter(e["link"], lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(1))["_href"]
     of_atom = bodies.where(F.col("body").isNotNull() & is_atom).select("feed_url", atom.alias("x")).select(
