@@ -79,13 +79,20 @@ def _anchors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield windows.anchor[windows.runs()]
 
 
+#: Runs of windows of a row from ``start`` on, with the hash of each; or, with ``starts``, all places of one window of a row.
 #: ``digest`` tells rows of one doc_id and different texts apart.
-OPEN = "key long, doc_id long, digest long, start int, windows int, hashes binary"
+OPEN = "key long, doc_id long, digest long, start int, windows int, hashes binary, starts binary"
 
 
-def _rows(key: np.ndarray, doc: np.ndarray, digest: np.ndarray, start: np.ndarray, windows: np.ndarray, hashes: list) -> pa.RecordBatch:
-    columns = [pa.array(key.view(np.int64)), pa.array(doc, pa.int64()), pa.array(digest, pa.int64()), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(hashes, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "digest", "start", "windows", "hashes"])
+def _rows(key: np.ndarray, doc: np.ndarray, digest: np.ndarray, start: np.ndarray, windows: np.ndarray, hashes: list | None = None, starts: list | None = None) -> pa.RecordBatch:
+    columns = [pa.array(key.view(np.int64)), pa.array(doc, pa.int64()), pa.array(digest, pa.int64()), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32))]
+    columns += [pa.nulls(len(key), pa.binary()) if x is None else pa.array(x, pa.binary()) for x in (hashes, starts)]
+    return pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "digest", "start", "windows", "hashes", "starts"])
+
+
+def _cut(values: np.ndarray, at: np.ndarray, kind: str) -> list[bytes]:
+    """The bytes of ``values`` from each place of ``at`` to the next."""
+    return [values[a:b].astype(kind).tobytes() for a, b in zip(at.tolist(), np.append(at[1:], len(values)).tolist(), strict=True)]
 
 
 def _spans(doc: np.ndarray, digest: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -125,16 +132,22 @@ def _candidates(shared):
         settled = doc > least
         if settled.any():
             d, h, s, n = _spans(doc[settled], digest[settled], start[settled])
-            yield _rows(mix(d.astype(np.uint64)), d, h, s, n, [None] * len(d))
+            yield _rows(mix(d.astype(np.uint64)), d, h, s, n)
         anchor, value, doc, digest, start = (x[~settled] for x in (anchor, value, doc, digest, start))
         at = run_starts(start, doc, digest, anchor)
-        if len(at):
-            hot = np.repeat(known.hot(anchor[at]), np.diff(np.append(at, len(doc))))
-            key = np.where(hot, join_hashes(anchor, value), anchor)
-            at = run_starts(start, doc, digest, key)
-            ends = np.append(at[1:], len(doc))
-            hashes = [value[a:b].astype("<u8").tobytes() for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
-            yield _rows(key[at], doc[at], digest[at], start[at], ends - at, hashes)
+        hot = np.repeat(known.hot(anchor[at]), np.diff(np.append(at, len(doc))))
+        if not hot.all():
+            key, v, d, h, s = (x[~hot] for x in (anchor, value, doc, digest, start))
+            at = run_starts(s, d, h, key)
+            yield _rows(key[at], d[at], h[at], s[at], np.diff(np.append(at, len(d))), _cut(v, at, "<u8"))
+        if hot.any():
+            key, v, d, h, s = (x[hot] for x in (join_hashes(anchor, value), value, doc, digest, start))
+            order = np.lexsort((s, v, key, h, d))
+            key, v, d, h, s = (x[order] for x in (key, v, d, h, s))
+            new = np.ones(len(d), bool)
+            new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1]) | (key[1:] != key[:-1]) | (v[1:] != v[:-1])
+            at = np.flatnonzero(new)
+            yield _rows(key[at], d[at], h[at], s[at], np.diff(np.append(at, len(d))), [x.tobytes() for x in v[at].astype("<u8")], _cut(s, at, "<i4"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -165,8 +178,11 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
         settled = batch.column("hashes").is_null().to_numpy(zero_copy_only=False)
         out = [(doc[settled], digest[settled], start[settled], count[settled])]
+        listed = batch.column("starts").is_valid().to_numpy(zero_copy_only=False)[~settled]
+        starts = [x for x in batch.column("starts").to_pylist() if x is not None]
         doc, digest, start, count, key = (x[~settled] for x in (doc, digest, start, count, key))
         if len(doc):
+            places, count = count, np.where(listed, 1, count)  # hashes of a row
             value = np.frombuffer(b"".join(x for x in batch.column("hashes").to_pylist() if x is not None), "<u8").astype(np.uint64)
             inner = np.arange(len(value)) - np.repeat(np.cumsum(count) - count, count)
             old = len(carry[2])
@@ -174,8 +190,14 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             value = np.concatenate([carry[1], value])
             owner = np.concatenate([carry[2], np.repeat(doc, count)])
             least, one = first_holders(keys, value, owner)
-            repeat = np.flatnonzero(owner[old:] > least[old:])
-            out.append(_spans(owner[old:][repeat], np.repeat(digest, count)[repeat], (np.repeat(start, count) + inner)[repeat]))
+            repeat = owner[old:] > least[old:]
+            run = np.flatnonzero(repeat & ~np.repeat(listed, count))
+            out.append(_spans(owner[old:][run], np.repeat(digest, count)[run], (np.repeat(start, count) + inner)[run]))
+            if listed.any():
+                again = repeat[np.cumsum(count)[listed] - 1]
+                each = np.repeat(again, places[listed])
+                at = np.frombuffer(b"".join(starts), "<i4").astype(np.int64)
+                out.append(_spans(*(np.repeat(x[listed], places[listed])[each] for x in (doc, digest)), at[each]))
             last = one & (keys == key[-1])
             carry = [keys[last], value[last], least[last]]
         doc, digest, start, count = (np.concatenate(x) for x in zip(*out, strict=True))

@@ -88,6 +88,7 @@ def test_a_hot_phrase_is_dealt_by_window(spark, monkeypatch):
     for i in range(300):
         own = [f"o{i}_{k}" for k in range(40)] if i % 10 else around[i % 3]
         docs.append((i, " ".join(own + phrase + own[::-1])))
+    docs += [(300 + i, " ".join(["one", "two"] * (30 + i % 40) + own[:5])) for i in range(60)]
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
     for hot in (sk.HOT, 20, 1):
         monkeypatch.setattr(sk, "HOT", hot)
