@@ -87,6 +87,18 @@ def classify_newer(current: DataFrame, records: DataFrame, keys: list[str], mome
     return bar.withColumn("applied", F.col("_bar").isNull() | (F.col(moment) > F.col("_bar"))).drop("_bar", "_known")
 
 
+#: The kinds of sources whose checkpoints are kept.
+CHECKPOINT_SOURCES = ("reddit", "bluesky", "mastodon")
+
+
+def checkpoint_counts(current: DataFrame, records: DataFrame) -> DataFrame:
+    """UPS-6, AGG-16: ``batch_id, checkpoints_applied, checkpoints_skipped``: a record of an unknown source is skipped, not an error."""
+    known = F.col("source_type").isin(*CHECKPOINT_SOURCES)
+    marked = classify_newer(current, records.where(known), ["source_type", "source_key"]).select("batch_id", "applied")
+    marked = marked.unionByName(records.where(~F.coalesce(known, F.lit(False))).select("batch_id", F.lit(False).alias("applied")))
+    return marked.groupBy("batch_id").agg(F.count_if("applied").alias("checkpoints_applied"), F.count_if(~F.col("applied")).alias("checkpoints_skipped"))
+
+
 def replace_snapshots(current: DataFrame, claims: DataFrame, snapshots: DataFrame, rows: DataFrame, member: str) -> tuple[DataFrame, DataFrame]:
     """UPS-7..9: (next rows, next claims). A strictly newer snapshot replaces all rows of its scope, even an empty one.
 

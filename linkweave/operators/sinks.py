@@ -2,21 +2,85 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import labels
 from .windows import limited
 
+#: Rows up to which a sink whose readers want one file writes one.
+ONE_FILE_ROWS = 1_000_000
+
 
 def json_lines(records: DataFrame) -> DataFrame:
     """SNK-1: ``value``: a JSON line for each record, keys in alphabetical order and nulls written, the same each time."""
     return records.select(F.to_json(F.struct(*(F.col(c) for c in sorted(records.columns))), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def write_records(records: DataFrame, path: str, order: str | None = None) -> None:
-    """SNK-1: the lines of one kind as text files."""
-    json_lines(records.orderBy(order) if order else records).write.mode("errorifexists").text(path)
+def _files(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop, so a file gets its name wherever the folder is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text, under its name only when it is whole."""
+    fs, where = _files(spark, path)
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{where.getParent()}/_{uuid.uuid4().hex}")
+    out = fs.create(draft)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(draft, where):
+        raise FileExistsError(path)
+
+
+def write_file(lines: DataFrame, path: str) -> None:
+    """One text file of that name; more than ONE_FILE_ROWS rows are refused."""
+    spark = lines.sparkSession
+    if not lines.limit(ONE_FILE_ROWS + 1).count() <= ONE_FILE_ROWS:
+        raise ValueError(f"more than {ONE_FILE_ROWS} rows for one file")
+    fs, where = _files(spark, path)
+    draft = f"{where.getParent()}/_{uuid.uuid4().hex}"
+    lines.coalesce(1).write.text(draft)
+    parts = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{draft}/part-*"))
+    if len(parts):
+        fs.rename(parts[0].getPath(), where)
+    else:
+        fs.create(where).close()
+    fs.delete(_files(spark, draft)[1], True)
+
+
+def file_name(kind: str, scope: str | None = None) -> str:
+    return schemas.KINDS[kind][0].replace("*", scope or "")
+
+
+def write_batch(spark: SparkSession, root: str, batch_id: str, kinds: dict[str, DataFrame], snapshots: list[tuple], created_at: str, **about: str | None) -> str | None:
+    """SNK-1, SNK-2: a batch folder: one file for each kind with records, one for each snapshot, and last the manifest.
+
+    ``kinds``: kind -> records, in order of arrival. ``snapshots``: (kind, scope or None, observed_at, records); an empty one is
+    content, an empty kind isn't. A cycle without content writes nothing and gives None. Until the manifest is there, the
+    batch doesn't exist for a reader.
+    """
+    from ..sources.batches import file_digests
+
+    folder = f"{root}/{batch_id}"
+    files = [(kind, None, None, rows) for kind, rows in kinds.items() if not rows.isEmpty()] + snapshots
+    if not files:
+        return None
+    for kind, scope, _, rows in files:
+        write_file(json_lines(rows), f"{folder}/{file_name(kind, scope)}")
+    there = {r["name"]: r for r in file_digests(spark, folder).collect()}
+    entries = []
+    for kind, scope, observed_at, _ in sorted(files, key=lambda f: (f[0], f[1] or "")):
+        found = there[file_name(kind, scope)]
+        entries.append({"name": found["name"], "kind": kind, "record_count": found["lines"], "sha256": found["sha256"], "scope": scope, "observed_at": observed_at})
+    manifest = {"contract_version": schemas.CONTRACT_VERSION, "batch_id": batch_id, "created_at": created_at, "collector_version": "1", "collector_commit": None, "catalog_revision": None, **about, "files": entries}
+    _write_text(spark, json.dumps(manifest, sort_keys=True), f"{folder}/manifest.json")
+    return folder
 
 
 def manifest_entries(present: DataFrame) -> DataFrame:
@@ -46,6 +110,22 @@ def may_replace(new_count: int, old_count: int) -> bool:
     return new_count > 0 or old_count == 0
 
 
+def write_catalog(snapshot: DataFrame, path: str) -> None:
+    """SNK-3: the row of ``catalog_snapshot`` as one JSON file, in place of an older one unless that would empty it."""
+    spark = snapshot.sparkSession
+    fs, where = _files(spark, path)
+    entries = lambda df: sum(df.select(F.size("rss_feeds"), F.size("subreddits")).first())
+    if fs.exists(where):
+        old = spark.read.schema(schemas.CATALOG).json(path, multiLine=True)
+        if not may_replace(entries(snapshot), entries(old)):
+            raise ValueError("an empty catalog doesn't replace one with entries")
+    text = snapshot.select(F.to_json(F.struct(*sorted(snapshot.columns)), {"ignoreNullFields": "false"})).first()[0]
+    draft = f"{path}.{uuid.uuid4().hex}"
+    _write_text(spark, text, draft)
+    fs.delete(where, False)
+    fs.rename(_files(spark, draft)[1], where)
+
+
 def exported_links(posts: DataFrame, post_urls: DataFrame, limit: int | None = None) -> DataFrame:
     """SNK-4, JN-8: links in byte order of their lower case, the resolved one if there is one."""
     rows = post_urls.join(posts.select("unique_id"), "unique_id").select(labels.exported_link("unshortened_url", "url").alias("link"))
@@ -72,12 +152,20 @@ def feed_snapshot(feeds: DataFrame) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, column: str, path: str) -> None:
-    """SNK-4..6: one ordered text file. The reader wants one file, so the last step is one task."""
-    lines.select(column).coalesce(1).write.mode("errorifexists").text(path)
+    """SNK-4..6: ordered lines as text: one file of that name, or, beyond ONE_FILE_ROWS, a folder whose part files follow the order."""
+    rows = lines.select(column)
+    if rows.limit(ONE_FILE_ROWS + 1).count() <= ONE_FILE_ROWS:
+        write_file(rows, path)
+    else:
+        rows.write.mode("errorifexists").text(path)
+
+
+def version_path(root: str, version: int, kind: str = "v") -> str:
+    return f"{root}/{kind}{version:08d}"
 
 
-def write_version(table: DataFrame, root: str, version: int) -> str:
-    """SNK-8: the next version of a table beside the old ones; the ledger names the current one."""
-    path = f"{root}/v{version:08d}"
-    table.write.mode("errorifexists").parquet(path)
+def write_version(table: DataFrame, root: str, version: int, kind: str = "v") -> str:
+    """SNK-8: a version of a table beside the older ones; a replay writes it again. The ledger says which versions count."""
+    path = version_path(root, version, kind)
+    table.write.mode("overwrite").parquet(path)
     return path

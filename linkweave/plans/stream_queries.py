@@ -14,8 +14,12 @@ from .views import OBS_SQL, table
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir; where that is unset (tests), one of the driver's own."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new folder in spark.checkpoint.dir; where that is unset, a local master gets one of its own and a cluster is refused."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
     return f"{root}/linkweave-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
@@ -44,9 +48,8 @@ def str05_first_posts_stream(spark, sf):
     SELECT event_id, coalesce(observed_at < bar, false) AS late FROM b"""
 )
 def str03_late_rows_stream(spark, sf):
-    """One micro-batch here, as the table is one file or folder that is there already."""
     e = events_stream(spark, sf)
     seq = F.col("event_id") + F.when(F.col("event_id") % 5 == 0, 400).otherwise(0)
     o = e.select(F.col("user_id").cast("string").alias("normalized_url"), (seq * 1_000_000_000 + F.col("event_id")).alias("seq"), F.col("ts").cast("timestamp").alias("observed_at"), (F.col("event_type") != "error").alias("success"))
-    out = run_to_end(publish.with_late_flag(o), work_folder(spark))
+    out = publish.flag_late_rows(o, work_folder(spark))
     return out.select((F.col("seq") % 1_000_000_000).alias("event_id"), "late")

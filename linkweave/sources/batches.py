@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.times import BATCH_ID
+from ..operators import merges
 
 BATCH_OF_PATH = r"/(\d{8}T\d{12}Z-[0-9a-f]{8})/[^/]*$"
 
@@ -46,18 +47,44 @@ def snapshot_rows(rows: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def outstanding(manifests_: DataFrame, ledger: DataFrame) -> DataFrame:
-    """SRC-7: batches that aren't in the ledger, by id (which is their order of arrival); other names are ignored."""
-    return manifests_.where(F.col("batch_id").rlike(BATCH_ID)).join(ledger.select("batch_id"), "batch_id", "left_anti")
+    """SRC-7, UPS-1: batches that aren't in the ledger, by id (which is their order of arrival); other names are ignored."""
+    return merges.outstanding(manifests_.where(F.col("batch_id").rlike(BATCH_ID)), ledger).orderBy("batch_id")
 
 
-def file_digests(spark: SparkSession, root: str) -> DataFrame:
-    """``batch_id, name, sha256, lines`` of the files that are there (VAL-3)."""
-    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.ndjson").option("recursiveFileLookup", "true").load(root)
+#: Larger files aren't read into a row to take their digest.
+MOST_BYTES = 1 << 30
+NOT_RECORDS = ("manifest.json", "failure.json")
+
+
+def empty_files(spark: SparkSession, folders: tuple[str, ...]) -> list[str]:
+    """Paths of the files without a byte, which a scan leaves out."""
+    out = []
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+        while found.hasNext():
+            status = found.next()
+            if status.getLen() == 0 and not status.getPath().getName().startswith(("_", ".")):
+                out.append(status.getPath().toString())
+    return out
+
+
+def file_digests(spark: SparkSession, *folders: str) -> DataFrame:
+    """``batch_id, name, sha256, lines, blank_line`` of the record files that are there (VAL-3).
+
+    A digest is of a whole file, so a file is one row; beyond MOST_BYTES it has no digest, which VAL-3 refuses.
+    """
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(folders))
+    own = lambda df: df.withColumns({"batch_id": F.regexp_extract("path", BATCH_OF_PATH, 1), "name": F.element_at(F.split("path", "/"), -1)}).where(F.col("batch_id") != "").where(~F.col("name").isin(*NOT_RECORDS))
     text = F.decode("content", "UTF-8")
-    return f.select(
-        F.regexp_extract("path", BATCH_OF_PATH, 1).alias("batch_id"),
-        F.element_at(F.split("path", "/"), -1).alias("name"),
+    small = own(f.where(F.col("length") <= MOST_BYTES)).select(
+        "batch_id",
+        "name",
         F.sha2("content", 256).alias("sha256"),
-        F.regexp_count(text, F.lit("\n")).alias("lines"),
+        (F.regexp_count(text, F.lit("\n")) + F.when(F.length("content") == 0, 0).when(F.endswith(text, F.lit("\n")), 0).otherwise(1)).alias("lines"),
         text.rlike("(?m)^[ \\t]*$\\n|^\\n").alias("blank_line"),
-    ).where("batch_id <> ''")
+    )
+    large = own(f.where(F.col("length") > MOST_BYTES).drop("content")).select("batch_id", "name", F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("int").alias("lines"), F.lit(None).cast("boolean").alias("blank_line"))
+    none = spark.createDataFrame([(p,) for p in empty_files(spark, folders)], "path string")
+    none = own(none).select("batch_id", "name", F.sha2(F.lit(b""), 256).alias("sha256"), F.lit(0).alias("lines"), F.lit(False).alias("blank_line"))
+    return small.unionByName(large).unionByName(none)

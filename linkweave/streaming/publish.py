@@ -1,37 +1,43 @@
 """Publishing landed batches: a file stream whose micro-batches are merged into versioned tables, exactly once.
 
-A micro-batch holds the lines of some batches. It is validated, batches that the ledger knows are left out, and the rest
-is merged in order of arrival (batch_id, then line). A version adds rows to the insert-only tables and holds the next
+The stream is of manifests, which a batch's writer writes last: what has no manifest yet isn't there yet, and waits. A micro-batch
+holds some manifests; those the ledger knows are left out, and of the others all files are read and verified: names, digests, counts,
+records. A batch that fails is quarantined as a whole and doesn't stop the others. The rest is merged in order of arrival (batch_id,
+then line): posts, links, observations, checkpoints and follows. A version adds rows to the insert-only tables and holds the next
 state of the keyed ones (as large as the catalog); its ledger, written last, makes it count: a replay after a failure
-finds either the old version or the batch in the ledger. Posts are compared by their keys alone and never rewritten.
-A query that fails stops and goes on from its checkpoint (STR-7); a bad batch is quarantined and doesn't stop the others.
+finds either the old version or the batch in the ledger. Posts are compared by their keys alone and never rewritten;
+``compact`` gathers the small versions. A query that fails stops and goes on from its checkpoint (STR-7).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.times import contract_timestamp
-from ..operators import merges, validation
-from ..sources.batches import BATCH_OF_PATH
+from ..operators import merges, sinks, validation
+from ..sources import batches
 
 TABLES = {
     "posts": "unique_id string, source string, source_type string, author string, description string, direct_link string, posted_at timestamp, first_seen_at timestamp",
     "post_urls": "unique_id string, position int, url string, url_hash string, unshortened_url string",
     "health": schemas.HEALTH.replace("timestamp_ntz", "timestamp"),
     "checkpoints": "source_type string, source_key string, observed_at timestamp, cursor string, source_url string",
-    "ledger": "batch_id string, published_at timestamp, record_count long",
+    "bluesky_follows": "scope string, did string, handle string, display_name string, synced_at timestamp",
+    "mastodon_follows": "scope string, account_id string, acct string, display_name string, url string, synced_at timestamp",
+    "follows_snapshots": "source_type string, scope string, observed_at timestamp, record_count long",
+    "ledger": "batch_id string, published_at timestamp, record_count long, posts_inserted long, urls_inserted long, checkpoints_applied long, checkpoints_skipped long",
     "rejected": "batch_id string, reason string, failed_at timestamp",
 }
-
-
 #: Tables whose versions add rows; of the others a version is the whole table.
 APPENDED = ("posts", "post_urls", "ledger", "rejected")
+#: Kind of a snapshot's file -> (source type, table, key of a member).
+FOLLOWS = {"bluesky_follows": ("bluesky", "did"), "mastodon_follows": ("mastodon", "account_id")}
 
 
 @dataclass
@@ -41,86 +47,136 @@ class Store:
     spark: SparkSession
     root: str
 
-    def version(self) -> int:
+    def _newest(self, kind: str) -> int:
         hadoop = self.spark._jvm.org.apache.hadoop.fs
         path = hadoop.Path(self.root)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        found = fs.globStatus(hadoop.Path(f"{self.root}/ledger/v*/_SUCCESS"))
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(hadoop.Path(f"{self.root}/ledger/{kind}*/_SUCCESS"))
         return max((int(s.getPath().getParent().getName()[1:]) for s in found), default=0)
 
+    def version(self) -> int:
+        return self._newest("v")
+
     def read(self, name: str, version: int | None = None) -> DataFrame:
         version = self.version() if version is None else version
         if not version:
             return self.spark.createDataFrame([], TABLES[name])
-        versions = range(1, version + 1) if name in APPENDED else (version,)
-        return self.spark.read.schema(TABLES[name]).parquet(*(self.path(name, v) for v in versions))
-
-    def path(self, name: str, version: int) -> str:
-        return f"{self.root}/{name}/v{version:08d}"
+        root, compacted = f"{self.root}/{name}", 0
+        if name not in APPENDED:
+            paths = [sinks.version_path(root, version)]
+        else:
+            compacted = self._newest("c")
+            compacted = compacted if compacted <= version else 0
+            paths = [sinks.version_path(root, v) for v in range(compacted + 1, version + 1)]
+        if compacted:
+            paths.append(sinks.version_path(root, compacted, "c"))
+        return self.spark.read.schema(TABLES[name]).parquet(*paths)
 
     def write(self, tables: dict[str, DataFrame], version: int) -> None:
         """New rows and next states as a version; the ledger comes last."""
         for name in [*(n for n in tables if n != "ledger"), "ledger"]:
             columns = [f.strip().split(" ")[0] for f in TABLES[name].split(",")]
-            tables[name].select(*columns).write.mode("overwrite").parquet(self.path(name, version))
+            sinks.write_version(tables[name].select(*columns), f"{self.root}/{name}", version)
+
+    def compact(self) -> None:
+        """Gathers the versions so far of the tables that add rows; readers then open one folder and what came after it."""
+        version = self.version()
+        if version > self._newest("c"):
+            for name in sorted(APPENDED, key=lambda n: n == "ledger"):
+                sinks.write_version(self.read(name, version), f"{self.root}/{name}", version, "c")
 
 
-def lines_stream(spark: SparkSession, root: str) -> DataFrame:
-    """STR-1: every line of the landed batches, with batch and file. Files are taken oldest first."""
-    lines = spark.readStream.schema("value string").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.ndjson").text(root)
+def manifests_stream(spark: SparkSession, root: str, most_batches: int = 1000) -> DataFrame:
+    """STR-1: ``batch_id, folder, value`` of each landed manifest, oldest first, ``most_batches`` in a micro-batch."""
+    files = spark.readStream.schema("value string").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "manifest.json")
+    path = F.col("_metadata.file_path")
+    rows = files.option("maxFilesPerTrigger", most_batches).text(root)
+    return rows.select(F.regexp_extract(path, batches.BATCH_OF_PATH, 1).alias("batch_id"), F.regexp_replace(path, "/[^/]*$", "").alias("folder"), "value").where("batch_id <> ''")
+
+
+def record_lines(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """``batch_id, file_name, line, value`` of all record files of some batches; ``line`` orders a file's lines."""
+    lines = spark.read.option("pathGlobFilter", "*.ndjson").option("recursiveFileLookup", "true").text(folders)
     return lines.select(
-        F.regexp_extract("_metadata.file_path", BATCH_OF_PATH, 1).alias("batch_id"),
+        F.regexp_extract("_metadata.file_path", batches.BATCH_OF_PATH, 1).alias("batch_id"),
         F.col("_metadata.file_name").alias("file_name"),
-        F.col("_metadata.file_block_start").alias("block"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("line"),
         "value",
-    ).where("batch_id <> ''")
+    )
 
 
-def ordered(rows: DataFrame, kind: str) -> DataFrame:
-    """The valid records of a kind with ``seq``, their place in the order of arrival."""
+def parsed(rows: DataFrame, kind: str) -> DataFrame:
+    """The lines of a kind's files with their ``record``."""
     name, schema = schemas.KINDS[kind]
-    parsed = rows.where(F.col("file_name") == name).withColumn("record", F.from_json("value", schema))
-    return parsed.select(F.struct("batch_id", "line").alias("seq"), "batch_id", "record.*")
-
-
-def problems(rows: DataFrame) -> DataFrame:
-    """VAL-1, VAL-4: ``batch_id, problem`` of the micro-batch's invalid lines."""
-    out = None
-    for kind in ("posts", "rss_observations", "checkpoints"):
-        name, schema = schemas.KINDS[kind]
-        parsed = rows.where(F.col("file_name") == name).withColumn("record", F.from_json("value", schema))
-        bad = validation.checked_records(parsed, kind).select("batch_id", F.explode("errors").alias("error")).select("batch_id", F.concat(F.lit(f"{kind}: "), "error").alias("problem"))
-        out = bad if out is None else out.unionByName(bad)
-    return out
-
-
-def apply_batches(store: Store, rows: DataFrame, now) -> None:
-    """UPS-1..6, UPS-10, STR-2..4: the next version of the tables after these lines; nothing if all are known."""
-    if "line" not in rows.columns:  # the row's place in its split is known only outside of the stream
-        rows = rows.withColumn("line", F.struct("block", F.monotonically_increasing_id().alias("row"))).drop("block")
-    version = store.version()
-    seen = store.read("ledger", version).select("batch_id").union(store.read("rejected", version).select("batch_id"))
-    rows = rows.join(seen, "batch_id", "left_anti")
-    if rows.isEmpty():
+    return rows.where(F.col("file_name").like(name.replace("*", "%"))).withColumn("record", F.from_json("value", schema))
+
+
+def ordered(rows: DataFrame, kind: str) -> DataFrame:
+    """The records of a kind with ``seq``, their place in the order of arrival."""
+    return parsed(rows, kind).select(F.struct("batch_id", "line").alias("seq"), "batch_id", "file_name", "record.*")
+
+
+def problems(manifests: DataFrame, rows: DataFrame, present: DataFrame) -> DataFrame:
+    """VAL-1..4: ``batch_id, problem`` of manifests, files and lines."""
+    found = [validation.manifest_problems(manifests)]
+    files = batches.manifest_files(manifests.withColumn("batch_id", F.col("dir_batch_id")))
+    found.append(validation.batch_problems(files, present).select("batch_id", F.concat("name", F.lit(": "), "problem").alias("problem")))
+    for kind in schemas.KINDS:
+        bad = validation.checked_records(parsed(rows, kind), kind).select("batch_id", F.explode("errors").alias("error"))
+        found.append(bad.select("batch_id", F.concat(F.lit(f"{kind}: "), "error").alias("problem")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def follows(store: Store, version: int, good: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
+    """UPS-7..9: the next follows and claims. ``files``: entries of the valid batches' manifests, with their time."""
+    claims, out, nexts = store.read("follows_snapshots", version), {}, []
+    for kind, (source_type, member) in FOLLOWS.items():
+        entries = files.where(F.col("kind") == kind).select(
+            F.concat_ws("/", "batch_id", "name").alias("snapshot_id"), F.coalesce("scope", F.lit("")).alias("scope"), contract_timestamp(F.coalesce("observed_at", "created_at")).alias("observed_at"), F.col("record_count").cast("long")
+        )
+        snapshots = entries.withColumn("seq", F.row_number().over(Window.partitionBy("scope").orderBy("snapshot_id")))
+        rows = ordered(good, kind).withColumn("snapshot_id", F.concat_ws("/", "batch_id", "file_name")).join(entries.select("snapshot_id", "scope"), "snapshot_id")
+        rows = rows.withColumn("line", F.row_number().over(Window.partitionBy("snapshot_id").orderBy("seq")))
+        own = claims.where(F.col("source_type") == source_type).drop("source_type")
+        out[kind], own = merges.replace_snapshots(store.read(kind, version), own, snapshots, rows, member)
+        nexts.append(own.withColumn("source_type", F.lit(source_type)))
+    return out | {"follows_snapshots": reduce(DataFrame.unionByName, nexts)}
+
+
+def apply_batches(store: Store, landed: DataFrame, now) -> None:
+    """UPS-1..10, STR-2..4: the next version of the tables after the batches ``landed (batch_id, folder, value)``; nothing if all are known."""
+    spark, version = store.spark, store.version()
+    known = store.read("ledger", version).select("batch_id").union(store.read("rejected", version).select("batch_id"))
+    new = merges.outstanding(landed, known)
+    names = new.columns
+    new = new.dropDuplicates(["batch_id"]).collect()  # as many as a micro-batch has manifests
+    if not new:
         return
-    rows = rows.persist()
+    manifests = spark.createDataFrame([tuple(r) for r in new], "batch_id string, folder string, value string").toDF(*names)
+    manifests = manifests.select(F.col("batch_id").alias("dir_batch_id"), F.from_json("value", schemas.MANIFEST).alias("m")).select("dir_batch_id", "m.*")
+    folders = [r["folder"] for r in new]
+    rows = record_lines(spark, folders).persist()
     try:
-        bad = validation.quarantine(problems(rows), now)
+        bad = validation.quarantine(problems(manifests, rows, batches.file_digests(spark, *folders)), now).persist()
         good = validation.reject(rows, bad)
+        valid = validation.reject(manifests.drop("batch_id").withColumnRenamed("dir_batch_id", "batch_id"), bad)
         posts = ordered(good, "posts").withColumn("posted_at", contract_timestamp("posted_at"))
-        new = merges.insert_ignore(store.read("posts", version), posts, "unique_id").withColumn("first_seen_at", now)
-        links = merges.urls_of(new).withColumn("unshortened_url", F.lit(None).cast("string"))
+        fresh = merges.insert_ignore(store.read("posts", version), posts, "unique_id").withColumn("first_seen_at", now).persist()
+        links = merges.urls_of(fresh).withColumn("unshortened_url", F.lit(None).cast("string"))
         o = ordered(good, "rss_observations")
         o = o.withColumns({c: contract_timestamp(c) for c in ("observed_at", "latest_entry_at")})
         c = ordered(good, "checkpoints").withColumn("observed_at", contract_timestamp("observed_at"))
-        c = c.withColumn("seq", F.row_number().over(_arrival()))
-        counts = good.groupBy("batch_id").agg(F.count("*").alias("record_count")).withColumn("published_at", now)
+        c = c.withColumn("seq", F.row_number().over(Window.partitionBy("source_type", "source_key").orderBy("seq")))
+        cursors = store.read("checkpoints", version)
+        counts = merges.ledger_entries(valid, good, fresh, links, now).join(merges.checkpoint_counts(cursors, c), "batch_id", "left")
+        counts = counts.withColumns({n: F.coalesce(n, F.lit(0)) for n in ("checkpoints_applied", "checkpoints_skipped")})
+        files = valid.select("batch_id", "created_at", F.explode("files").alias("f")).select("batch_id", "created_at", "f.*")
         store.write(
             {
-                "posts": new,
+                "posts": fresh,
                 "post_urls": links,
                 "health": merges.fold_health(store.read("health", version), o),
-                "checkpoints": merges.strictly_newer(store.read("checkpoints", version), c, ["source_type", "source_key"], ["cursor", "source_url"]),
+                "checkpoints": merges.strictly_newer(cursors, c.where(F.col("source_type").isin(*merges.CHECKPOINT_SOURCES)), ["source_type", "source_key"], ["cursor", "source_url"]),
+                **follows(store, version, good, files),
                 "rejected": bad,
                 "ledger": counts,
             },
@@ -130,14 +186,10 @@ def apply_batches(store: Store, rows: DataFrame, now) -> None:
         rows.unpersist()
 
 
-def _arrival():
-    return Window.partitionBy("source_type", "source_key").orderBy("seq")
-
-
-def publish(spark: SparkSession, landing: str, store: Store, checkpoint: str, now: Callable | None = None):
-    """STR-1..3, STR-6: publishes what has landed and ends; the checkpoint remembers the files that are done."""
+def publish(spark: SparkSession, landing: str, store: Store, checkpoint: str, now: Callable | None = None, most_batches: int = 1000):
+    """STR-1..3, STR-6: publishes what has landed and ends; the checkpoint remembers the manifests that are done."""
     moment = now or F.current_timestamp
-    stream = lines_stream(spark, landing)
+    stream = manifests_stream(spark, landing, most_batches)
     query = stream.writeStream.foreachBatch(lambda rows, _: apply_batches(store, rows, moment())).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
@@ -148,25 +200,43 @@ def first_posts(posts: DataFrame, retention: str = "30 days") -> DataFrame:
     return posts.withWatermark("posted_at", retention).dropDuplicatesWithinWatermark(["unique_id"])
 
 
-def with_late_flag(observations: DataFrame) -> DataFrame:
-    """STR-3, STR-4 for low latency: keyed state holds the newest time and the failures since the last success.
+STATE = "normalized_url string, newest timestamp, failures int"
+
 
-    ``normalized_url, observed_at, success`` -> the same with ``late`` and ``failures`` for each row, in the order in
-    which a micro-batch's rows are ordered by ``seq``.
+def late_flags(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """STR-3, STR-4: ``rows (normalized_url, seq, observed_at, success)`` with ``late`` and ``failures`` since the last success.
+
+    ``state`` (STATE): what came before. Late rows change nothing. Windows that run along a key spill, however many rows it has.
     """
-    import pandas as pd
-
-    def step(key, batches, state):
-        newest, fails = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        out = []
-        for at, ok in zip(rows["observed_at"], rows["success"], strict=True):
-            late = newest is not None and at < newest
-            if not late:
-                newest, fails = at.to_pydatetime(), 0 if ok else fails + 1
-            out.append((late, fails))
-        state.update((newest, fails))
-        yield rows.assign(late=[x[0] for x in out], failures=[x[1] for x in out])[["normalized_url", "seq", "observed_at", "success", "late", "failures"]]
-
-    schema = "normalized_url string, seq long, observed_at timestamp, success boolean, late boolean, failures int"
-    return observations.select("normalized_url", "seq", "observed_at", "success").groupBy("normalized_url").applyInPandasWithState(step, schema, "newest timestamp, failures int", "append", "NoTimeout")
+    key = Window.partitionBy("normalized_url").orderBy("seq")
+    bar = F.greatest(F.max("observed_at").over(key.rowsBetween(Window.unboundedPreceding, -1)), F.col("newest"))
+    marked = rows.join(state, "normalized_url", "left").withColumn("late", F.coalesce(F.col("observed_at") < bar, F.lit(False)))
+    counted = lambda test: F.sum((~F.col("late") & test).cast("int"))
+    marked = marked.withColumn("successes", counted(F.col("success")).over(key))
+    since = counted(~F.col("success")).over(Window.partitionBy("normalized_url", "successes").orderBy("seq"))
+    before = F.when(F.col("successes") == 0, F.coalesce("failures", F.lit(0))).otherwise(0)
+    return marked.select("normalized_url", "seq", "observed_at", "success", "late", (since + before).cast("int").alias("failures"))
+
+
+def next_state(flagged: DataFrame, state: DataFrame) -> DataFrame:
+    """STR-4: STATE after the flagged rows: one row a key."""
+    last = flagged.where("not late").groupBy("normalized_url").agg(F.max("observed_at").alias("n"), F.max_by("failures", "seq").alias("f"))
+    return last.join(state, "normalized_url", "full").select("normalized_url", F.coalesce("n", "newest").alias("newest"), F.coalesce("f", "failures").alias("failures"))
+
+
+def flag_late_rows(observations: DataFrame, folder: str) -> DataFrame:
+    """STR-3, STR-4, STR-6: a stream's rows with their flags, run to the end of what there is and read back from ``folder``.
+
+    A micro-batch writes its rows and the next state under its number, so a replay writes the same again.
+    """
+    spark, schema = observations.sparkSession, "normalized_url string, seq long, observed_at timestamp, success boolean, late boolean, failures int"
+
+    def step(rows: DataFrame, number: int) -> None:
+        state = spark.read.schema(STATE).parquet(sinks.version_path(f"{folder}/state", number)) if number else spark.createDataFrame([], STATE)
+        sinks.write_version(late_flags(rows, state), f"{folder}/out", number)
+        written = spark.read.schema(schema).parquet(sinks.version_path(f"{folder}/out", number))
+        sinks.write_version(next_state(written, state), f"{folder}/state", number + 1)
+
+    rows = observations.select("normalized_url", "seq", "observed_at", "success")
+    rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/out")

@@ -1,10 +1,13 @@
+import hashlib
 import json
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from linkweave.sources import batches
+from linkweave import schemas
+from linkweave.operators import aggregates, sinks
+from linkweave.sources import lists, state
 from linkweave.streaming import publish as pub
 
 
@@ -24,24 +27,48 @@ def checkpoint(cursor, at):
     return line(source_type="reddit", source_key="k", cursor=cursor, observed_at=at, source_url=None)
 
 
-def land(root, batch, **files):
+def manifest(folder, observed="2026-01-01T00:00:00Z", **changed):
+    files = []
+    for path in sorted(folder.glob("*.ndjson")):
+        kind = "mastodon_follows" if path.name.startswith("mastodon") else path.stem.replace("-", "_")
+        scope = path.stem.removeprefix("mastodon-follows-") if kind == "mastodon_follows" else None
+        content = path.read_bytes()
+        files.append({"name": path.name, "kind": kind, "record_count": content.count(b"\n"), "sha256": hashlib.sha256(content).hexdigest(), "scope": scope, "observed_at": observed if "follows" in kind else None})
+    document = {"contract_version": 1, "batch_id": folder.name, "created_at": observed, "collector_version": "1", "collector_commit": None, "catalog_revision": None, "files": files} | changed
+    (folder / "manifest.json").write_text(json.dumps(document))
+
+
+def put(root, batch, **files):
     folder = root / batch
-    folder.mkdir(parents=True)
+    folder.mkdir(parents=True, exist_ok=True)
     for name, lines in files.items():
         (folder / (name.replace("_", "-") + ".ndjson")).write_text("".join(x + "\n" for x in lines))
+    return folder
+
+
+def land(root, batch, observed="2026-01-01T00:00:00Z", **files):
+    manifest(put(root, batch, **files), observed)
 
 
 IDS = [f"20260101T00000000000{i}Z-0123abcd" for i in range(9)]
 
 
-def test_publish_once_in_order_with_bad_batches(spark, tmp_path):
+@pytest.fixture
+def place(spark, tmp_path):
+    """(landing folder, store, publish)."""
     landing, store = tmp_path / "landing", pub.Store(spark, str(tmp_path / "store"))
-    run = lambda: pub.publish(spark, str(landing), store, str(tmp_path / "cp"), lambda: F.lit("2026-02-01").cast("timestamp"))
+    landing.mkdir()
+    return landing, store, lambda: pub.publish(spark, str(landing), store, str(tmp_path / "cp"), lambda: F.lit("2026-02-01").cast("timestamp"))
+
+
+def test_publish_once_in_order_with_bad_batches(spark, place):
+    landing, store, run = place
     land(landing, IDS[0], posts=[post("a", "first"), post("a", "again")], rss_observations=[observation(f"2026-01-0{i}T00:00:00Z", False) for i in (1, 2, 3)], checkpoints=[checkpoint("c1", "2026-01-02T00:00:00Z")])
     land(landing, IDS[1], posts=[post("b"), post("a", "later")], checkpoints=[checkpoint("old", "2026-01-01T00:00:00Z"), checkpoint("same", "2026-01-02T00:00:00Z")])
     land(landing, IDS[2], posts=[post("c"), "not json"])
     (landing / "foreign").mkdir()
     (landing / "foreign" / "posts.ndjson").write_text(post("z") + "\n")
+    (landing / "foreign" / "manifest.json").write_text("{}")
     run()
     posts = {r.unique_id: r.source for r in store.read("posts").collect()}
     assert posts == {"a": "first", "b": "s"}
@@ -50,7 +77,8 @@ def test_publish_once_in_order_with_bad_batches(spark, tmp_path):
     assert (health.consecutive_failures, health.last_error, health.last_success_at) == (3, "bad", None)
     assert store.read("checkpoints").first().cursor == "c1"
     assert [r.batch_id for r in store.read("rejected").collect()] == [IDS[2]]
-    assert sorted(r.batch_id for r in store.read("ledger").collect()) == IDS[:2]
+    ledger = {r.batch_id: tuple(r)[2:] for r in store.read("ledger").collect()}
+    assert ledger == {IDS[0]: (6, 1, 2, 1, 0), IDS[1]: (4, 1, 2, 0, 2)}
 
     land(landing, IDS[3], rss_observations=[observation("2026-01-04T00:00:00Z", True, etag="e"), observation("2026-01-03T12:00:00Z", False)], checkpoints=[checkpoint("c2", "2026-01-05T00:00:00Z")])
     run()
@@ -58,19 +86,132 @@ def test_publish_once_in_order_with_bad_batches(spark, tmp_path):
     assert (health.consecutive_failures, health.last_error, health.etag) == (0, None, "e")
     assert store.read("checkpoints").first().cursor == "c2" and store.read("posts").count() == 2
     version = store.version()
-    rows = batches.records(spark, str(landing), "posts").select("batch_id", "file_name", "line", "value")
+    rows = spark.createDataFrame([(i, str(landing / i), (landing / i / "manifest.json").read_text()) for i in IDS[:4]], "batch_id string, folder string, value string")
     pub.apply_batches(store, rows, F.current_timestamp())  # a replay changes nothing
     assert store.version() == version
+    before = sorted(map(str, store.read("posts").collect())), sorted(map(str, store.read("ledger").collect()))
+    store.compact()
+    store.compact()
+    assert before == (sorted(map(str, store.read("posts").collect())), sorted(map(str, store.read("ledger").collect())))
+    land(landing, IDS[4], posts=[post("a"), post("d")])
+    run()
+    assert {r.unique_id for r in store.read("posts").collect()} == {"a", "b", "d"} and store.read("ledger").count() == 4
+
+
+def test_a_batch_waits_for_its_manifest(place):
+    landing, store, run = place
+    folder = put(landing, IDS[0], checkpoints=[checkpoint("c1", "2026-01-02T00:00:00Z")])
+    run()
+    assert store.version() == 0
+    put(landing, IDS[0], posts=[post("a")])
+    manifest(folder)
+    run()
+    assert store.read("posts").count() == 1 and store.read("checkpoints").count() == 1 and [r.record_count for r in store.read("ledger").collect()] == [2]
+
+
+def test_unverified_batches_are_quarantined(place):
+    landing, store, run = place
+    land(landing, IDS[0], posts=[post("a")])
+    (landing / IDS[0] / "posts.ndjson").write_text(post("b") + "\n")
+    land(landing, IDS[1], posts=[post("a")])
+    put(landing, IDS[1], checkpoints=[checkpoint("c", "2026-01-02T00:00:00Z")])
+    folder = put(landing, IDS[2], posts=[post("a"), post("b")])
+    manifest(folder)
+    (folder / "manifest.json").write_text((folder / "manifest.json").read_text().replace('"record_count": 2', '"record_count": 3'))
+    land(landing, IDS[3], posts=[post("a")], checkpoints=[checkpoint("c", "2026-01-02T00:00:00Z")])
+    (landing / IDS[3] / "posts.ndjson").unlink()
+    put(landing, IDS[4], posts=[post("a")])
+    (landing / IDS[4] / "manifest.json").write_text("not json")
+    manifest(put(landing, IDS[5], posts=[post("a")]), batch_id=IDS[6])
+    land(landing, IDS[7], posts=[post("kept")])
+    land(landing, IDS[8], posts=[line(unique_id="x")])
+    run()
+    reasons = {r.batch_id: r.reason for r in store.read("rejected").collect()}
+    assert reasons.pop(IDS[4]).startswith("batch_id; ") and "posts: missing_keys" in reasons.pop(IDS[8])
+    assert reasons == {IDS[0]: "posts.ndjson: checksum", IDS[1]: "checkpoints.ndjson: undeclared", IDS[2]: "posts.ndjson: record_count", IDS[3]: "posts.ndjson: missing", IDS[5]: "batch_id"}
+    assert [r.unique_id for r in store.read("posts").collect()] == ["kept"]
+
+
+def member(i, **more):
+    return line(account_id=f"m{i}", acct=f"a{i}", display_name=None, url=None, **more)
+
+
+def test_follows_are_replaced_by_newer_snapshots_alone(place):
+    landing, store, run = place
+    follow = lambda i: line(did=f"d{i}", handle=f"h{i}", display_name=None)
+    land(landing, IDS[0], "2026-01-02T00:00:00Z", bluesky_follows=[follow(1), follow(2)], **{"mastodon_follows_x.example": [member(1), member(2)], "mastodon_follows_y.example": [member(3)]})
+    land(landing, IDS[1], "2026-01-01T00:00:00Z", bluesky_follows=[follow(9)])
+    run()
+    shown = lambda name, key: sorted((r.scope, r[key]) for r in store.read(name).collect())
+    assert shown("bluesky_follows", "did") == [("", "d1"), ("", "d2")]
+    land(landing, IDS[2], "2026-01-03T00:00:00Z", bluesky_follows=[], **{"mastodon_follows_x.example": [member(2), member(4)]})
+    run()
+    assert shown("bluesky_follows", "did") == []
+    assert shown("mastodon_follows", "account_id") == [("x.example", "m2"), ("x.example", "m4"), ("y.example", "m3")]
+    claims = {(r.source_type, r.scope): (r.observed_at.day, r.record_count) for r in store.read("follows_snapshots").collect()}
+    assert claims == {("bluesky", ""): (3, 0), ("mastodon", "x.example"): (3, 2), ("mastodon", "y.example"): (2, 1)}
+
+
+def test_checkpoints_of_unknown_sources_are_skipped_and_counted(place):
+    landing, store, run = place
+    land(landing, IDS[0], checkpoints=[checkpoint("c", "2026-01-02T00:00:00Z"), checkpoint("c", "2026-01-02T00:00:00Z").replace("reddit", "later_source")], posts=[post("a")])
+    run()
+    assert [(r.checkpoints_applied, r.checkpoints_skipped, r.posts_inserted) for r in store.read("ledger").collect()] == [(1, 1, 1)]
+    assert [r.source_type for r in store.read("checkpoints").collect()] == ["reddit"]
+
+
+def test_written_batches_are_read_back(spark, place):
+    landing, store, run = place
+    rows = lambda *lines: spark.createDataFrame([json.loads(x) for x in lines], schemas.POST)
+    assert sinks.write_batch(spark, str(landing), IDS[0], {"posts": rows(post("a")).limit(0)}, [], "2026-01-01T00:00:00Z") is None
+    assert not list(landing.iterdir())
+    empty = spark.createDataFrame([], schemas.BLUESKY_FOLLOW)
+    sinks.write_batch(spark, str(landing), IDS[0], {"posts": rows(post("é"), post("b"))}, [("bluesky_follows", None, "2026-01-02T00:00:00Z", empty)], "2026-01-01T00:00:00Z")
+    assert {p.name for p in (landing / IDS[0]).iterdir() if p.suffix != ".crc"} == {"posts.ndjson", "bluesky-follows.ndjson", "manifest.json"}
+    run()
+    assert {r.unique_id for r in store.read("posts").collect()} == {"é", "b"} and store.read("rejected").count() == 0
+    assert [r.record_count for r in store.read("follows_snapshots").collect()] == [0]
+
+
+def test_catalogs_and_lists_are_written(spark, tmp_path):
+    feeds = spark.createDataFrame([("k", "u", True, None, 0, None)], "normalized_url string, feed_url string, enabled boolean, deleted_at timestamp, consecutive_failures int, last_error string")
+    subs = spark.createDataFrame([("s", "S")], "normalized_name string, name string")
+    revision = aggregates.catalog_revision(feeds, subs)
+    path = str(tmp_path / "catalog.json")
+    row = lambda f, s: sinks.catalog_snapshot(f, s, F.lit("2026-01-01"), revision)
+    sinks.write_catalog(row(feeds, subs), path)
+    sinks.write_catalog(row(feeds, subs.limit(0)), path)
+    with pytest.raises(ValueError):
+        sinks.write_catalog(row(feeds.limit(0), subs.limit(0)), path)
+    catalog = state.read_catalog(spark, path)
+    assert [r.normalized_url for r in state.catalog_feeds(catalog).collect()] == ["k"] and state.catalog_subreddits(catalog).count() == 0
+
+    more = feeds.union(spark.createDataFrame([("l", "https://off", False, None, 3, "boom"), ("m", "https://gone", True, datetime(2026, 1, 2), 0, None)], feeds.schema))
+    sinks.write_lines(sinks.feed_snapshot(more), "line", str(tmp_path / "feeds.txt"))
+    text = (tmp_path / "feeds.txt").read_text().splitlines()
+    assert text == ["# active=1  disabled=1  removed=1", "# --- active (1) ---", "u", "# --- disabled (1) ---", "# https://off  (failures=3 last_error=boom)", "# --- removed (1) ---", "# https://gone  (removed 2026-01-02T00:00:00Z)"]
+    assert [r.entry for r in lists.read_list(spark, str(tmp_path / "feeds.txt")).collect()] == ["u"]
+
+
+def test_many_lines_are_ordered_part_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "ONE_FILE_ROWS", 10)
+    rows = spark.range(500).select(F.format_string("%04d", "id").alias("line")).repartition(4)
+    sinks.write_lines(rows.orderBy("line"), "line", str(tmp_path / "many"))
+    parts = sorted(p for p in (tmp_path / "many").iterdir() if p.name.startswith("part"))
+    assert "".join(p.read_text() for p in parts).split() == [f"{i:04d}" for i in range(500)]
 
 
 def test_state_of_late_rows(spark, tmp_path):
-    rows = [("f", i, datetime(2026, 1, d), ok) for i, (d, ok) in enumerate([(2, False), (3, False), (1, True), (3, False), (4, True), (4, False)])]
-    spark.createDataFrame(rows, "normalized_url string, seq long, observed_at timestamp, success boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("normalized_url string, seq long, observed_at timestamp, success boolean").parquet(str(tmp_path / "in"))
-    query = pub.with_late_flag(stream).writeStream.format("memory").queryName("late").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    got = [(r.late, r.failures) for r in spark.table("late").orderBy("seq").collect()]
-    assert got == [(False, 1), (False, 2), (True, 2), (False, 3), (False, 0), (False, 1)]
+    schema = "normalized_url string, seq long, observed_at timestamp, success boolean"
+    rows = [("f", i, datetime(2026, 1, d), ok) for i, (d, ok) in enumerate([(2, False), (3, False), (1, True), (3, False), (4, True), (4, False), (3, True), (4, False)])]
+    stream = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    want = [(False, 1), (False, 2), (True, 2), (False, 3), (False, 0), (False, 1), (True, 1), (False, 2)]
+    for part in (rows[:4], rows[4:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out = pub.flag_late_rows(stream(), str(tmp_path / "work"))
+        got = [(r.late, r.failures) for r in out.orderBy("seq").collect()]
+        assert got == want[: len(got)]
+    assert len(got) == 8
 
 
 def test_stream_without_repeats(spark, tmp_path):
