@@ -4,7 +4,8 @@ Merging works on a segment tree over the ranks of adjacent pairs: its root holds
 the leftmost place; a merge updates three leaves in logarithmic time, until no pair has a rank. A text falls apart
 into pieces by the pattern first, and the ids of the pieces seen last are kept in a bounded cache per Python worker.
 
-Null text: empty, no ids. Special tokens written in a text get their own id, as the tokenizers library does.
+Null and empty texts: no ids, and no ids decode to the empty text. Texts of any length are encoded whole, a piece of a
+long one too. Of equal ranks the leftmost pair merges first. Repeated rows have a row each; an empty table gives no rows. Special tokens written in a text get their own id, as the tokenizers library does.
 Extra columns pass through ``encode`` and ``decode``; an existing column of the output's name is replaced.
 """
 

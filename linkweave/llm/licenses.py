@@ -2,14 +2,18 @@
 
 Every line of a text is classified alone, and so is every group of consecutive lines, without a blank one, that is no
 longer than ``MOST_WORDS`` and one more line: notices are often wrapped. A line or group may name several families: the
-words of the notice that was found are taken out and the rest is classified again. Groups that share more than one line, or that
-touch one of the same family, count once, the most similar first. A match is placed by its first line. The features are the word 1- to 3-grams that the licence notices have; a softmax
-regression over them tells the families and "unknown" apart. Training makes variants of the notices (words left out,
-words around them) and takes unknown paragraphs from near misses and from a bounded sample of the documents
-(``sample_rows``). The temperature that fits held-back paragraphs best calibrates the probabilities. A family counts when
-it is likelier than not and one of its notices is close to the paragraph in word pairs.
-
-Null and empty texts have no paragraphs.
+words of the notice that was found are taken out and the rest is classified again. Groups that share more than one line, or
+that touch one of the same family, count once, the most similar first. A match is placed by its first line.
+
+The features are the word 1- to 3-grams that the licence notices have; a softmax regression over them tells the families
+and "unknown" apart. Training makes variants of the notices (words left out, words around them) and takes unknown
+paragraphs from near misses and from a bounded, documented sample of the documents (``fit``). The temperature that fits
+held-back paragraphs best calibrates the probabilities. A family counts when it is likelier than not and one of its
+notices is close to the paragraph in word pairs.
+
+Defined cases. Null and empty texts have no paragraphs and no matches. Texts of any length are scanned whole. Of notices that
+are equally close the first in ``NOTICES`` stands for its family. Repeated rows have a row each with the same matches. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -218,7 +222,7 @@ def train(unknown: list[str], seed: int = 11, variants: int = 40, steps: int = 1
     """A model from the notices, the near misses and ``unknown`` paragraphs."""
     rng = random.Random(seed)
     families = list(NOTICES)
-    filler = [w for p in unknown[:500] for w in words_of(p)] or ["word"]
+    filler = [w for p in unknown for w in words_of(p)] or ["word"]
     texts, labels = [], []
     for c, family in enumerate(families):
         for notice in NOTICES[family]:
@@ -270,21 +274,23 @@ def train(unknown: list[str], seed: int = 11, variants: int = 40, steps: int = 1
     return model
 
 
-def fit(docs: DataFrame, sample_rows: int = 300) -> Model:
-    """A model whose unknown paragraphs come from the ``sample_rows`` documents with the least hash of doc_id.
+def fit(docs: DataFrame, sample_rows: int = 300, paragraphs: int = 3000, most_bytes: int = 4096) -> Model:
+    """A model whose unknown paragraphs are drawn from the ``sample_rows`` documents with the least hash of doc_id.
 
-    Paragraphs close to a notice aren't taken as unknown.
+    Of their lines the ``paragraphs`` with the least hash are taken, none longer than ``most_bytes``; this bounds what goes to the
+    driver. Paragraphs close to a notice aren't taken as unknown. Only training samples: ``scan`` looks at every text.
     """
     chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(2 * sample_rows).collect()
+    lines = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.explode(F.split("text", "\n")).alias("line"))
+    lines = lines.where(F.octet_length("line").between(1, most_bytes)).groupBy("line").count()
+    drawn = lines.orderBy(F.xxhash64("line", F.lit(6)), "line").limit(paragraphs).select("line").collect()
     templates = [pairs_of(words_of(n)) for notices in NOTICES.values() for n in notices]
     unknown = []
-    for row in rows:
-        for paragraph in (row.text or "").split("\n"):
-            pairs = pairs_of(words_of(paragraph))
-            if len(pairs) > 1 and all(2 * len(pairs & t) < 0.5 * (len(pairs) + len(t)) for t in templates):
-                unknown.append(paragraph)
-    return train(unknown[: 10 * sample_rows])
+    for row in drawn:
+        pairs = pairs_of(words_of(row.line))
+        if len(pairs) > 1 and all(2 * len(pairs & t) < 0.5 * (len(pairs) + len(t)) for t in templates):
+            unknown.append(row.line)
+    return train(unknown)
 
 
 def scan(docs: DataFrame, model: Model, name: str = "matches") -> DataFrame:

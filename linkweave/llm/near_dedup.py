@@ -11,6 +11,7 @@ shingle; no words: empty, linked with nothing). Two sets are linked when 100 * |
 4. In buckets whose members are in several components by then, a link may be left between members of two. What two sets
    share lies in the centre of the bucket, or in shingles outside of it that a second class has (a count-min sketch
    overestimates them, never under). Pairs that this bound allows are confirmed like the stars; the rest can't be links.
+   A large bucket is dealt in blocks of ``PAIR_BLOCK`` members for this, two blocks a task, so no task has all of it.
 
 So no pair that shares a bucket is lost; a pair at similarity 0.75 shares none with a probability of about 1e-5.
 """
@@ -32,6 +33,7 @@ from .text import Words, join_hashes, mix, slices
 WIDTH = 5
 BINS, ROWS = 128, 4
 SIMILAR, OUT_OF = 75, 100
+PAIR_BLOCK = 512
 _DRAWS = np.array([np.random.default_rng(1000 + b).permutation(BINS) for b in range(BINS)])
 
 
@@ -96,8 +98,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = [[int(mix(s ^ np.uint64(c)).sum(dtype=np.uint64).astype(np.int64)) for s in sets] for c in (0x51, 0xA7)]
             bands = [values[i] if n else values[i, :0] for i, n in enumerate(sizes)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(key[0], pa.int64()), pa.array(key[1], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "k1", "k2", "bands"],
+                [part.column("doc_id"), part.column("digest"), pa.array(sizes, pa.int64()), pa.array(key[0], pa.int64()), pa.array(key[1], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "digest", "n_shingles", "k1", "k2", "bands"],
             )
 
 
@@ -105,7 +107,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
             sets = [s.astype("<u8").tobytes() for s in shingle_sets(part.column("text"))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,20 +132,24 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs (doc_id, text, ...)``.
 
-    Null text: empty. Repeated doc_ids must repeat the text, and give a row each. A null doc_id is its own class with a
-    null component and is kept. An empty table gives no rows. Other columns are ignored.
+    Null text: empty. Repeated rows give a row each. Of rows with one doc_id and different texts, the text with the least digest is
+    compared with similar ones; the others are linked with equal sets alone. A null doc_id is its own class with a null component
+    and is kept. Texts of any length are taken whole. An empty table gives no rows. Other columns are ignored.
     """
     ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = materialise(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
+    sketch = materialise(docs.mapInArrow(_sketches, "doc_id long, digest long, n_shingles long, k1 long, k2 long, bands array<long>"))
     classes = sketch.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    held = sketch.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    ends = classes.select(F.col("rep").alias("doc_id"), "k1", "k2", "n_shingles")
+    one = sketch.select("doc_id", "digest", "k1", "k2", "n_shingles").join(ends, ["doc_id", "k1", "k2", "n_shingles"], "left_semi").groupBy("doc_id").agg(F.min("digest").alias("digest"))
+    held = sketch.join(one, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"])
     members = held.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = materialise(members.join(sizes, "bucket"))
     weight = members.groupBy("doc_id").agg(F.sum("size").alias("weight"))
     centres = members.join(weight, "doc_id").groupBy("bucket").agg(F.max(F.struct("weight", -F.col("doc_id"), "n")).alias("c")).select("bucket", (-F.col("c.col2")).alias("centre"), F.col("c.n").alias("m"))
-    sets = materialise(docs.join(weight, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, shingles binary"))
+    wanted = one.join(weight.select("doc_id"), "doc_id")
+    sets = materialise(docs.join(wanted, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, shingles binary"))
 
     stars = members.join(centres, "bucket").where(f"doc_id <> centre and {OUT_OF} * least(m, n) >= {SIMILAR} * greatest(m, n)")
     stars = stars.select(F.least("doc_id", "centre").alias("u"), F.greatest("doc_id", "centre").alias("v")).distinct()
@@ -199,10 +205,15 @@ def _possible_pairs(left: DataFrame, sets: DataFrame) -> DataFrame:
     # what two sets share lies in the centre, or in what each shares with others outside of it
     able = materialise(_several(able).select("bucket", "doc_id", "n", "component", F.coalesce("common", "shared").alias("inside"), F.when(F.col("common").isNull(), F.col("shared")).otherwise(F.col("shared") - F.col("common")).alias("outside"), "shared"))
     able = able.join(able.groupBy("doc_id").agg(F.collect_set("bucket").alias("buckets")), "doc_id")  # a pair comes once, in the least bucket it shares
-    other = able.select("bucket", *(F.col(c).alias(f"{c}_") for c in able.columns if c != "bucket"))
+    blocks = F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("blocks")
+    able = able.join(able.groupBy("bucket").agg(blocks), "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    # each two blocks of a bucket meet once: a member of the lower block with all blocks from its own on
+    lower = able.withColumn("low", F.col("block")).withColumn("high", F.explode(F.sequence("block", F.col("blocks") - 1)))
+    upper = able.select("bucket", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("low"), F.col("block").alias("high"), *(F.col(c).alias(f"{c}_") for c in ("doc_id", "n", "component", "inside", "outside", "shared", "buckets")))
     most = "least(least(shared, shared_), least(inside, inside_) + least(outside, outside_))"
     fits = f"{OUT_OF} * least(n, n_) >= {SIMILAR} * greatest(n, n_) and {SIMILAR + OUT_OF} * {most} >= {SIMILAR} * (n + n_)"
-    return able.join(other, "bucket").where(f"doc_id < doc_id_ and component <> component_ and {fits} and bucket = array_min(array_intersect(buckets, buckets_))").select(F.col("doc_id").alias("u"), F.col("doc_id_").alias("v"))
+    pairs = lower.join(upper, ["bucket", "low", "high"]).where(f"(low < high or doc_id < doc_id_) and component <> component_ and {fits} and bucket = array_min(array_intersect(buckets, buckets_))")
+    return pairs.select(F.least("doc_id", "doc_id_").alias("u"), F.greatest("doc_id", "doc_id_").alias("v"))
 
 
 def _shingles(batch: pa.RecordBatch) -> Iterator[np.ndarray]:

@@ -2,6 +2,11 @@
 
 The trees are complete and flat: arrays of features and thresholds by level, so a batch walks all trees with a few
 numpy operations. Training runs on a bounded sample of labelled rows (``sample_rows``); scoring covers every text.
+
+Defined cases. Null, empty and wordless texts have statistics of zero and the score that the trees give those. Texts of any
+length are taken whole. Of equally good splits the first feature's is taken, so fits on equal samples are equal. Repeated
+rows have a row each with the same score. An empty table gives no rows; without labels, or with one label, the score is a
+constant.
 """
 
 from __future__ import annotations

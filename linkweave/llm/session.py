@@ -66,11 +66,27 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _delete(spark, folders.pop())
 
 
+#: Bytes of an Arrow batch, which is held on both sides of a Python worker, while a table is materialised.
+ARROW_BYTES = 8 << 20
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """The session's setting for what is run inside; the caller's own is put back."""
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+
+
 def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = path or new_path(spark)
-    df.write.parquet(path)
+    with setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_BYTES}b"):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._linkweave_path = path
     return out

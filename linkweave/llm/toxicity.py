@@ -6,6 +6,10 @@ feature is scaled by its log-odds between toxic and other rows of the sample; th
 fewer than ``LEAST_ROWS`` texts, weigh nothing, so a long text doesn't gather noise. The labels only say toxic or not;
 training grades the toxic rows of its sample by thirds of the number of their features whose log-odds are above
 ``EVIDENCE``: 0 not toxic, 1 to 3 mild to severe.
+
+Defined cases. Null, empty and wordless texts have no evidence: the least severity, grade 0. Texts of any length are taken
+whole; a feature counts once a text. Of equally likely grades the lower one is given. Repeated rows have a row each with the
+same scores. An empty table gives no rows; without labels nothing is toxic.
 """
 
 from __future__ import annotations

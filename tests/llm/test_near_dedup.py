@@ -88,3 +88,25 @@ def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(10, 40)] + [(1, 5), (5, 3), (7, 7), (None, 2)], "u long, v long")
     got = dict(components(edges).collect())
     assert got == {**{i: 10 for i in range(10, 41)}, 1: 1, 3: 1, 5: 1}
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    docs = [(5, a), (5, b), (5, b), (7, b), (8, a + " more"), (9, b + " more"), (3, None), (3, "x y")]
+    for parts in (1, 4):
+        frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in nd.near_duplicates(frame).collect())
+        assert [g[:2] for g in got] == sorted([(5, 56), (5, 56), (5, 56), (7, 56), (8, 57), (9, 57), (3, 0), (3, 1)])
+        of = {i: c for i, _, c in got}
+        assert of[7] == 5 and sorted((of[8], of[9])) in ([5, 8], [5, 9]) and of[3] == 3
+
+
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch, tmp_path):
+    """A chain of texts, each similar to its neighbours alone, that share buckets: every block size finds the same links."""
+    words = [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join(words[6 * i : 6 * i + 120])) for i in range(45)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = {i: c for i, (_, c, _) in brute_force(docs).items()}
+    for size in (1, 3, 512):
+        monkeypatch.setattr(nd, "PAIR_BLOCK", size)
+        assert {r.doc_id: r.component_id for r in nd.near_duplicates(frame).collect()} == want
