@@ -7,10 +7,15 @@ least ``SHARE`` of the windows is verified: its distance is computed from the or
 within the radius is missed only if it falls outside of far more windows than expected: measured recall is in the tests.
 
 Vectors are dealt into blocks by a hash of vec_id, queries into blocks too; a task searches one block of vectors for one
-block of queries, and the best of all blocks are merged for each query. Both kinds of blocks have a bounded size.
+block of queries, and the best of all blocks are merged for each query. Both kinds of blocks have a bounded size, as large as
+a task's memory allows with room to spare: a vector is sent once for QUERIES_PER_BLOCK queries, a query once for
+VECTORS_PER_BLOCK vectors. Blocks can't be left out: the window of one projection that holds a query's neighbours holds a
+good part of all vectors (distances grow with the root of the dimensions, projections don't), so counting touches that part
+of every table wherever the rows lie.
 
 Vectors that are null, zero, or hold null or non-finite components take no part; vectors of other lengths than the
-query's aren't its neighbours. Of repeated vec_ids one row takes part. Ties go to the smaller vec_id.
+query's aren't its neighbours. Of repeated vec_ids the least vector takes part. Ties go to the smaller vec_id. Long vectors are
+taken whole. Other columns are ignored. An empty table, or one without a query, gives no rows.
 """
 
 from __future__ import annotations
@@ -20,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import ship
+from .session import materialise, ship
 
 TABLES, SHARE, WIDTH, GROWTH = 32, 0.65, 2.72, 1.2
-VECTORS_PER_BLOCK, QUERIES_PER_BLOCK = 8192, 1024
+VECTORS_PER_BLOCK, QUERIES_PER_BLOCK = 16384, 8192
 RESULT = "query_id long, vec_id long, score double"
 
 
@@ -32,7 +37,7 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     v = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = v.where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("embedding", lambda x: x != 0))
-    return v.withColumn("dims", F.size("embedding")).dropDuplicates(["vec_id"])
+    return v.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dims", F.size("embedding"))
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -127,5 +132,5 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
 
 def op8_neighbours(spark, sf_dir: str) -> DataFrame:
-    vectors = usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    vectors = materialise(usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
     return nearest(vectors, vectors.where("vec_id % 100 = 0"))

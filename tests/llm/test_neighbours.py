@@ -56,3 +56,10 @@ def test_recall_on_the_table(spark):
     got, want = found(nb.op8_neighbours(spark, sf)), brute_force(rows)
     assert got.keys() == want.keys()
     assert np.mean([len({i for _, i in got[q]} & {i for _, i in want[q]}) / 10 for q in want]) >= 0.95
+
+
+def test_the_least_of_repeated_ids_takes_part(spark):
+    rows = [(0, [1.0, 0.0], "x"), (1, [5.0, 5.0], "x"), (1, [1.0, 1.0], "x"), (2, [1.0, 3.0], "x")]
+    for parts in (1, 3):
+        vectors = nb.usable(spark.createDataFrame(rows, SCHEMA).repartition(parts))
+        assert [(r.vec_id, r.score) for r in nb.nearest(vectors, vectors.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 1.0), (2, 3.0)]
