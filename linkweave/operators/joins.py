@@ -13,10 +13,21 @@ def feeds_with_health(feeds: DataFrame, health: DataFrame) -> DataFrame:
     return feeds.join(health, "normalized_url", "left")
 
 
-def nested_urls(posts: DataFrame, post_urls: DataFrame, key: str = "unique_id") -> DataFrame:
-    """JN-3: each post of a page with its links by position. Limit the posts first: the join then sees one page."""
+def nested_urls(posts: DataFrame, post_urls: DataFrame, key: str = "unique_id", page: bool = False) -> DataFrame:
+    """JN-3: each post with its links by position.
+
+    ``page``: the posts are a page, so few that they are fetched once; their keys then reach the scan of the links as a filter,
+    and neither the posts nor the search for them is computed again.
+    """
+    own = post_urls
+    if page:
+        rows = posts.collect()
+        posts = posts.sparkSession.createDataFrame(rows, posts.schema)
+        own = post_urls.where(F.col(key).isin([r[key] for r in rows]))
+    else:
+        own = post_urls.join(posts.select(key), key, "left_semi")
     links = F.array_sort(F.collect_list(F.struct("position", "url", labels.displayed_link("unshortened_url", "url").alias("shown"))))
-    nested = post_urls.join(posts.select(key), key, "left_semi").groupBy(key).agg(links.alias("links"))
+    nested = own.groupBy(key).agg(links.alias("links"))
     return posts.join(nested, key, "left").withColumn("links", F.coalesce("links", F.array().cast(nested.schema["links"].dataType)))
 
 

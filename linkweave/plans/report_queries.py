@@ -62,7 +62,7 @@ def fil07_listing_filter(spark, sf):
 )
 def jn03_lim1_volume_page(spark, sf):
     page = windows.page(volume_posts(spark, sf), 3, 50, F.desc("posted_at"), F.desc("unique_id"))
-    nested = joins.nested_urls(page, volume_urls(spark, sf))
+    nested = joins.nested_urls(page, volume_urls(spark, sf), page=True)
     return shown_links(nested).select("unique_id", "source", F.date_format("posted_at", "yyyy-MM-dd").alias("day"), "links")
 
 

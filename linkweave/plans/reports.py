@@ -12,11 +12,11 @@ from ..operators import aggregates, filters, joins, windows
 def post_page(posts: DataFrame, post_urls: DataFrame, number: int = 1, size: int = 50, term: str | None = None, **exact) -> DataFrame:
     """RPT-1: one page of the filtered posts, newest first, with their links.
 
-    The page is cut before the links are joined, so only its posts' links are gathered.
+    The page is cut and fetched before the links are joined, so only its posts' links are read and gathered.
     """
     found = filters.search_posts(filters.listing_filter(posts, **exact), post_urls, term)
     page = windows.page(found, number, size, F.desc("posted_at"), F.desc("unique_id"))
-    return joins.nested_urls(page, post_urls)
+    return joins.nested_urls(page, post_urls, page=True)
 
 
 def post_totals(posts: DataFrame, post_urls: DataFrame, size: int = 50, term: str | None = None, **exact) -> DataFrame:
