@@ -11,9 +11,9 @@ from .urls import let, strip
 FORMATS = (
     "yyyy-MM-dd['T'][ ]HH:mm[:ss][ ][XXX][XX][X]",
     "yyyyMMdd'T'HHmmss[XX][X]",
-    "d MMM yyyy HH:mm[:ss][ ][XXX][XX][X][z]",
-    "MMM d yyyy HH:mm[:ss][ ][XXX][XX][X][z]",
-    "MMM d yyyy h:mm[:ss] a[ ][z]",
+    "d MMM yyyy HH:mm[:ss][ ][XXX][XX][X]",
+    "MMM d yyyy HH:mm[:ss][ ][XXX][XX][X]",
+    "MMM d yyyy h:mm[:ss] a",
     "MMM d HH:mm:ss yyyy",
     "yyyy-MM-dd",
     "yyyy/M/d[ HH:mm[:ss]]",
@@ -28,7 +28,10 @@ def _c(x: Column | str) -> Column:
 
 
 def tidy(text: Column | str) -> Column:
-    """A date without weekday and fraction of a second, its month in three letters, its year in four digits, zones as offsets."""
+    """A date without weekday and fraction of a second, its month in three letters, its year in four digits, zones as offsets.
+
+    Zones named by letters other than UTC's stand for different offsets in different places; they are dropped.
+    """
     steps = (
         (r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+", ""),
         (r"(\d{1,2}:\d{2}:\d{2})[.,]\d+", "$1"),
@@ -38,6 +41,7 @@ def tidy(text: Column | str) -> Column:
         (r"^(\d{1,2} [A-Za-z]{3}) ([0-6]\d) ", "$1 20$2 "),
         (r"^(\d{1,2} [A-Za-z]{3}) ([7-9]\d) ", "$1 19$2 "),
         (r"(?i)\s*\b(utc|gmt|ut|z)$", "+00:00"),
+        (r"\s+\(?[A-Z]{3,5}\)?$", ""),
         (r"\s+", " "),
     )
     out = strip(text)

@@ -110,3 +110,74 @@ def test_html(spark):
     page = '<link rel="alternate" type="application/atom+xml" href="/atom"><link rel="alternate" type="application/rss+xml" href="rss.xml">'
     assert values(spark, html.discovered_feed("a", "b"), (page, "https://x.example/blog/"), ("<p>", "https://x.example/")) == ["https://x.example/blog/rss.xml", ""]
     assert values(spark, urls.is_tag_url("a"), "https://m/tags/x", "https://m/Tags/", "https://m/tagsoup", "x") == [True, True, False, False]
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    url = "\n\t https://Example.com/a \t"
+    row = spark.createDataFrame([(url,)], "a string").select(
+        urls.clean_candidate_url("a").alias("clean"), urls.normalize_feed_url("a").alias("feed"), urls.normalize_content_url("a").alias("content"), urls.clean_subreddit_name(F.lit("\tr/x\n")).alias("sub"),
+        labels.normalize_text(F.lit("\n\tA  b\n")).alias("text"), urls.primary_link(F.array("a"), F.lit("x")).alias("primary"),
+    ).first()
+    assert row.asDict() == {"clean": "https://Example.com/a", "feed": "https://example.com/a", "content": "https://example.com/a", "sub": "x", "text": "a b", "primary": url}
+
+
+def test_content_keys_of_relative_links(spark):
+    assert values(spark, urls.normalize_content_url("a"), "/p/1/#x", "/p/1", "/?q/", "/", "", "HTTPS://www.S.example/p/1/#x") == ["/p/1", "/p/1", "?q/", "/", "/", "https://s.example/p/1"]
+
+
+def test_absolute_feed_urls(spark):
+    given = ["https://A.b/C#d", "a.b/c", "ftp://a/b", "", None, "http://a.b:80", "https://a.b:443/x", "https://a.b:80/x", "/x"]
+    assert values(spark, urls.absolute_feed_url("a"), *given) == ["https://a.b/C", "", "", "", "", "http://a.b/", "https://a.b/x", "https://a.b:80/x", ""]
+
+
+def test_discovered_feeds(spark):
+    page = lambda *links: "<html><head>" + "".join(f"<link {x}>" for x in links) + "</head>"
+    json, rss, atom = 'rel="alternate" type="application/json" href="/wp-json"', "type='application/rss+xml' rel='alternate nofollow' href='/rss?a=1&amp;b=2'", 'href=/atom rel=alternate type=application/atom+xml'
+    feed = 'rel="alternate" type="application/feed+json" href="/feed.json"'
+    cases = [(page(json), ""), (page(json, atom, rss), "https://x.example/rss?a=1&b=2"), (page(feed, atom), "https://x.example/feed.json"), (page(atom, feed), "https://x.example/atom"), (page('rel="alternates" type="application/rss+xml" href="/n"'), ""), (None, "")]
+    assert values(spark, html.discovered_feed("a", F.col("b")), *[(p, "https://x.example/p") for p, _ in cases]) == [want for _, want in cases]
+
+
+@pytest.mark.parametrize(
+    "given, want",
+    [
+        ("2026-05-22T20:00:00+09:00", "2026-05-22T11:00:00Z"),
+        ("2026-05-22T20:00:00.123456789Z", "2026-05-22T20:00:00Z"),
+        ("2026-05-22T20:00:00.1+0000", "2026-05-22T20:00:00Z"),
+        ("2026-05-22T20:00Z", "2026-05-22T20:00:00Z"),
+        ("2026-05-22 20:00:00", "2026-05-22T20:00:00Z"),
+        ("Fri, 22 May 26 20:00:00 GMT", "2026-05-22T20:00:00Z"),
+        ("Fri, 22 May 2026 20:00 +0200", "2026-05-22T18:00:00Z"),
+        ("22 September 1999 20:00:00 UT", "1999-09-22T20:00:00Z"),
+        ("Friday, 22-May-26 20:00:00 EST", "2026-05-22T20:00:00Z"),
+        ("May 22, 2026 8:05 PM", "2026-05-22T20:05:00Z"),
+        ("Fri May 22 20:00:00 2026", "2026-05-22T20:00:00Z"),
+        ("20260522T200000Z", "2026-05-22T20:00:00Z"),
+        ("2026-05-22", "2026-05-22T00:00:00Z"),
+        ("yesterday", None),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_dates_of_providers(spark, given, want):
+    assert values(spark, times.utc_iso(times.parse_date("a")), (given, "")) == [want]
+
+
+def test_rss_of_version_1_and_namespaced_dates(spark):
+    from linkweave.sources import providers
+
+    item = "<item><title>T</title><link>https://p.example/1</link><dc:date>2026-01-05T10:00:00+00:00</dc:date></item>"
+    names = 'xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/"'
+    rdf = f'<?xml version="1.0"?><rdf:RDF {names}><channel><title>C</title><link>https://s.example/</link></channel>{item}</rdf:RDF>'
+    rss = f'<rss {names}><channel><title>C</title><link>https://s.example/</link>{item}</channel></rss>'
+    bodies = spark.createDataFrame([("u", rdf), ("v", rss), ("w", "<rss"), ("x", None)], "feed_url string, body string")
+    rows = providers.rss_posts(bodies, F.lit("2030-01-01").cast("timestamp")).collect()
+    assert [(r.source, r.author, r.description, r.urls, r.posted_at.strftime("%Y-%m-%d %H")) for r in rows] == [("https://s.example/", "C", "T", ["https://p.example/1"], "2026-01-05 10")] * 2
+
+
+def test_batches_are_kept_by_days(spark):
+    from linkweave.operators import merges
+
+    rows = spark.createDataFrame([(i, datetime(2026, 1, i)) for i in range(1, 11)] + [(99, None)], "i int, at timestamp_ntz")
+    kept = lambda days: sorted(r.i for r in merges.retain_batches(rows, F.col("at"), F.lit(datetime(2026, 1, 10)).cast("timestamp_ntz"), days).collect())
+    assert kept(3) == [7, 8, 9, 10, 99] and kept(0) == [*range(1, 11), 99]
