@@ -2,7 +2,7 @@
 
 Each task adds its keys to sparse partial sketches of two rows, cells with their counts; those are merged by slices of
 cells. Two bitmaps are kept of the merged counts: which cells reached two, and which groups of eight cells have one that
-reached ``HOT``. Their width follows the expected number of keys up to ``MOST_CELLS`` a row (68 MiB in all), which bounds
+reached ``HOT``. Their width follows the expected number of keys up to ``MOST_CELLS`` a row (72 MiB in all), which bounds
 what is broadcast. Counts are overestimated, never under: a fuller sketch calls more keys repeated or hot, never fewer.
 """
 
