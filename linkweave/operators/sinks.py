@@ -39,10 +39,8 @@ def _write_text(spark: SparkSession, text: str, path: str) -> None:
 
 
 def write_file(lines: DataFrame, path: str) -> None:
-    """One text file of that name; more than ONE_FILE_ROWS rows are refused."""
+    """One text file of that name, which one task writes: for as many rows as its reader takes at once (see ``write_lines``)."""
     spark = lines.sparkSession
-    if not lines.limit(ONE_FILE_ROWS + 1).count() <= ONE_FILE_ROWS:
-        raise ValueError(f"more than {ONE_FILE_ROWS} rows for one file")
     fs, where = _files(spark, path)
     draft = f"{where.getParent()}/_{uuid.uuid4().hex}"
     lines.coalesce(1).write.text(draft)
@@ -63,17 +61,24 @@ def write_batch(spark: SparkSession, root: str, batch_id: str, kinds: dict[str,
 
     ``kinds``: kind -> records, in order of arrival. ``snapshots``: (kind, scope or None, observed_at, records); an empty one is
     content, an empty kind isn't. A cycle without content writes nothing and gives None. Until the manifest is there, the
-    batch doesn't exist for a reader.
+    batch doesn't exist for a reader. A file holds the records of one cycle, which one task can write; a reader refuses files that
+    are too large to take their digest at once.
     """
     from ..sources.batches import file_digests
 
     folder = f"{root}/{batch_id}"
-    files = [(kind, None, None, rows) for kind, rows in kinds.items() if not rows.isEmpty()] + snapshots
-    if not files:
-        return None
+    files = [(kind, None, None, rows) for kind, rows in kinds.items()] + snapshots
     for kind, scope, _, rows in files:
         write_file(json_lines(rows), f"{folder}/{file_name(kind, scope)}")
-    there = {r["name"]: r for r in file_digests(spark, folder).collect()}
+    there = {r["name"]: r for r in file_digests(spark, folder).collect()} if files else {}
+    for kind in [k for k in kinds if not there[file_name(k)]["lines"]]:
+        fs, where = _files(spark, f"{folder}/{file_name(kind)}")
+        fs.delete(where, False)
+        files = [f for f in files if f[0] != kind]
+    if not files:
+        fs, where = _files(spark, folder)
+        fs.delete(where, True)
+        return None
     entries = []
     for kind, scope, observed_at, _ in sorted(files, key=lambda f: (f[0], f[1] or "")):
         found = there[file_name(kind, scope)]

@@ -1,4 +1,4 @@
-"""Batches written from the given tables, landed in two steps, published by the stream and read back."""
+"""Batches written from the given tables, published by the stream in several micro-batches, and read back."""
 
 from __future__ import annotations
 
@@ -16,7 +16,8 @@ from .views import FOLD_SQL, OBS_SQL, WEB_SQL, iso, observations, table, web_pos
 BATCHES = 4
 #: The day a batch's follows were observed: the second batch has the newest, the third and fourth come too late.
 OBSERVED = ("2026-01-02", "2026-01-04", "2026-01-03", "2026-01-01")
-_DONE: dict[tuple[str, str], tuple[str, publish.Store]] = {}
+_WRITTEN: dict[tuple[str, str], str] = {}
+_PUBLISHED: dict[tuple[str, str], publish.Store] = {}
 
 
 def batch_id(number: int) -> str:
@@ -48,19 +49,28 @@ def write(spark: SparkSession, sf: str, landing: str, k: int) -> None:
     sinks.write_batch(spark, landing, batch_id(k), kinds, snapshots, at)
 
 
-def landed(spark: SparkSession, sf: str) -> tuple[str, publish.Store]:
-    """SNK-1, STR-1, STR-6: the landing folder and the store after two runs of one stream, once for an application."""
+def landed(spark: SparkSession, sf: str) -> str:
+    """SNK-1: the landing folder with all batches, written once for an application."""
     key = (spark.sparkContext.applicationId, sf)
-    if key not in _DONE:
-        folder = work_folder(spark)
-        landing, store = f"{folder}/landing", publish.Store(spark, f"{folder}/store")
-        for step in (range(2), range(2, BATCHES + 1)):
-            for k in step:
-                write(spark, sf, landing, k)
-            publish.publish(spark, landing, store, f"{folder}/checkpoint", lambda: F.lit("2026-02-01").cast("timestamp"))
+    if key not in _WRITTEN:
+        landing = f"{work_folder(spark)}/landing"
+        for k in range(BATCHES + 1):
+            write(spark, sf, landing, k)
+        _WRITTEN[key] = landing
+    return _WRITTEN[key]
+
+
+def published(spark: SparkSession, sf: str) -> publish.Store:
+    """STR-1, STR-6: the store after a run of two micro-batches and one that finds nothing new, compacted, once for an application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _PUBLISHED:
+        landing, folder = landed(spark, sf), work_folder(spark)
+        store = publish.Store(spark, f"{folder}/store")
+        for _ in range(2):
+            publish.publish(spark, landing, store, f"{folder}/checkpoint", lambda: F.lit("2026-02-01").cast("timestamp"), most_batches=3)
         store.compact()
-        _DONE[key] = landing, store
-    return _DONE[key]
+        _PUBLISHED[key] = store
+    return _PUBLISHED[key]
 
 
 def of_batches(df: DataFrame) -> DataFrame:
@@ -69,7 +79,7 @@ def of_batches(df: DataFrame) -> DataFrame:
 
 @query("WITH " + WEB_SQL + "SELECT (page_id % 4)::INT AS batch, unique_id, len(urls)::INT AS n FROM posts UNION ALL SELECT 4, r_name, 1 FROM region")
 def src01_src07_landed_posts(spark, sf):
-    rows = batches.records(spark, landed(spark, sf)[0], "posts")
+    rows = batches.records(spark, landed(spark, sf), "posts")
     return rows.select(number_of(), "record.unique_id", F.size("record.urls").alias("n"))
 
 
@@ -81,7 +91,7 @@ cp AS (SELECT ['reddit', 'bluesky', 'mastodon', 'later'][(user_id % 4)::INT + 1]
 
 @query("WITH " + CP_SQL + "SELECT batch, source_type, source_key, cursor, epoch(observed_at)::BIGINT AS seconds FROM cp")
 def src03_landed_checkpoints(spark, sf):
-    rows = batches.records(spark, landed(spark, sf)[0], "checkpoints")
+    rows = batches.records(spark, landed(spark, sf), "checkpoints")
     seconds = F.unix_seconds(F.to_timestamp("record.observed_at"))
     return rows.select(number_of(), "record.source_type", "record.source_key", "record.cursor", seconds.alias("seconds"))
 
@@ -95,7 +105,7 @@ s AS (SELECT *, ['2026-01-02', '2026-01-04', '2026-01-03', '2026-01-01'][batch +
 
 @query("WITH " + SNAPSHOTS_SQL + "SELECT * FROM s")
 def src04_src05_landed_follows(spark, sf):
-    root = landed(spark, sf)[0]
+    root = landed(spark, sf)
     files = batches.manifest_files(batches.manifests(spark, root))
     of_kind = lambda kind, member: batches.snapshot_rows(batches.records(spark, root, kind), files).select(
         number_of(), F.coalesce("scope", F.lit("")).alias("scope"), F.col(f"record.{member}").alias("member"), F.substring("observed_at", 1, 10).alias("day")
@@ -110,7 +120,7 @@ def src04_src05_landed_follows(spark, sf):
 )
 def src06_src07_ups01_outstanding(spark, sf):
     """What is left of the landed batches for a ledger that has the first and the third."""
-    root = landed(spark, sf)[0]
+    root = landed(spark, sf)
     ledger = table(spark, sf, "region").select(F.lit(batch_id(0)).alias("batch_id")).union(table(spark, sf, "region").select(F.lit(batch_id(2)))).distinct()
     left = batches.outstanding(batches.manifests(spark, root), ledger)
     return of_batches(batches.manifest_files(left).groupBy("batch_id").agg(F.count("*").cast("int").alias("files"), F.sum("record_count").alias("records")))
@@ -123,13 +133,13 @@ def src06_src07_ups01_outstanding(spark, sf):
     SELECT batch, posts + 2 * n + 2 * people AS record_count, posts AS posts_inserted, urls AS urls_inserted, applied AS checkpoints_applied, n - applied AS checkpoints_skipped FROM c JOIN p USING (batch) JOIN m USING (batch)"""
 )
 def str01_str06_ups06_ups10_published_ledger(spark, sf):
-    return of_batches(landed(spark, sf)[1].read("ledger").drop("published_at"))
+    return of_batches(published(spark, sf).read("ledger").drop("published_at"))
 
 
 @query("WITH " + WEB_SQL + "SELECT unique_id, source_type, description, epoch(posted_at)::BIGINT AS seconds FROM posts")
 def str02_snk08_published_posts(spark, sf):
     """The newest version of the posts, once each although one stream ran twice over the folder."""
-    return landed(spark, sf)[1].read("posts").select("unique_id", "source_type", "description", F.unix_seconds("posted_at").alias("seconds"))
+    return published(spark, sf).read("posts").select("unique_id", "source_type", "description", F.unix_seconds("posted_at").alias("seconds"))
 
 
 LANDED_OBS = OBS_SQL.replace("obs AS", "obs0 AS") + """, obs AS (SELECT * REPLACE (date_trunc('second', observed_at) AS observed_at, date_trunc('second', latest_entry_at) AS latest_entry_at,
@@ -138,19 +148,19 @@ LANDED_OBS = OBS_SQL.replace("obs AS", "obs0 AS") + """, obs AS (SELECT * REPLAC
 
 @query("WITH " + LANDED_OBS + "," + FOLD_SQL + "SELECT normalized_url, epoch(last_fetched_at)::BIGINT AS fetched, epoch(last_success_at)::BIGINT AS succeeded, last_status, last_error, consecutive_failures::INT AS failures, etag, last_modified, site_link FROM health")
 def str04_published_health(spark, sf):
-    h = landed(spark, sf)[1].read("health")
+    h = published(spark, sf).read("health")
     return h.select("normalized_url", F.unix_seconds("last_fetched_at").alias("fetched"), F.unix_seconds("last_success_at").alias("succeeded"), "last_status", "last_error", F.col("consecutive_failures").alias("failures"), "etag", "last_modified", "site_link")
 
 
 @query("WITH " + SNAPSHOTS_SQL + "SELECT scope, member FROM s JOIN (SELECT scope, max(day) AS day FROM s GROUP BY scope) USING (scope, day)")
 def ups07_ups09_published_follows(spark, sf):
-    store = landed(spark, sf)[1]
+    store = published(spark, sf)
     return store.read("bluesky_follows").select("scope", F.col("did").alias("member")).union(store.read("mastodon_follows").select("scope", "account_id"))
 
 
 @query("SELECT 4 AS batch, 'version' AS reason FROM region GROUP BY 1, 2")
 def val4_str07_quarantined_batches(spark, sf):
-    return of_batches(landed(spark, sf)[1].read("rejected").drop("failed_at"))
+    return of_batches(published(spark, sf).read("rejected").drop("failed_at"))
 
 
 @query("SELECT DISTINCT url AS entry FROM pages WHERE NOT starts_with(url, '#')")
