@@ -32,7 +32,7 @@ from .session import discard, materialise
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
-HASH_BITS, PLACE_BITS, TEXT_BITS = 63, 14, 24
+HASH_BITS, TEXT_BITS, STEP_BITS, STEP_LEVELS = 63, 24, 10, 2
 WORDS_PER_SHARD, BLOCKS_PER_SHARD, ROOT_BITS = 1 << 22, 16, 10
 END = (1 << 63) - 1
 WORD = r"[^\x20\x09-\x0D]+"
@@ -104,23 +104,33 @@ def plan(rows: DataFrame) -> DataFrame:
     return found.join(last.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "copies", "rounds", "last")
 
 
+def first_beyond(rows: DataFrame) -> DataFrame:
+    """``source, unit, room, all`` from ``source, unit, size, room``: the first unit up to which a source has more than its room.
+
+    ``room`` is what is left of it before that unit, ``all`` the size of all its units.
+    """
+    sums = rows.groupBy("source", "room", "unit").agg(F.sum("size").alias("size"))
+    sums = sums.withColumn("end", F.sum("size").over(Window.partitionBy("source").orderBy("unit")))
+    first = F.min(F.when(F.col("end") > F.col("room"), F.struct("unit", (F.col("room") - F.col("end") + F.col("size")).alias("room"))))
+    return sums.groupBy("source").agg(first.alias("f"), F.max("end").alias("all")).select("source", "f.unit", "f.room", "all")
+
+
 def next_round(rows: DataFrame, found: DataFrame, few: bool) -> DataFrame:
     """``found`` after one more round of each source that is ``open``; those without a document that fits aren't any more."""
-    at = F.shiftright("place", HASH_BITS - PLACE_BITS)
-    fits = (F.col("size") > 0) & (F.col("size") <= F.col("gap")) & (F.col("place") >= F.col("low"))
     going = found.where("open")
-    # the permutation in 2 ** PLACE_BITS steps, then the places of the one step that the gap ends in
-    steps = of_sources(rows, going, few, "gap", "low").where(fits).groupBy("source", "gap", at.alias("at")).agg(F.sum("size").alias("size"))
-    steps = steps.withColumn("end", F.sum("size").over(Window.partitionBy("source").orderBy("at")))
-    first = F.min(F.when(F.col("end") > F.col("gap"), F.struct("at", (F.col("gap") - F.col("end") + F.col("size")).alias("room"))))
-    reached = materialise(steps.groupBy("source").agg(first.alias("step"), F.max("end").alias("all")).select("source", "step.at", "step.room", "all"))
-    inside = of_sources(rows, going, few, "gap", "low").where(fits).select("source", "place", "size", at.alias("here"))
-    inside = of_sources(inside, reached.where("at is not null"), few, "at", "room").where("here = at").groupBy("source", "place", "room").agg(F.sum("size").alias("size"))
-    inside = inside.withColumn("end", F.sum("size").over(Window.partitionBy("source").orderBy("place"))).where("end > room")
-    cut = inside.groupBy("source").agg(F.min(F.struct("place", (F.col("room") - F.col("end") + F.col("size")).alias("gap"))).alias("cut"))
+    fits = (F.col("size") > 0) & (F.col("size") <= F.col("gap")) & (F.col("place") >= F.col("low"))
+    fit = of_sources(rows, going, few, "gap", "low").where(fits).select("source", "place", "size", F.col("gap").alias("room"))
+    unit = lambda level: F.shiftright("place", HASH_BITS - level * STEP_BITS)
+    # the permutation in 2 ** STEP_BITS steps, the step that the gap ends in by as many, then the places in that
+    whole = reached = materialise(first_beyond(fit.withColumn("unit", unit(1))))
+    for level in range(1, STEP_LEVELS):
+        inside = of_sources(fit.drop("room"), reached.where("unit is not null"), few, "unit", "room").where(unit(level) == F.col("unit"))
+        reached = materialise(first_beyond(inside.withColumn("unit", unit(level + 1))))
+    inside = of_sources(fit.drop("room"), reached.where("unit is not null"), few, "unit", "room").where(unit(STEP_LEVELS) == F.col("unit"))
+    cut = first_beyond(inside.withColumn("unit", F.col("place"))).where("unit is not null").select("source", F.struct(F.col("unit").alias("place"), F.col("room").alias("gap")).alias("cut"))
     key = lambda df: F.col("source").eqNullSafe(df["s"])
-    reached, cut = reached.select(F.col("source").alias("s"), "all"), cut.select(F.col("source").alias("s"), "cut")
-    after = found.join(reached, key(reached), "left").drop("s").join(cut, key(cut), "left").drop("s")
+    whole, cut = whole.select(F.col("source").alias("s"), "all"), cut.select(F.col("source").alias("s"), "cut")
+    after = found.join(whole, key(whole), "left").drop("s").join(cut, key(cut), "left").drop("s")
     # the place that the round ended at fits no more, whatever its row sizes: go on behind it
     end, gap = F.coalesce("cut.place", F.lit(END)), F.coalesce("cut.gap", F.col("gap") - F.col("all"))
     drew = F.col("all").isNotNull()
