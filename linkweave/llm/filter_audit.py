@@ -54,12 +54,13 @@ def own_fails(text, words):
     return sum(bits[1:], bits[0])
 
 
-def masks(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``part`` and ``mask`` (int: bits 0 to 4 are failed filters, 5 quality 1, 6 toxic 1)."""
+def masks(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``docs``, or its columns ``keep``, with ``part`` and ``mask`` (int: bits 0 to 4 are failed filters, 5 quality 1, 6 toxic 1)."""
     text, words, digest, fails, first, hot_first, key, salt, label = unused(docs, "text_", "words", "digest", "fails", "first", "hot_first", "key", "salt", "label")
-    kept = [f"`{c}`" for c in docs.columns if c.lower() not in ("part", "mask")]
+    kept = [f"`{c}`" for c in docs.columns if c.lower() not in ("part", "mask") and (keep is None or c in keep)]
     rows = docs.withColumn(text, F.coalesce("text", F.lit(""))).withColumn(words, F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(0)))
-    rows = materialise(rows.select(*kept, F.coalesce("source", F.lit("")).alias("part"), own_fails(F.col(text), F.col(words)).alias(fails), F.unhex(F.sha2(text, 256)).alias(digest)))
+    id_ = [] if "`doc_id`" in kept else ["doc_id"]
+    rows = materialise(rows.select(*kept, *id_, F.coalesce("source", F.lit("")).alias("part"), own_fails(F.col(text), F.col(words)).alias(fails), F.unhex(F.sha2(text, 256)).alias(digest)))
 
     copies = rows.where("doc_id is not null").groupBy(digest).agg(F.min("doc_id").alias(first), F.count("*").alias("n")).where("n > 1")
     copies = materialise(copies)
@@ -138,7 +139,7 @@ def audit(masked: DataFrame) -> DataFrame:
 
 def op11_filter_audit(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return audit(masks(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select("part", "mask"))
+    return audit(masks(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=[]))
 
 
 ORACLE = r"""
