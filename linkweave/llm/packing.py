@@ -11,7 +11,8 @@ Only lengths are shuffled, not ids: ``sequences`` brings the ids to their places
 the input and the row's number in it, written with the pieces, so retried tasks and repeated rows give no trouble.
 
 Ids come from words of a text, cut at ASCII white space: no token of this vocabulary reaches over white space, so a
-text's ids are its words' ids in a row. Words' ids are kept in a bounded cache per Python worker; the library itself encodes what is not in it.
+text's ids are its words' ids in a row. Words that a Python worker has met are known to it, a bounded number of them; the library
+itself encodes the others.
 
 Null texts are empty: a piece of the end id alone. Texts of any length are taken whole. Ties of length go by place in
 the shard. Repeated rows, and rows without a doc_id, are packed once each. An empty table gives no pieces. Extra columns of
@@ -20,6 +21,7 @@ the shard. Repeated rows, and rows without a doc_id, are packed once each. An em
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,11 +34,16 @@ from pyspark.sql import functions as F
 
 from .bpe import read
 from .session import materialise, ship
-from .text import slices
+from .text import Words, join_hashes, slices
 
 LENGTH, END_ID = 2048, 0
 PIECES_PER_SHARD = 1 << 16
-CACHED_WORDS, LONGEST_CACHED = 400_000, 64
+KNOWN_WORDS, MOST_IDS, LINE = 1 << 20, 1 << 24, 1000
+#: Of each byte: 0 for the space between words, letters, digits (each a piece of its own), anything else.
+LETTER, DIGIT, OTHER = 1, 2, 3
+KIND = np.array([0 if b == 0x20 else LETTER if chr(b).isalpha() else DIGIT if chr(b).isdigit() else OTHER for b in range(128)] + [OTHER] * 128, np.int8)
+#: Bytes of words that aren't cut by their kinds alone: beyond ASCII, in contractions, in special tokens.
+ODD = np.array([b > 127 or chr(b) in "'<" for b in range(256)])
 PART_BYTES = 1 << 20
 
 
@@ -46,31 +53,109 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds(dict):
-    """Word in UTF-8 -> its ids as little-endian 32-bit integers; two generations bound the memory."""
+class Joined:
+    """Words of a buffer with a space after each: ``data``, and the ``start`` and ``stop`` of each word in it."""
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, length: np.ndarray):
+        self.stop = np.cumsum(length + 1) - 1
+        self.start = self.stop - length
+        place = np.repeat(start - self.start, length + 1) + np.arange(self.stop[-1] + 1)
+        place[self.stop] = 0
+        self.data = data[place]
+        self.data[self.stop] = 0x20
+
+
+class WordIds:
+    """Ids of texts, a part of a batch at once; each word that is new to the worker goes to the library once.
+
+    Words are known by a hash, and a second one tells if another word has the same. New words go to the library in lines, as a
+    call costs more than a word: ASCII words with a space between them, whose pieces are told apart by the end of word in
+    their last token and counted by their letters, digits and other characters; other words with a special token between them.
+    """
 
     def __init__(self, content: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.older = Tokenizer.from_str(content), {}
+        spec = json.loads(content)
+        self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-            if len(word) > LONGEST_CACHED:
-                return ids
-        if len(self) >= CACHED_WORDS:
-            self.older = dict(self)
-            self.clear()
-        self[word] = ids
-        return ids
-
-    def encode(self, text: str | None) -> bytes:
-        # bytes.split() cuts at 0x20 and 0x09-0x0D alone
-        return b"".join(map(self.__getitem__, (text or "").encode().split()))
+        self.special = [x["content"].encode() for x in spec["added_tokens"]]
+        self.mark, self.mark_id = self.special[-1], spec["added_tokens"][-1]["id"]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[at for token, at in vocabulary.items() if token.endswith(spec["model"]["end_of_word_suffix"])]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def library(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u4")
+
+    def of_plain(self, words: Joined) -> list[np.ndarray]:
+        """Ids and counts of ASCII words without an apostrophe or a special token."""
+        kind = KIND[words.data]
+        begins = (kind == DIGIT) | (kind != np.concatenate([[0], kind[:-1]]))
+        pieces = np.add.reduceat(begins & (kind > 0), words.start)
+        ids = self.library(words.data.tobytes())
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != pieces.sum():
+            raise ValueError("the vocabulary has other pieces than letters, single digits and the rest")
+        return [ids, np.diff(stops[np.cumsum(pieces) - 1], prepend=0)]
+
+    def of_other(self, words: Joined) -> list[np.ndarray]:
+        """Ids and counts of any other words."""
+        texts = [words.data[a:b].tobytes() for a, b in zip(words.start.tolist(), words.stop.tolist(), strict=True)]
+        if any(x in w for w in texts for x in self.special):
+            found = [self.library(w) for w in texts]
+            return [np.concatenate(found), np.array([len(x) for x in found])]
+        ids = self.library(self.mark.join(texts))
+        marks = ids == self.mark_id
+        return [ids[~marks], np.diff(np.flatnonzero(np.append(marks, True)), prepend=-1) - 1]
+
+    def learn(self, words: Words, which: np.ndarray, keys: np.ndarray, second: np.ndarray) -> None:
+        """Brings the words at ``which`` to what is known."""
+        odd = np.concatenate([[0], np.cumsum(ODD[words.data])])
+        is_odd = odd[words.start[which] + words.length[which]] > odd[words.start[which]]
+        order, found = np.concatenate([which[~is_odd], which[is_odd]]), []
+        for own, ids_of in ((which[~is_odd], self.of_plain), (which[is_odd], self.of_other)):
+            for at in range(0, len(own), LINE):
+                line = own[at : at + LINE]
+                found.append(ids_of(Joined(words.data, words.start[line], words.length[line])))
+        count = np.concatenate([c for _, c in found])
+        start = len(self.ids) + np.concatenate([[0], np.cumsum(count)[:-1]])
+        self.ids = np.concatenate([self.ids, *(i for i, _ in found)])
+        merged = np.concatenate([self.keys, keys[order]])
+        by_key = np.argsort(merged, kind="stable")
+        self.keys = merged[by_key]
+        self.second = np.concatenate([self.second, second[order]])[by_key]
+        self.start = np.concatenate([self.start, start])[by_key]
+        self.count = np.concatenate([self.count, count])[by_key]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, where each text's begin: one more than there are texts)."""
+        words = Words(texts)
+        if not len(words.start):
+            return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
+        keys = words.hashes()
+        second = join_hashes(words.ends(8, last=False), words.ends(8, last=True) + words.length.astype(np.uint64))
+        if len(self.keys) > KNOWN_WORDS or len(self.ids) > MOST_IDS:
+            self.forget()
+        each, first, of_word = np.unique(keys, return_index=True, return_inverse=True)
+        new = first[~np.isin(each, self.keys, assume_unique=True)]
+        if len(new):
+            self.learn(words, new, keys, second)
+        at = np.searchsorted(self.keys, each)[of_word]
+        if (self.second[at] != second).any():  # two words with one hash
+            found = [self.library((x or "").encode()) for x in texts.to_pylist()]
+            return np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])])
+        count = self.count[at]
+        begins = np.concatenate([[0], np.cumsum(count)])
+        place = np.repeat(self.start[at] - begins[:-1], count) + np.arange(begins[-1])
+        return self.ids[place], begins[words.first]
 
 
 @lru_cache(maxsize=2)
@@ -81,8 +166,8 @@ def word_ids(path: str, content: str) -> WordIds:
 PIECES = "piece int, start long, length long, ids_crc32 long, dealt long"
 
 
-def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, ids: bool = False) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, dealt`` for every piece; with ``ids``, also these, little-endian 32-bit.
+def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32, dealt`` for every piece; ``with_ids``, also these, little-endian 32-bit.
 
     ``dealt`` is a number of 62 bits that spreads pieces evenly.
     """
@@ -96,9 +181,10 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, ids:
         seed, count = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
             for part in slices(batch, most_bytes=PART_BYTES):
-                found = [encode(x) + end for x in part.column("text").to_pylist()]
+                ids, begins = encode(part.column("text"))
                 row, place, cut = [], [], []
-                for i, whole in enumerate(found):
+                for i, (a, b) in enumerate(zip(begins.tolist(), begins[1:].tolist())):
+                    whole = ids[a:b].tobytes() + end
                     for at in range(0, len(whole), 4 * length):
                         row.append(i)
                         place.append(at // (4 * length))
@@ -113,10 +199,10 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, ids:
                     "dealt": pa.array(range(seed + count, seed + count + n), pa.int64()),
                 }
                 count += n
-                yield pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(cut, pa.binary())} if ids else {}))
+                yield pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(cut, pa.binary())} if with_ids else {}))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {PIECES}" + ", ids binary" * ids)
+    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {PIECES}" + ", ids binary" * with_ids)
     return out.withColumn("dealt", F.shiftrightunsigned(F.xxhash64("dealt"), 2))
 
 
@@ -197,7 +283,7 @@ def pack(cut: DataFrame, length: int = LENGTH, per_shard: int = PIECES_PER_SHARD
 
 def sequences(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
     """``sequence_id, ids``: the packed sequences themselves, ids little-endian 32-bit. A sequence is one row of at most ``length`` ids."""
-    cut = materialise(pieces(docs, path, length, ids=True))
+    cut = materialise(pieces(docs, path, length, with_ids=True))
     placed = pack(materialise(cut.drop("ids").withColumn("key", F.col("dealt"))), length).select("key", "sequence_id", "offset")
     parts = cut.join(placed, cut["dealt"] == placed["key"]).groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
     return parts.select("sequence_id", F.aggregate("parts", F.lit(b""), lambda done, p: F.concat(done, p["ids"])).alias("ids"))

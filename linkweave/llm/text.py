@@ -105,6 +105,13 @@ class Words:
             out[i] = xxhash.xxh64_intdigest(self.data[at : at + length[i]].tobytes())
         return out
 
+    def ends(self, most: int, last: bool) -> np.ndarray:
+        """The first or the last ``most`` (up to 8) bytes of each word as a little-endian integer."""
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        loads = np.ndarray(shape=(len(self.data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+        length = np.minimum(self.length, most)
+        return loads[self.start + (self.length - length if last else 0)] & KEEP[length]
+
     def grams(self, hashes: np.ndarray, width: int) -> np.ndarray:
         """Hash of the ``width`` words from each place on; the last width - 1 entries are left out."""
         if len(hashes) < width:
