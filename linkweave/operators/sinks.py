@@ -12,9 +12,6 @@ from .. import schemas
 from ..functions import labels
 from .windows import limited
 
-#: Rows up to which a sink whose readers want one file writes one.
-ONE_FILE_ROWS = 1_000_000
-
 
 def json_lines(records: DataFrame) -> DataFrame:
     """SNK-1: ``value``: a JSON line for each record, keys in alphabetical order and nulls written, the same each time."""
@@ -39,7 +36,7 @@ def _write_text(spark: SparkSession, text: str, path: str) -> None:
 
 
 def write_file(lines: DataFrame, path: str) -> None:
-    """One text file of that name, which one task writes: for as many rows as its reader takes at once (see ``write_lines``)."""
+    """One text file of that name, which one task writes: for readers that want one (see ``write_lines``)."""
     spark = lines.sparkSession
     fs, where = _files(spark, path)
     draft = f"{where.getParent()}/_{uuid.uuid4().hex}"
@@ -61,8 +58,7 @@ def write_batch(spark: SparkSession, root: str, batch_id: str, kinds: dict[str,
 
     ``kinds``: kind -> records, in order of arrival. ``snapshots``: (kind, scope or None, observed_at, records); an empty one is
     content, an empty kind isn't. A cycle without content writes nothing and gives None. Until the manifest is there, the
-    batch doesn't exist for a reader. A file holds the records of one cycle, which one task can write; a reader refuses files that
-    are too large to take their digest at once.
+    batch doesn't exist for a reader. A file holds the records of one cycle and is written by one task, row by row, so it may be of any size.
     """
     from ..sources.batches import file_digests
 
@@ -71,7 +67,7 @@ def write_batch(spark: SparkSession, root: str, batch_id: str, kinds: dict[str,
     for kind, scope, _, rows in files:
         write_file(json_lines(rows), f"{folder}/{file_name(kind, scope)}")
     there = {r["name"]: r for r in file_digests(spark, folder).collect()} if files else {}
-    for kind in [k for k in kinds if not there[file_name(k)]["lines"]]:
+    for kind in [k for k in kinds if there[file_name(k)]["lines"] == 0]:
         fs, where = _files(spark, f"{folder}/{file_name(kind)}")
         fs.delete(where, False)
         files = [f for f in files if f[0] != kind]
@@ -156,10 +152,10 @@ def feed_snapshot(feeds: DataFrame) -> DataFrame:
     return rows.unionByName(heads).unionByName(top).orderBy("section", "place", "normalized_url")
 
 
-def write_lines(lines: DataFrame, column: str, path: str) -> None:
-    """SNK-4..6: ordered lines as text: one file of that name, or, beyond ONE_FILE_ROWS, a folder whose part files follow the order."""
+def write_lines(lines: DataFrame, column: str, path: str, one_file: bool = False) -> None:
+    """SNK-4..6: ordered lines as text: a folder whose part files follow the order, or, if asked for, one file that one task writes."""
     rows = lines.select(column)
-    if rows.limit(ONE_FILE_ROWS + 1).count() <= ONE_FILE_ROWS:
+    if one_file:
         write_file(rows, path)
     else:
         rows.write.mode("errorifexists").text(path)

@@ -105,19 +105,18 @@ def manifest_problems(manifests: DataFrame) -> DataFrame:
 
 
 def batch_problems(files: DataFrame, present: DataFrame) -> DataFrame:
-    """VAL-3, SET-3: ``batch_id, name, problem``: missing, undeclared, too large, checksum, record count, blank lines.
+    """VAL-3, SET-3: ``batch_id, name, problem``: missing, undeclared, checksum, record count, a blank line and its number.
 
-    ``present``: ``batch_id, name, sha256, lines, blank_line``; a file without a digest was too large to take one.
+    ``present``: ``batch_id, name, sha256, lines, blank_line``.
     """
     there = present.withColumn("there", F.lit(True))
     both = files.select("batch_id", "name", "record_count", F.col("sha256").alias("want")).join(there, ["batch_id", "name"], "full")
     problem = (
         F.when(F.col("there").isNull(), "missing")
-        .when(F.col("sha256").isNull(), "too_large")
         .when(F.col("want").isNull(), "undeclared")
         .when(F.col("want") != F.col("sha256"), "checksum")
         .when(F.col("record_count") != F.col("lines"), "record_count")
-        .when(F.col("blank_line"), "blank_line")
+        .when(F.col("blank_line").isNotNull(), F.concat(F.lit("blank_line "), F.col("blank_line").cast("string")))
     )
     return both.select("batch_id", "name", problem.alias("problem")).where("problem is not null")
 
@@ -135,7 +134,7 @@ def quarantine(problems: DataFrame, now: Column) -> DataFrame:
 def table_rules(table: str) -> dict[str, Column]:
     """VAL-6, VAL-7: constraints of a table."""
     return {
-        "posts": {"unique_id": _filled("unique_id"), "source_type": F.col("source_type").rlike("^[a-z][a-z0-9_]*$") & (F.char_length("source_type") <= 32)},
+        "posts": {"unique_id": _filled("unique_id"), "source_type": _source_type(F.col("source_type"))},
         "post_urls": {"url": _filled("url"), "position": F.col("position") >= 0, "url_hash": F.char_length("url_hash") == 64},
         "health": {"normalized_url": _filled("normalized_url"), "consecutive_failures": F.col("consecutive_failures") >= 0},
         "ledger": {"batch_id": _filled("batch_id"), "record_count": F.col("record_count") >= 0},

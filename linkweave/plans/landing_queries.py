@@ -29,10 +29,11 @@ def number_of(batch: str = "batch_id"):
 
 
 def write(spark: SparkSession, sf: str, landing: str, k: int) -> None:
-    """Batch ``k``: the rows whose id leaves ``k``; one more batch, of a version that no reader knows, has the regions."""
-    if k == BATCHES:
-        r = table(spark, sf, "region").select(F.col("r_name").alias("unique_id"), F.lit("s").alias("source"), F.lit("rss").alias("source_type"), *(F.lit("").alias(n) for n in ("author", "description", "direct_link")), F.lit("2026-01-01T00:00:00Z").alias("posted_at"), F.array(F.lit("https://x.example/")).alias("urls"))
-        sinks.write_batch(spark, landing, batch_id(k), {"posts": r}, [], "2026-01-01T00:00:00Z", contract_version=2)
+    """Batch ``k``: the rows whose id leaves ``k``; two more have the regions: one is of a version that no reader knows, one has bad lines."""
+    if k >= BATCHES:
+        kind = F.when((F.col("r_regionkey") % 2 == 1) & F.lit(k > BATCHES), "Rss").otherwise("rss")
+        r = table(spark, sf, "region").orderBy(F.desc("r_name")).select(F.col("r_name").alias("unique_id"), F.lit("s").alias("source"), kind.alias("source_type"), *(F.lit("").alias(n) for n in ("author", "description", "direct_link")), F.lit("2026-01-01T00:00:00Z").alias("posted_at"), F.array(F.lit("https://x.example/")).alias("urls"))
+        sinks.write_batch(spark, landing, batch_id(k), {"posts": r}, [], "2026-01-01T00:00:00Z", contract_version=2 if k == BATCHES else 1)
         return
     own = lambda df, key: df.where(F.col(key) % BATCHES == k).orderBy(key)
     posts = own(web_posts(spark, sf).withColumn("posted_at", iso("posted_at")), "page_id").select(*(f.split(" ")[0] for f in schemas.POST.split(", ")))
@@ -54,7 +55,7 @@ def landed(spark: SparkSession, sf: str) -> str:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _WRITTEN:
         landing = f"{work_folder(spark)}/landing"
-        for k in range(BATCHES + 1):
+        for k in range(BATCHES + 2):
             write(spark, sf, landing, k)
         _WRITTEN[key] = landing
     return _WRITTEN[key]
@@ -77,7 +78,7 @@ def of_batches(df: DataFrame) -> DataFrame:
     return df.select(number_of(), *(c for c in df.columns if c != "batch_id"))
 
 
-@query("WITH " + WEB_SQL + "SELECT (page_id % 4)::INT AS batch, unique_id, len(urls)::INT AS n FROM posts UNION ALL SELECT 4, r_name, 1 FROM region")
+@query("WITH " + WEB_SQL + "SELECT (page_id % 4)::INT AS batch, unique_id, len(urls)::INT AS n FROM posts UNION ALL SELECT unnest([4, 5]), r_name, 1 FROM region")
 def src01_src07_landed_posts(spark, sf):
     rows = batches.records(spark, landed(spark, sf), "posts")
     return rows.select(number_of(), "record.unique_id", F.size("record.urls").alias("n"))
@@ -115,7 +116,7 @@ def src04_src05_landed_follows(spark, sf):
 
 @query(
     "WITH " + WEB_SQL + """, n AS (SELECT (page_id % 4)::INT AS batch, count(*) AS n, 1 AS files FROM posts GROUP BY 1 UNION ALL SELECT (event_id % 4)::INT, 2 * count(*), 2 FROM events GROUP BY 1
-      UNION ALL SELECT (c_custkey % 4)::INT, 2 * count(*), 3 FROM customer GROUP BY 1 UNION ALL SELECT 4, count(*), 1 FROM region)
+      UNION ALL SELECT (c_custkey % 4)::INT, 2 * count(*), 3 FROM customer GROUP BY 1 UNION ALL SELECT unnest([4, 5]), count(*), 1 FROM region)
     SELECT batch, sum(files)::INT AS files, sum(n)::BIGINT AS records FROM n WHERE batch NOT IN (0, 2) GROUP BY batch"""
 )
 def src06_src07_ups01_outstanding(spark, sf):
@@ -158,7 +159,10 @@ def ups07_ups09_published_follows(spark, sf):
     return store.read("bluesky_follows").select("scope", F.col("did").alias("member")).union(store.read("mastodon_follows").select("scope", "account_id"))
 
 
-@query("SELECT 4 AS batch, 'version' AS reason FROM region GROUP BY 1, 2")
+@query(
+    """WITH r AS (SELECT *, row_number() OVER (ORDER BY r_name DESC) AS line FROM region)
+    SELECT DISTINCT 4 AS batch, 'version' AS reason FROM region UNION ALL SELECT 5, 'posts.ndjson line ' || min(line) || ': source_type' FROM r WHERE r_regionkey % 2 = 1"""
+)
 def val4_str07_quarantined_batches(spark, sf):
     return of_batches(published(spark, sf).read("rejected").drop("failed_at"))
 

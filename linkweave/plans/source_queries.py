@@ -82,22 +82,31 @@ def src17_fn22_mastodon_posts(spark, sf):
 
 
 @query(
-    f"""SELECT regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS source, 'Channel ' || page_id AS author, trim({TITLE_TEXT}) AS description, replace(url, '&amp;', '&') AS direct_link, sha256(url) AS unique_id FROM pages WHERE page_id % 6 <> 0"""
+    f"""WITH p AS (SELECT *, page_id % 6 AS m, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS site, 'https://f.example/' || page_id AS feed, trim({TITLE_TEXT}) AS title FROM pages),
+    e AS (SELECT *, unnest(CASE m WHEN 0 THEN [] WHEN 1 THEN [url] WHEN 2 THEN [site || '/a/' || page_id, url] WHEN 3 THEN [url] WHEN 4 THEN [url || '/1', url || '/2', url || '/3'] ELSE [url] END) AS link FROM p)
+    SELECT CASE WHEN m = 3 THEN feed ELSE site END AS source, CASE WHEN m = 1 THEN site WHEN m = 3 THEN feed ELSE 'Channel ' || page_id END AS author, title AS description, '' AS direct_link, link, sha256(link) AS unique_id,
+      CASE WHEN m IN (1, 3, 5) THEN '2026-01-05T10:00:00Z' WHEN m = 2 THEN '2026-01-06T10:00:00Z' ELSE '2026-02-01T00:00:00Z' END AS posted FROM e"""
 )
 def src14_fn29_rss_posts(spark, sf):
+    """Bodies of six kinds: no feed; Atom without a title; RSS whose text looks like Atom, with a link of the site's and one as a guid; Atom with a
+    prefix and without a site; RSS that breaks off in its fourth entry, one of them not closed; RSS 1.0 with other vocabularies."""
     p = table(spark, sf, "pages")
     page, safe = F.col("page_id").cast("string"), F.replace("url", F.lit("&"), F.lit("&amp;"))
-    site = F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1)
-    title = html.title("html")
-    item = F.concat(F.lit("<item><title>"), title, F.lit("</title><link>"), safe, F.lit("</link><pubDate>Mon, 05 Jan 2026 10:00:00 +0000</pubDate></item><item><title>no link</title></item>"))
-    rss = F.concat(F.lit("<rss><channel><title>Channel "), page, F.lit("</title><link>"), site, F.lit("</link>"), item, F.lit("</channel></rss>"))
-    atom = F.concat(
-        F.lit("<feed><title>Channel "), page, F.lit('</title><link rel="alternate" type="text/html" href="'), site, F.lit('"/><link rel="self" href="https://x.example/"/><entry><title>'),
-        title, F.lit('</title><link rel="alternate" href="'), safe, F.lit('"/><updated>2026-01-05T10:00:00Z</updated></entry><entry><title>no link</title><link rel="self" href="x"/></entry></feed>'),
-    )
-    body = F.when(F.col("page_id") % 6 == 0, "<rss><broken").when(F.col("page_id") % 2 == 0, rss).otherwise(atom)
-    posts = providers.rss_posts(p.select(F.concat(F.lit("https://f.example/"), page).alias("feed_url"), body.alias("body")), moment("2026-02-01"))
-    return posts.select("source", "author", "description", "direct_link", "unique_id")
+    site, title, m = F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1), html.title("html"), F.col("page_id") % 6
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    atom = text('<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom"><link rel="alternate" type="text/html" href="', site, '"/><link rel="self" href="https://x.example/"/><entry><source><title>other</title></source><title>', title,
+                '</title><link rel="alternate" href="', safe, '"/><updated>2026-01-05T10:00:00Z</updated></entry><entry><title>no link</title><link rel="self" href="x"/></entry></feed>')
+    rss = text('<rss xmlns:m="http://search.yahoo.com/mrss/"><channel><title>Channel ', page, "</title><link>", site, "</link><image><title>no</title><link>no</link></image><description><![CDATA[a <feed xmlns> of <entry>]]></description><item><m:title>no</m:title><title>",
+               title, "</title><link>/a/", page, "</link><pubDate>Tue, 06 Jan 2026 10:00:00 +0000</pubDate></item><item><title>", title, "</title><guid>", safe, "</guid><description>the &lt;feed element, <!-- <item> --></description><pubDate>Tue, 06 Jan 2026 10:00:00 GMT</pubDate></item>",
+               '<item><title>no link</title><guid isPermaLink="false">https://x.example/no</guid></item></channel></rss>')
+    prefixed = text('<a:feed xmlns:a="http://www.w3.org/2005/Atom"><a:entry><a:title>', title, '</a:title><a:link href="', safe, '"/><a:published>2026-01-05T10:00:00Z</a:published><a:updated>2026-01-09T10:00:00Z</a:updated></a:entry></a:feed>')
+    item = lambda n: text("<item><title>", title, "</title><link>", safe, f"/{n}</link></item>")
+    broken = text("<rss><channel><title>Channel ", page, "</title><link>", site, "</link>", item(1), text("<item><title>", title, "<link>", safe, "/2</link></b></item>"), item(3), "<item><title>four</title><link>https://x.exam")
+    rdf = text('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/" xmlns:d="http://purl.org/dc/elements/1.1/"><channel><title>Channel ', page, "</title><link>", site, "</link></channel><item><title>", title,
+               "</title><link>", safe, "</link><d:date>2026-01-05T10:00:00Z</d:date></item></rdf:RDF>")
+    body = F.when(m == 0, "<rss><broken").when(m == 1, atom).when(m == 2, rss).when(m == 3, prefixed).when(m == 4, broken).otherwise(rdf)
+    posts = providers.rss_posts(p.select(text("https://f.example/", page).alias("feed_url"), body.alias("body")), moment("2026-02-01"))
+    return posts.select("source", "author", "description", "direct_link", F.array_join("urls", " ").alias("link"), "unique_id", iso("posted_at").alias("posted"))
 
 
 @query("SELECT 'did:' || user_id AS did, 'h' || user_id AS handle, count(*) AS n FROM events WHERE user_id % 3 <> 0 GROUP BY user_id")
@@ -177,7 +186,7 @@ def val1_checked_records(spark, sf):
 
 
 @query(
-    """WITH b AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey), p AS (SELECT o_custkey, CASE WHEN o_custkey % 5 = 0 THEN 'missing' WHEN o_custkey % 5 = 1 THEN 'checksum' WHEN o_custkey % 5 = 2 THEN 'record_count' WHEN o_custkey % 5 = 3 THEN 'blank_line' END AS reason FROM b)
+    """WITH b AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey), p AS (SELECT o_custkey, CASE WHEN o_custkey % 5 = 0 THEN 'missing' WHEN o_custkey % 5 = 1 THEN 'checksum' WHEN o_custkey % 5 = 2 THEN 'record_count' WHEN o_custkey % 5 = 3 THEN 'blank_line ' || (n + 1) END AS reason FROM b)
     SELECT CAST(o_custkey AS VARCHAR) AS batch_id, reason FROM p WHERE reason IS NOT NULL"""
 )
 def val3_val4_snk07_batch_problems(spark, sf):
@@ -185,7 +194,7 @@ def val3_val4_snk07_batch_problems(spark, sf):
     batch, m = F.col("o_custkey").cast("string").alias("batch_id"), F.col("o_custkey") % 5
     digest = F.sha2(F.col("o_custkey").cast("string"), 256)
     files = b.select(batch, F.lit("posts.ndjson").alias("name"), F.when(m == 2, F.col("n") + 1).otherwise(F.col("n")).alias("record_count"), digest.alias("sha256"))
-    present = b.where(m != 0).select(batch, F.lit("posts.ndjson").alias("name"), F.when(m == 1, "other").otherwise(digest).alias("sha256"), F.col("n").alias("lines"), (m == 3).alias("blank_line"))
+    present = b.where(m != 0).select(batch, F.lit("posts.ndjson").alias("name"), F.when(m == 1, "other").otherwise(digest).alias("sha256"), F.col("n").alias("lines"), F.when(m == 3, F.col("n") + 1).alias("blank_line"))
     return validation.quarantine(validation.batch_problems(files, present), moment("2026-01-01")).select("batch_id", "reason")
 
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -51,8 +55,6 @@ def outstanding(manifests_: DataFrame, ledger: DataFrame) -> DataFrame:
     return merges.outstanding(manifests_.where(F.col("batch_id").rlike(BATCH_ID)), ledger).orderBy("batch_id")
 
 
-#: Larger files aren't read into a row to take their digest.
-MOST_BYTES = 1 << 30
 NOT_RECORDS = ("manifest.json", "failure.json")
 
 
@@ -69,22 +71,54 @@ def empty_files(spark: SparkSession, folders: tuple[str, ...]) -> list[str]:
     return out
 
 
+def _digests(lines: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``path, sha256, lines, blank_line`` of files whose lines (``path, size, value``) come in order, file by file."""
+    path, size, digest, read, count, blank = None, 0, None, 0, 0, None
+
+    def ended() -> Iterator[pa.RecordBatch]:
+        if path is not None:
+            if read < size:  # the last line has a line feed too
+                digest.update(b"\n")
+            yield pa.RecordBatch.from_pydict({"path": [path], "sha256": [digest.hexdigest()], "lines": pa.array([count], pa.int64()), "blank_line": pa.array([blank], pa.int64())})
+
+    for batch in lines:
+        for own, of_file, value in zip(*(batch.column(c).to_pylist() for c in ("path", "size", "value")), strict=True):
+            if own != path:
+                yield from ended()
+                path, size, digest, read, count, blank = own, of_file, hashlib.sha256(), 0, 0, None
+            if count:
+                digest.update(b"\n")
+                read += 1
+            digest.update(value)
+            read += len(value)
+            count += 1
+            if blank is None and not value.strip():
+                blank = count
+    yield from ended()
+
+
 def file_digests(spark: SparkSession, *folders: str) -> DataFrame:
-    """``batch_id, name, sha256, lines, blank_line`` of the record files that are there (VAL-3).
+    """``batch_id, name, sha256, lines, blank_line`` of the record files that are there (VAL-3); ``blank_line``: the first one's number.
 
-    A digest is of a whole file, so a file is one row; beyond MOST_BYTES it has no digest, which VAL-3 refuses.
+    A file is digested by one task, line by line, so files of any size take no memory. Files that are one split are digested
+    where they are read; the lines of larger ones are brought together in order first.
     """
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(folders))
-    own = lambda df: df.withColumns({"batch_id": F.regexp_extract("path", BATCH_OF_PATH, 1), "name": F.element_at(F.split("path", "/"), -1)}).where(F.col("batch_id") != "").where(~F.col("name").isin(*NOT_RECORDS))
-    text = F.decode("content", "UTF-8")
-    small = own(f.where(F.col("length") <= MOST_BYTES)).select(
-        "batch_id",
-        "name",
-        F.sha2("content", 256).alias("sha256"),
-        (F.regexp_count(text, F.lit("\n")) + F.when(F.length("content") == 0, 0).when(F.endswith(text, F.lit("\n")), 0).otherwise(1)).alias("lines"),
-        text.rlike("(?m)^[ \\t]*$\\n|^\\n").alias("blank_line"),
-    )
-    large = own(f.where(F.col("length") > MOST_BYTES).drop("content")).select("batch_id", "name", F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("int").alias("lines"), F.lit(None).cast("boolean").alias("blank_line"))
-    none = spark.createDataFrame([(p,) for p in empty_files(spark, folders)], "path string")
-    none = own(none).select("batch_id", "name", F.sha2(F.lit(b""), 256).alias("sha256"), F.lit(0).alias("lines"), F.lit(False).alias("blank_line"))
-    return small.unionByName(large).unionByName(none)
+    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(list(folders))
+    about = {"path": "file_path", "size": "file_size", "block": "file_block_start", "length": "file_block_length"}
+    rows = lines.select(*(F.col(f"_metadata.{c}").alias(n) for n, c in about.items()), F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("value"))
+    named = lambda df: df.withColumns({"batch_id": F.regexp_extract("path", BATCH_OF_PATH, 1), "name": F.element_at(F.split("path", "/"), -1)}).where(F.col("batch_id") != "").where(~F.col("name").isin(*NOT_RECORDS))
+    records_, schema = named(rows), "path string, sha256 string, lines long, blank_line long"
+    whole = records_.where("length = size").select("path", "size", "value").mapInArrow(_digests, schema)
+    split = records_.where("length < size").repartition("path").sortWithinPartitions("path", "block", "row").select("path", "size", "value").mapInArrow(_digests, schema)
+    none = spark.createDataFrame([(p,) for p in empty_files(spark, folders)], "path string").select("path", F.sha2(F.lit(b""), 256).alias("sha256"), F.lit(0).cast("long").alias("lines"), F.lit(None).cast("long").alias("blank_line"))
+    return named(whole.unionByName(split).unionByName(none)).select("batch_id", "name", "sha256", "lines", "blank_line")
+
+
+def line_numbers(rows: DataFrame) -> DataFrame:
+    """``batch_id, file_name, block, first, before``: of each split of a file its first ``row`` and the lines before it (VAL-3).
+
+    ``rows``: ``batch_id, file_name, line``. A line's number is ``before + row - first + 1``; a row for each split is all that is ordered.
+    """
+    splits = rows.groupBy("batch_id", "file_name", F.col("line.block").alias("block")).agg(F.min("line.row").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("batch_id", "file_name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return splits.select("batch_id", "file_name", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html, labels, times, urls
+from . import feeds
 
 REDDIT = "data struct<after:string,children:array<struct<data:struct<id:string,name:string,subreddit_name_prefixed:string,author:string,title:string,permalink:string,created_utc:double,url:string>>>>"
 BLUESKY = (
@@ -15,9 +16,6 @@ BLUESKY = (
 MASTODON = "array<struct<id:string,created_at:string,url:string,uri:string,content:string,card:struct<url:string>,account:struct<url:string,display_name:string,acct:string,username:string>>>"
 BLUESKY_FOLLOWS = "follows array<struct<did:string,handle:string,displayName:string>>"
 MASTODON_ACCOUNTS = "array<struct<id:string,acct:string,username:string,display_name:string,url:string>>"
-RSS_ITEM = "array<struct<title:string,link:string,pubDate:string,`dc:date`:string>>"
-RSS = f"channel struct<title:string,link:string,item:{RSS_ITEM}>, item {RSS_ITEM}"  # RSS 1.0 has its items beside the channel
-ATOM = "title string, link array<struct<_rel:string,_type:string,_href:string>>, entry array<struct<title:string,link:array<struct<_rel:string,_href:string>>,published:string,updated:string>>"
 
 
 def finished(posts: DataFrame) -> DataFrame:
@@ -28,30 +26,27 @@ def finished(posts: DataFrame) -> DataFrame:
 def rss_posts(bodies: DataFrame, now: Column) -> DataFrame:
     """SRC-14: ``bodies (feed_url, body)`` of RSS 0.9 to 2.0 or Atom; one post for each entry with a usable URL.
 
-    A body that can't be parsed, or isn't there, gives no posts.
+    An entry's link is resolved on the channel's link, or else the feed's URL; these also stand in for a missing title as the
+    author, and for a missing site as the source. An entry without a date is of now, as is one whose date can't be
+    parsed. A body that is no feed, or isn't there, gives no posts; of one that breaks off, the entries before count.
     """
-    is_atom = F.col("body").rlike(r"<feed[\s>]")
-    rss = F.from_xml("body", RSS, {"attributePrefix": "_", "mode": "PERMISSIVE"})
-    atom = F.from_xml("body", ATOM, {"attributePrefix": "_", "mode": "PERMISSIVE"})
-    of_rss = bodies.where(F.col("body").isNotNull() & ~is_atom).select("feed_url", rss.alias("x")).select(
-        "feed_url", F.col("x.channel.title").alias("author"), html.site_link(F.col("x.channel.link"), F.array().cast("array<struct<rel:string,type:string,href:string>>")).alias("site"), F.explode(F.coalesce("x.channel.item", "x.item")).alias("i")
-    ).select("feed_url", "author", "site", F.col("i.title").alias("title"), F.col("i.link").alias("link"), F.coalesce("i.pubDate", "i.`dc:date`").alias("published"))
-    links = F.col("x.link").cast("array<struct<rel:string,type:string,href:string>>")
-    entry_link = lambda e: F.try_element_at(F.filter(e["link"], lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(1))["_href"]
-    of_atom = bodies.where(F.col("body").isNotNull() & is_atom).select("feed_url", atom.alias("x")).select(
-        "feed_url", F.col("x.title").alias("author"), html.site_link(F.lit(None).cast("string"), F.coalesce(links, F.array().cast("array<struct<rel:string,type:string,href:string>>"))).alias("site"), F.explode("x.entry").alias("i")
-    ).select("feed_url", "author", "site", F.col("i.title").alias("title"), entry_link(F.col("i")).alias("link"), F.coalesce("i.published", "i.updated").alias("published"))
-    both = of_rss.unionByName(of_atom)
-    source = F.coalesce("site", "feed_url")
+    x = feeds.parsed(bodies.where(F.col("body").isNotNull())).where("feed is not null")
+    of_feed = F.coalesce(labels.to_null("feed.link"), F.col("feed_url"))
+    each = x.select(
+        of_feed.alias("base"),
+        F.coalesce(html.site_link(F.col("feed.link"), F.col("feed.links")), of_feed).alias("source"),
+        F.coalesce(labels.to_null("feed.title"), of_feed).alias("author"),
+        F.explode("feed.entries").alias("i"),
+    )
     return finished(
-        both.select(
-            source.alias("source"),
+        each.select(
+            "source",
             F.lit("rss").alias("source_type"),
-            labels.clean("author").alias("author"),
-            labels.clean("title").alias("description"),
-            labels.clean("link").alias("direct_link"),
-            times.provider_date("published", now).alias("posted_at"),
-            urls.add_urls(F.array(labels.clean("link")), source).alias("urls"),
+            "author",
+            labels.clean("i.title").alias("description"),
+            F.lit("").alias("direct_link"),
+            times.provider_date(F.coalesce("i.published", "i.updated"), now).alias("posted_at"),
+            urls.add_urls(F.array(labels.clean("i.link")), "base").alias("urls"),
         )
     )
 

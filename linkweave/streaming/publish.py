@@ -116,13 +116,16 @@ def ordered(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def problems(manifests: DataFrame, rows: DataFrame, present: DataFrame) -> DataFrame:
-    """VAL-1..4: ``batch_id, problem`` of manifests, files and lines."""
+    """VAL-1..4: ``batch_id, problem`` of manifests, files and lines; of a file's lines the first that breaks a rule, with its number."""
     found = [validation.manifest_problems(manifests)]
     files = batches.manifest_files(manifests.withColumn("batch_id", F.col("dir_batch_id")))
     found.append(validation.batch_problems(files, present).select("batch_id", F.concat("name", F.lit(": "), "problem").alias("problem")))
     for kind in schemas.KINDS:
-        bad = validation.checked_records(parsed(rows, kind), kind).select("batch_id", F.explode("errors").alias("error"))
-        found.append(bad.select("batch_id", F.concat(F.lit(f"{kind}: "), "error").alias("problem")))
+        bad = validation.checked_records(parsed(rows, kind), kind).select("batch_id", "file_name", "line", F.explode("errors").alias("error"))
+        first = bad.groupBy("batch_id", "file_name", "error").agg(F.min("line").alias("line")).withColumn("block", F.col("line.block"))
+        first = first.join(batches.line_numbers(rows), ["batch_id", "file_name", "block"])
+        number = (F.col("before") + F.col("line.row") - F.col("first") + 1).cast("string")
+        found.append(first.select("batch_id", F.concat("file_name", F.lit(" line "), number, F.lit(": "), "error").alias("problem")))
     return reduce(DataFrame.unionByName, found)
 
 

@@ -181,3 +181,19 @@ def test_batches_are_kept_by_days(spark):
     rows = spark.createDataFrame([(i, datetime(2026, 1, i)) for i in range(1, 11)] + [(99, None)], "i int, at timestamp_ntz")
     kept = lambda days: sorted(r.i for r in merges.retain_batches(rows, F.col("at"), F.lit(datetime(2026, 1, 10)).cast("timestamp_ntz"), days).collect())
     assert kept(3) == [7, 8, 9, 10, 99] and kept(0) == [*range(1, 11), 99]
+
+
+def test_odd_feeds():
+    from linkweave.sources.feeds import parse
+
+    item = lambda n, more="": f"<item><title>t{n}</title><link>https://x.example/{n}</link>{more}</item>"
+    links = lambda body: [e["link"] for e in parse(body)["entries"] if e["link"]]
+    assert links("<rss><channel>" + item(1) + item(2) + item(3) + "<item><title>cut</title><li") == [f"https://x.example/{n}" for n in (1, 2, 3)]
+    assert links("<rss><channel>" + item(1, "</b></i>") + "<item><title>open" + item(2) + "</channel></rss>") == ["https://x.example/1", "https://x.example/2"]
+    assert links("<rss><channel>" + item(1, "<description><![CDATA[<feed > <item><link>no</link>]]></description>") + "</channel></rss>") == ["https://x.example/1"]
+    assert links('<feed xmlns="http://www.w3.org/2005/Atom" xml:base="https://b.example/d/"><entry><link href="e"/></entry><entry><link href="http://[bad"/></entry></feed>') == ["https://b.example/d/e", "http://[bad"]
+    feed = parse('<x:feed xmlns:x="http://www.w3.org/2005/Atom" xmlns:m="urn:m"><m:title>no</m:title><x:title>T &amp;amp; t</x:title><x:entry><x:author><x:title>no</x:title></x:author></x:entry></x:feed>')
+    assert (feed["title"], feed["entries"][0]["title"]) == ("T &amp; t", None)
+    assert parse("<html><feed></feed></html>") is None and parse("plain") is None and parse("") is None and parse(None) is None
+    assert parse("<rss><channel>" + "<a 'b" * 200_000)["entries"] == []
+    assert links("<!DOCTYPE rss [<!ENTITY e 'x'>]><rss><channel>" + "".join(map(item, range(20_000))) + "</channel></rss>")[-1] == "https://x.example/19999"

@@ -114,7 +114,7 @@ def test_batch_files_round_trip(spark, tmp_path):
     (folder / "posts.ndjson").write_text("".join(x + "\n" for x in lines))
     digest = batches.file_digests(spark, str(tmp_path))
     row = digest.first()
-    assert (row.batch_id, row["name"], row.lines, row.blank_line) == (batch, "posts.ndjson", 2, False)
+    assert (row.batch_id, row["name"], row.lines, row.blank_line) == (batch, "posts.ndjson", 2, None)
     manifest = {"contract_version": 1, "batch_id": batch, "created_at": "2026-01-01T00:00:00Z", "collector_version": "1", "files": [{"name": "posts.ndjson", "kind": "posts", "record_count": 2, "sha256": row.sha256}]}
     (folder / "manifest.json").write_text(json.dumps(manifest, indent=1))
     m = batches.manifests(spark, str(tmp_path))
@@ -141,3 +141,47 @@ def test_mastodon_without_links_or_date(spark):
     ]
     (row,) = providers.mastodon_posts(spark.createDataFrame([(json.dumps(statuses),)], "body string")).collect()
     assert row.urls == ["https://x.example/long", "https://x.example/card"] and row.author == "a"
+
+
+def test_digests_of_files_in_many_splits(spark, tmp_path):
+    """Files of several splits, without a last line feed, with blank lines, odd bytes and nothing in them."""
+    import hashlib
+
+    batch = "20260101T000000000000Z-0123abcd"
+    folder = tmp_path / batch
+    folder.mkdir()
+    contents = {
+        "posts.ndjson": b"".join(b'{"n": %d}\n' % i for i in range(3000)),
+        "checkpoints.ndjson": b"\r\n".join(b"line %d" % i for i in range(2000)) + b"\n \t\n\nlast",
+        "rss-observations.ndjson": b"\xff\xfe\n\xc3\n",
+        "bluesky-follows.ndjson": b"",
+        "mastodon-follows-a.ndjson": b"\n",
+    }
+    for name, content in contents.items():
+        (folder / name).write_bytes(content)
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "2000b")
+        rows = {r["name"]: r for r in batches.file_digests(spark, str(tmp_path)).collect()}
+        lines = spark.read.option("lineSep", "\n").text(str(folder / "posts.ndjson"))
+        assert lines.rdd.getNumPartitions() > 3
+        split = batches.records(spark, str(tmp_path), "posts").select("batch_id", "file_name", "line", "value")
+        at = split.withColumn("block", F.col("line.block")).join(batches.line_numbers(split), ["batch_id", "file_name", "block"])
+        numbers = at.select("value", (F.col("before") + F.col("line.row") - F.col("first") + 1).alias("number")).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert {n: (r.sha256, r.lines, r.blank_line) for n, r in rows.items()} == {
+        n: (hashlib.sha256(c).hexdigest(), {"posts.ndjson": 3000, "checkpoints.ndjson": 2003, "rss-observations.ndjson": 2, "bluesky-follows.ndjson": 0, "mastodon-follows-a.ndjson": 1}[n], {"checkpoints.ndjson": 2001, "mastodon-follows-a.ndjson": 1}.get(n))
+        for n, c in contents.items()
+    }
+    assert sorted((json.loads(r.value)["n"] + 1, r.number) for r in numbers) == [(i, i) for i in range(1, 3001)]
+
+
+def test_a_batch_keeps_every_kind_that_has_records(spark, tmp_path):
+    batch = "20260101T000000000000Z-0123abcd"
+    posts = spark.range(100).select(F.col("id").cast("string").alias("unique_id"))
+    folder = sinks.write_batch(spark, str(tmp_path), batch, {"posts": posts, "checkpoints": posts.limit(0)}, [("bluesky_follows", None, "2026-01-01T00:00:00Z", posts.limit(0))], "2026-01-01T00:00:00Z")
+    manifest = json.loads((tmp_path / batch / "manifest.json").read_text())
+    assert folder and [(f["name"], f["record_count"]) for f in manifest["files"]] == [("bluesky-follows.ndjson", 0), ("posts.ndjson", 100)]
+    assert not (tmp_path / batch / "checkpoints.ndjson").exists()

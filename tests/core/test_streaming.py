@@ -127,7 +127,7 @@ def test_unverified_batches_are_quarantined(place):
     land(landing, IDS[8], posts=[line(unique_id="x")])
     run()
     reasons = {r.batch_id: r.reason for r in store.read("rejected").collect()}
-    assert reasons.pop(IDS[4]).startswith("batch_id; ") and "posts: missing_keys" in reasons.pop(IDS[8])
+    assert reasons.pop(IDS[4]).startswith("batch_id; ") and "posts.ndjson line 1: missing_keys" in reasons.pop(IDS[8])
     assert reasons == {IDS[0]: "posts.ndjson: checksum", IDS[1]: "checkpoints.ndjson: undeclared", IDS[2]: "posts.ndjson: record_count", IDS[3]: "posts.ndjson: missing", IDS[5]: "batch_id"}
     assert [r.unique_id for r in store.read("posts").collect()] == ["kept"]
 
@@ -187,14 +187,13 @@ def test_catalogs_and_lists_are_written(spark, tmp_path):
     assert [r.normalized_url for r in state.catalog_feeds(catalog).collect()] == ["k"] and state.catalog_subreddits(catalog).count() == 0
 
     more = feeds.union(spark.createDataFrame([("l", "https://off", False, None, 3, "boom"), ("m", "https://gone", True, datetime(2026, 1, 2), 0, None)], feeds.schema))
-    sinks.write_lines(sinks.feed_snapshot(more), "line", str(tmp_path / "feeds.txt"))
+    sinks.write_lines(sinks.feed_snapshot(more), "line", str(tmp_path / "feeds.txt"), one_file=True)
     text = (tmp_path / "feeds.txt").read_text().splitlines()
     assert text == ["# active=1  disabled=1  removed=1", "# --- active (1) ---", "u", "# --- disabled (1) ---", "# https://off  (failures=3 last_error=boom)", "# --- removed (1) ---", "# https://gone  (removed 2026-01-02T00:00:00Z)"]
     assert [r.entry for r in lists.read_list(spark, str(tmp_path / "feeds.txt")).collect()] == ["u"]
 
 
-def test_many_lines_are_ordered_part_files(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(sinks, "ONE_FILE_ROWS", 10)
+def test_lines_are_ordered_part_files(spark, tmp_path):
     rows = spark.range(500).select(F.format_string("%04d", "id").alias("line")).repartition(4)
     sinks.write_lines(rows.orderBy("line"), "line", str(tmp_path / "many"))
     parts = sorted(p for p in (tmp_path / "many").iterdir() if p.name.startswith("part"))
