@@ -55,10 +55,20 @@ def newest_entry(entries: Column | str, field: str = "published") -> Column:
     return F.array_max(F.transform(entries, lambda e: e[field]))
 
 
+#: Fixed value: what counts as a whole number in a status id.
+WHOLE = r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"
+
+
 def highest_id(rows: DataFrame, key: str, id_: str, order: str) -> DataFrame:
-    """AGG-14: the numerically highest id of each key; if one isn't a number, the first by ``order``."""
-    number = F.expr(f"try_cast({id_} as decimal(38,0))")
-    return rows.where(F.col(id_).isNotNull()).groupBy(key).agg(F.when(F.count_if(number.isNull()) > 0, F.min_by(id_, order)).otherwise(F.max_by(id_, number)).alias("highest"))
+    """AGG-14: the numerically highest id of each key, of any length; if one isn't a whole number, the first by ``order``."""
+    c = F.col(id_)
+    digits = F.regexp_replace(F.regexp_replace(c, "[^0-9]", ""), "^0+(?=.)", "")
+    negative = c.rlike(r"^\s*-") & (digits != "0")
+    size = F.char_length(digits)
+    # as sign, length and digits numbers of any length are in order; of negative ones it is turned around
+    number = F.struct(F.when(negative, -1).otherwise(1), F.when(negative, -size).otherwise(size), F.when(negative, F.translate(digits, "0123456789", "9876543210")).otherwise(digits))
+    whole = c.rlike(WHOLE)
+    return rows.where(c.isNotNull()).groupBy(key).agg(F.when(F.count_if(~whole) > 0, F.min_by(id_, order)).otherwise(F.max_by(id_, F.when(whole, number))).alias("highest"))
 
 
 def manifest_totals(manifests: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from .windows import first_wins
+from .windows import earlier_max, first_wins
 
 HEALTH = ("last_fetched_at", "last_success_at", "last_status", "last_error", "consecutive_failures", "etag", "last_modified", "latest_entry_at", "site_link")
 
@@ -33,27 +33,30 @@ def urls_of(posts: DataFrame) -> DataFrame:
     return first_wins(rows, ["unique_id", "url"], "position").withColumn("url_hash", urls.build_hash("url"))
 
 
-def fold_health(health: DataFrame, observations: DataFrame) -> DataFrame:
+def fold_health(health: DataFrame, observations: DataFrame, range_: Column | None = None) -> DataFrame:
     """UPS-4, UPS-5, WIN-2, WIN-3: the health table after the observations, without a row loop.
 
     An observation older than one of its key that came before is ignored, an equally old one isn't. A success takes etag
-    and last_modified even if null, and latest_entry_at and site_link only if not null.
+    and last_modified even if null, and latest_entry_at and site_link only if not null. Everything is folded by (key, range
+    of arrivals) first and the ranges of a key then (see ``earlier_max``), so a feed with very many rows isn't one task's.
     """
     key = "normalized_url"
-    o = observations.join(health.select(key, F.col("last_fetched_at").alias("h_fetched")), key, "left")
-    before = F.max("observed_at").over(Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    o = o.withColumn("bar", F.greatest(before, "h_fetched")).where(F.col("bar").isNull() | (F.col("observed_at") >= F.col("bar")))
-    o = o.withColumn("last_ok", F.max(F.when(F.col("success"), F.col("seq"))).over(Window.partitionBy(key)))
-    last = lambda *cols: F.max_by(F.struct(*cols), "seq")
+    known = health.select(key, F.col("last_fetched_at").alias("_known"))
+    o = earlier_max(observations, [key], "seq", "observed_at", "bar", known, range_).where(F.col("bar").isNull() | (F.col("observed_at") >= F.col("bar")))
+    o = o.withColumn("last_ok", F.max(F.when(F.col("success"), F.col("seq"))).over(Window.partitionBy(key, "_range")))
     when_ok = lambda c: F.max_by(F.when(F.col("success"), c), F.when(F.col("success"), F.col("seq")))
-    known = lambda c: F.max_by(F.col(c), F.when(F.col("success") & F.col(c).isNotNull(), F.col("seq")))
-    g = o.groupBy(key).agg(
-        last(F.col("observed_at").alias("fetched"), F.col("status"), F.when(~F.col("success"), F.col("error")).alias("error")).alias("g_last"),
+    known_ = lambda c: F.max_by(F.col(c), F.when(F.col("success") & F.col(c).isNotNull(), F.col("seq")))
+    ranges = o.groupBy(key, "_range").agg(
+        F.max_by(F.struct(F.col("observed_at").alias("fetched"), F.col("status"), F.when(~F.col("success"), F.col("error")).alias("error")), "seq").alias("g_last"),
         when_ok(F.struct(F.col("observed_at").alias("at"), "etag", "last_modified")).alias("g_ok"),
-        known("latest_entry_at").alias("g_entry"),
-        known("site_link").alias("g_link"),
+        known_("latest_entry_at").alias("g_entry"),
+        known_("site_link").alias("g_link"),
         F.count_if(~F.col("success") & (F.col("last_ok").isNull() | (F.col("seq") > F.col("last_ok")))).alias("g_fails"),
     )
+    ranges = ranges.withColumn("_from", F.max(F.when(F.col("g_ok").isNotNull(), F.col("_range"))).over(Window.partitionBy(key)))
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_range"))).alias(c)
+    since = F.col("_from").isNull() | (F.col("_range") >= F.col("_from"))
+    g = ranges.groupBy(key).agg(*(latest(c) for c in ("g_last", "g_ok", "g_entry", "g_link")), F.sum(F.when(since, F.col("g_fails")).otherwise(0)).alias("g_fails"))
     both = g.join(health, key, "full")
     seen, ok = F.col("g_last").isNotNull(), F.col("g_ok").isNotNull()
     pick = lambda test, new, old: F.when(test, new).otherwise(F.col(old)).alias(old)
@@ -73,28 +76,27 @@ def fold_health(health: DataFrame, observations: DataFrame) -> DataFrame:
 
 def strictly_newer(current: DataFrame, records: DataFrame, keys: list[str], values: list[str], moment: str = "observed_at") -> DataFrame:
     """UPS-6, UPS-7: the next table: a record replaces only what is strictly older; of equals the first arrival stays."""
-    best = records.groupBy(*keys).agg(F.max_by(F.struct(moment, *values), F.struct(F.col(moment), -F.col("seq"))).alias("n"))
+    first = records.groupBy(*keys, moment).agg(F.min_by(F.struct(*values), "seq").alias("v"))
+    best = first.groupBy(*keys).agg(F.max_by(F.struct(moment, "v.*"), moment).alias("n"))
     both = best.join(current.select(*keys, F.struct(moment, *values).alias("o")), keys, "full")
     take = F.col("o").isNull() | (F.col(f"n.{moment}") > F.col(f"o.{moment}"))
     return both.select(*keys, F.when(F.col("n").isNotNull() & take, F.col("n")).otherwise(F.col("o")).alias("r")).select(*keys, "r.*")
 
 
-def classify_newer(current: DataFrame, records: DataFrame, keys: list[str], moment: str = "observed_at") -> DataFrame:
+def classify_newer(current: DataFrame, records: DataFrame, keys: list[str], moment: str = "observed_at", range_: Column | None = None) -> DataFrame:
     """AGG-16: ``records`` with ``applied``: strictly newer than all of its key before it and than the table."""
-    before = F.max(moment).over(Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    known = current.select(*keys, F.col(moment).alias("_known"))
-    bar = records.join(known, keys, "left").withColumn("_bar", F.greatest(before, "_known"))
-    return bar.withColumn("applied", F.col("_bar").isNull() | (F.col(moment) > F.col("_bar"))).drop("_bar", "_known")
+    bar = earlier_max(records, keys, "seq", moment, "_bar", current.select(*keys, F.col(moment).alias("_known")), range_)
+    return bar.select(*records.columns, (F.col("_bar").isNull() | (F.col(moment) > F.col("_bar"))).alias("applied"))
 
 
 #: The kinds of sources whose checkpoints are kept.
 CHECKPOINT_SOURCES = ("reddit", "bluesky", "mastodon")
 
 
-def checkpoint_counts(current: DataFrame, records: DataFrame) -> DataFrame:
+def checkpoint_counts(current: DataFrame, records: DataFrame, range_: Column | None = None) -> DataFrame:
     """UPS-6, AGG-16: ``batch_id, checkpoints_applied, checkpoints_skipped``: a record of an unknown source is skipped, not an error."""
     known = F.col("source_type").isin(*CHECKPOINT_SOURCES)
-    marked = classify_newer(current, records.where(known), ["source_type", "source_key"]).select("batch_id", "applied")
+    marked = classify_newer(current, records.where(known), ["source_type", "source_key"], range_=range_).select("batch_id", "applied")
     marked = marked.unionByName(records.where(~F.coalesce(known, F.lit(False))).select("batch_id", F.lit(False).alias("applied")))
     return marked.groupBy("batch_id").agg(F.count_if("applied").alias("checkpoints_applied"), F.count_if(~F.col("applied")).alias("checkpoints_skipped"))
 
@@ -109,7 +111,7 @@ def replace_snapshots(current: DataFrame, claims: DataFrame, snapshots: DataFram
     won = best.join(claims.select("scope", F.col("observed_at").alias("known")), "scope", "left").where("known is null or n.observed_at > known").select("scope", "n.*")
     kept = current.join(won.select("scope"), "scope", "left_anti")
     new = rows.join(won.select("scope", "snapshot_id", "observed_at"), ["scope", "snapshot_id"]).withColumn("synced_at", F.col("observed_at"))
-    new = first_wins(new.withColumn("_l", -F.col("line")), ["scope", member], "_l")
+    new = new.groupBy("scope", member).agg(F.max_by(F.struct(*(c for c in current.columns if c not in ("scope", member))), "line").alias("_r")).select("scope", member, "_r.*")
     next_claims = claims.join(won.select("scope"), "scope", "left_anti").unionByName(won.select(*claims.columns))
     return kept.unionByName(new.select(*current.columns)), next_claims
 

@@ -14,20 +14,52 @@ def first_wins(rows: DataFrame, key: str | Sequence[str], order: str | Sequence[
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*orders))).where("_n = 1").drop("_n")
 
 
-def not_late(rows: DataFrame, key: str, order: str, moment: str, known: Column | None = None) -> DataFrame:
+#: Arrivals whose numbers differ in the lowest bits alone are one range: what a task sees of a key at once.
+RANGE_BITS = 16
+
+
+def arrival_range(order: str = "seq") -> Column:
+    """The range of a number of arrival; it is in order like the number itself."""
+    return F.shiftright(order, RANGE_BITS)
+
+
+def earlier_max(rows: DataFrame, keys: Sequence[str], order: str, moment: str, name: str, known: DataFrame | None = None, range_: Column | None = None) -> DataFrame:
+    """``rows`` with ``name``: the largest ``moment`` of their key's earlier rows; and with ``_range``.
+
+    A segmented scan, so that a key with very many rows is many tasks' work: the largest of each (key, range) is aggregated, a scan
+    over a key's few ranges carries them on, and each (key, range) is scanned by itself from there. ``known``:
+    ``keys`` and ``_known``, what came before all rows. ``range_`` has to be in order like ``order``; keys aren't null.
+    """
+    rows = rows.withColumn("_range", arrival_range(order) if range_ is None else range_)
+    ranges = rows.groupBy(*keys, "_range").agg(F.max(moment).alias("_m"))
+    before = F.max("_m").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select(*keys, "_range", before.alias("_before"))
+    if known is not None:
+        ranges = ranges.join(known, list(keys), "left").withColumn("_before", F.greatest("_before", "_known")).drop("_known")
+    own = F.max(moment).over(Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return rows.join(ranges, [*keys, "_range"], "left").withColumn(name, F.greatest(own, "_before")).drop("_before")
+
+
+def not_late(rows: DataFrame, key: str, order: str, moment: str, known: Column | None = None, range_: Column | None = None) -> DataFrame:
     """WIN-2: rows not older than anything of their key that came before, nor than ``known``. Ties stay."""
-    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    bar = F.max(moment).over(before)
-    return rows.withColumn("_bar", F.greatest(bar, known) if known is not None else bar).where(F.col("_bar").isNull() | (F.col(moment) >= F.col("_bar"))).drop("_bar")
+    out = earlier_max(rows, [key], order, moment, "_bar", None, range_)
+    bar = F.col("_bar") if known is None else F.greatest("_bar", known)
+    return out.where(bar.isNull() | (F.col(moment) >= bar)).select(*rows.columns)
+
 
+def failure_run(rows: DataFrame, key: str, order: str, success: str, range_: Column | None = None) -> DataFrame:
+    """WIN-3: ``key, failures, any_success``: failures since the last success.
 
-def failure_run(rows: DataFrame, key: str, order: str, success: str) -> DataFrame:
-    """WIN-3: ``key, failures, any_success``: failures since the last success."""
-    last = F.max(F.when(F.col(success), F.col(order))).over(Window.partitionBy(key))
-    return rows.withColumn("_last", last).groupBy(key).agg(
-        F.count_if(~F.col(success) & (F.col("_last").isNull() | (F.col(order) > F.col("_last")))).alias("failures"),
-        F.coalesce(F.bool_or(success), F.lit(False)).alias("any_success"),
+    Counted in each (key, range) after its own last success, then summed over the ranges from the last that has one.
+    """
+    rows = rows.withColumn("_range", arrival_range(order) if range_ is None else range_)
+    last = F.max(F.when(F.col(success), F.col(order))).over(Window.partitionBy(key, "_range"))
+    ranges = rows.withColumn("_last", last).groupBy(key, "_range").agg(
+        F.count_if(~F.col(success) & (F.col("_last").isNull() | (F.col(order) > F.col("_last")))).alias("_n"), F.coalesce(F.bool_or(success), F.lit(False)).alias("_any")
     )
+    ranges = ranges.withColumn("_from", F.max(F.when(F.col("_any"), F.col("_range"))).over(Window.partitionBy(key)))
+    since = F.col("_from").isNull() | (F.col("_range") >= F.col("_from"))
+    return ranges.groupBy(key).agg(F.sum(F.when(since, F.col("_n")).otherwise(0)).alias("failures"), F.bool_or("_any").alias("any_success"))
 
 
 def newest_first(posts: DataFrame) -> DataFrame:

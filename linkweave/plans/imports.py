@@ -42,13 +42,16 @@ def check(candidates: DataFrame, responses: DataFrame, now: Column, days: int) -
     )
 
 
-def classify(candidates: DataFrame, catalog: DataFrame, responses: DataFrame, now: Column, days: int = 365) -> DataFrame:
+def classify(candidates: DataFrame, catalog: DataFrame, responses: DataFrame, now: Column, days: int = 365, order: str = "normalized_url") -> DataFrame:
     """UPS-16: ``seq, url, status`` of every candidate (``seq, url``): invalid, present, duplicate_in_input, dead,
-    unknown_date, abandoned, duplicate_content, duplicate_final or active."""
+    unknown_date, abandoned, duplicate_content, duplicate_final or active.
+
+    ``order``: the column that says which of the catalog's feeds comes first for a repeat (JN-10).
+    """
     cleaned = candidates.withColumn("clean", urls.clean_candidate_url("url"))
     known = joins.classify_candidates(cleaned.where("clean <> ''").select("seq", F.col("clean").alias("url")), catalog)
     fresh = check(known.where("status = 'new'").select("seq", "url"), responses, now, days)
-    existing = check(catalog.select(F.monotonically_increasing_id().alias("seq"), F.col("feed_url").alias("url")), responses, now, days)
+    existing = check(catalog.select(F.col(order).alias("seq"), F.col("feed_url").alias("url")), responses, now, days)
     repeats = joins.content_duplicates(fresh.drop("seq", "final_url"), existing.drop("final_url")).select("id", F.lit(True).alias("repeat"))
     marked = fresh.join(repeats, "id", "left").withColumn("status", F.when(F.col("repeat"), "duplicate_content").otherwise(F.col("status")))
     first = first_wins(marked.where("status = 'active'"), "feed_key", "seq").select("seq", F.lit(True).alias("first"))

@@ -254,13 +254,21 @@ def jn12_keep_children(spark, sf):
 @query(
     "WITH "
     + OBS_SQL
-    + """, l AS (SELECT event_type, CASE WHEN bool_or(try_cast(c AS DECIMAL(38,0)) IS NULL) THEN arg_min(c, event_id) ELSE CAST(max(try_cast(c AS HUGEINT)) AS VARCHAR) END AS highest
-      FROM (SELECT event_type, event_id, CASE WHEN event_type = 'view' AND event_id % 100 = 3 THEN 'x' || event_id ELSE CAST(event_id AS VARCHAR) END AS c FROM obs) GROUP BY event_type)
-    SELECT * FROM l"""
+    + """, c AS (SELECT event_type, event_id, CASE WHEN event_type = 'view' AND event_id % 100 = 3 THEN event_id || '.5' WHEN event_type = 'click' AND event_id % 100 = 4 THEN event_id || 'e5'
+        WHEN event_type = 'error' THEN '1' || lpad(CAST(event_id AS VARCHAR), 45, '0') WHEN event_type = 'purchase' THEN '-' || event_id ELSE '00' || event_id END AS c FROM obs)
+    SELECT event_type, CASE event_type WHEN 'view' THEN arg_min(c, event_id) WHEN 'click' THEN arg_min(c, event_id) WHEN 'purchase' THEN arg_min(c, event_id) ELSE arg_max(c, event_id) END AS highest FROM c GROUP BY event_type"""
 )
 def agg14_highest_id(spark, sf):
-    c = observations(spark, sf).select("event_type", "event_id", F.when((F.col("event_type") == "view") & (F.col("event_id") % 100 == 3), F.concat(F.lit("x"), F.col("event_id").cast("string"))).otherwise(F.col("event_id").cast("string")).alias("c"))
-    return aggregates.highest_id(c, "event_type", "c", "event_id")
+    """Ids that are whole numbers of up to 46 digits, with leading zeros or negative; two types have some like 1.5 and 1e5, and so their first."""
+    type_, id_ = F.col("event_type"), F.col("event_id").cast("string")
+    c = (
+        F.when((type_ == "view") & (F.col("event_id") % 100 == 3), F.concat(id_, F.lit(".5")))
+        .when((type_ == "click") & (F.col("event_id") % 100 == 4), F.concat(id_, F.lit("e5")))
+        .when(type_ == "error", F.concat(F.lit("1"), F.lpad(id_, 45, "0")))
+        .when(type_ == "purchase", F.concat(F.lit("-"), id_))
+        .otherwise(F.concat(F.lit("00"), id_))
+    )
+    return aggregates.highest_id(observations(spark, sf).select("event_type", "event_id", c.alias("c")), "event_type", "c", "event_id")
 
 
 @query("WITH " + OBS_SQL + "SELECT CASE WHEN NOT success THEN 'error' WHEN status = 304 THEN 'not_modified' ELSE 'fetched' END AS outcome, count(*) AS n FROM obs GROUP BY 1")

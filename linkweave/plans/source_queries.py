@@ -42,21 +42,25 @@ def src15_reddit_posts(spark, sf):
 
 @query(
     f"""SELECT 'https://bsky.app/profile/h' || page_id AS source, CASE WHEN page_id % 2 = 0 THEN 'N' || page_id ELSE 'h' || page_id END AS author,
-    'https://bsky.app/profile/h' || page_id || '/post/' || page_id AS direct_link, url || '/facet ' || url || '/card ' || url || '/deep ' || url AS links FROM pages WHERE page_id % 3 <> 0"""
+    'https://bsky.app/profile/h' || page_id || '/post/' || page_id AS direct_link, url || '/facet ' || url || '/own&a=1 ' || url || '/card ' || url || '/thumb ' || url || '/deep ' || url || '/last ' || url AS links FROM pages WHERE page_id % 3 <> 0"""
 )
 def src16_fn25_fn26_bluesky_posts(spark, sf):
     p = table(spark, sf, "pages")
     text = F.when(F.col("page_id") % 3 == 0, "").otherwise(F.concat(F.lit("see "), "url", F.lit(" and https://bsky.app/x")))
     page = F.col("page_id").cast("string")
     facets = F.array(F.struct(F.array(F.struct(F.concat("url", F.lit("/facet")).alias("uri")), F.struct(F.lit("at://no").alias("uri"))).alias("features")))
-    embed = F.struct(F.struct(F.concat("url", F.lit("/card")).alias("uri"), F.array(F.struct(F.concat("url", F.lit("/deep")).alias("uri"))).alias("media")).alias("external"))
+    # a uri after its object's children, escapes, arrays in arrays, and one in a string that only looks like JSON
+    embed = F.concat(
+        F.lit('{"external":{"thumb":{"uri":"'), "url", F.lit('/thumb"},"uri":"'), "url", F.lit(r'\/card"},"uri":"'), "url", F.lit(r'/own&a=1","items":[[{"uri":"'), "url", F.lit('/deep"}],{"uri":"at://no","x":{"uri":"'), "url",
+        F.lit(r'/last"}}],"text":"{\"uri\":\"https://no.example/\"}"}'),
+    )
     post = F.struct(
         F.concat(F.lit("at://x/y/"), page).alias("uri"),
         F.struct(F.concat(F.lit("h"), page).alias("handle"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("N"), page)).otherwise("").alias("displayName"), F.lit("d").alias("did")).alias("author"),
         F.struct(text.alias("text"), F.lit("2026-01-01T00:00:00.000Z").alias("createdAt"), facets.alias("facets")).alias("record"),
-        embed.alias("embed"),
+        F.lit("EMBED").alias("embed"),
     )
-    bodies = p.select(F.to_json(F.struct(F.array(F.struct(post.alias("post"))).alias("feed"))).alias("body"))
+    bodies = p.select(F.replace(F.to_json(F.struct(F.array(F.struct(post.alias("post"))).alias("feed"))), F.lit('"EMBED"'), embed).alias("body"))
     return providers.bluesky_posts(bodies).select("source", "author", "direct_link", F.array_join("urls", " ").alias("links"))
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import html, labels, times, urls
 from . import feeds
@@ -75,17 +79,45 @@ def facet_links(facets: Column) -> Column:
     return F.coalesce(F.filter(found, lambda u: F.startswith(u, F.lit("http"))), F.array().cast("array<string>"))
 
 
+def _uris(embed: str | None) -> list[str]:
+    """The http ``uri`` values of a JSON text: an object's own before those inside of it, in the order of the text."""
+    try:
+        left, found = [json.loads(embed or "null")], []
+    except (ValueError, RecursionError):
+        return []
+    while left:
+        node = left.pop()
+        if isinstance(node, dict):
+            uri = node.get("uri")
+            if isinstance(uri, str) and uri.startswith("http"):
+                found.append(uri)
+            node = list(node.values())
+        if isinstance(node, list):
+            left += reversed([x for x in node if isinstance(x, (dict, list))])
+    return found
+
+
+def _embed_links(embeds: pa.Array) -> pa.Array:
+    return pa.array([_uris(x) for x in embeds.to_pylist()], pa.list_(pa.string()))
+
+
 def embed_links(embed: Column) -> Column:
-    """FN-26: every http ``uri`` of an embed, at any depth, in order."""
-    found = F.regexp_extract_all(embed, F.lit(r'"uri"\s*:\s*"(http(?:[^"\\]|\\.)*)"'), F.lit(1))
-    return F.coalesce(F.transform(found, lambda u: F.replace(u, F.lit("\\/"), F.lit("/"))), F.array().cast("array<string>"))
+    """FN-26: every http ``uri`` of an embed, at any depth; what isn't JSON has none.
+
+    An object's own comes before those inside of it. A variant sorts its keys and so forgets that order, therefore
+    texts with a uri are parsed in Arrow batches; others aren't looked at.
+    """
+    walk = F.arrow_udf(_embed_links, T.ArrayType(T.StringType()))
+    none = F.array().cast("array<string>")
+    return F.coalesce(walk(F.when(F.contains(embed, F.lit("uri")), embed)), none)
 
 
 def bluesky_posts(timelines: DataFrame, excluded: tuple[str, ...] = ("bsky.app", "bsky.social")) -> DataFrame:
     """SRC-16, FN-24: needs text and createdAt; links of facets, embed and text in that order, without excluded hosts."""
     p = timelines.select(F.explode(F.from_json("body", BLUESKY)["feed"]).alias("i")).select("i.post.*")
+    p = p.withColumn("embedded", embed_links(F.col("embed")))
     text = F.col("record.text")
-    found = F.concat(facet_links(F.col("record.facets")), embed_links(F.col("embed")), urls.extract_urls(text))
+    found = F.concat(facet_links(F.col("record.facets")), F.col("embedded"), urls.extract_urls(text))
     kept = F.filter(urls.add_urls(found), lambda u: ~urls.in_domain(urls.host(u), excluded))
     return finished(
         p.where(labels.to_null(F.col("record.text")).isNotNull() & labels.to_null(F.col("record.createdAt")).isNotNull()).select(

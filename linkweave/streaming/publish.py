@@ -15,12 +15,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.times import contract_timestamp
-from ..operators import merges, sinks, validation
+from ..operators import merges, sinks, validation, windows
 from ..sources import batches
 
 TABLES = {
@@ -138,7 +138,7 @@ def follows(store: Store, version: int, good: DataFrame, files: DataFrame) -> di
         )
         snapshots = entries.withColumn("seq", F.row_number().over(Window.partitionBy("scope").orderBy("snapshot_id")))
         rows = ordered(good, kind).withColumn("snapshot_id", F.concat_ws("/", "batch_id", "file_name")).join(entries.select("snapshot_id", "scope"), "snapshot_id")
-        rows = rows.withColumn("line", F.row_number().over(Window.partitionBy("snapshot_id").orderBy("seq")))
+        rows = rows.withColumn("line", F.col("seq"))
         own = claims.where(F.col("source_type") == source_type).drop("source_type")
         out[kind], own = merges.replace_snapshots(store.read(kind, version), own, snapshots, rows, member)
         nexts.append(own.withColumn("source_type", F.lit(source_type)))
@@ -157,27 +157,30 @@ def apply_batches(store: Store, landed: DataFrame, now) -> None:
     manifests = spark.createDataFrame([tuple(r) for r in new], "batch_id string, folder string, value string").toDF(*names)
     manifests = manifests.select(F.col("batch_id").alias("dir_batch_id"), F.from_json("value", schemas.MANIFEST).alias("m")).select("dir_batch_id", "m.*")
     folders = [r["folder"] for r in new]
-    rows = record_lines(spark, folders).persist()
+    rows, kept = record_lines(spark, folders).persist(), []
+    kept.append(rows)
     try:
         bad = validation.quarantine(problems(manifests, rows, batches.file_digests(spark, *folders)), now).persist()
+        kept.append(bad)
         good = validation.reject(rows, bad)
         valid = validation.reject(manifests.drop("batch_id").withColumnRenamed("dir_batch_id", "batch_id"), bad)
         posts = ordered(good, "posts").withColumn("posted_at", contract_timestamp("posted_at"))
         fresh = merges.insert_ignore(store.read("posts", version), posts, "unique_id").withColumn("first_seen_at", now).persist()
+        kept.append(fresh)
         links = merges.urls_of(fresh).withColumn("unshortened_url", F.lit(None).cast("string"))
         o = ordered(good, "rss_observations")
         o = o.withColumns({c: contract_timestamp(c) for c in ("observed_at", "latest_entry_at")})
         c = ordered(good, "checkpoints").withColumn("observed_at", contract_timestamp("observed_at"))
-        c = c.withColumn("seq", F.row_number().over(Window.partitionBy("source_type", "source_key").orderBy("seq")))
+        split = F.struct("seq.batch_id", "seq.line.block")  # what came by one split of a file is a range of arrivals
         cursors = store.read("checkpoints", version)
-        counts = merges.ledger_entries(valid, good, fresh, links, now).join(merges.checkpoint_counts(cursors, c), "batch_id", "left")
+        counts = merges.ledger_entries(valid, good, fresh, links, now).join(merges.checkpoint_counts(cursors, c, split), "batch_id", "left")
         counts = counts.withColumns({n: F.coalesce(n, F.lit(0)) for n in ("checkpoints_applied", "checkpoints_skipped")})
         files = valid.select("batch_id", "created_at", F.explode("files").alias("f")).select("batch_id", "created_at", "f.*")
         store.write(
             {
                 "posts": fresh,
                 "post_urls": links,
-                "health": merges.fold_health(store.read("health", version), o),
+                "health": merges.fold_health(store.read("health", version), o, split),
                 "checkpoints": merges.strictly_newer(cursors, c.where(F.col("source_type").isin(*merges.CHECKPOINT_SOURCES)), ["source_type", "source_key"], ["cursor", "source_url"]),
                 **follows(store, version, good, files),
                 "rejected": bad,
@@ -186,7 +189,8 @@ def apply_batches(store: Store, landed: DataFrame, now) -> None:
             version + 1,
         )
     finally:
-        rows.unpersist()
+        for table in kept:
+            table.unpersist()
 
 
 def publish(spark: SparkSession, landing: str, store: Store, checkpoint: str, now: Callable | None = None, most_batches: int = 1000):
@@ -206,19 +210,27 @@ def first_posts(posts: DataFrame, retention: str = "30 days") -> DataFrame:
 STATE = "normalized_url string, newest timestamp, failures int"
 
 
-def late_flags(rows: DataFrame, state: DataFrame) -> DataFrame:
+def late_flags(rows: DataFrame, state: DataFrame, range_: Column | None = None) -> DataFrame:
     """STR-3, STR-4: ``rows (normalized_url, seq, observed_at, success)`` with ``late`` and ``failures`` since the last success.
 
-    ``state`` (STATE): what came before. Late rows change nothing. Windows that run along a key spill, however many rows it has.
+    ``state`` (STATE): what came before. Late rows change nothing. Both run along (key, range of arrivals), with what a key's
+    earlier ranges carry on (see ``windows.earlier_max``), so a feed with very many rows is spread over tasks.
     """
-    key = Window.partitionBy("normalized_url").orderBy("seq")
-    bar = F.greatest(F.max("observed_at").over(key.rowsBetween(Window.unboundedPreceding, -1)), F.col("newest"))
-    marked = rows.join(state, "normalized_url", "left").withColumn("late", F.coalesce(F.col("observed_at") < bar, F.lit(False)))
-    counted = lambda test: F.sum((~F.col("late") & test).cast("int"))
-    marked = marked.withColumn("successes", counted(F.col("success")).over(key))
-    since = counted(~F.col("success")).over(Window.partitionBy("normalized_url", "successes").orderBy("seq"))
-    before = F.when(F.col("successes") == 0, F.coalesce("failures", F.lit(0))).otherwise(0)
-    return marked.select("normalized_url", "seq", "observed_at", "success", "late", (since + before).cast("int").alias("failures"))
+    key, own = "normalized_url", Window.partitionBy("normalized_url", "_range")
+    marked = windows.earlier_max(rows, [key], "seq", "observed_at", "_bar", state.select(key, F.col("newest").alias("_known")), range_)
+    marked = marked.withColumn("late", F.coalesce(F.col("observed_at") < F.col("_bar"), F.lit(False)))
+    counts = ~F.col("late") & ~F.col("success")
+    successes = F.sum((~F.col("late") & F.col("success")).cast("int"))
+    marked = marked.withColumn("_done", successes.over(own.orderBy("seq")))
+    marked = marked.withColumn("_since", F.sum(counts.cast("int")).over(Window.partitionBy(key, "_range", "_done").orderBy("seq")))
+    ranges = marked.groupBy(key, "_range").agg(F.max("_done").alias("_done"), F.max_by("_since", "seq").alias("_left"))
+    # what is carried out of a range: its own failures, and, without a success in it, what came in
+    runs = ranges.join(state.select(key, "failures"), key, "left").withColumn("_run", F.sum((F.col("_done") > 0).cast("int")).over(Window.partitionBy(key).orderBy("_range")))
+    out = F.sum("_left").over(Window.partitionBy(key, "_run").orderBy("_range")) + F.when(F.col("_run") == 0, F.coalesce("failures", F.lit(0))).otherwise(0)
+    before = F.lag("_out").over(Window.partitionBy(key).orderBy("_range"))
+    runs = runs.withColumn("_out", out).withColumn("_in", F.coalesce(before, "failures", F.lit(0))).select(key, "_range", "_in")
+    joined = marked.join(runs, [key, "_range"])
+    return joined.select(key, "seq", "observed_at", "success", "late", (F.col("_since") + F.when(F.col("_done") == 0, F.col("_in")).otherwise(0)).cast("int").alias("failures"))
 
 
 def next_state(flagged: DataFrame, state: DataFrame) -> DataFrame:
