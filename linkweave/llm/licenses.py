@@ -22,6 +22,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -183,38 +184,63 @@ class Model:
             words = rest
         return list(out.values())
 
+    @cached_property
+    def known(self) -> set:
+        """The word pairs of all templates."""
+        return set().union(*(t for templates in self.templates.values() for t in templates))
+
     def matches(self, lines: list[str]) -> list[tuple[int, str, float, float]]:
-        """``line, family, probability, similarity`` of the notices in lines and in groups of lines, in order."""
+        """``line, family, probability, similarity`` of the notices in lines and in groups of lines, in order.
+
+        A group has a bounded number of words and is compared with what lies next to it alone, so the time is linear in the lines.
+        """
         words = [words_of(line) for line in lines]
-        taken = [(i, i, m) for i, w in enumerate(words) for m in self.all_confirmed(w)]
-        known = set().union(*(t for templates in self.templates.values() for t in templates))
+        known = self.known
         # lines where a pair of a notice is, or ends or starts by the pair over their line end
         joint = [bool(a and b) and (a[-1], b[0]) in known for a, b in zip(words, words[1:], strict=False)]
         hit = [any(x in known for x in zip(w, w[1:], strict=False)) for w in words]
         hit = [h or (i > 0 and joint[i - 1]) or (i < len(joint) and joint[i]) for i, h in enumerate(hit)]
+        # lines with words and blank ones; runs of other lines are stepped over
+        steps = [i for i, line in enumerate(lines) if words[i] or not line.strip()]
+        alone = {i: [(i, i, m) for m in self.all_confirmed(words[i])] for i in steps if words[i]}
         groups = []
-        for i in range(len(lines)):
+        for p, i in enumerate(steps):
             if not hit[i]:
                 continue
             group = list(words[i])
-            for j in range(i + 1, len(lines)):
-                if not lines[j].strip() or len(group) > MOST_WORDS:
+            for q in range(p + 1, len(steps)):
+                j = steps[q]
+                if not words[j] or len(group) > MOST_WORDS:
                     break
                 group += words[j]
                 if hit[j] and (found := self.all_confirmed(group)):
                     groups.extend((i, j, m) for m in found)
                     # a line that begins a notice may look like another family's
                     names, best = {m[0] for m in found}, max(m[2] for m in found)
-                    taken = [t for t in taken if not i <= t[0] <= j or t[2][0] in names or t[2][2] >= best]
-        for i, j, m in sorted(groups, key=lambda g: (-g[2][2], g[1] - g[0], -g[2][1], g[0])):
-            shared = [(min(j, y) - max(i, x) + 1, n) for x, y, n in taken]
-            if all(k <= (-1 if n[0] == m[0] else 1) for k, n in shared):
-                rest = [w for line in words[i : j + 1] for w in line]
-                for k, n in shared:
-                    rest = without(rest, n[3]) if k == 1 else rest
-                # what another notice on the same line has can't confirm this one
-                if m[0] in {n[0] for n in self.all_confirmed(rest)}:
-                    taken.append((i, j, m))
+                    for k in steps[p : q + 1]:
+                        alone[k] = [t for t in alone[k] if t[2][0] in names or t[2][2] >= best]
+        taken = [t for i in steps for t in alone.get(i, ())]
+        if groups:
+            place = {i: p for p, i in enumerate(steps)}
+            over: dict[int, list[int]] = {}  # step -> the taken notices there
+
+            def lies(n: int) -> None:
+                for p in range(place[taken[n][0]], place[taken[n][1]] + 1):
+                    over.setdefault(p, []).append(n)
+
+            for n in range(len(taken)):
+                lies(n)
+            for i, j, m in sorted(groups, key=lambda g: (-g[2][2], g[1] - g[0], -g[2][1], g[0])):
+                near = sorted({n for p in range(place[i] - 1, place[j] + 2) for n in over.get(p, ())})
+                shared = [(min(j, y) - max(i, x) + 1, n) for x, y, n in (taken[n] for n in near)]
+                if all(k <= (-1 if n[0] == m[0] else 1) for k, n in shared):
+                    rest = [w for line in words[i : j + 1] for w in line]
+                    for k, n in shared:
+                        rest = without(rest, n[3]) if k == 1 else rest
+                    # what another notice on the same line has can't confirm this one
+                    if m[0] in {n[0] for n in self.all_confirmed(rest)}:
+                        taken.append((i, j, m))
+                        lies(len(taken) - 1)
         return sorted((i, *m[:3]) for i, _, m in taken)
 
 

@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 from linkweave.llm import licenses as lic
 
@@ -28,6 +30,62 @@ def test_wrapped_notices_and_two_families_in_a_line():
     assert sorted(m[1] for m in both) == ["apache-2.0", "mit"]
 
 
+def plain_matches(model, lines):
+    """``matches`` with every group compared with everything taken so far."""
+    words = [lic.words_of(line) for line in lines]
+    taken = [(i, i, m) for i, w in enumerate(words) for m in model.all_confirmed(w)]
+    pairs = [set(zip(w, w[1:])) for w in words]
+    over = [{(a[-1], b[0])} if a and b else set() for a, b in zip(words, words[1:])]
+    hit = [bool((pairs[i] | (over[i - 1] if i else set()) | (over[i] if i < len(over) else set())) & model.known) for i in range(len(lines))]
+    groups = []
+    for i in range(len(lines)):
+        for j in range(i + 1, len(lines)):
+            between = lines[i + 1 : j + 1]
+            if not (hit[i] and hit[j]) or not all(x.strip() for x in between) or sum(map(len, words[i:j])) > lic.MOST_WORDS:
+                continue
+            found = model.all_confirmed([w for x in words[i : j + 1] for w in x])
+            if found:
+                groups += [(i, j, m) for m in found]
+                taken = [t for t in taken if t[0] < i or t[0] > j or t[2][0] in {m[0] for m in found} or t[2][2] >= max(m[2] for m in found)]
+    for i, j, m in sorted(groups, key=lambda g: (-g[2][2], g[1] - g[0], -g[2][1], g[0])):
+        common = [(len({*range(i, j + 1)} & {*range(x, y + 1)}), x > j + 1 or y < i - 1, n) for x, y, n in taken]
+        if all(far or (n[0] != m[0] and k <= 1) for k, far, n in common):
+            rest = [w for x in words[i : j + 1] for w in x]
+            for k, _, n in common:
+                rest = lic.without(rest, n[3]) if k == 1 else rest
+            if m[0] in {n[0] for n in model.all_confirmed(rest)}:
+                taken.append((i, j, m))
+    return sorted((i, *m[:3]) for i, _, m in taken)
+
+
+def test_matches_equal_a_plain_version():
+    model, rng = lic.train(PLAIN * 20), random.Random(3)
+    notices = [n for own in lic.NOTICES.values() for n in own]
+    for _ in range(40):
+        lines = []
+        for _ in range(rng.randrange(1, 6)):
+            words = rng.choice([*notices, *lic.NEAR_MISSES, *PLAIN]).split()
+            if rng.random() < 0.3:
+                words += rng.choice(notices).split()
+            step = rng.choice([4, 9, 100])
+            lines += [" ".join(words[i : i + step]) for i in range(0, len(words), step)]
+            lines += rng.choice([[], [], [""], ["----"], ["***", "  "]])
+        assert model.matches(lines) == plain_matches(model, lines), lines
+
+
+def test_time_is_linear_in_the_notices_of_a_text():
+    model = lic.train(PLAIN * 20)
+    notice = lic.NOTICES["gpl-3.0"][0].split()
+    block = [" ".join(notice[i : i + 8]) for i in range(0, len(notice), 8)] + [""]
+    seconds = []
+    for n in (60, 480):
+        began = time.process_time()
+        assert len(model.matches(block * n)) == n
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 20 * seconds[0] + 0.5
+    assert model.matches(["----"] * 50_000 + block + ["----"] * 50_000)[0][0] == 50_000
+
+
 def test_scan_of_odd_tables(spark):
     model = lic.train(PLAIN * 20)
     docs = [(1, None, "x"), (2, "", "x"), (None, "Released under the MIT License.", "x"), (3, "a\n\nLicensed under CC BY-NC 4.0.\nb\nLicensed under CC BY-SA 4.0.", "x"), (3, "a", "x"), (3, "a", "x")]
