@@ -11,11 +11,13 @@ document closest to what is missing then goes in if that brings the source neare
 bound, so documents find their copies by their source's row of the plan.
 
 The hash of doc_id also cuts a source into blocks of about the same number of words, ``BLOCKS_PER_SHARD`` to an output shard.
-The drawn copies of the blocks that hold rows are dealt to the shards by a splitting tree: a node puts its block copies into
-random order and cuts where half of its words are reached, so the sources' block quotas of its children are a multivariate
-hypergeometric draw, sum up exactly, and every shard is within about a block of the mean. The root has up to 2 ** ROOT_BITS
-children: its order is by a random key, and its sums are taken by ranges of that key, so no task sees all blocks. A shard's
-rows are then shuffled by a hash.
+The drawn copies of the blocks that hold rows are numbered in the order of the permutation; how many a source has is its
+quota at the root of the splitting tree. A node draws the quotas of its two children: it puts one token for each block copy of its
+quotas into random order and the first half goes left. So the children's quotas are a multivariate hypergeometric draw and sum up to
+the node's exactly; a leaf is a shard. A node of at most ``NODE_TOKENS`` tokens is one row, and its whole subtree is split without
+moving anything; the nodes above it are split level by level, in ranges of the random order, so no task sees all
+tokens. Shards then take the next block copies of each source's permutation, as many as their quota (``quotas``), and a
+shard's rows are shuffled by a hash.
 
 Null text: size 0, drawn like the rest; empty tables give no rows. Null sources are one source. Null doc_ids share one block,
 in an order of their texts. Rows equal in doc_id and text (ties) share one place in the permutation: they are drawn together or
@@ -33,7 +35,8 @@ from .session import discard, materialise
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 HASH_BITS, TEXT_BITS, STEP_BITS, STEP_LEVELS = 63, 24, 10, 2
-WORDS_PER_SHARD, BLOCKS_PER_SHARD, ROOT_BITS = 1 << 22, 16, 10
+WORDS_PER_SHARD, BLOCKS_PER_SHARD, LEAST_SHARDS = 1 << 22, 16, 16
+NODE_TOKENS, RANGE_BITS = 1 << 14, 10
 END = (1 << 63) - 1
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = 20240
@@ -178,38 +181,88 @@ def with_plan(rows: DataFrame, plan_: DataFrame) -> DataFrame:
     return joined.withColumn("block", block()).withColumn("more", extra()).drop("rounds", "last", "blocks")
 
 
-def block_copies(planned: DataFrame) -> DataFrame:
-    """``source, block, copy, words``: each drawn copy of a block that holds rows; the last may hold only the rows drawn once more."""
-    blocks = planned.groupBy("source", "block").agg(F.first("copies").alias("copies"), F.sum("size").alias("words"), F.count_if("more").alias("n"), F.sum(F.when(F.col("more"), F.col("size"))).alias("more"))
-    one = lambda copy, words: F.struct(copy.alias("copy"), words.alias("words"))
-    none = F.array().cast("array<struct<copy:int,words:bigint>>")
-    whole = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(1), F.col("copies")), lambda k: one(k, F.col("words")))).otherwise(none)
-    rest = F.when(F.col("n") > 0, F.array(one(F.col("copies") + 1, F.col("more")))).otherwise(none)
-    return blocks.select("source", "block", F.explode(F.concat(whole, rest)).alias("c")).select("source", "block", "c.*")
+def numbered(planned: DataFrame) -> DataFrame:
+    """``source, block, copies, whole, extra, at, extra_at``: the blocks that hold rows, numbered in the order of the permutation.
 
-
-def dealt(copies: DataFrame, shards: int) -> DataFrame:
-    """``copies`` with their output ``shard``, from the splitting tree. ``shards``: a power of two."""
+    A source's block copies are ``copies`` times its ``whole`` blocks, and then its ``extra`` ones, which hold rows that are drawn once
+    more; ``at`` and ``extra_at`` (null without such rows) count from 0. Numbers are carried on over ranges of blocks.
+    """
+    blocks = planned.groupBy("source", "block").agg(F.first("copies").alias("copies"), F.bool_or("more").cast("int").alias("has")).withColumn("range", F.shiftright("block", RANGE_BITS))
+    ranges = blocks.groupBy("source", "range").agg(F.count("*").alias("n"), F.sum("has").alias("h"))
+    all_of, before = Window.partitionBy("source"), Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    prior = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    ranges = ranges.select(F.col("source").alias("__s"), F.col("range").alias("__r"), prior("n").alias("n0"), prior("h").alias("h0"), F.sum("n").over(all_of).alias("whole"), F.sum("h").over(all_of).alias("extra"))
+    own = Window.partitionBy("source", "range").orderBy("block")
+    joined = blocks.join(ranges, F.col("source").eqNullSafe(F.col("__s")) & (F.col("range") == F.col("__r")))
+    at, extra_at = F.col("n0") + F.row_number().over(own) - 1, F.col("h0") + F.sum("has").over(own) - 1
+    return joined.select("source", "block", "copies", "whole", "extra", at.alias("at"), F.when(F.col("has") > 0, extra_at).alias("extra_at"))
+
+
+def token_key(level: int, source: Column, number: Column) -> Column:
+    """The place of a token in the random order of a node of ``level``."""
+    return F.xxhash64(F.lit(SEED + 1 + level), source, number)
+
+
+def left_part(total: Column, level: int) -> Column:
+    """How many tokens of a node go left: half of them, the odd one left and right by turns of the level."""
+    return F.shiftright(total + level % 2, 1)
+
+
+def split_rows(tokens: DataFrame, level: int) -> DataFrame:
+    """``node, source, number`` a level down: ranges of each node's random order are counted, then ordered by themselves."""
+    keyed = tokens.withColumn("key", token_key(level, F.col("source"), F.col("number"))).withColumn("range", F.shiftright("key", 64 - RANGE_BITS))
+    ranges = keyed.groupBy("node", "range").agg(F.count("*").alias("n"))
+    node = Window.partitionBy("node")
+    before = F.coalesce(F.sum("n").over(node.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("node", "range", before.alias("before"), F.sum("n").over(node).alias("total"))
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("node", "range").orderBy("key", "source", "number"))
+    right = (rank > left_part(F.col("total"), level)).cast("int")
+    return keyed.join(ranges, ["node", "range"]).select((2 * F.col("node") + right).alias("node"), "source", "number")
+
+
+def split_arrays(nodes: DataFrame, level: int) -> DataFrame:
+    """``node, tokens`` a level down, for nodes that are one row each."""
+    ordered = F.array_sort(F.transform("tokens", lambda t: F.struct(token_key(level, t["source"], t["number"]).alias("key"), t["source"].alias("source"), t["number"].alias("number"))))
+    keyed = nodes.select("node", F.transform(ordered, lambda t: F.struct(t["source"], t["number"])).alias("t"))
+    left = left_part(F.size("t"), level)
+    both = F.array(F.struct((2 * F.col("node")).alias("node"), F.slice("t", F.lit(1), left).alias("tokens")), F.struct((2 * F.col("node") + 1).alias("node"), F.slice("t", left + 1, F.size("t")).alias("tokens")))
+    return keyed.select(F.explode(both).alias("c")).select("c.*")
+
+
+def quotas(totals: DataFrame, shards: int) -> DataFrame:
+    """``shard, source, quota``: the leaves of the splitting tree over ``totals (source, n)``. ``shards``: a power of two."""
     levels = (shards - 1).bit_length()
-    top = min(levels, ROOT_BITS)
-    key = lambda level: F.xxhash64(F.lit(SEED + 1 + level), "source", "block", "copy")
-    ties = ["source", "block", "copy"]
-    middle = F.sum("words").over(Window.partitionBy("range").orderBy("key", *ties)) - F.col("words") / 2
-    ranged = materialise(copies.withColumn("key", key(0)).withColumn("range", F.shiftright("key", 64 - ROOT_BITS)))
-    sums = ranged.groupBy("range").agg(F.sum("words").alias("w"))  # 2 ** ROOT_BITS rows at most
-    sums = sums.select("range", (F.sum("w").over(Window.orderBy("range")) - F.col("w")).alias("before"), F.sum("w").over(Window.partitionBy()).alias("total"))
-    nodes = ranged.join(F.broadcast(sums), "range").withColumn("at", F.when(F.col("total") > 0, (F.col("before") + middle) / F.col("total")).otherwise(0.0))
-    nodes = nodes.select(*ties, "words", F.least(F.floor(F.col("at") * (1 << top)), F.lit((1 << top) - 1)).cast("int").alias("shard"))
-    for level in range(top, levels):
-        in_order = Window.partitionBy("shard").orderBy(key(level), *ties)
-        right = F.sum("words").over(in_order) - F.col("words") / 2 > F.sum("words").over(Window.partitionBy("shard")) / 2
-        nodes = nodes.withColumn("shard", 2 * F.col("shard") + right.cast("int"))
-    return nodes
+    size = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tokens = totals.where("n > 0").select(F.lit(0).cast("long").alias("node"), "source", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("number"))
+    level = 0
+    while level < levels and size > NODE_TOKENS:
+        tokens, size, last = materialise(split_rows(tokens, level)), -(-size // 2), tokens if level else None
+        if last is not None:
+            discard(last)
+        level += 1
+    if level < levels:
+        nodes = tokens.groupBy("node").agg(F.collect_list(F.struct("source", "number")).alias("tokens"))
+        for at in range(level, levels):
+            nodes = split_arrays(nodes, at)
+        tokens = nodes.select("node", F.explode("tokens").alias("t")).select("node", "t.source")
+    return tokens.groupBy(F.col("node").cast("int").alias("shard"), "source").agg(F.count("*").alias("quota"))
+
+
+def dealt(blocks: DataFrame, leaves: DataFrame) -> DataFrame:
+    """``source, block, copy, shard`` from ``numbered`` and ``quotas``: each shard takes the next block copies of each source."""
+    end = F.sum("quota").over(Window.partitionBy("source").orderBy("shard"))  # a row for each shard of a source
+    places = leaves.withColumn("end", end).select(F.col("source").alias("__s"), "shard", F.explode(F.sequence(F.col("end") - F.col("quota"), F.col("end") - 1)).alias("__p"))
+    one = lambda copy, place: F.struct(copy.alias("copy"), place.alias("place"))
+    none = F.array().cast("array<struct<copy:int,place:bigint>>")
+    whole = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(1), F.col("copies")), lambda k: one(k, (k - 1) * F.col("whole") + F.col("at")))).otherwise(none)
+    rest = F.when(F.col("extra_at").isNotNull(), F.array(one(F.col("copies") + 1, F.col("copies") * F.col("whole") + F.col("extra_at")))).otherwise(none)
+    copies = blocks.select("source", "block", F.explode(F.concat(whole, rest)).alias("c")).select("source", "block", "c.*")
+    return copies.join(places, F.col("source").eqNullSafe(F.col("__s")) & (F.col("place") == F.col("__p"))).select("source", "block", "copy", "shard")
 
 
 def shard_count(words: float) -> int:
-    """The least power of two with at most ``WORDS_PER_SHARD`` words a shard."""
-    return 1 << max(0, -(-int(words) // WORDS_PER_SHARD) - 1).bit_length()
+    """The least power of two with at most ``WORDS_PER_SHARD`` words a shard, ``LEAST_SHARDS`` at least."""
+    return max(LEAST_SHARDS, 1 << max(0, -(-int(words) // WORDS_PER_SHARD) - 1).bit_length())
 
 
 def draws(rows: DataFrame, shards: int | None = None) -> DataFrame:
@@ -217,13 +270,15 @@ def draws(rows: DataFrame, shards: int | None = None) -> DataFrame:
     return _draws(rows, shards)[0]
 
 
-def _draws(rows: DataFrame, shards: int | None) -> tuple[DataFrame, int]:
-    """``draws`` and the number of shards."""
-    small = materialise(rows.select("doc_id", "source", "size", "place"))
+def _draws(rows: DataFrame, shards: int | None, small: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """``draws`` and the number of shards. ``small``: a table of the rows' ``doc_id, source, size, place``, if there is one."""
+    small = materialise(rows.select("doc_id", "source", "size", "place")) if small is None else small
     p = materialise(plan(small))
     shards = shards or shard_count(p.agg(F.sum("target")).first()[0] or 0)
     p = materialise(with_blocks(p, shards))
-    nodes = dealt(block_copies(with_plan(small, p)), shards)
+    blocks = materialise(numbered(with_plan(small, p)))
+    totals = blocks.groupBy("source").agg(F.first(F.col("copies") * F.col("whole") + F.col("extra")).alias("n"))
+    nodes = dealt(blocks, quotas(totals, shards))
     of_blocks = nodes.groupBy("source", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("copy", "shard"))), lambda s: s["shard"]).alias("dealt"))
     of_blocks = materialise(of_blocks.select(F.col("source").alias("__s"), F.col("block").alias("__b"), "dealt"))
     joined = with_plan(rows, p).join(bounded(of_blocks), F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b")), "left")
@@ -245,5 +300,6 @@ def mix(docs: DataFrame, shards: int | None = None) -> DataFrame:
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    drawn = draws(materialise(sized(docs).select("doc_id", "source", "size", "place")))
+    rows = materialise(sized(docs).select("doc_id", "source", "size", "place"))
+    drawn = _draws(rows, None, rows)[0]
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards")

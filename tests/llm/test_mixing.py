@@ -2,6 +2,9 @@ import math
 import random
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from linkweave.llm import mixing as mx
 
 SCHEMA = "doc_id long, source string, text string, size string, gap string"
@@ -63,19 +66,68 @@ def test_reruns_agree_and_shards_have_about_the_same_words(spark):
     words, of_source = words_of_shards(rows)
     mean = sum(words.values()) / 16
     assert set(words) == set(range(16))
-    assert max(abs(w - mean) for w in words.values()) <= 1.3 * mean / mx.BLOCKS_PER_SHARD
+    # every shard has as many blocks as any other; blocks hold about as many words
+    assert max(abs(w - mean) for w in words.values()) <= 3 * mean / mx.BLOCKS_PER_SHARD
     # the largest source's quota of a shard varies as a hypergeometric draw of its blocks does
     blocks = [of_source[s, "a"] / (mean / mx.BLOCKS_PER_SHARD) for s in range(16)]
     share = sum(blocks) / 16 / mx.BLOCKS_PER_SHARD
     assert max(abs(b - sum(blocks) / 16) for b in blocks) < 4 * math.sqrt(mx.BLOCKS_PER_SHARD * share * (1 - share)) + 1
 
 
-def test_a_tree_below_the_root(spark, monkeypatch):
-    monkeypatch.setattr(mx, "ROOT_BITS", 2)
-    docs = spark.createDataFrame([(i, "ab"[i % 2], "w " * 10) for i in range(8_000)], "doc_id long, source string, text string")
-    words, _ = words_of_shards(mx.draws(mx.sized(docs), 32).collect())
-    mean = sum(words.values()) / 32
-    assert len(words) == 32 and max(abs(w - mean) for w in words.values()) <= 2 * mean / mx.BLOCKS_PER_SHARD
+def plain_tree(totals, shards, key):
+    """Quotas by plain recursion: a node's tokens in order of ``key(level, source, number)``, the first half to the left."""
+    leaves = {}
+
+    def split(node, level, tokens):
+        if 1 << level == shards:
+            for source, _ in tokens:
+                leaves[node, source] = leaves.get((node, source), 0) + 1
+            return
+        tokens = sorted(tokens, key=lambda t: key[level, t[0], t[1]])
+        left = (len(tokens) + level % 2) // 2
+        split(2 * node, level + 1, tokens[:left])
+        split(2 * node + 1, level + 1, tokens[left:])
+
+    split(0, 0, [(s, k) for s, n in totals for k in range(1, n + 1)])
+    return leaves
+
+
+@pytest.mark.parametrize("node_tokens", [1 << 14, 40])
+def test_quotas_equal_a_plain_recursion(spark, monkeypatch, node_tokens):
+    monkeypatch.setattr(mx, "NODE_TOKENS", node_tokens)  # with 40 the upper levels are split by ranges
+    totals = [("a", 181), ("b", 60), (None, 15), ("none", 0), ("z", 1)]
+    frame = spark.createDataFrame(totals, "source string, n long")
+    numbers = frame.where("n > 0").select("source", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("number"))
+    key = {(level, r.source, r.number): r.key for level in range(4) for r in numbers.withColumn("key", mx.token_key(level, F.col("source"), F.col("number"))).collect()}
+    got = {(r.shard, r.source): r.quota for r in mx.quotas(frame, 16).collect()}
+    assert got == plain_tree(totals, 16, key)
+    for source, n in totals:
+        assert sum(q for (_, s), q in got.items() if s == source) == n
+    per_shard = Counter()
+    for (shard, _), q in got.items():
+        per_shard[shard] += q
+    assert max(per_shard.values()) - min(per_shard.values()) <= 1
+
+
+def test_quotas_vary_as_hypergeometric_draws(spark):
+    totals = [("a", 3000), ("b", 1000), ("c", 96)]
+    quotas = [r.quota for r in mx.quotas(spark.createDataFrame(totals, "source string, n long"), 64).where("source = 'a'").collect()]
+    size, share = 4096 / 64, 3000 / 4096
+    variance = size * share * (1 - share) * (4096 - size) / 4095
+    assert len(quotas) == 64 and 0.5 * variance < sum((q - size * share) ** 2 for q in quotas) / 64 < 1.7 * variance
+
+
+def test_shards_take_their_quotas_of_blocks_once_each(spark):
+    docs = spark.createDataFrame(sample(), SCHEMA)
+    rows = mx.sized(docs.drop("size")).select("doc_id", "source", "size", "place")
+    planned = mx.with_plan(rows, mx.with_blocks(mx.plan(rows), 8))
+    blocks = mx.numbered(planned)
+    totals = blocks.groupBy("source").agg(F.first(F.col("copies") * F.col("whole") + F.col("extra")).alias("n"))
+    leaves = mx.quotas(totals, 8)
+    dealt = mx.dealt(blocks, leaves).collect()
+    want = {(r.source, r.block, c) for r in planned.collect() for c in range(1, r.copies + 1 + r.more)}
+    assert len(dealt) == len(want) and {(r.source, r.block, r.copy) for r in dealt} == want
+    assert Counter((r.shard, r.source) for r in dealt) == {(r.shard, r.source): r.quota for r in leaves.collect()}
 
 
 def test_clashing_names_and_structs(spark):
@@ -86,7 +138,7 @@ def test_clashing_names_and_structs(spark):
 
 
 def test_shards_follow_the_words():
-    assert [mx.shard_count(n * mx.WORDS_PER_SHARD) for n in (0, 1, 1.5, 3, 4, 1000)] == [1, 1, 2, 4, 4, 1024]
+    assert [mx.shard_count(n * mx.WORDS_PER_SHARD) for n in (0, 1, 1.5, 3, 4, 1000)] == [16, 16, 16, 16, 16, 1024] and mx.shard_count(17 * mx.WORDS_PER_SHARD) == 32
 
 
 def test_mix_repeats_rows_by_shard(spark):
