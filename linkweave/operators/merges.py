@@ -101,19 +101,31 @@ def checkpoint_counts(current: DataFrame, records: DataFrame, range_: Column | N
     return marked.groupBy("batch_id").agg(F.count_if("applied").alias("checkpoints_applied"), F.count_if(~F.col("applied")).alias("checkpoints_skipped"))
 
 
-def replace_snapshots(current: DataFrame, claims: DataFrame, snapshots: DataFrame, rows: DataFrame, member: str) -> tuple[DataFrame, DataFrame]:
-    """UPS-7..9: (next rows, next claims). A strictly newer snapshot replaces all rows of its scope, even an empty one.
+def won_snapshots(claims: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """UPS-7: ``scope, observed_at, record_count, snapshot_id`` of each scope whose newest snapshot is strictly newer than its claim.
 
-    ``claims``: ``scope, observed_at, record_count``; ``snapshots``: the same with ``seq, snapshot_id``; ``rows``:
-    ``snapshot_id, scope, line`` and the columns of ``current`` but synced_at. Of one snapshot's equal members the last wins.
+    ``claims``: ``scope, observed_at, record_count``; ``snapshots``: the same with ``seq, snapshot_id``. Of equally new ones the first stays.
     """
     best = snapshots.groupBy("scope").agg(F.max_by(F.struct("observed_at", "record_count", "snapshot_id"), F.struct(F.col("observed_at"), -F.col("seq"))).alias("n"))
-    won = best.join(claims.select("scope", F.col("observed_at").alias("known")), "scope", "left").where("known is null or n.observed_at > known").select("scope", "n.*")
+    return best.join(claims.select("scope", F.col("observed_at").alias("known")), "scope", "left").where("known is null or n.observed_at > known").select("scope", "n.*")
+
+
+def snapshot_members(rows: DataFrame, won: DataFrame, member: str) -> DataFrame:
+    """UPS-8, UPS-9: the members of the won snapshots with ``synced_at``. ``rows``: ``snapshot_id, scope, line`` and a member's columns.
+
+    Of one snapshot's equal members the last by ``line`` wins.
+    """
+    new = rows.join(won.select("scope", "snapshot_id", F.col("observed_at").alias("synced_at")), ["scope", "snapshot_id"])
+    about = [c for c in new.columns if c not in ("scope", "snapshot_id", "line", member)]
+    return new.groupBy("scope", member).agg(F.max_by(F.struct(*about), "line").alias("_r")).select("scope", member, "_r.*")
+
+
+def replace_snapshots(current: DataFrame, claims: DataFrame, snapshots: DataFrame, rows: DataFrame, member: str) -> tuple[DataFrame, DataFrame]:
+    """UPS-7..9: (next rows, next claims). A strictly newer snapshot replaces all rows of its scope, even an empty one."""
+    won = won_snapshots(claims, snapshots)
     kept = current.join(won.select("scope"), "scope", "left_anti")
-    new = rows.join(won.select("scope", "snapshot_id", "observed_at"), ["scope", "snapshot_id"]).withColumn("synced_at", F.col("observed_at"))
-    new = new.groupBy("scope", member).agg(F.max_by(F.struct(*(c for c in current.columns if c not in ("scope", member))), "line").alias("_r")).select("scope", member, "_r.*")
     next_claims = claims.join(won.select("scope"), "scope", "left_anti").unionByName(won.select(*claims.columns))
-    return kept.unionByName(new.select(*current.columns)), next_claims
+    return kept.unionByName(snapshot_members(rows, won, member).select(*current.columns)), next_claims
 
 
 def add_to_catalog(catalog: DataFrame, requests: DataFrame, key: str, valid: Column) -> DataFrame:

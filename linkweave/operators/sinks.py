@@ -162,11 +162,24 @@ def write_lines(lines: DataFrame, column: str, path: str, one_file: bool = False
 
 
 def version_path(root: str, version: int, kind: str = "v") -> str:
-    return f"{root}/{kind}{version:08d}"
+    return f"{root}/at={kind}{version:08d}"
 
 
-def write_version(table: DataFrame, root: str, version: int, kind: str = "v") -> str:
+def write_version(table: DataFrame, root: str, version: int, kind: str = "v", partition_by: str | None = None) -> str:
     """SNK-8: a version of a table beside the older ones; a replay writes it again. The ledger says which versions count."""
     path = version_path(root, version, kind)
-    table.write.mode("overwrite").parquet(path)
+    writer = table.write.mode("overwrite")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return path
+
+
+def written_versions(spark: SparkSession, root: str, kind: str = "v") -> list[int]:
+    """The versions of a table that are written to their end, in order."""
+    fs, where = _files(spark, root)
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{where}/at={kind}*/_SUCCESS"))
+    return sorted(int(s.getPath().getParent().getName().removeprefix(f"at={kind}")) for s in found)
+
+
+def delete_version(spark: SparkSession, root: str, version: int, kind: str = "v") -> None:
+    fs, where = _files(spark, version_path(root, version, kind))
+    fs.delete(where, True)

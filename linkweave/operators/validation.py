@@ -131,12 +131,16 @@ def quarantine(problems: DataFrame, now: Column) -> DataFrame:
     return problems.groupBy("batch_id").agg(F.array_join(F.array_sort(F.collect_set("problem")), "; ").alias("reason")).withColumn("failed_at", now)
 
 
+#: VAL-6, VAL-7: constraints of a table; a function, as columns need a session.
+TABLE_RULES = {
+    "posts": lambda: {"unique_id": _filled("unique_id"), "source_type": _source_type(F.col("source_type"))},
+    "post_urls": lambda: {"url": _filled("url"), "position": F.col("position") >= 0, "url_hash": F.char_length("url_hash") == 64},
+    "health": lambda: {"normalized_url": _filled("normalized_url"), "consecutive_failures": F.col("consecutive_failures") >= 0},
+    "ledger": lambda: {"batch_id": _filled("batch_id"), "record_count": F.col("record_count") >= 0},
+    "checkpoints": lambda: {"source_key": _filled("source_key"), "cursor": _filled("cursor")},
+}
+
+
 def table_rules(table: str) -> dict[str, Column]:
     """VAL-6, VAL-7: constraints of a table."""
-    return {
-        "posts": {"unique_id": _filled("unique_id"), "source_type": _source_type(F.col("source_type"))},
-        "post_urls": {"url": _filled("url"), "position": F.col("position") >= 0, "url_hash": F.char_length("url_hash") == 64},
-        "health": {"normalized_url": _filled("normalized_url"), "consecutive_failures": F.col("consecutive_failures") >= 0},
-        "ledger": {"batch_id": _filled("batch_id"), "record_count": F.col("record_count") >= 0},
-        "checkpoints": {"source_key": _filled("source_key"), "cursor": _filled("cursor")},
-    }[table]
+    return TABLE_RULES[table]()

@@ -70,7 +70,18 @@ def published(spark: SparkSession, sf: str) -> publish.Store:
         for _ in range(2):
             publish.publish(spark, landing, store, f"{folder}/checkpoint", lambda: F.lit("2026-02-01").cast("timestamp"), most_batches=3)
         store.compact()
-        _PUBLISHED[key] = store
+        _PUBLISHED[key] = publish.Store(spark, store.root, store.version())
+    return _PUBLISHED[key]
+
+
+def retained(spark: SparkSession, sf: str) -> publish.Store:
+    """UPS-17: the same store after retention, compacted; ``published`` still reads the version before."""
+    key = (spark.sparkContext.applicationId, sf, "retained")
+    if key not in _PUBLISHED:
+        store = publish.Store(spark, published(spark, sf).root)
+        store.retain(F.lit("2026-02-05 12:00:00").cast("timestamp"), 1)
+        store.compact()
+        _PUBLISHED[key] = publish.Store(spark, store.root, store.version())
     return _PUBLISHED[key]
 
 
@@ -167,6 +178,19 @@ def val4_str07_quarantined_batches(spark, sf):
     return of_batches(published(spark, sf).read("rejected").drop("failed_at"))
 
 
+@query(
+    "WITH " + WEB_SQL + """, p AS (SELECT unique_id, posted_at >= TIMESTAMP '2026-01-05 12:00:00' AS kept FROM posts), u AS (SELECT unique_id, count(*) AS n FROM post_urls GROUP BY 1)
+    SELECT unique_id, n AS links_before, CASE WHEN kept THEN n END AS links_after, kept FROM p JOIN u USING (unique_id)"""
+)
+def ups17_jn12_retained_store(spark, sf):
+    """Each post's links in the version before retention and in the one after it."""
+    links = lambda store, name: store.read("post_urls").groupBy("unique_id").agg(F.count("*").alias(name))
+    after = retained(spark, sf)
+    kept = after.read("posts").select("unique_id", F.lit(True).alias("kept")).join(links(after, "links_after"), "unique_id", "left")
+    both = published(spark, sf).read("posts").select("unique_id").join(links(published(spark, sf), "links_before"), "unique_id").join(kept, "unique_id", "left")
+    return both.select("unique_id", "links_before", "links_after", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
 @query("SELECT DISTINCT url AS entry FROM pages WHERE NOT starts_with(url, '#')")
 def snk06_written_candidates(spark, sf):
     """Candidates written as one ordered list and read back."""

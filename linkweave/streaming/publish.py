@@ -5,18 +5,24 @@ holds some manifests; those the ledger knows are left out, and of the others all
 records. A batch that fails is quarantined as a whole and doesn't stop the others. The rest is merged in order of arrival (batch_id,
 then line): posts, links, observations, checkpoints and follows. A version adds rows to the insert-only tables and holds the next
 state of the keyed ones (as large as the catalog); its ledger, written last, makes it count: a replay after a failure
-finds either the old version or the batch in the ledger. Posts are compared by their keys alone and never rewritten;
-``compact`` gathers the small versions. A query that fails stops and goes on from its checkpoint (STR-7).
+finds either the old version or the batch in the ledger. Posts are compared by their keys alone and never rewritten. Follows
+are added for the scopes that a newer snapshot replaces, and a scope's claim says which version holds it. Posts and links lie by
+month; retention is a version that leaves months out. ``compact`` gathers the small versions. Rows that break a table's rules
+make the write fail. A query that fails for a reason that may pass goes on from its checkpoint, a bounded number of times (STR-7).
 """
 
 from __future__ import annotations
 
+import re
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from .. import schemas
 from ..functions.times import contract_timestamp
@@ -35,54 +41,118 @@ TABLES = {
     "rejected": "batch_id string, reason string, failed_at timestamp",
 }
 #: Tables whose versions add rows; of the others a version is the whole table.
-APPENDED = ("posts", "post_urls", "ledger", "rejected")
+APPENDED = ("posts", "post_urls", "bluesky_follows", "mastodon_follows", "ledger", "rejected")
+#: Columns that are stored beside a table's own: where its rows lie, and what says if they count.
+STORED = {"posts": "month string", "post_urls": "posted_at timestamp, month string", "bluesky_follows": "version int", "mastodon_follows": "version int", "follows_snapshots": "version int"}
+RETENTION = "posts_from timestamp, ledger_from timestamp"
 #: Kind of a snapshot's file -> (source type, table, key of a member).
 FOLLOWS = {"bluesky_follows": ("bluesky", "did"), "mastodon_follows": ("mastodon", "account_id")}
 
 
+def names(ddl: str) -> list[str]:
+    return [f.strip().split(" ")[0] for f in ddl.split(",")]
+
+
+def checked(rows: DataFrame, name: str) -> DataFrame:
+    """VAL-6, VAL-7: ``rows`` of a table; one that breaks a rule makes the job that writes them fail."""
+    rules = validation.TABLE_RULES.get(name)
+    if rules is None:
+        return rows
+    broken = validation.errors(rules())
+    said = F.concat(F.lit(f"a row of {name} breaks: "), F.array_join(broken, ", "))
+    return rows.where(F.when(F.size(broken) == 0, True).otherwise(F.raise_error(said).cast("boolean")))
+
+
 @dataclass
 class Store:
-    """Versioned tables under a root folder. The newest version that has a ledger is the current one."""
+    """Versioned tables under a root folder. The newest version that has a ledger is the current one, unless one is ``pinned``."""
 
     spark: SparkSession
     root: str
+    pinned: int | None = None
 
-    def _newest(self, kind: str) -> int:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        path = hadoop.Path(self.root)
-        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(hadoop.Path(f"{self.root}/ledger/{kind}*/_SUCCESS"))
-        return max((int(s.getPath().getParent().getName()[1:]) for s in found), default=0)
+    def _versions(self, name: str, kind: str = "v") -> list[int]:
+        return sinks.written_versions(self.spark, f"{self.root}/{name}", kind)
 
     def version(self) -> int:
-        return self._newest("v")
+        return self.pinned if self.pinned is not None else max(self._versions("ledger"), default=0)
 
-    def read(self, name: str, version: int | None = None) -> DataFrame:
-        version = self.version() if version is None else version
-        if not version:
-            return self.spark.createDataFrame([], TABLES[name])
-        root, compacted = f"{self.root}/{name}", 0
+    def _rows(self, name: str, version: int) -> DataFrame:
+        """What is stored of a table up to a version: its own columns and those of ``STORED``."""
+        root, schema = f"{self.root}/{name}", ", ".join(x for x in (TABLES[name], STORED.get(name)) if x)
+        written = [v for v in self._versions(name) if v <= version]
         if name not in APPENDED:
-            paths = [sinks.version_path(root, version)]
+            paths = [sinks.version_path(root, v) for v in written[-1:]]
         else:
-            compacted = self._newest("c")
-            compacted = compacted if compacted <= version else 0
-            paths = [sinks.version_path(root, v) for v in range(compacted + 1, version + 1)]
-        if compacted:
-            paths.append(sinks.version_path(root, compacted, "c"))
-        return self.spark.read.schema(TABLES[name]).parquet(*paths)
+            compacted = max((v for v in self._versions(name, "c") if v <= version), default=0)
+            paths = [sinks.version_path(root, v) for v in written if v > compacted]
+            paths += [sinks.version_path(root, compacted, "c")] if compacted else []
+        return self.spark.read.schema(schema).option("basePath", root).parquet(*paths).select(*names(schema)) if paths else self.spark.createDataFrame([], schema)
+
+    def _kept(self, name: str, version: int) -> DataFrame:
+        """``_rows`` that count: within the retention, and of follows those of the version that their scope's claim names."""
+        rows, retained = self._rows(name, version), [v for v in self._versions("retention") if v <= version]
+        if name in FOLLOWS:
+            claims = self._rows("follows_snapshots", version).where(F.col("source_type") == FOLLOWS[name][0])
+            return rows.join(claims.select("scope", "version"), ["scope", "version"], "left_semi")
+        if retained and name in ("posts", "post_urls", "ledger"):
+            cut = self.spark.read.schema(RETENTION).parquet(sinks.version_path(f"{self.root}/retention", retained[-1])).first()
+            if name == "ledger":
+                return rows.where(F.col("published_at") >= F.lit(cut["ledger_from"]))
+            from_ = F.lit(cut["posts_from"])
+            return rows.where((F.col("month") >= F.date_format(from_, "yyyy-MM")) & (F.col("posted_at") >= from_))
+        return rows
+
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        own = names(TABLES[name])
+        return self._kept(name, self.version() if version is None else version).select(*own)
 
     def write(self, tables: dict[str, DataFrame], version: int) -> None:
-        """New rows and next states as a version; the ledger comes last."""
-        for name in [*(n for n in tables if n != "ledger"), "ledger"]:
-            columns = [f.strip().split(" ")[0] for f in TABLES[name].split(",")]
-            sinks.write_version(tables[name].select(*columns), f"{self.root}/{name}", version)
+        """New rows and next states as a version; the ledger comes last. What a lost attempt left of the version goes."""
+        for name in [*(n for n in TABLES if n != "ledger"), "retention", "ledger"]:
+            if name not in tables:
+                sinks.delete_version(self.spark, f"{self.root}/{name}", version)
+                continue
+            if name == "retention":
+                rows = tables[name]
+            else:
+                rows = checked(tables[name].select(*names(TABLES[name]), *(names(STORED[name]) if name in STORED else [])), name)
+            sinks.write_version(rows, f"{self.root}/{name}", version, partition_by="month" if name in ("posts", "post_urls") else None)
+
+    def retain(self, now, months: int, days: int = 90) -> None:
+        """UPS-17, JN-12: a version without posts older than ``months``, their links, and ledger entries older than ``days``.
+
+        Only the limits are written: readers leave out the months before, and read a month in part at most. Older versions stay as they are.
+        """
+        if months <= 0 or days <= 0:
+            raise ValueError("months and days must be positive")
+        version = self.version()
+        limits = self.spark.range(1).select((now - F.make_ym_interval(F.lit(0), F.lit(months))).cast("timestamp").alias("posts_from"), (now - F.make_dt_interval(F.lit(days))).cast("timestamp").alias("ledger_from"))
+        self.write({"retention": limits, "ledger": self.spark.createDataFrame([], TABLES["ledger"])}, version + 1)
 
     def compact(self) -> None:
-        """Gathers the versions so far of the tables that add rows; readers then open one folder and what came after it."""
+        """Gathers the versions so far of the tables that add rows, without what no longer counts; posts and links lie by time.
+
+        Readers then open one folder and what came after it.
+        """
         version = self.version()
-        if version > self._newest("c"):
+        if version > max(self._versions("ledger", "c"), default=0):
             for name in sorted(APPENDED, key=lambda n: n == "ledger"):
-                sinks.write_version(self.read(name, version), f"{self.root}/{name}", version, "c")
+                rows = self._kept(name, version)
+                by_month = name in ("posts", "post_urls")
+                if by_month:
+                    rows = rows.repartitionByRange("month", "posted_at").sortWithinPartitions("month", "posted_at")
+                sinks.write_version(rows, f"{self.root}/{name}", version, "c", "month" if by_month else None)
+
+    def expire(self) -> None:
+        """Deletes the versions that are gathered in the newest compaction; versions before it can't be read any more."""
+        last = max(self._versions("ledger", "c"), default=0)
+        for name in APPENDED:
+            for v in [v for v in self._versions(name, "c") if v < last]:
+                sinks.delete_version(self.spark, f"{self.root}/{name}", v, "c")
+            # the ledger's versions say which ones count
+            for v in [v for v in self._versions(name) if v <= last and name != "ledger"]:
+                sinks.delete_version(self.spark, f"{self.root}/{name}", v)
 
 
 def manifests_stream(spark: SparkSession, root: str, most_batches: int = 1000) -> DataFrame:
@@ -120,28 +190,32 @@ def problems(manifests: DataFrame, rows: DataFrame, present: DataFrame) -> DataF
     found = [validation.manifest_problems(manifests)]
     files = batches.manifest_files(manifests.withColumn("batch_id", F.col("dir_batch_id")))
     found.append(validation.batch_problems(files, present).select("batch_id", F.concat("name", F.lit(": "), "problem").alias("problem")))
-    for kind in schemas.KINDS:
-        bad = validation.checked_records(parsed(rows, kind), kind).select("batch_id", "file_name", "line", F.explode("errors").alias("error"))
-        first = bad.groupBy("batch_id", "file_name", "error").agg(F.min("line").alias("line")).withColumn("block", F.col("line.block"))
-        first = first.join(batches.line_numbers(rows), ["batch_id", "file_name", "block"])
-        number = (F.col("before") + F.col("line.row") - F.col("first") + 1).cast("string")
-        found.append(first.select("batch_id", F.concat("file_name", F.lit(" line "), number, F.lit(": "), "error").alias("problem")))
+    bad = [validation.checked_records(parsed(rows, kind), kind).select("batch_id", "file_name", "line", F.explode("errors").alias("error")) for kind in schemas.KINDS]
+    first = reduce(DataFrame.unionByName, bad).groupBy("batch_id", "file_name", "error").agg(F.min("line").alias("line")).withColumn("block", F.col("line.block"))
+    first = first.join(batches.line_numbers(rows), ["batch_id", "file_name", "block"])
+    number = (F.col("before") + F.col("line.row") - F.col("first") + 1).cast("string")
+    found.append(first.select("batch_id", F.concat("file_name", F.lit(" line "), number, F.lit(": "), "error").alias("problem")))
     return reduce(DataFrame.unionByName, found)
 
 
 def follows(store: Store, version: int, good: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
-    """UPS-7..9: the next follows and claims. ``files``: entries of the valid batches' manifests, with their time."""
-    claims, out, nexts = store.read("follows_snapshots", version), {}, []
+    """UPS-7..9: the members of the scopes that a newer snapshot replaces, and the next claims, which name the version that holds a scope.
+
+    ``files``: entries of the valid batches' manifests, with their time. An empty snapshot clears its scope; other scopes aren't written.
+    """
+    claims, out, nexts = store._rows("follows_snapshots", version), {}, []
     for kind, (source_type, member) in FOLLOWS.items():
         entries = files.where(F.col("kind") == kind).select(
             F.concat_ws("/", "batch_id", "name").alias("snapshot_id"), F.coalesce("scope", F.lit("")).alias("scope"), contract_timestamp(F.coalesce("observed_at", "created_at")).alias("observed_at"), F.col("record_count").cast("long")
         )
         snapshots = entries.withColumn("seq", F.row_number().over(Window.partitionBy("scope").orderBy("snapshot_id")))
         rows = ordered(good, kind).withColumn("snapshot_id", F.concat_ws("/", "batch_id", "file_name")).join(entries.select("snapshot_id", "scope"), "snapshot_id")
-        rows = rows.withColumn("line", F.col("seq"))
-        own = claims.where(F.col("source_type") == source_type).drop("source_type")
-        out[kind], own = merges.replace_snapshots(store.read(kind, version), own, snapshots, rows, member)
-        nexts.append(own.withColumn("source_type", F.lit(source_type)))
+        rows = rows.select("snapshot_id", "scope", F.col("seq").alias("line"), *(c for c in names(TABLES[kind]) if c not in ("scope", "synced_at")))
+        own = claims.where(F.col("source_type") == source_type)
+        won = merges.won_snapshots(own, snapshots)
+        out[kind] = merges.snapshot_members(rows, won, member).withColumn("version", F.lit(version + 1))
+        nexts.append(own.join(won.select("scope"), "scope", "left_anti").select(*claims.columns))
+        nexts.append(won.select(F.lit(source_type).alias("source_type"), "scope", "observed_at", "record_count", F.lit(version + 1).alias("version")).select(*claims.columns))
     return out | {"follows_snapshots": reduce(DataFrame.unionByName, nexts)}
 
 
@@ -150,11 +224,11 @@ def apply_batches(store: Store, landed: DataFrame, now) -> None:
     spark, version = store.spark, store.version()
     known = store.read("ledger", version).select("batch_id").union(store.read("rejected", version).select("batch_id"))
     new = merges.outstanding(landed, known)
-    names = new.columns
+    columns = new.columns
     new = new.dropDuplicates(["batch_id"]).collect()  # as many as a micro-batch has manifests
     if not new:
         return
-    manifests = spark.createDataFrame([tuple(r) for r in new], "batch_id string, folder string, value string").toDF(*names)
+    manifests = spark.createDataFrame([tuple(r) for r in new], "batch_id string, folder string, value string").toDF(*columns)
     manifests = manifests.select(F.col("batch_id").alias("dir_batch_id"), F.from_json("value", schemas.MANIFEST).alias("m")).select("dir_batch_id", "m.*")
     folders = [r["folder"] for r in new]
     rows, kept = record_lines(spark, folders).persist(), []
@@ -165,9 +239,9 @@ def apply_batches(store: Store, landed: DataFrame, now) -> None:
         good = validation.reject(rows, bad)
         valid = validation.reject(manifests.drop("batch_id").withColumnRenamed("dir_batch_id", "batch_id"), bad)
         posts = ordered(good, "posts").withColumn("posted_at", contract_timestamp("posted_at"))
-        fresh = merges.insert_ignore(store.read("posts", version), posts, "unique_id").withColumn("first_seen_at", now).persist()
+        fresh = merges.insert_ignore(store.read("posts", version), posts, "unique_id").withColumns({"first_seen_at": now, "month": F.date_format("posted_at", "yyyy-MM")}).persist()
         kept.append(fresh)
-        links = merges.urls_of(fresh).withColumn("unshortened_url", F.lit(None).cast("string"))
+        links = merges.urls_of(fresh).withColumn("unshortened_url", F.lit(None).cast("string")).join(fresh.select("unique_id", "posted_at", "month"), "unique_id")
         o = ordered(good, "rss_observations")
         o = o.withColumns({c: contract_timestamp(c) for c in ("observed_at", "latest_entry_at")})
         c = ordered(good, "checkpoints").withColumn("observed_at", contract_timestamp("observed_at"))
@@ -193,13 +267,52 @@ def apply_batches(store: Store, landed: DataFrame, now) -> None:
             table.unpersist()
 
 
-def publish(spark: SparkSession, landing: str, store: Store, checkpoint: str, now: Callable | None = None, most_batches: int = 1000):
-    """STR-1..3, STR-6: publishes what has landed and ends; the checkpoint remembers the manifests that are done."""
+#: Errors that may pass by themselves: of file systems, networks and time limits.
+TRANSIENT = ("IOException", "EOFException", "SocketException", "ConnectException", "SocketTimeoutException", "UnknownHostException", "TimeoutException", "OSError", "ConnectionError", "TimeoutError")
+
+
+def is_transient(error: Exception) -> bool:
+    """STR-7: whether a failed query may go on from its checkpoint. A broken rule or a bad program stays broken."""
+    said = set(re.findall(r"\b(?:[a-z]+\.)*([A-Z]\w*(?:Exception|Error))\b(?=:)", str(error)))
+    return any(name in TRANSIENT for name in said)
+
+
+class Progress(StreamingQueryListener):
+    """STR-7: what the queries of a session did: rows of each micro-batch, and the error that ended a query, if any."""
+
+    def __init__(self):
+        self.batches, self.ended = [], []
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        self.batches.append((event.progress.batchId, event.progress.numInputRows))
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.ended.append(event.exception)
+
+
+def publish(spark: SparkSession, landing: str, store: Store, checkpoint: str, now: Callable | None = None, most_batches: int = 1000, retries: int = 3, wait_s: float = 1.0):
+    """STR-1..3, STR-6, STR-7: publishes what has landed and ends; the checkpoint remembers the manifests that are done.
+
+    After an error that may pass the query starts again from its checkpoint, ``retries`` times at most and after twice the wait each time;
+    a batch that was committed before is found in the ledger. Any other error is raised at once.
+    """
     moment = now or F.current_timestamp
-    stream = manifests_stream(spark, landing, most_batches)
-    query = stream.writeStream.foreachBatch(lambda rows, _: apply_batches(store, rows, moment())).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query
+    for attempt in range(retries + 1):
+        stream = manifests_stream(spark, landing, most_batches)
+        query = stream.writeStream.foreachBatch(lambda rows, _: apply_batches(store, rows, moment())).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        try:
+            query.awaitTermination()
+            return query
+        except StreamingQueryException as error:
+            if attempt == retries or not is_transient(error):
+                raise
+            time.sleep(wait_s * 2**attempt)
 
 
 def first_posts(posts: DataFrame, retention: str = "30 days") -> DataFrame:

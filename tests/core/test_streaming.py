@@ -226,3 +226,100 @@ def test_version_of_an_empty_store(spark, tmp_path):
     assert pub.Store(spark, str(tmp_path / "none")).version() == 0
     with pytest.raises(KeyError):
         pub.Store(spark, str(tmp_path)).read("unknown")
+
+
+def test_retention_is_a_version_without_old_months(spark, place):
+    landing, store, run = place
+    old = "2025-12-31T23:59:59Z"
+    land(landing, IDS[0], posts=[post("old", posted_at="2025-11-05T00:00:00Z"), post("edge", posted_at=old), post("new", posted_at="2026-01-01T00:00:00Z")])
+    run()
+    before = store.version()
+    store.retain(F.lit("2026-02-01").cast("timestamp"), 1)
+    ids = lambda v=None: sorted(r.unique_id for r in store.read("posts", v).collect())
+    linked = lambda v=None: sorted({r.unique_id for r in store.read("post_urls", v).collect()})
+    assert ids() == linked() == ["new"] and ids(before) == linked(before) == ["edge", "new", "old"]
+    assert store.read("ledger").count() == 1 and store.read("health").count() == 0
+    plan = store.read("post_urls")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and ">= 2026-01" in plan
+    land(landing, IDS[1], posts=[post("old", posted_at="2026-01-20T00:00:00Z")])  # gone, so it may come again
+    run()
+    assert ids() == ["new", "old"]
+    store.compact()
+    store.expire()
+    assert ids() == linked() == ["new", "old"] and store.read("ledger").count() == 2
+    with pytest.raises(ValueError):
+        store.retain(F.current_timestamp(), 0)
+
+
+def files_under(path):
+    return {str(p.relative_to(path)): p.stat().st_mtime_ns for p in path.rglob("part-*")}
+
+
+def test_only_replaced_scopes_are_written(spark, place, tmp_path):
+    landing, store, run = place
+    people = lambda *ids: [line(account_id=i, acct=f"a{i}", display_name=None, url=None) for i in ids]
+    land(landing, IDS[0], "2026-01-01T00:00:00Z", **{"mastodon-follows-one": people("1", "2"), "mastodon-follows-two": people("3")})
+    run()
+    members = lambda: sorted((r.scope, r.account_id) for r in store.read("mastodon_follows").collect())
+    assert members() == [("one", "1"), ("one", "2"), ("two", "3")]
+    before = files_under(tmp_path / "store" / "mastodon_follows")
+    land(landing, IDS[1], "2026-01-02T00:00:00Z", **{"mastodon-follows-one": []})
+    land(landing, IDS[2], "2025-12-01T00:00:00Z", **{"mastodon-follows-two": people("4")})
+    run()
+    after = files_under(tmp_path / "store" / "mastodon_follows")
+    assert members() == [("two", "3")] and all(after[f] == t for f, t in before.items())
+    new = [f for f in after if f not in before]
+    assert sum(spark.read.parquet(str(tmp_path / "store" / "mastodon_follows" / f)).count() for f in new) == 0
+    store.compact()
+    assert members() == [("two", "3")]
+
+
+def test_rows_that_break_a_rule_fail_the_write(spark, place):
+    _, store, _ = place
+    bad = spark.createDataFrame([("", "s", "rss", "", "", "", datetime(2026, 1, 1), datetime(2026, 1, 1), "2026-01")], pub.TABLES["posts"] + ", month string")
+    with pytest.raises(Exception, match="a row of posts breaks: unique_id"):
+        store.write({"posts": bad, "ledger": spark.createDataFrame([], pub.TABLES["ledger"])}, 1)
+    assert store.version() == 0
+
+
+class Failing(pub.Store):
+    errors: list = []
+
+    def write(self, tables, version):
+        super().write({n: t for n, t in tables.items() if n != "ledger"} | {"ledger": tables["ledger"]}, version) if not self.errors else None
+        if self.errors:
+            raise self.errors.pop()
+
+
+def test_errors_that_pass_are_retried(spark, place, tmp_path):
+    landing, store, _ = place
+    land(landing, IDS[0], posts=[post("a")])
+    failing = Failing(spark, store.root)
+    run = lambda **more: pub.publish(spark, str(landing), failing, str(tmp_path / "cp"), wait_s=0.01, **more)
+    seen = pub.Progress()
+    spark.streams.addListener(seen)
+    try:
+        Failing.errors = [OSError("the store is away"), OSError("still away")]
+        run()
+        assert store.version() == 1 and store.read("posts").count() == 1 and store.read("ledger").count() == 1
+        land(landing, IDS[1], posts=[post("b")])
+        Failing.errors = [ValueError("a bug"), ValueError("not reached")]
+        with pytest.raises(Exception, match="not reached"):
+            run()
+        assert len(Failing.errors) == 1
+        Failing.errors = [OSError("away")] * 3
+        with pytest.raises(Exception, match="away"):
+            run(retries=2)
+        Failing.errors = []
+        run()
+    finally:
+        spark.streams.removeListener(seen)
+    assert store.read("posts").count() == 2 and len(seen.ended) >= 5 and any(seen.ended) and seen.batches
+
+
+def test_nothing_stays_cached(spark, place):
+    landing, _, run = place
+    land(landing, IDS[0], posts=[post("a")])
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    run()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
