@@ -234,8 +234,9 @@ def apply_batches(store: Store, landed: DataFrame, now) -> None:
     rows, kept = record_lines(spark, folders).persist(), []
     kept.append(rows)
     try:
-        bad = validation.quarantine(problems(manifests, rows, batches.file_digests(spark, *folders)), now).persist()
-        kept.append(bad)
+        # a row for each bad batch of the micro-batch: fetched, so that what follows doesn't plan the whole validation again
+        reasons = validation.quarantine(problems(manifests, rows, batches.file_digests(spark, *folders)), now).select("batch_id", "reason").collect()
+        bad = spark.createDataFrame([tuple(r) for r in reasons], "batch_id string, reason string").withColumn("failed_at", now)
         good = validation.reject(rows, bad)
         valid = validation.reject(manifests.drop("batch_id").withColumnRenamed("dir_batch_id", "batch_id"), bad)
         posts = ordered(good, "posts").withColumn("posted_at", contract_timestamp("posted_at"))
