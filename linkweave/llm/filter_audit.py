@@ -6,7 +6,7 @@ has a one where the document counts, so the sum of a part's integers holds all o
 part and mask have the same integer and are counted before anything moves; a part then sums at most 128 integers, each
 times its count. The largest field is 120 times a part's documents, so no field runs into the next below 2 ** 57 documents.
 
-Filters (``FILTERS``; words are runs of anything but space and 0x09-0x0D, case counts): A under 200 words; B distinct words
+Filters (``own_fails`` and E; words are runs of anything but space and 0x09-0x0D, case counts): A under 200 words; B distinct words
 under half of the words; C capitals A-Z above 2 % of the code points; D holds one of ``#$%&*|``; E the text of a row with a
 smaller doc_id. Copies are found by the SHA-256 of the text. The least doc_id of each is aggregated before it is shuffled;
 texts that at least a thousandth of the rows have (a thousand texts at most) are looked up by a broadcast, all others by a join.
