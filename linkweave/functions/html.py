@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from html import unescape
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,47 +14,94 @@ from pyspark.sql import types as T
 from .urls import normalize_url, strip
 
 
-class _Status(HTMLParser):
-    """One pass over a fragment: pieces of text, each with whether an anchor is open around it, and the anchors' links."""
+#: Tags without a meaning of their own for a status' text; an anchor's tag is the other one that occurs.
+PLAIN_TAGS = "p|br|span|strong|em|b|i|u|s|del|code|pre|blockquote|ul|ol|li|h[1-6]"
+#: Character references that a column expression reads; the ampersand's is the last, so nothing is read twice.
+PLAIN_REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
+#: A tag, a reference or a run of other characters, each of a form that can only be read in one way.
+PLAIN_TOKEN = rf"""(?i)</?(?:a|{PLAIN_TAGS})(?:\s+[a-z][a-z0-9-]*="(?:[^"<>&]|{"|".join(PLAIN_REFERENCES)}){{0,2000}}+"){{0,9}}\s*>|<br\s*/>|{"|".join(PLAIN_REFERENCES)}|[^<>&]+"""
 
-    def __init__(self, fragment: str):
-        super().__init__(convert_charrefs=True)
-        self.open, self.pieces, self.links = 0, [], []
-        self.feed(fragment)
+
+def _decoded(text: Column) -> Column:
+    for reference, char in PLAIN_REFERENCES.items():
+        text = F.replace(text, F.lit(reference), F.lit(char))
+    return text
+
+
+def is_plain(content: Column) -> Column:
+    """A fragment whose every character belongs to a ``PLAIN_TOKEN``, whose anchors are closed, not nested and have one link at most, and
+    whose text doesn't spell out further references."""
+    anchors = F.lower(F.array_join(F.regexp_extract_all(content, F.lit(r"(?i)<(/?a)[\s>]"), F.lit(1)), ""))
+    text = F.regexp_replace(content, "<[^>]*>", " ")
+    return (
+        (F.regexp_replace(content, PLAIN_TOKEN, "") == "")
+        & (F.replace(anchors, F.lit("a/a"), F.lit("")) == "")
+        & ~content.rlike(r"(?i)<a(?=\s)[^>]*\shref=[^>]*\shref=|</[^>]*\s")
+        & ~text.rlike("&amp;[A-Za-z0-9#]")
+    )
+
+
+def _text(content: Column) -> Column:
+    """The pieces between tags, decoded, without white space around and joined by spaces."""
+    return F.array_join(F.filter(F.transform(F.split(content, "<[^>]*>"), lambda x: strip(_decoded(x))), lambda x: x != ""), " ")
+
+
+def plain_parts(content: Column) -> Column:
+    """FN-22 of a plain fragment: a struct of text, links of anchors and text outside of anchors."""
+    links = F.transform(F.regexp_extract_all(content, F.lit(r"""(?is)<a(?=\s)[^>]*?\shref="([^"]*)\""""), F.lit(1)), _decoded)
+    outside = F.regexp_replace(content, r"(?is)<a[\s>].*?</a>", "<a>")
+    return F.struct(_text(content).alias("text"), F.filter(links, lambda x: x != "").alias("links"), _text(outside).alias("outside"))
+
+
+class _Events(HTMLParser):
+    """What the standard library's lenient parser meets in a document: (+1, attributes) or (-1, None) for an anchor, (0, text) for text."""
+
+    def __init__(self, document: str):
+        super().__init__()
+        self.met = []
+        self.feed(document)
         self.close()
 
     def handle_starttag(self, tag, attrs):
-        if tag == "a":
-            self.open += 1
-            self.links += [value for name, value in attrs if name == "href" and value]
+        self.met += [(1, attrs)] * (tag == "a")
 
     def handle_endtag(self, tag):
-        if tag == "a" and self.open:
-            self.open -= 1
+        self.met += [(-1, None)] * (tag == "a")
 
     def handle_data(self, data):
-        if piece := data.strip():
-            self.pieces.append((piece, self.open > 0))
+        self.met.append((0, data))
 
 
 def parse_status(content: str | None) -> tuple[str, list[str], str]:
-    """(text, links of anchors, text outside of anchors)."""
-    status = _Status(content or "")
-    text = " ".join(piece for piece, _ in status.pieces)
-    outside = " ".join(piece for piece, inside in status.pieces if not inside)
-    return unescape(text), status.links, unescape(outside)
+    """FN-22 of any fragment, however broken: (text, links of anchors, text outside of anchors).
 
+    An anchor that isn't closed lasts to the end, a closing tag without an anchor means nothing, and references are read twice in texts.
+    """
+    met = _Events(content or "").met
+    depths = list(accumulate((step for step, _ in met), lambda depth, step: max(0, depth + step), initial=0))[1:]
+    texts = [(what.strip(), depth) for (step, what), depth in zip(met, depths) if step == 0]
+    said = lambda pieces: unescape(" ".join(filter(None, pieces)))
+    hrefs = (dict(what).get("href") for step, what in met if step == 1)
+    return said(text for text, _ in texts), [h for h in hrefs if h], said(text for text, depth in texts if depth == 0)
+
+
+PARTS = T.StructType([T.StructField("text", T.StringType()), T.StructField("links", T.ArrayType(T.StringType())), T.StructField("outside", T.StringType())])
 
-def status_parts(df: DataFrame, content: str, name: str = "parts") -> DataFrame:
-    """FN-22: ``df`` with a struct of text, links and outside text, parsed in Arrow batches."""
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.StructType([T.StructField("text", T.StringType()), T.StructField("links", T.ArrayType(T.StringType())), T.StructField("outside", T.StringType())]))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            parts = [parse_status(x) for x in b[content]]
-            yield b.assign(**{name: [{"text": t, "links": links, "outside": o} for t, links, o in parts]})
+@F.pandas_udf(PARTS)
+def _odd_parts(content: pd.Series) -> pd.DataFrame:
+    parts = [(None, None, None) if c is None else parse_status(c) for c in content]
+    return pd.DataFrame(parts, columns=["text", "links", "outside"])
 
-    return df.mapInPandas(run, schema)
+
+def status_parts(df: DataFrame, content: str, name: str = "parts") -> DataFrame:
+    """FN-22: ``df`` with a struct of text, links and outside text; a null fragment is an empty one.
+
+    Fragments as servers write them are read by column expressions; the text of the others alone goes to a parser, in Arrow batches.
+    """
+    given = df.withColumn("_content", F.coalesce(F.col(content), F.lit(""))).withColumn("_plain", is_plain(F.col("_content")))
+    given = given.withColumn("_odd", _odd_parts(F.when(~F.col("_plain"), F.col("_content"))))
+    return given.withColumn(name, F.when(F.col("_plain"), plain_parts(F.col("_content"))).otherwise(F.col("_odd"))).drop("_content", "_plain", "_odd")
 
 
 def anchor_hrefs(html: Column | str) -> Column:

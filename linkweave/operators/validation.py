@@ -37,17 +37,24 @@ def fields_of(kind: str) -> dict[str, str]:
     return dict(f.strip().split(" ") for f in schemas.KINDS[kind][1].split(","))
 
 
-def typed(value: Column, name: str, kind: str, nullable: bool) -> Column:
-    """The key is there and its JSON value has the type of the schema; ``value``: the line as a variant."""
-    names = {"string": "STRING", "boolean": "BOOLEAN", "int": "BIGINT", "array<string>": "ARRAY<STRING>"}
-    found = F.schema_of_variant(F.try_variant_get(value, f"$.{name}", "variant"))
-    return found.isin(names[kind], "VOID") if nullable else found == names[kind]
+#: Type of a key in a schema -> type of its JSON value.
+VALUE_TYPES = {"string": "STRING", "boolean": "BOOLEAN", "int": "BIGINT", "array<string>": "ARRAY<STRING>"}
+
+
+def value_types(value: Column | str) -> Column:
+    """Key -> type of its JSON value, of a line that holds one object; null for any other line. The line is parsed once."""
+    return F.transform_values(F.try_variant_get(F.try_parse_json(value), "$", "map<string,variant>"), lambda _, v: F.schema_of_variant(v))
+
+
+def typed(types: Column, name: str, kind: str, nullable: bool) -> Column:
+    """The key is there and its JSON value has the type of the schema; ``types``: of ``value_types``."""
+    return types[name].isin(VALUE_TYPES[kind], *(["VOID"] if nullable else []))
 
 
 def record_rules(kind: str, p: str = "record.") -> dict[str, Column]:
     """VAL-1: what the values of a kind's record must meet beside their types; ``p`` is the prefix of its fields."""
     c = lambda n: F.col(p + n)
-    moment = lambda n: c(n).rlike(schemas.INSTANT) & contract_timestamp(c(n)).isNotNull()
+    moment = lambda n: c(n).rlike(schemas.INSTANT) & F.try_to_timestamp(c(n), F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")).isNotNull()
     if kind == "posts":
         return {
             "unique_id": F.char_length(c("unique_id")).between(1, 256),
@@ -71,18 +78,18 @@ def record_rules(kind: str, p: str = "record.") -> dict[str, Column]:
 
 
 def checked_records(rows: DataFrame, kind: str) -> DataFrame:
-    """VAL-1: ``rows (value, record)`` with ``errors``: not JSON, unknown or missing keys, wrong types, broken rules.
+    """VAL-1: ``rows (value, record)`` with ``errors``: not one JSON object, unknown or missing keys, wrong types, broken rules.
 
-    A key's rule has the key's name; a wrong type and a missing key break it too.
+    A key's rule has the key's name; a wrong type and a missing key break it too. A line that has a key twice is no object.
     """
     fields, values = fields_of(kind), record_rules(kind)
-    keys, known = F.json_object_keys("value"), F.array(*map(F.lit, fields))
-    rules = {"json": keys.isNotNull(), "unknown_keys": F.size(F.array_except(keys, known)) == 0, "missing_keys": F.size(F.array_except(known, keys)) == 0}
+    types, known = F.col("_types"), F.array(*map(F.lit, fields))
+    keys = F.map_keys(types)
+    rules = {"json": types.isNotNull(), "unknown_keys": F.size(F.array_except(keys, known)) == 0, "missing_keys": F.size(F.array_except(known, keys)) == 0}
     for name, type_ in fields.items():
-        right = typed(F.col("_variant"), name, type_, name in schemas.NULLABLE[kind])
+        right = typed(types, name, type_, name in schemas.NULLABLE[kind])
         rules[name] = right & values.pop(name) if name in values else right
-    parsed = rows.withColumn("_variant", F.try_parse_json("value"))
-    return parsed.withColumn("errors", errors(rules | values)).drop("_variant")
+    return rows.withColumn("_types", value_types("value")).withColumn("errors", errors(rules | values)).drop("_types")
 
 
 def manifest_problems(manifests: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import pytest
@@ -197,3 +198,17 @@ def test_odd_feeds():
     assert parse("<html><feed></feed></html>") is None and parse("plain") is None and parse("") is None and parse(None) is None
     assert parse("<rss><channel>" + "<a 'b" * 200_000)["entries"] == []
     assert links("<!DOCTYPE rss [<!ENTITY e 'x'>]><rss><channel>" + "".join(map(item, range(20_000))) + "</channel></rss>")[-1] == "https://x.example/19999"
+
+
+def test_plain_fragments_read_as_the_parser_reads_them(spark):
+    common = ['<p>', '</p>', '<a href="https://a.b/?x=1&amp;y=2">', '<a class="u" href="h" rel="x">', "</a>", "<br/>", "<br />", " text ", "&amp;", "&lt;b&gt;", "&nbsp;", "&#39;", '<A HREF="Z">', '<span class="i">', "</span>", "é "]
+    common += ["<a>", '<a href="">', '<a title="a href=" href="q">', "amp", "lt;", "\n", '<a\nhref="n">', '<a href="1" href="2">', "&quot;", "<em>"]
+    odd = ["&copy;", "a & b", "<", ">", "<!-- c -->", "<script>", "</script>", "<a href='s'>", "</a >", "<p/>", "<img alt=x>"]
+    draw = random.Random(5)
+    rows = [("".join(draw.choice(common + odd if i % 2 else common) for _ in range(draw.randint(0, 8))),) for i in range(3000)]
+    rows += [(None,), ("x" * 300_000,), ("<p>" * 50_000,), ('<a href="k">z</a>' * 20_000,)]
+    plain = F.col("plain")
+    frame = spark.createDataFrame(rows, "c string").repartition(4).withColumn("plain", html.is_plain(F.coalesce("c", F.lit(""))))
+    got = html.status_parts(frame, "c").select("c", plain, "parts").collect()
+    assert [r.c for r in got if tuple(r.parts) != html.parse_status(r.c)] == []
+    assert len(got) == 3004 and sum(r.plain for r in got) > 500
