@@ -78,7 +78,7 @@ def follows_order(follows: DataFrame, *names: str) -> DataFrame:
 
 
 def page(rows: DataFrame, number: int, size: int, *order) -> DataFrame:
-    """LIM-1: one page of the ordered rows. Deep pages cost all rows before them; ``page_after`` doesn't."""
+    """LIM-1: one page of the ordered rows. Deep pages cost all rows before them; ``page_after`` and ``directory_page`` don't."""
     if number < 1 or size < 1:
         raise ValueError("page and size start at 1")
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
@@ -90,6 +90,39 @@ def page_after(posts: DataFrame, size: int, posted_at, unique_id: str) -> DataFr
     return newest_first(posts.where(after)).limit(size)
 
 
+def page_directory(posts: DataFrame, ranges: int) -> DataFrame:
+    """LIM-1: ``newest, oldest, rows, before``: of each range of posts, newest first, its ends, its size and the rows before it.
+
+    ``newest`` and ``oldest`` are structs of ``posted_at`` and ``unique_id``, neither of which is null. The two columns are dealt to
+    about ``ranges`` ranges of equal size by one shuffle (equal times are told apart by unique_id, so no instant is too large for a range);
+    what comes out has a row a range. It holds for the posts it was made of: write it beside each version of them.
+    """
+    keys = posts.select("posted_at", "unique_id").repartitionByRange(ranges, F.desc("posted_at"), F.desc("unique_id"))
+    key = F.struct("posted_at", "unique_id")
+    each = keys.select(F.spark_partition_id().alias("part"), key.alias("key")).groupBy("part")
+    each = each.agg(F.max("key").alias("newest"), F.min("key").alias("oldest"), F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    return each.select("newest", "oldest", "rows", F.coalesce(before, F.lit(0)).alias("before"))
+
+
+def directory_page(posts: DataFrame, directory: DataFrame, number: int, size: int) -> DataFrame:
+    """LIM-1: the same page as ``page`` newest first, however deep, read from the ranges that it lies in; none past the end.
+
+    At most ``size`` rows of the directory are fetched; their ends reach the scan as bounds of ``posted_at``.
+    """
+    if number < 1 or size < 1:
+        raise ValueError("page and size start at 1")
+    start = (number - 1) * size
+    found = directory.where((F.col("before") + F.col("rows") > start) & (F.col("before") < start + size)).orderBy("before").collect()
+    if not found:
+        return posts.limit(0)
+    (newest_at, newest_id), (oldest_at, oldest_id) = found[0]["newest"], found[-1]["oldest"]
+    at, own = F.col("posted_at"), F.col("unique_id")
+    inside = (at < F.lit(newest_at)) | (own <= F.lit(newest_id))
+    inside = at.between(F.lit(oldest_at), F.lit(newest_at)) & inside & ((at > F.lit(oldest_at)) | (own >= F.lit(oldest_id)))
+    return newest_first(posts.where(inside)).offset(start - found[0]["before"]).limit(size)
+
+
 def clamped_page(number: int, total: int, size: int) -> int:
     """LIM-2: between 1 and the last page."""
     return max(1, min(number, -(-total // size)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import html, labels, urls
@@ -80,6 +81,22 @@ def lim1_keyset_page(spark, sf):
     return windows.page_after(posts, 50, last.posted_at, last.unique_id).select("unique_id")
 
 
+@query(
+    "WITH "
+    + VOLUME_SQL
+    + """, n AS (SELECT count(*) AS n FROM posts), r AS (SELECT *, row_number() OVER (ORDER BY posted_at DESC, unique_id DESC) AS place FROM posts)
+    SELECT unique_id, place FROM r, n WHERE place > (n // 2 // 50) * 50 AND place <= (n // 2 // 50) * 50 + 50"""
+)
+def lim1_deep_page(spark, sf):
+    """The page in the middle of all posts, by the directory of their ranges: 50 is the page's size."""
+    posts = volume_posts(spark, sf)
+    directory = windows.page_directory(posts, 64)
+    number = (directory.agg(F.sum("rows")).first()[0] or 0) // 2 // 50 + 1
+    page = windows.directory_page(posts, directory, number, 50)
+    place = F.row_number().over(Window.orderBy(F.desc("posted_at"), F.desc("unique_id"))) + (number - 1) * 50  # of one page
+    return page.select("unique_id", place.cast("long").alias("place"))
+
+
 FEED_LIST = (
     "SELECT normalized_url, CASE WHEN deleted_at IS NOT NULL THEN 'removed' WHEN enabled THEN 'active' ELSE 'disabled' END AS status, "
     "CASE WHEN deleted_at IS NOT NULL THEN 'removed' WHEN coalesce(consecutive_failures, 0) > 0 OR coalesce(last_status, 0) >= 400 THEN 'unhealthy' ELSE 'healthy' END AS health, last_status "

@@ -121,3 +121,22 @@ def test_ids_and_embeds(spark):
     frame = spark.createDataFrame([(i, e) for i, e in enumerate(embeds)], "i int, e string")
     got = dict(frame.select("i", providers.embed_links(F.col("e"))).collect())
     assert got == {0: ["http://1A", "http://2", "http://3"], 1: [], 2: [], 3: [], 4: [], 5: []}
+
+
+def test_deep_pages_are_read_from_their_range(spark, tmp_path):
+    # a third of all posts have one time
+    rows = spark.range(9_000).select(F.format_string("%05d", (F.col("id") * 7919) % 9_000).alias("unique_id"), F.when(F.col("id") % 3 == 0, 500_000).otherwise(F.col("id") * 60).cast("timestamp").alias("posted_at"))
+    rows.write.parquet(str(tmp_path / "posts"))
+    posts = spark.read.parquet(str(tmp_path / "posts"))
+    windows.page_directory(posts, 32).write.parquet(str(tmp_path / "directory"))
+    directory = spark.read.parquet(str(tmp_path / "directory"))
+    sizes = [r["rows"] for r in directory.collect()]
+    assert sum(sizes) == 9_000 and max(sizes) < 1_000
+    for number, size in ((1, 50), (61, 50), (90, 50), (180, 50), (181, 50), (3, 2_000), (5, 2_000)):
+        want = windows.page(posts, number, size, F.desc("posted_at"), F.desc("unique_id")).collect()
+        assert windows.directory_page(posts, directory, number, size).collect() == want
+    plan = windows.directory_page(posts, directory, 170, 50)._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1]
+    assert "GreaterThanOrEqual(posted_at" in plan and "LessThanOrEqual(" in plan  # the plan's text is cut
+    assert windows.directory_page(posts.limit(0), windows.page_directory(posts.limit(0), 4), 1, 50).count() == 0
+    with pytest.raises(ValueError):
+        windows.directory_page(posts, directory, 0, 50)
