@@ -165,7 +165,7 @@ def version_path(root: str, version: int, kind: str = "v") -> str:
     return f"{root}/at={kind}{version:08d}"
 
 
-def write_version(table: DataFrame, root: str, version: int, kind: str = "v", partition_by: str | None = None) -> str:
+def write_version(table: DataFrame, root: str, version: int, kind: str = "v", partition_by: str | list[str] | None = None) -> str:
     """SNK-8: a version of a table beside the older ones; a replay writes it again. The ledger says which versions count."""
     path = version_path(root, version, kind)
     writer = table.write.mode("overwrite")

@@ -5,7 +5,8 @@ holds some manifests; those the ledger knows are left out, and of the others all
 records. A batch that fails is quarantined as a whole and doesn't stop the others. The rest is merged in order of arrival (batch_id,
 then line): posts, links, observations, checkpoints and follows. A version adds rows to the insert-only tables and holds the next
 state of the keyed ones (as large as the catalog); its ledger, written last, makes it count: a replay after a failure
-finds either the old version or the batch in the ledger. Posts are compared by their keys alone and never rewritten. Follows
+finds either the old version or the batch in the ledger. Posts are compared by their keys alone, of which the index opens the buckets
+that matter, and never rewritten. Follows
 are added for the scopes that a newer snapshot replaces, and a scope's claim says which version holds it. Posts and links lie by
 month; retention is a version that leaves months out. ``compact`` gathers the small versions. Rows that break a table's rules
 make the write fail. A query that fails for a reason that may pass goes on from its checkpoint, a bounded number of times (STR-7).
@@ -70,6 +71,7 @@ class Store:
     spark: SparkSession
     root: str
     pinned: int | None = None
+    bucket_rows: int = 1_000_000  # keys in a bucket of the key index, about
 
     def _versions(self, name: str, kind: str = "v") -> list[int]:
         return sinks.written_versions(self.spark, f"{self.root}/{name}", kind)
@@ -89,19 +91,58 @@ class Store:
             paths += [sinks.version_path(root, compacted, "c")] if compacted else []
         return self.spark.read.schema(schema).option("basePath", root).parquet(*paths).select(*names(schema)) if paths else self.spark.createDataFrame([], schema)
 
+    def _limits(self, version: int):
+        """The newest retention's row of RETENTION, if any."""
+        retained = [v for v in self._versions("retention") if v <= version]
+        return self.spark.read.schema(RETENTION).parquet(sinks.version_path(f"{self.root}/retention", retained[-1])).first() if retained else None
+
     def _kept(self, name: str, version: int) -> DataFrame:
         """``_rows`` that count: within the retention, and of follows those of the version that their scope's claim names."""
-        rows, retained = self._rows(name, version), [v for v in self._versions("retention") if v <= version]
+        rows = self._rows(name, version)
         if name in FOLLOWS:
             claims = self._rows("follows_snapshots", version).where(F.col("source_type") == FOLLOWS[name][0])
             return rows.join(claims.select("scope", "version"), ["scope", "version"], "left_semi")
-        if retained and name in ("posts", "post_urls", "ledger"):
-            cut = self.spark.read.schema(RETENTION).parquet(sinks.version_path(f"{self.root}/retention", retained[-1])).first()
-            if name == "ledger":
-                return rows.where(F.col("published_at") >= F.lit(cut["ledger_from"]))
-            from_ = F.lit(cut["posts_from"])
-            return rows.where((F.col("month") >= F.date_format(from_, "yyyy-MM")) & (F.col("posted_at") >= from_))
-        return rows
+        cut = self._limits(version) if name in ("posts", "post_urls", "ledger") else None
+        if cut and name == "ledger":
+            return rows.where(F.col("published_at") >= F.lit(cut["ledger_from"]))
+        return self._retained(rows, cut) if cut else rows
+
+    @staticmethod
+    def _retained(rows: DataFrame, cut) -> DataFrame:
+        from_ = F.lit(cut["posts_from"])
+        return rows.where((F.col("month") >= F.date_format(from_, "yyyy-MM")) & (F.col("posted_at") >= from_))
+
+    def keys(self, version: int, sought: DataFrame) -> DataFrame:
+        """UPS-2: the ``unique_id`` of stored posts that may be among ``sought``, by the key index.
+
+        The index is made by ``compact``: keys in buckets by their hash, so of what is gathered only the buckets of sought keys are
+        opened. Versions since then are read as they are, as is everything before the first compaction.
+        """
+        indexed = max((v for v in self._versions("post_keys", "c") if v <= version), default=0)
+        if not indexed:
+            return self._kept("posts", version).select("unique_id")
+        path = sinks.version_path(f"{self.root}/post_keys", indexed, "c")
+        index = self.spark.read.schema("unique_id string, posted_at timestamp, month string, buckets int, bucket int").parquet(path)
+        buckets = index.select("buckets").first()
+        if buckets is None:
+            index = index.select("unique_id", "posted_at", "month")
+        else:
+            bucket = F.pmod(F.xxhash64("unique_id"), F.lit(buckets[0]))
+            opened = [r[0] for r in sought.select(bucket.alias("b")).distinct().collect()]  # numbers of buckets
+            index = index.where(F.col("bucket").isin(opened)).select("unique_id", "posted_at", "month")
+        newer = [sinks.version_path(f"{self.root}/posts", v) for v in self._versions("posts") if indexed < v <= version]
+        if newer:
+            posts = self.spark.read.schema(f"{TABLES['posts']}, {STORED['posts']}").option("basePath", f"{self.root}/posts").parquet(*newer)
+            index = index.unionByName(posts.select("unique_id", "posted_at", "month"))
+        cut = self._limits(version)
+        return (self._retained(index, cut) if cut else index).select("unique_id")
+
+    def _index_keys(self, version: int) -> None:
+        """Writes the key index of all posts that count, ``bucket_rows`` keys a bucket; it may be written again."""
+        keys = self._kept("posts", version).select("unique_id", "posted_at", "month")
+        buckets = -(-keys.count() // self.bucket_rows) or 1
+        keys = keys.withColumns({"buckets": F.lit(buckets), "bucket": F.pmod(F.xxhash64("unique_id"), F.lit(buckets)).cast("int")})
+        sinks.write_version(keys.repartition("bucket"), f"{self.root}/post_keys", version, "c", ["buckets", "bucket"])
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
         own = names(TABLES[name])
@@ -133,10 +174,11 @@ class Store:
     def compact(self) -> None:
         """Gathers the versions so far of the tables that add rows, without what no longer counts; posts and links lie by time.
 
-        Readers then open one folder and what came after it.
+        Readers then open one folder and what came after it; the keys of posts are indexed (``keys``).
         """
         version = self.version()
         if version > max(self._versions("ledger", "c"), default=0):
+            self._index_keys(version)
             for name in sorted(APPENDED, key=lambda n: n == "ledger"):
                 rows = self._kept(name, version)
                 by_month = name in ("posts", "post_urls")
@@ -147,6 +189,8 @@ class Store:
     def expire(self) -> None:
         """Deletes the versions that are gathered in the newest compaction; versions before it can't be read any more."""
         last = max(self._versions("ledger", "c"), default=0)
+        for v in [v for v in self._versions("post_keys", "c") if v < last]:
+            sinks.delete_version(self.spark, f"{self.root}/post_keys", v, "c")
         for name in APPENDED:
             for v in [v for v in self._versions(name, "c") if v < last]:
                 sinks.delete_version(self.spark, f"{self.root}/{name}", v, "c")
@@ -240,7 +284,7 @@ def apply_batches(store: Store, landed: DataFrame, now) -> None:
         good = validation.reject(rows, bad)
         valid = validation.reject(manifests.drop("batch_id").withColumnRenamed("dir_batch_id", "batch_id"), bad)
         posts = ordered(good, "posts").withColumn("posted_at", contract_timestamp("posted_at"))
-        fresh = merges.insert_ignore(store.read("posts", version), posts, "unique_id").withColumns({"first_seen_at": now, "month": F.date_format("posted_at", "yyyy-MM")}).persist()
+        fresh = merges.insert_ignore(store.keys(version, posts.select("unique_id")), posts, "unique_id").withColumns({"first_seen_at": now, "month": F.date_format("posted_at", "yyyy-MM")}).persist()
         kept.append(fresh)
         links = merges.urls_of(fresh).withColumn("unshortened_url", F.lit(None).cast("string")).join(fresh.select("unique_id", "posted_at", "month"), "unique_id")
         o = ordered(good, "rss_observations")

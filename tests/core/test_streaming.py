@@ -1,5 +1,6 @@
 import hashlib
 import json
+import re
 from datetime import datetime
 
 import pytest
@@ -323,3 +324,42 @@ def test_nothing_stays_cached(spark, place):
     before = spark.sparkContext._jsc.getPersistentRDDs().size()
     run()
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_the_key_index_opens_the_buckets_of_sought_keys(spark, place):
+    landing, store, run = place
+    store.bucket_rows = 4
+    land(landing, IDS[0], posts=[post(f"p{i}") for i in range(60)])
+    run()
+    store.compact()
+    land(landing, IDS[1], posts=[post("p60"), post("p7")])
+    run()
+    assert store.read("posts").count() == 61 and sorted(r.posts_inserted for r in store.read("ledger").collect()) == [1, 60]
+    sought = spark.createDataFrame([("p3",), ("p60",)], "unique_id string")
+    keys, files = store.keys(store.version(), sought), F.input_file_name()
+    assert {"p3", "p60"} <= {r.unique_id for r in keys.collect()} and keys.count() < 30
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", keys._jdf.queryExecution().executedPlan().toString())
+    opened = keys.select(files.alias("f")).distinct().collect()
+    index = spark.read.parquet(f"{store.root}/post_keys")
+    assert len(opened) <= 3 < 15 == index.select("bucket").distinct().count()
+    # what retention leaves out may come again, though the index still holds its key
+    store.retain(F.lit("2026-03-01").cast("timestamp"), 1)
+    land(landing, IDS[2], posts=[post("p3", posted_at="2026-02-20T00:00:00Z"), post("p3", "again", posted_at="2026-02-21T00:00:00Z")])
+    run()
+    assert [(r.unique_id, r.source) for r in store.read("posts").collect()] == [("p3", "s")]
+    store.compact()
+    store.expire()
+    land(landing, IDS[3], posts=[post("p3", posted_at="2026-02-25T00:00:00Z"), post("p5", posted_at="2026-02-25T00:00:00Z")])
+    run()
+    assert sorted(r.unique_id for r in store.read("posts").collect()) == ["p3", "p5"]
+    assert len(list((landing.parent / "store" / "post_keys").iterdir())) == 1
+
+
+def test_the_index_of_an_empty_store(spark, place):
+    landing, store, run = place
+    land(landing, IDS[0], checkpoints=[checkpoint("c1", "2026-01-02T00:00:00Z")])
+    run()
+    store.compact()
+    land(landing, IDS[1], posts=[post("a")])
+    run()
+    assert [r.unique_id for r in store.read("posts").collect()] == ["a"]
