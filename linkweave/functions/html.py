@@ -127,8 +127,16 @@ def attribute(tag: Column, name: str) -> Column:
     return F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2")
 
 
+#: What a page says but doesn't mark up: comments, scripts and styles, the last to the page's end if nothing closes it.
+UNSEEN = r"(?is)<!--.*?(?:-->|$)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)"
+
+
 def discovered_feed(html: Column | str, base: Column | str) -> Column:
-    """FN-30: the first RSS feed that a page names, else its first feed of any type, resolved on the page's URL; '' if none."""
+    """FN-30: the first RSS feed that a page names, else its first feed of any type, resolved on the page's URL; '' if none.
+
+    Links inside of comments, scripts and styles don't count.
+    """
+    html = F.regexp_replace(html, UNSEEN, " ")
     tags = F.regexp_extract_all(html, F.lit(r"""(?is)(<link\s(?:"[^"]*"|'[^']*'|[^"'>])*>)"""), F.lit(1))
     links = F.transform(tags, lambda x: F.struct(attribute(x, "href").alias("href"), F.lower(attribute(x, "type")).alias("type"), F.split(F.lower(attribute(x, "rel")), r"\s+").alias("rel")))
     feeds = F.filter(links, lambda x: (x["href"] != "") & F.array_contains(x["rel"], "alternate") & x["type"].isin(*FEED_TYPES))

@@ -97,9 +97,11 @@ def ups13_add_subreddits(spark, sf):
     r"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/rss' WHEN page_id % 3 = 1 THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/atom' ELSE '' END AS feed FROM pages"""
 )
 def fn30_discovered_feed(spark, sf):
-    m = F.col("page_id") % 3
+    m, feed = F.col("page_id") % 3, F.lit('<link rel="alternate" type="application/rss+xml" href="/old">')
     head = F.concat(F.when(m == 2, "").otherwise('<link rel="alternate" type="application/atom+xml" href="/atom">'), F.when(m == 0, '<link href="/rss" type="application/rss+xml" rel="alternate">').otherwise(""))
-    return table(spark, sf, "pages").select("page_id", html.discovered_feed(F.concat(head, "html"), "url").alias("feed"))
+    # a feed that a page has in a comment or a script only isn't one it names
+    quoted = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<!-- "), feed, F.lit(" -->"))).otherwise(F.concat(F.lit("<script>'"), feed, F.lit("'</script>")))
+    return table(spark, sf, "pages").select("page_id", html.discovered_feed(F.concat(quoted, head, "html"), "url").alias("feed"))
 
 
 @query("SELECT CAST(c_nationkey AS VARCHAR) AS scope, max(c_custkey) AS seq FROM customer GROUP BY 1")

@@ -139,6 +139,14 @@ def test_discovered_feeds(spark):
     assert values(spark, html.discovered_feed("a", F.col("b")), *[(p, "https://x.example/p") for p, _ in cases]) == [want for _, want in cases]
 
 
+def test_feeds_that_a_page_only_talks_of(spark):
+    rss, atom = ('<link rel="alternate" type="application/rss+xml" href="/rss">', '<link rel="alternate" type="application/atom+xml" href="/atom">')
+    unseen = [f"<!--{rss}-->", f"<!-- <b> {rss}\n-- > {rss} -->", f"<script>var a = '{rss}'</script>", f"<SCRIPT src='x'>\n{rss}</Script >", f"<style>{rss}</style>", f"<!-- <script> --><!--{rss}--><script></script>", f"<script>'<!--'{rss}</script>"]
+    cases = [(c, "") for c in unseen] + [(c + atom, "https://x.example/atom") for c in unseen] + [(atom + c + "<p>", "https://x.example/atom") for c in unseen]
+    cases += [(atom + f"<!-- {rss}", "https://x.example/atom"), (f"<!-- a -->{rss}<!-- b -->", "https://x.example/rss"), (f"<scripts>{rss}", "https://x.example/rss"), ("", "")]
+    assert values(spark, html.discovered_feed("a", F.col("b")), *[(p, "https://x.example/p") for p, _ in cases]) == [want for _, want in cases]
+
+
 @pytest.mark.parametrize(
     "given, want",
     [
