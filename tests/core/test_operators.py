@@ -178,6 +178,28 @@ def test_digests_of_files_in_many_splits(spark, tmp_path):
     assert sorted((json.loads(r.value)["n"] + 1, r.number) for r in numbers) == [(i, i) for i in range(1, 3001)]
 
 
+def test_a_file_is_digested_however_it_would_be_split(spark, tmp_path):
+    """Splits depend on what else is read: with these settings a file was one split in one scan and two in another, and had no digest."""
+    import hashlib
+
+    ids = [f"2026010{i}T000000000000Z-0123abcd" for i in range(1, 4)]
+    for i in ids:
+        (tmp_path / i).mkdir()
+        (tmp_path / i / "manifest.json").write_text("{}")
+        (tmp_path / i / "posts.ndjson").write_bytes(b"0123456789\n" * 60)
+    (tmp_path / ids[0] / "checkpoints.ndjson").write_bytes(b"0123456789\n" * 200)
+    settings = {"spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "2"}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        rows = {(r.batch_id, r["name"]): r for r in batches.file_digests(spark, *(str(tmp_path / i) for i in ids)).collect()}
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert len(rows) == 4 and rows[ids[0], "checkpoints.ndjson"].lines == 200
+    assert rows[ids[0], "checkpoints.ndjson"].sha256 == hashlib.sha256(b"0123456789\n" * 200).hexdigest()
+
+
 def test_a_batch_keeps_every_kind_that_has_records(spark, tmp_path):
     batch = "20260101T000000000000Z-0123abcd"
     posts = spark.range(100).select(F.col("id").cast("string").alias("unique_id"))
@@ -185,3 +207,18 @@ def test_a_batch_keeps_every_kind_that_has_records(spark, tmp_path):
     manifest = json.loads((tmp_path / batch / "manifest.json").read_text())
     assert folder and [(f["name"], f["record_count"]) for f in manifest["files"]] == [("bluesky-follows.ndjson", 0), ("posts.ndjson", 100)]
     assert not (tmp_path / batch / "checkpoints.ndjson").exists()
+
+
+def test_a_bad_batch_is_left_out_without_a_shuffle_of_the_lines(spark):
+    lines = spark.range(100).selectExpr("cast(id % 2 as string) as batch_id", "id")
+    left = validation.reject(lines, spark.createDataFrame([("1", "x")], "batch_id string, problem string"))
+    assert left.count() == 50
+    assert "BroadcastHashJoin" in left._jdf.queryExecution().toString() and "Exchange hashpartitioning(batch_id" not in left._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_a_line_is_read_once_by_its_rules(spark):
+    line = '{"cursor": "c", "observed_at": "2026-01-01T00:00:00Z", "source_key": "k", "source_type": "s", "source_url": null}'
+    rows = spark.createDataFrame([(line,), ("{",)], "value string").withColumn("record", F.from_json("value", schemas.KINDS["checkpoints"][1]))
+    checked = validation.checked_records(rows, "checkpoints").select(F.explode("errors").alias("error"))
+    assert checked.where("error = 'json'").count() == 1
+    assert checked._jdf.queryExecution().optimizedPlan().toString().count("try_parse_json") + checked._jdf.queryExecution().optimizedPlan().toString().count("parse_json(value") <= 1
