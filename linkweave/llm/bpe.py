@@ -2,7 +2,7 @@
 
 Merging works on a segment tree over the ranks of adjacent pairs: its root holds the lowest rank and, among equals,
 the leftmost place; a merge updates three leaves in logarithmic time, until no pair has a rank. A text falls apart
-into pieces by the pattern first, and the ids of the pieces seen last are kept in a bounded cache per Python worker.
+into pieces by the pattern first, and the ids of the pieces seen last are kept in a bounded cache, which a task lets go at its end.
 
 Null and empty texts: no ids, and no ids decode to the empty text. Texts of any length are encoded whole, a piece of a
 long one too. Of equal ranks the leftmost pair merges first. Repeated rows have a row each; an empty table gives no rows. Special tokens written in a text get their own id, as the tokenizers library does.
@@ -64,6 +64,11 @@ class Pieces(dict):
         self[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        """Workers outlive their tasks, and other stages need the memory."""
+        self.older = {}
+        self.clear()
+
 
 class Codec:
     def __init__(self, content: str):
@@ -170,7 +175,7 @@ def read(path: str) -> str:
 
 
 def _mapped(df: DataFrame, source: str, new: list[tuple[str, str]], each) -> DataFrame:
-    """``df`` with columns computed from another in batches of bounded size; ``each()`` gives value -> values."""
+    """``df`` with columns computed from another in batches of bounded size; ``each()`` gives value -> values, and what a task does at its end."""
     names = [n for n, _ in new]
     if source in names:
         raise ValueError("the new columns need names of their own")
@@ -178,12 +183,15 @@ def _mapped(df: DataFrame, source: str, new: list[tuple[str, str]], each) -> Dat
     kinds = [pa.binary() if k == "binary" else pa.string() for _, k in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        apply = each()
-        for batch in batches:
-            for part in slices(batch, source, PART_BYTES):
-                values = [apply(x) for x in part.column(source).to_pylist()]
-                columns = [pa.array([v[i] for v in values], k) for i, k in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *names])
+        apply, end = each()
+        try:
+            for batch in batches:
+                for part in slices(batch, source, PART_BYTES):
+                    values = [apply(x) for x in part.column(source).to_pylist()]
+                    columns = [pa.array([v[i] for v in values], k) for i, k in enumerate(kinds)]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *names])
+        finally:
+            end()
 
     return map_batches(df, run, ", ".join(f"`{n}` {k}" for n, k in new))
 
@@ -204,7 +212,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
             out = c.encode(x or "")
             return (out, c.decode(out)) if decoded else (out,)
 
-        return both
+        return both, c.pieces.forget
 
     return _mapped(docs, text, [(ids, "binary"), *([(decoded, "string")] if decoded else [])], each)
 
@@ -217,7 +225,7 @@ def decode(tokens: DataFrame, path: str | None = None, ids: str = "ids", decoded
 
     def each():
         c = codec(path, content.value)
-        return lambda x: (c.decode(x or b""),)
+        return lambda x: (c.decode(x or b""),), c.pieces.forget
 
     return _mapped(tokens, ids, [(decoded, "string")], each)
 

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .session import ARROW_BYTES, setting
 from .text import mix
 
 SEEDS = (np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179))
@@ -112,8 +113,9 @@ def sketch(rows: DataFrame, expected_keys: int, keys_of: Callable[[pa.RecordBatc
     width = min(MOST_CELLS, max(LEAST_CELLS, 1 << (4 * int(expected_keys)).bit_length()))
     slices = rows.mapInArrow(partial_sketches(width, keys_of), PARTIAL).repartition("slice").sortWithinPartitions("slice").mapInArrow(merge_sketches(HOT), MERGED)
     out = Sketch(width, np.zeros(len(SEEDS) * width // 8, np.uint8), np.zeros(len(SEEDS) * width // 64, np.uint8))
-    for row in slices.toLocalIterator():
-        for part, target, cells_a_byte in ((row.bits, out.bits, 8), (row.hot, out.tops, 64)):
-            at = row.slice * SLICE // cells_a_byte
-            target[at : at + SLICE // cells_a_byte] = np.frombuffer(part, np.uint8)
+    with setting(rows.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_BYTES}b"):
+        for row in slices.toLocalIterator():
+            for part, target, cells_a_byte in ((row.bits, out.bits, 8), (row.hot, out.tops, 64)):
+                at = row.slice * SLICE // cells_a_byte
+                target[at : at + SLICE // cells_a_byte] = np.frombuffer(part, np.uint8)
     return out

@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import map_batches, ship, unused
+from .session import map_batches, materialise, ship, unused
 from .sketch import Sketch, sketch
 from .text import Words, join_hashes, mix, slices
 
 WINDOW, GRAM = 50, 16
 #: Windows that a task holds before it hands them on.
-HELD_WINDOWS = 1 << 19
+HELD_WINDOWS = 1 << 18
 #: Bytes of text for each anchor, about; this only sizes the sketch.
 BYTES_PER_ANCHOR = 100
 
@@ -228,9 +228,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def _kept(spans_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (part for batch in batches for part in slices(batch)):
             n_words, n_removed, kept = [], [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column(spans_name).to_pylist(), strict=True):
+            for text, spans in zip(part.column("text").to_pylist(), part.column(spans_name).to_pylist(), strict=True):
                 words = (text or "").encode().split()  # splits bytes at exactly the six separators
                 n_words.append(len(words))
                 if spans:
@@ -241,7 +241,7 @@ def _kept(spans_name: str):
                     words = [w for w, g in zip(words, np.cumsum(gone[:-1]).tolist(), strict=True) if not g]
                 n_removed.append(n_words[-1] - len(words))
                 kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], [*batch.schema.names, "n_words", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], [*part.schema.names, "n_words", "n_removed", "kept_text"])
 
     return run
 
@@ -255,7 +255,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")))
     name, digest, own = unused(docs, "spans", "digest", "row_id")
-    spans = repeated_spans(docs).select(F.col("doc_id").alias(own), F.col("digest").alias(digest), F.col("spans").alias(name))
+    spans = materialise(repeated_spans(docs)).select(F.col("doc_id").alias(own), F.col("digest").alias(digest), F.col("spans").alias(name))
     joined = docs.join(spans, (F.col("doc_id") == F.col(own)) & (F.xxhash64("text") == F.col(digest)), "left").drop(own, digest)
     return map_batches(joined, _kept(name), "n_words long, n_removed long, kept_text string").drop(name)
 

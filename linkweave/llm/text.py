@@ -21,6 +21,8 @@ LOWER[65:91] += 32
 #: Keeps the first n bytes of a little-endian 64-bit load.
 KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
 LONG_WORD = 64
+#: Bytes of text that a task works on at once: its arrays of words and hashes take some thirty times as much.
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,7 +55,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str = "text", most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each part holds about ``most_bytes`` of text, or one row."""
     _, offsets = text_bytes(batch.column(text))
     at = 0

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from linkweave.llm import bpe
@@ -54,3 +55,15 @@ def test_query(spark, small_dir):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_a_task_lets_its_cache_go(spark, monkeypatch):
+    """Python workers outlive a task: the pieces it has seen aren't kept for whatever the worker does next."""
+    monkeypatch.setattr(bpe, "map_batches", lambda df, run, ddl: run)
+    path = bpe.vocabulary_path()
+    pieces = bpe.codec(path, bpe.read(path)).pieces
+    batch = pa.record_batch({"text": ["a few words", "and others"]})
+    run = bpe.encode(spark.createDataFrame([("a",)], "text string"), decoded="decoded")
+    rows = run(iter([batch]))
+    assert next(rows).column("decoded").to_pylist() == ["a few words", "and others"] and len(pieces)
+    assert list(rows) == [] and not pieces and not pieces.older

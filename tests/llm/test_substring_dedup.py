@@ -120,3 +120,16 @@ def test_sketch_never_underestimates():
     often = np.concatenate([np.repeat(keys[:5], sk.HOT // 2), keys])
     found = merged(often, 2)
     assert found.hot(keys[:5]).all() and found.hot(keys[5:]).mean() < 0.01
+
+
+def test_large_batches_are_worked_on_in_slices():
+    """Whatever an Arrow batch holds, the words and lists of a slice alone are in memory, and what goes back is a slice each."""
+    texts = [f"w{i} " * 2000 for i in range(700)]
+    spans = [[{"from": 0, "to": 50}] if i % 7 == 0 else None for i in range(700)]
+    batch = pa.record_batch({"text": texts, "spans": spans})
+    out = list(sd._kept("spans")(iter([batch])))
+    assert max(part.column("text").nbytes for part in out) <= 1.1 * (1 << 20)
+    table = pa.Table.from_batches(out)
+    assert table.column("text").to_pylist() == texts
+    assert table.column("n_removed").to_pylist() == [50 if i % 7 == 0 else 0 for i in range(700)]
+    assert table.column("kept_text").to_pylist() == [" ".join(t.split()[n:]) for t, n in zip(texts, table.column("n_removed").to_pylist(), strict=True)]
